@@ -50,60 +50,69 @@ ERROR_LENGTH = 2000
 CHARGE_AFTER_DAYS, CHARGE_BACK_DAYS, REFUND_DAYS = 10, 2, 120
 
 
-def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+KINDS = {
+    "long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "double": T.DoubleType(),
+    "boolean": T.BooleanType(), "date": T.DateType(), "timestamp": T.TimestampType(),
+    "rating": T.DecimalType(2, 1), "strings": T.ArrayType(T.StringType()),
+}
+
+
+def columns(text: str) -> T.StructType:
+    """`name kind, name kind` as a struct type; usable before a session exists."""
+    pairs = [part.split() for part in text.split(",")]
+    return T.StructType([T.StructField(name, KINDS[kind]) for name, kind in pairs])
 
 
-ITEMS = _struct(
+ITEMS = columns(
     "id long, ext_id string, name string, developer string, store_category string, summary string, "
-    "description string, install_count long, install_count_raw string, rating decimal(2,1), "
+    "description string, install_count long, install_count_raw string, rating rating, "
     "rating_count int, version string, last_updated date, website string, support_url string, "
-    "privacy_url string, listing_url string, icon_url string, price string, permissions array<string>, "
+    "privacy_url string, listing_url string, icon_url string, price string, permissions strings, "
     "raw string, first_seen timestamp, last_scraped timestamp, updated_at timestamp, "
-    "successor_of long, successor_points array<string>"
+    "successor_of long, successor_points strings"
 )
-REVIEWS = _struct(
+REVIEWS = columns(
     "id long, item_id long, review_uid string, author string, stars int, body string, reviewed_at date, "
     "language string, helpful_count int, raw string, scraped_at timestamp, helpful_ranked boolean"
 )
-SNAPSHOTS = _struct(
+SNAPSHOTS = columns(
     "item_id long, captured_at date, rating double, rating_count int, install_count long"
 )
-CLUSTERS = _struct(
+CLUSTERS = columns(
     "item_id long, cluster_no string, complaint string, complaint_type string, fixable string, "
-    "independent_reviewers long, wtp_quotes array<string>"
+    "independent_reviewers long, wtp_quotes strings"
 )
-ANALYSES = _struct(
+ANALYSES = columns(
     "item_id long, overall_just_bad boolean, needs_heavy_backend boolean, build_effort string, brief string"
 )
-OPPORTUNITIES = _struct(
+OPPORTUNITIES = columns(
     "item_id long, score double, top_complaint string, complaint_type string, fixable string, "
-    "demand_intensity long, wtp_evidence array<string>, build_effort string, brief string, "
+    "demand_intensity long, wtp_evidence strings, build_effort string, brief string, "
     "recency_weight double, decline_score double, recent_rating double, baseline_rating double, "
     "complaint_trend double, model string"
 )
-CAUSES = _struct("item_id long, cause string, share double, note string")
-REVIEW_ANALYSIS = _struct(
+CAUSES = columns("item_id long, cause string, share double, note string")
+REVIEW_ANALYSIS = columns(
     "item_id long, status string, model string, reviews_analyzed long, legitimacy double, "
     "primary_cause string, verdict string, error string"
 )
-DIVES = _struct("item_id long, status string, requested_at date, error string")
-STUDIES = _struct("item_id long, layer int, status string")
-DISMISSED = _struct("item_id long, reason string, dismissed_at date")
-PRICES = _struct(
+DIVES = columns("item_id long, status string, requested_at date, error string")
+STUDIES = columns("item_id long, layer int, status string")
+DISMISSED = columns("item_id long, reason string, dismissed_at date")
+PRICES = columns(
     "item_id long, pricing_model string, makes_money boolean, has_paid_tier boolean, price_min_usd double, "
     "price_max_usd double, estimated_users long, estimated_monthly_revenue_usd double, "
     "revenue_low_usd double, revenue_high_usd double, confidence string, monetization_summary string, "
-    "pricing_notes string, sources array<string>"
+    "pricing_notes string, sources strings"
 )
-ORDERS = _struct(
-    "order_id string, order_date date, total_cents long, item_titles array<string>, return_hint boolean, "
+ORDERS = columns(
+    "order_id string, order_date date, total_cents long, item_titles strings, return_hint boolean, "
     "account string"
 )
-TRANSACTIONS = _struct(
+TRANSACTIONS = columns(
     "txn_id string, txn_date date, amount_cents long, merchant_name string, name string, notes string"
 )
-COMPETITOR = _struct(
+COMPETITOR = columns(
     "name string, url string, pricing string, users string, positioning string, strengths string, weaknesses string"
 )
-STUDY_OPPORTUNITY = _struct("title string, detail string, evidence string, effort string")
+STUDY_OPPORTUNITY = columns("title string, detail string, evidence string, effort string")
