@@ -20,7 +20,7 @@ AS_OF = "2000-06-30"
 VIEWS = {
     "v_items": """
 select p_partkey as id, concat('item', cast(p_partkey as varchar(20))) as ext_id,
-  concat(p_name, ' ', cast(cast(floor(p_partkey / 50) as bigint) as varchar(20))) as name, p_brand as developer,
+  concat(p_name, ' ', cast(cast(floor(p_partkey / 50) as bigint) as varchar(20))) as name, replace(p_brand, '#', ' ') as developer,
   case when p_partkey % 11 = 0 then null else concat('https://www.', lower(p_type),
     cast(cast(floor(p_partkey / 50) as bigint) as varchar(20)), '.com/p?id=', cast(p_partkey as varchar(20))) end as website,
   p_type as store_category,

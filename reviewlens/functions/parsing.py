@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from reviewlens.functions.rounding import round_half_even
+
 # --- fixed values: patterns of visible text ---------------------------------------
 INSTALLS = r"(?i)([\d.,]+)\s*([KkMmBb]?)\s*\+?\s*users"
 RATING_OF_FIVE = r"(?i)(\d(?:\.\d+)?)\s*out of\s*5"
@@ -56,7 +58,7 @@ def parse_rating_count(text: Column | str) -> Column:
 def parse_rating(text: Column | str) -> Column:
     c = _c(text)
     value = F.coalesce(group(c, RATING_OF_FIVE), group(c, RATING_BARE)).try_cast("double")
-    return F.when(value.between(0, 5), F.bround(value, 1))
+    return F.when(value.between(0, 5), round_half_even(value, 1))
 
 
 def parse_star_label(text: Column | str) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewlens import schemas as S
 from reviewlens.functions.parsing import _c, squash
+from reviewlens.functions.rounding import round_half_even
 from reviewlens.operators.ordered import first_per_key, rank_per_key, top_per_key
 
 
@@ -52,7 +53,7 @@ def _factor() -> Column:
     def mean(total: str, n: str) -> Column:
         return F.when(F.col(n) > 0, F.col(total) / (F.lit(100.0) * F.col(n)))
 
-    return F.bround(F.coalesce(mean("_wc", "_nc"), mean("_wa", "_na"), F.lit(1.0)), 3)
+    return round_half_even(F.coalesce(mean("_wc", "_nc"), mean("_wa", "_na"), F.lit(1.0)), 3)
 
 
 def _trend() -> list[Column]:
@@ -66,10 +67,10 @@ def _trend() -> list[Column]:
     surge = F.greatest(F.lit(0.0), share("_gr", "_nr") - share("_gp", "_np"))
     decline = F.when(enough, F.least(F.lit(1.0), F.lit(0.6) * (drop / 2.0) + F.lit(0.4) * surge))
     return [
-        _zero_if_null(F.bround(decline, 3)).alias("decline_score"),
-        F.bround(recent, 2).alias("recent_rating"),
-        F.bround(prior, 2).alias("baseline_rating"),
-        _zero_if_null(F.bround(F.when(enough, surge), 3)).alias("complaint_trend"),
+        _zero_if_null(round_half_even(decline, 3)).alias("decline_score"),
+        round_half_even(recent, 2).alias("recent_rating"),
+        round_half_even(prior, 2).alias("baseline_rating"),
+        _zero_if_null(round_half_even(F.when(enough, surge), 3)).alias("complaint_trend"),
     ]
 
 
@@ -96,26 +97,29 @@ def review_signals(reviews: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def cause_weight(cause: Column | str, unknown: float = S.UNKNOWN_CAUSE_WEIGHT) -> Column:
+def cause_percent(cause: Column | str, unknown: float = S.UNKNOWN_CAUSE_WEIGHT) -> Column:
+    """Weight of a cause in whole percent, so that weighted shares add up the same in any order."""
     c = _c(cause)
     chain = None
     for name, weight in S.CAUSE_WEIGHT.items():
-        chain = F.when(c == name, weight) if chain is None else chain.when(c == name, weight)
-    return chain.otherwise(unknown)
+        percent = float(round(weight * 100))
+        chain = F.when(c == name, percent) if chain is None else chain.when(c == name, percent)
+    return chain.otherwise(float(round(unknown * 100)))
 
 
 def legitimacy(analyses: DataFrame, causes: DataFrame) -> DataFrame:
     """How much a rating reflects real problems: override, else share-weighted causes, else primary cause."""
     real = causes.filter(F.coalesce(F.col("cause"), F.lit("")) != "praise")
     sums = real.groupBy("item_id").agg(
-        F.sum(cause_weight("cause") * F.col("share")).alias("_weighted"), F.sum("share").alias("_share")
+        F.sum(cause_percent("cause") * F.col("share")).alias("_weighted"), F.sum("share").alias("_share")
     )
 
     def unit(c: Column) -> Column:
-        return F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)), 3)
+        clamped = F.when(c < 0, 0.0).when(c > 1, 1.0).otherwise(c)
+        return round_half_even(clamped, 3)
 
-    shared = F.when(F.col("_share") > 0, F.col("_weighted") / F.col("_share"))
-    value = F.coalesce(unit(F.col("override")), unit(shared), F.bround(cause_weight("primary_cause", 1.0), 3))
+    shared = F.when(F.col("_share") > 0, F.col("_weighted") / (F.col("_share") * 100))
+    value = F.coalesce(unit(F.col("override")), unit(shared), cause_percent("primary_cause", 1.0) / 100)
     return analyses.join(sums, "item_id", "left").select("item_id", "primary_cause", value.alias("legitimacy"))
 
 
@@ -158,7 +162,7 @@ def review_stats(reviews: DataFrame) -> DataFrame:
     stars = F.col("stars")
     return reviews.groupBy("item_id").agg(
         F.count("*").alias("total"),
-        F.bround(F.sum(stars) / F.count(stars), 1).alias("mean_stars"),
+        round_half_even(F.sum(stars) / F.count(stars), 1).alias("mean_stars"),
         F.count_if(F.coalesce(F.col("helpful_ranked"), F.lit(False))).alias("helpful"),
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewlens import schemas as S
 from reviewlens.functions.parsing import _c
+from reviewlens.functions.rounding import round_half_even
 from reviewlens.operators.reviews import latest_per_item, legitimacy, review_signals
 from reviewlens.operators.tables import ensure_columns, upsert
 from reviewlens.operators.zone import in_zone, select_for_analysis, top_by_installs, zone_candidates
@@ -43,7 +44,7 @@ def score(demand: Column, paid: Column, fixable: Column, installs: Column, ratin
         - F.when(F.coalesce(just_bad, F.lit(False)), S.PENALTY_JUST_BAD).otherwise(0.0)
         - F.when(F.coalesce(backend, F.lit(False)), S.PENALTY_BACKEND).otherwise(0.0)
     )
-    return F.bround(F.greatest(F.lit(0.0), raw), 1)
+    return round_half_even(F.greatest(F.lit(0.0), raw), 1)
 
 
 def score_opportunities(

@@ -134,7 +134,7 @@ select *, cast(floor(x / 8e0 + 5e-1) as int) as cell_x, cast(floor(y / 8e0 + 5e-
     """
 with c as (
   select cell_x, cell_y, count(*) as n, avg(x) as cx, avg(y) as cy, cast(sum(rating_count) as bigint) as total_ratings,
-    arg_min(id, rating_count * -100000000 + id) as rep_id, arg_min(rating, rating_count * -100000000 + id) as rep_rating
+    arg_min(id, cast(rating_count as bigint) * -100000000 + id) as rep_id, arg_min(rating, cast(rating_count as bigint) * -100000000 + id) as rep_rating
   from {c_placed} group by 1, 2)
 select cell_x, cell_y, n, round(cx, 6) as center_x, round(cy, 6) as center_y, total_ratings, rep_id, concat('item', rep_id) as rep_ext_id,
   rep_rating between 25e-1 and 35e-1 as in_zone,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from reviewlens.adapters import Data
 from reviewlens.functions.identity import review_uid
+from reviewlens.functions.rounding import round_half_even_sql as R2E
 from reviewlens.functions.labels import low_legitimacy, recency_label, trend_label
 from reviewlens.operators import reviews as R
 from reviewlens.operators import zone as Z
@@ -28,20 +29,21 @@ select item_id,
   count(*) filter (where age <= 180 and stars <= 2) as gr,
   count(*) filter (where age > 180 and age <= 540) as np, sum(stars) filter (where age > 180 and age <= 540) as sp,
   count(*) filter (where age > 180 and age <= 540 and stars <= 2) as gp
-from (select *, {PERCENT} as w, greatest({AGE}, 0) as age from {{v_reviews}}) group by item_id""",
+from (select *, {PERCENT} as w, case when reviewed_at is not null then greatest({AGE}, 0) end as age from {{v_reviews}}) group by item_id""",
 )
 shared(
     "c_recency",
-    """
-select item_id, round_even(coalesce(case when nc > 0 then cast(wc as double) / (cast(100 as double) * nc) end,
-  case when na > 0 then cast(wa as double) / (cast(100 as double) * na) end, cast(1 as double)), 3) as recency
-from {c_signals}""",
+    f"""
+select item_id, {R2E('f', 3)} as recency from (
+  select item_id, coalesce(case when nc > 0 then cast(wc as double) / (cast(100 as double) * nc) end,
+    case when na > 0 then cast(wa as double) / (cast(100 as double) * na) end, cast(1 as double)) as f
+  from {{c_signals}})""",
 )
 shared(
     "c_trend",
-    """
-select item_id, coalesce(round_even(decline, 3), 0) as decline_score, round_even(ra, 2) as recent_rating,
-  round_even(pa, 2) as baseline_rating, coalesce(round_even(surge, 3), 0) as complaint_trend
+    f"""
+select item_id, coalesce({R2E('decline', 3)}, 0) as decline_score, {R2E('ra', 2)} as recent_rating,
+  {R2E('pa', 2)} as baseline_rating, coalesce({R2E('surge', 3)}, 0) as complaint_trend
 from (
   select *, case when ra is not null then
     least(cast(1 as double), 6e-1 * (greatest(cast(0 as double), pa - ra) / 2) + 4e-1 * surge) end as decline
@@ -50,20 +52,21 @@ from (
     from (
       select item_id, case when ok then cast(sr as double) / nr end as ra, case when ok then cast(sp as double) / np end as pa,
         case when ok then cast(gr as double) / nr end as rn, case when ok then cast(gp as double) / np end as pn
-      from (select *, nr >= 3 and np >= 3 as ok from {c_signals}))))""",
+      from (select *, nr >= 3 and np >= 3 as ok from {{c_signals}}))))""",
 )
 shared(
     "c_legitimacy",
-    """
+    f"""
+select item_id, primary_cause, {R2E('value', 3)} as legitimacy from (
 select r.item_id, r.primary_cause, case
-    when r.override is not null then round_even(greatest(cast(0 as double), least(cast(1 as double), r.override)), 3)
-    when c.s > 0 then round_even(greatest(cast(0 as double), least(cast(1 as double), c.w / c.s)), 3)
+    when r.override is not null then greatest(cast(0 as double), least(cast(1 as double), r.override))
+    when c.s > 0 then greatest(cast(0 as double), least(cast(1 as double), c.w / (c.s * 100)))
     else coalesce(case r.primary_cause when 'product_issues' then 1e0 when 'mixed' then 5e-1 when 'praise' then 1e0
-      when 'off_topic' then 15e-2 when 'competitor_attack' then 1e-1 when 'review_bombing' then 0e0 end, 1e0) end as legitimacy
-from {v_reports} r left join (
-  select item_id, sum(share) as s, sum(share * case cause when 'product_issues' then 1e0 when 'mixed' then 5e-1
-    when 'off_topic' then 15e-2 when 'competitor_attack' then 1e-1 when 'review_bombing' then 0e0 else 5e-1 end) as w
-  from {v_causes} where cause <> 'praise' group by item_id) c on r.item_id = c.item_id""",
+      when 'off_topic' then 15e-2 when 'competitor_attack' then 1e-1 when 'review_bombing' then 0e0 end, 1e0) end as value
+from {{v_reports}} r left join (
+  select item_id, sum(share) as s, sum(share * case cause when 'product_issues' then 100 when 'mixed' then 50
+    when 'off_topic' then 15 when 'competitor_attack' then 10 when 'review_bombing' then 0 else 50 end) as w
+  from {{v_causes}} where cause <> 'praise' group by item_id) c on r.item_id = c.item_id)""",
 )
 shared(
     "c_best",
@@ -73,7 +76,7 @@ from (select *, row_number() over (partition by item_id order by quote is not nu
     fixable = 'yes' desc, cluster_no) as rn
   from {v_clusters} where fixable in ('yes', 'maybe')) where rn = 1""",
 )
-SCORE = """round_even(greatest(cast(0 as double),
+SCORE = """greatest(cast(0 as double),
     cast(45 as double) * least(cast(1 as double), coalesce(b.independent_reviewers, 0) / cast(10 as double)) * {recency}
     + case when b.quote is not null then 20e0 else 0e0 end
     + 15e0 * (case b.fixable when 'yes' then 1e0 when 'maybe' then 5e-1 else 0e0 end)
@@ -81,15 +84,16 @@ SCORE = """round_even(greatest(cast(0 as double),
     + case when coalesce(i.rating between 25e-1 and 35e-1, false) then 10e0 else 0e0 end
     + 15e0 * {decline}
     - case when a.overall_just_bad then 60e0 else 0e0 end
-    - case when a.needs_heavy_backend then 15e0 else 0e0 end), 1)"""
+    - case when a.needs_heavy_backend then 15e0 else 0e0 end)"""
 SCORED = f"""
-select i.id as item_id, {SCORE.format(recency="coalesce(r.recency, 1e0)", decline="coalesce(t.decline_score, 0e0)")} as score,
+select * exclude (raw), {R2E('raw', 1)} as score from (
+select i.id as item_id, {SCORE.format(recency="coalesce(r.recency, 1e0)", decline="coalesce(t.decline_score, 0e0)")} as raw,
   b.complaint as top_complaint, b.complaint_type, b.fixable, coalesce(b.independent_reviewers, 0) as demand_intensity,
   coalesce(b.quote, '') as wtp_evidence, a.build_effort, a.brief, coalesce(r.recency, 1e0) as recency_weight,
   coalesce(t.decline_score, 0e0) as decline_score, t.recent_rating, t.baseline_rating,
   coalesce(t.complaint_trend, 0e0) as complaint_trend, 'rules' as model
 from {{v_items}} i join {{v_analyses}} a on i.id = a.item_id left join {{c_best}} b on i.id = b.item_id
-left join {{c_recency}} r on i.id = r.item_id left join {{c_trend}} t on i.id = t.item_id"""
+left join {{c_recency}} r on i.id = r.item_id left join {{c_trend}} t on i.id = t.item_id)"""
 shared("c_scored", SCORED)
 
 
@@ -180,12 +184,16 @@ def demand_signals(d: Data):
     return R.demand_signals(d.reviews).select("item_id", "review_uid", "kind", "quote")
 
 
-@case(
-    "review_stats",
-    """
-select item_id, count(*) as total, round_even(cast(sum(stars) as double) / count(stars), 1) as mean_stars,
-  count(*) filter (where helpful_ranked) as helpful from {v_reviews} group by item_id""",
+shared(
+    "c_stats",
+    f"""
+select item_id, total, {R2E('mean', 1)} as mean_stars, helpful from (
+  select item_id, count(*) as total, cast(sum(stars) as double) / count(stars) as mean,
+    count(*) filter (where helpful_ranked) as helpful from {{v_reviews}} group by item_id)""",
 )
+
+
+@case("review_stats", "select * from {c_stats}")
 def review_stats(d: Data):
     return R.review_stats(d.reviews)
 
@@ -328,8 +336,7 @@ select i.id as item_id, i.ext_id, i.name, i.rating, i.install_count, coalesce(t.
   coalesce(t.helpful, 0) as helpful, s.score, s.top_complaint, p.pricing_model, coalesce(v.status, 'none') as dive, l.legitimacy,
   y.layer2, y.layer3
 from {v_items} i
-left join (select item_id, count(*) as total, round_even(cast(sum(stars) as double) / count(stars), 1) as mean_stars,
-  count(*) filter (where helpful_ranked) as helpful from {v_reviews} group by item_id) t on i.id = t.item_id
+left join {c_stats} t on i.id = t.item_id
 left join {c_scored} s on i.id = s.item_id left join {v_prices} p on i.id = p.item_id left join {v_dives} v on i.id = v.item_id
 left join {c_legitimacy} l on i.id = l.item_id
 left join (select item_id, max(case when layer = 2 then status end) as layer2, max(case when layer = 3 then status end) as layer3
