@@ -59,7 +59,7 @@ def merge_notes(current: Column | str, order_id: Column | str, line: Column | st
 
 def short_summary(titles: Column | str) -> Column:
     t = F.coalesce(_c(titles), F.array().cast("array<string>"))
-    s = F.coalesce(F.try_element_at(t, F.lit(1)), F.lit(""))
+    s = F.coalesce(F.get(t, F.lit(0)), F.lit(""))
     for pattern in (BRACKETED, PACK_OF, N_PACK, SIZE_TOKEN, r"[,|]+"):
         s = F.regexp_replace(s, pattern, " ")
     s = F.trim(F.regexp_replace(s, r"\s+", " "))

@@ -20,7 +20,7 @@ def order_key(df_titles: str = "item_titles") -> Column:
         "|",
         F.coalesce(F.col("order_date").cast("string"), F.lit("")),
         F.coalesce(F.col("total_cents").cast("string"), F.lit("")),
-        F.coalesce(F.try_element_at(F.col(df_titles), F.lit(1)), F.lit("")),
+        F.coalesce(F.get(F.col(df_titles), F.lit(0)), F.lit("")),
     )
     return F.when(F.coalesce(F.col("order_id"), F.lit("")) != "", F.col("order_id")).otherwise(fallback)
 
