@@ -183,3 +183,10 @@ def table_health(
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+def ingest_stats(log: DataFrame, counters: Sequence[str], name: str = "counter", amount: str | None = None) -> DataFrame:
+    """One row with a column per counter; counters the log never names are zero."""
+    step = F.lit(1) if amount is None else F.col(amount)
+    sums = [F.coalesce(F.sum(F.when(F.col(name) == c, step)), F.lit(0)).cast("long").alias(c) for c in counters]
+    return log.agg(*sums)
