@@ -23,7 +23,7 @@ MONTHS = (
     "january", "february", "march", "april", "may", "june",
     "july", "august", "september", "october", "november", "december",
 )
-EXTRA_MONTHS = {"sept": 9}
+MONTH_NAMES = "|".join([*MONTHS, *[m[:3] for m in MONTHS], "sept"])
 
 
 def _c(value: Column | str) -> Column:
@@ -37,13 +37,13 @@ def lookup(key: Column, table: dict) -> Column:
 
 
 def group(text: Column, pattern: str, number: int = 1) -> Column:
-    """A capture group of the first match, or null when the pattern does not match."""
-    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, number))
+    """A capture group of the first match; null when the pattern does not match or the group is empty."""
+    return F.nullif(F.regexp_extract(text, pattern, number), F.lit(""))
 
 
 def _scaled(text: Column, pattern: str) -> Column:
     number = F.regexp_replace(group(text, pattern, 1), ",", "").try_cast("double")
-    factor = lookup(F.lower(group(text, pattern, 2)), SUFFIX_FACTOR)
+    factor = lookup(F.lower(F.regexp_extract(text, pattern, 2)), SUFFIX_FACTOR)
     return (number * factor).try_cast("long")
 
 
@@ -73,42 +73,31 @@ def parse_version(text: Column | str) -> Column:
     return group(_c(text), VERSION)
 
 
-def month_number(name: Column) -> Column:
-    numbers = {m: i for i, m in enumerate(MONTHS, 1)}
-    numbers.update({m[:3]: i for i, m in enumerate(MONTHS, 1)})
-    numbers.update(EXTRA_MONTHS)
-    return lookup(F.lower(name), numbers)
-
-
-def _date_of(year: Column, month: Column, day: Column) -> Column:
-    return F.try_to_date(
-        F.concat_ws("-", year, F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")),
-        "yyyy-MM-dd",
-    )
+def _month_first(text: Column, tail: str) -> Column:
+    """`Month D YYYY` around the given separator as a date; any other text gives null."""
+    pattern = rf"(?is)^.*?\b(?=(?:{MONTH_NAMES})\b)([a-z]{{3}})[a-z]*\.?\s+(\d{{1,2}}){tail}(\d{{4}}).*$"
+    return F.try_to_date(F.regexp_replace(text, pattern, "$3-$1-$2"), "yyyy-MMM-d")
 
 
 def parse_order_date(text: Column | str) -> Column:
     """The first `Month D, YYYY` of a text."""
-    c = _c(text)
-    pattern = r"([A-Za-z]{3,9})\s+(\d{1,2}),\s+(\d{4})"
-    month = month_number(group(c, pattern, 1))
-    return F.when(month.isNotNull(), _date_of(group(c, pattern, 3), month, group(c, pattern, 2)))
+    first = F.regexp_extract(_c(text), r"([A-Za-z]{3,9})\s+(\d{1,2}),\s+(\d{4})", 0)
+    return _month_first(first, r",\s+")
 
 
 def parse_date(text: Column | str, as_of: Column) -> Column:
     """Relative dates against `as_of`; else ISO, `Month D, YYYY` or `D Month YYYY`."""
     c = F.regexp_replace(F.trim(_c(text)), DATE_PREFIX, "")
-    count = group(c, RELATIVE_DATE, 1).try_cast("int")
-    days = lookup(F.lower(group(c, RELATIVE_DATE, 2)), UNIT_DAYS)
-    month_first = r"([A-Za-z]{3,9})\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})"
-    day_first = r"(\d{1,2})(?:st|nd|rd|th)?\s+([A-Za-z]{3,9})\.?,?\s+(\d{4})"
-    iso = r"(\d{4}-\d{2}-\d{2})"
-    m1, m2 = month_number(group(c, month_first, 1)), month_number(group(c, day_first, 2))
+    count = F.regexp_extract(c, RELATIVE_DATE, 1).try_cast("int")
+    days = lookup(F.lower(F.regexp_extract(c, RELATIVE_DATE, 2)), UNIT_DAYS)
+    day_first = (
+        rf"(?is)^.*?(\d{{1,2}})(?:st|nd|rd|th)?\s+(?=(?:{MONTH_NAMES})\b)([a-z]{{3}})[a-z]*\.?,?\s+(\d{{4}}).*$"
+    )
     return F.coalesce(
         F.date_sub(as_of, count * days),
-        F.try_to_date(group(c, iso), "yyyy-MM-dd"),
-        F.when(m1.isNotNull(), _date_of(group(c, month_first, 3), m1, group(c, month_first, 2))),
-        F.when(m2.isNotNull(), _date_of(group(c, day_first, 3), m2, group(c, day_first, 1))),
+        F.try_to_date(F.regexp_extract(c, r"(\d{4}-\d{2}-\d{2})", 1), "yyyy-MM-dd"),
+        _month_first(c, r"(?:st|nd|rd|th)?,?\s+"),
+        F.try_to_date(F.regexp_replace(c, day_first, "$3-$2-$1"), "yyyy-MMM-d"),
     )
 
 
@@ -116,8 +105,8 @@ def normalize_date(text: Column | str) -> Column:
     """Export dates: an ISO prefix, else `M/D/YYYY` or a month name."""
     c = F.trim(_c(text))
     return F.coalesce(
-        F.try_to_date(group(c, r"^(\d{4}-\d{2}-\d{2})"), "yyyy-MM-dd"),
-        F.try_to_date(group(c, r"^(\d{1,2}/\d{1,2}/\d{4})"), "M/d/yyyy"),
+        F.try_to_date(F.regexp_extract(c, r"^(\d{4}-\d{2}-\d{2})", 1), "yyyy-MM-dd"),
+        F.try_to_date(F.regexp_extract(c, r"^(\d{1,2}/\d{1,2}/\d{4})", 1), "M/d/yyyy"),
         parse_order_date(c),
     )
 
