@@ -63,10 +63,9 @@ def parse_rating(text: Column | str) -> Column:
 
 def parse_star_label(text: Column | str) -> Column:
     c = _c(text)
-    stars = F.when(
-        c.rlike(RATING_OF_FIVE), F.bround(group(c, RATING_OF_FIVE).try_cast("double"), 0).cast("int")
-    ).otherwise(group(c, STARS).try_cast("int"))
-    return F.when(stars.between(1, 5), stars)
+    of_five = F.bround(F.regexp_extract(c, RATING_OF_FIVE, 1).try_cast("double"), 0).cast("int")
+    stars = F.coalesce(of_five, F.regexp_extract(c, STARS, 1).try_cast("int"))
+    return lookup(stars, {n: n for n in range(1, 6)})
 
 
 def parse_version(text: Column | str) -> Column:
@@ -128,10 +127,11 @@ def squash(text: Column | str) -> Column:
 def decode_entities(text: Column | str) -> Column:
     """The handful of HTML entities that page titles carry (fixed values)."""
     c = _c(text)
-    for pattern, plain in (
-        ("&amp;", "&"), ("&quot;", '"'), ("&#0?39;|&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "),
+    for entity, plain in (
+        ("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'"), ("&#039;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"),
+        ("&nbsp;", " "),
     ):
-        c = F.regexp_replace(c, pattern, plain)
+        c = F.replace(c, F.lit(entity), F.lit(plain))
     return c
 
 

@@ -106,7 +106,7 @@ def study_rows(parsed: DataFrame, stored: DataFrame, as_of: Column, model: str =
 
 def competitors(dives: DataFrame) -> DataFrame:
     """One row per named competitor of an item, in report order."""
-    rows = dives.select("item_id", F.posexplode("competitors").alias("position", "c"))
+    rows = dives.select("item_id", F.posexplode_outer("competitors").alias("position", "c"))
     named = rows.filter(F.trim(F.coalesce(F.col("c.name"), F.lit(""))) != "")
     return named.select("item_id", "position", "c.*")
 

@@ -307,7 +307,17 @@ def review_digest(d: Data):
     return R.review_digest(d.items, d.reviews)
 
 
-@case("annotate_items")
+@case(
+    "annotate_items",
+    """
+with recent as (
+  select *, row_number() over (partition by item_id order by helpful_ranked desc, helpful_count desc, reviewed_at desc nulls last, review_uid) as place,
+    (body like 'If sync%' or body like 'I wish it%' or body like 'Almost%') as wants
+  from (select *, row_number() over (partition by item_id order by reviewed_at desc nulls last, review_uid) as rn from {v_reviews}) where rn <= 120)
+select item_id, 'done' as status, cast(null as varchar) as error, cast(count(*) as int) as n_lines, cast(count(*) filter (where wants) as int) as n_demand,
+  arg_min(trim(regexp_replace(body, '\\s+', ' ', 'g')), place) filter (where wants) as first_quote
+from recent group by item_id""",
+)
 def annotate_items(d: Data):
     return annotate.annotate_items(d.items, d.reviews)
 
