@@ -137,14 +137,13 @@ def _partial_answers(probes: DataFrame, days: DataFrame, window: int) -> DataFra
     asks at each of its zero-bits (its prefix plus one), and every larger total is met exactly once.
     """
     hinted = days.filter("n_hinted > 0").select("cents", "day", F.col("n_hinted").alias("n"), F.col("hinted").alias("any"))
-    top = hinted.agg(F.coalesce(F.length(F.bin(F.max("cents"))), F.lit(1)).alias("_bits")).withColumn("_one", F.lit(1))
+    bits = hinted.agg(F.coalesce(F.length(F.bin(F.max("cents"))), F.lit(1)).alias("bits")).scalar()
 
     def blocks(df: DataFrame, bit: int) -> DataFrame:
-        levels = df.withColumn("_one", F.lit(1)).join(F.broadcast(top), "_one")  # one row
-        levels = levels.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("_bits") - 1)))
+        levels = df.withColumn("level", F.explode(F.sequence(F.lit(0), bits - 1)))
         prefix = F.expr("shiftright(cents, level)")
         kept = levels.filter((prefix % 2) == bit)
-        return kept.withColumn("block", prefix if bit else prefix + 1).drop("_one", "_bits")
+        return kept.withColumn("block", prefix if bit else prefix + 1)
 
     filed = (
         blocks(hinted, 1).groupBy("level", "block", "day").agg(F.sum("n").alias("n"), F.min("any").alias("any"))

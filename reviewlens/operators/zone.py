@@ -248,18 +248,17 @@ def _scatter_points(points: DataFrame, width: float, height: float, cell: float)
     left, right, top, bottom = 46.0, 14.0, 16.0, 30.0
     plot_w, plot_h = width - left - right, height - top - bottom
     usable = points.filter(F.col("rating").isNotNull() & (F.col("install_count") > 0))
-    bounds = usable.agg(
-        F.log10(F.min("install_count")).alias("lo"), F.log10(F.max("install_count")).alias("hi")
-    ).withColumn("_one", F.lit(1))
-    span = F.when(F.col("hi") == F.col("lo"), 1.0).otherwise(F.col("hi") - F.col("lo"))
-    placed = usable.withColumn("_one", F.lit(1)).join(F.broadcast(bounds), "_one")  # one row
+    lo, hi = F.log10(F.min("install_count")), F.log10(F.max("install_count"))
+    placed = usable.withColumn("_range", usable.agg(F.struct(lo.alias("lo"), hi.alias("hi")).alias("range")).scalar())
+    low, high = F.col("_range.lo"), F.col("_range.hi")
+    span = F.when(high == low, 1.0).otherwise(high - low)
     rating = F.greatest(F.lit(1.0), F.least(F.lit(5.0), F.col("rating").cast("double")))
     return (
         placed.withColumn("x", left + (rating - 1.0) / 4.0 * plot_w)
-        .withColumn("y", top + plot_h - (F.log10("install_count") - F.col("lo")) / span * plot_h)
+        .withColumn("y", top + plot_h - (F.log10("install_count") - low) / span * plot_h)
         .withColumn("cell_x", F.floor(F.col("x") / cell + 0.5).cast("int"))
         .withColumn("cell_y", F.floor(F.col("y") / cell + 0.5).cast("int"))
-        .drop("_one")
+        .drop("_range")
     )
 
 
@@ -286,18 +285,17 @@ def scatter_clusters(
         F.sum(F.coalesce("rating_count", F.lit(0))).cast("long").alias("total_ratings"),
         F.min_by(F.struct("id", "ext_id", "rating"), most_rated).alias("rep"),
     )
-    largest = clusters.agg(F.greatest(F.max("total_ratings"), F.lit(1)).alias("_largest")).withColumn("_one", F.lit(1))
+    largest = clusters.agg(F.greatest(F.max("total_ratings"), F.lit(1)).alias("largest")).scalar()
     order = [F.desc("total_ratings"), F.asc("cell_x"), F.asc("cell_y")]
     top = clusters.orderBy(*order).limit(labels).select("cell_x", "cell_y", F.lit(True).alias("_top"))
     return (
-        clusters.withColumn("_one", F.lit(1)).join(F.broadcast(largest), "_one")  # one row
-        .join(F.broadcast(top), ["cell_x", "cell_y"], "left")  # at most `labels` rows
+        clusters.join(F.broadcast(top), ["cell_x", "cell_y"], "left")  # at most `labels` rows
         .select(
             "cell_x", "cell_y", "n", "center_x", "center_y", "total_ratings",
             F.col("rep.id").alias("rep_id"),
             F.col("rep.ext_id").alias("rep_ext_id"),
             in_zone("rep.rating").alias("in_zone"),
-            (2.5 + F.sqrt(F.col("total_ratings") / F.col("_largest")) * radius_scale).alias("radius"),
+            (2.5 + F.sqrt(F.col("total_ratings") / largest) * radius_scale).alias("radius"),
             F.coalesce("_top", F.lit(False)).alias("labeled"),
         )
     )
