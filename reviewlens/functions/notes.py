@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from reviewlens.functions.parsing import _c
+from reviewlens.functions.parsing import _c, let
 
 NOTE_MARK = "[Order]"
 # --- fixed values ---------------------------------------------------------------------
@@ -50,11 +50,15 @@ def note_line(
 
 def merge_notes(current: Column | str, order_id: Column | str, line: Column | str) -> Column:
     """struct(notes, changed): append the line unless the order or the line is already there."""
-    cur = F.coalesce(_c(current), F.lit(""))
-    oid, new = F.coalesce(_c(order_id), F.lit("")), _c(line)
-    present = ((oid != "") & cur.contains(oid)) | cur.contains(new)
-    merged = F.when(present, cur).when(cur == "", new).otherwise(F.concat(cur, F.lit("\n"), new))
-    return F.struct(merged.alias("notes"), (~present).alias("changed"))
+    oid = F.coalesce(_c(order_id), F.lit(""))
+
+    def merge(pair: Column) -> Column:
+        cur, new = pair["cur"], pair["new"]
+        present = ((oid != "") & cur.contains(oid)) | cur.contains(new)
+        merged = F.when(present, cur).when(cur == "", new).otherwise(F.concat(cur, F.lit("\n"), new))
+        return F.struct(merged.alias("notes"), (~present).alias("changed"))
+
+    return let(F.struct(F.coalesce(_c(current), F.lit("")).alias("cur"), _c(line).alias("new")), merge)
 
 
 def short_summary(titles: Column | str) -> Column:
@@ -62,11 +66,13 @@ def short_summary(titles: Column | str) -> Column:
     s = F.coalesce(F.get(t, F.lit(0)), F.lit(""))
     for pattern in (BRACKETED, PACK_OF, N_PACK, SIZE_TOKEN, r"[,|]+"):
         s = F.regexp_replace(s, pattern, " ")
-    s = F.trim(F.regexp_replace(s, r"\s+", " "))
-    cut = F.trim(F.regexp_replace(F.substring(s, 1, SUMMARY_LENGTH), r"\s\S*$", ""))
-    s = F.when(F.length(s) > SUMMARY_LENGTH, cut).otherwise(s)
+
+    def cut(c: Column) -> Column:
+        short = F.trim(F.regexp_replace(F.substring(c, 1, SUMMARY_LENGTH), r"\s\S*$", ""))
+        return F.when(c == "", "order").when(F.length(c) <= SUMMARY_LENGTH, c).when(short == "", "order").otherwise(short)
+
     extra = F.when(F.size(t) > 1, F.concat(F.lit(" +"), (F.size(t) - 1).cast("string"))).otherwise("")
-    return F.concat(F.when(s != "", s).otherwise("order"), extra)
+    return F.concat(let(F.trim(F.regexp_replace(s, r"\s+", " ")), cut), extra)
 
 
 def merchant_name(titles: Column | str, kind: Column | str | None = None) -> Column:

@@ -24,12 +24,18 @@ MONTHS = (
     "july", "august", "september", "october", "november", "december",
 )
 MONTH_NAMES = "|".join([*MONTHS, *[m[:3] for m in MONTHS], "sept"])
+MONTH_STARTS = "".join(m[:3] for m in MONTHS)
 
 
 def _c(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, use) -> Column:
+    """`use(value)` with the value computed once, however often it is read."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def lookup(key: Column, table: dict) -> Column:
     """Constant table lookup; null for a key that is not in it."""
     flat = [F.lit(part) for pair in table.items() for part in pair]
@@ -72,47 +78,64 @@ def parse_version(text: Column | str) -> Column:
     return group(_c(text), VERSION)
 
 
-def _month_first(text: Column, tail: str) -> Column:
-    """`Month D YYYY` around the given separator as a date; any other text gives null."""
-    pattern = rf"(?is)^.*?\b(?=(?:{MONTH_NAMES})\b)([a-z]{{3}})[a-z]*\.?\s+(\d{{1,2}}){tail}(\d{{4}}).*$"
-    return F.try_to_date(F.regexp_replace(text, pattern, "$3-$1-$2"), "yyyy-MMM-d")
+def _named_month(text: Column, pattern: str, parts: str) -> Column:
+    """A date with a month name. The pattern turns it into `Mon-D-Y`; text it does not match gives null."""
+
+    def iso(x: Column) -> Column:
+        month = F.instr(F.lit(MONTH_STARTS), F.lower(F.substring(x, 1, 3)))
+        number = F.lpad(((month + 2) / 3).cast("int").cast("string"), 2, "0")
+        day = F.lpad(F.split_part(x, F.lit("-"), F.lit(2)), 2, "0")
+        return F.concat_ws("-", F.split_part(x, F.lit("-"), F.lit(3)), number, day).try_cast("date")
+
+    return F.when(text.rlike(pattern), let(F.regexp_replace(text, pattern, parts), iso))
+
+
+def _month_first(tail: str) -> str:
+    return rf"(?is)^.*?\b(?=(?:{MONTH_NAMES})\b)([a-z]{{3}})[a-z]*\.?\s+(\d{{1,2}}){tail}(\d{{4}}).*$"
+
+
+DAY_FIRST = rf"(?is)^.*?(\d{{1,2}})(?:st|nd|rd|th)?\s+(?=(?:{MONTH_NAMES})\b)([a-z]{{3}})[a-z]*\.?,?\s+(\d{{4}}).*$"
 
 
 def parse_order_date(text: Column | str) -> Column:
     """The first `Month D, YYYY` of a text."""
     first = F.regexp_extract(_c(text), r"([A-Za-z]{3,9})\s+(\d{1,2}),\s+(\d{4})", 0)
-    return _month_first(first, r",\s+")
+    return let(first, lambda c: _named_month(c, _month_first(r",\s+"), "$1-$2-$3"))
 
 
 def parse_date(text: Column | str, as_of: Column) -> Column:
     """Relative dates against `as_of`; else ISO, `Month D, YYYY` or `D Month YYYY`."""
-    c = F.regexp_replace(F.trim(_c(text)), DATE_PREFIX, "")
-    count = F.regexp_extract(c, RELATIVE_DATE, 1).try_cast("int")
-    days = lookup(F.lower(F.regexp_extract(c, RELATIVE_DATE, 2)), UNIT_DAYS)
-    day_first = (
-        rf"(?is)^.*?(\d{{1,2}})(?:st|nd|rd|th)?\s+(?=(?:{MONTH_NAMES})\b)([a-z]{{3}})[a-z]*\.?,?\s+(\d{{4}}).*$"
-    )
-    return F.coalesce(
-        F.date_sub(as_of, count * days),
-        F.try_to_date(F.regexp_extract(c, r"(\d{4}-\d{2}-\d{2})", 1), "yyyy-MM-dd"),
-        _month_first(c, r"(?:st|nd|rd|th)?,?\s+"),
-        F.try_to_date(F.regexp_replace(c, day_first, "$3-$2-$1"), "yyyy-MMM-d"),
-    )
+
+    def read(c: Column) -> Column:
+        count = F.regexp_extract(c, RELATIVE_DATE, 1).try_cast("int")
+        days = lookup(F.lower(F.regexp_extract(c, RELATIVE_DATE, 2)), UNIT_DAYS)
+        return F.coalesce(
+            F.when(c.rlike("(?i)ago"), F.date_sub(as_of, count * days)),
+            F.regexp_extract(c, r"(\d{4}-\d{2}-\d{2})", 1).try_cast("date"),
+            _named_month(c, _month_first(r"(?:st|nd|rd|th)?,?\s+"), "$1-$2-$3"),
+            _named_month(c, DAY_FIRST, "$2-$1-$3"),
+        )
+
+    return let(F.regexp_replace(F.trim(_c(text)), DATE_PREFIX, ""), read)
 
 
 def normalize_date(text: Column | str) -> Column:
     """Export dates: an ISO prefix, else `M/D/YYYY` or a month name."""
-    c = F.trim(_c(text))
-    return F.coalesce(
-        F.try_to_date(F.regexp_extract(c, r"^(\d{4}-\d{2}-\d{2})", 1), "yyyy-MM-dd"),
-        F.try_to_date(F.regexp_extract(c, r"^(\d{1,2}/\d{1,2}/\d{4})", 1), "M/d/yyyy"),
-        parse_order_date(c),
-    )
+
+    def read(c: Column) -> Column:
+        slashes = r"^(\d{1,2})/(\d{1,2})/(\d{4}).*$"
+        return F.coalesce(
+            F.regexp_extract(c, r"^(\d{4}-\d{2}-\d{2})", 1).try_cast("date"),
+            F.when(c.rlike(slashes), F.regexp_replace(c, slashes, "$3-$1-$2").try_cast("date")),
+            parse_order_date(c),
+        )
+
+    return let(F.trim(_c(text)), read)
 
 
 def iso_day(text: Column | str) -> Column:
     """Date from the first ten characters, as stored timestamps carry them."""
-    return F.try_to_date(F.substring(_c(text), 1, 10), "yyyy-MM-dd")
+    return F.substring(_c(text), 1, 10).try_cast("date")
 
 
 def day_diff(earlier: Column | str, later: Column | str) -> Column:

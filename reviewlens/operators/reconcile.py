@@ -219,10 +219,11 @@ def propose_updates(matches: DataFrame) -> DataFrame:
     line = note_line("item_titles", "order_id", "kind", "refund_match")
     merged = merge_notes("notes", "order_id", line)
     name = merchant_name("item_titles", "kind")
-    return found.select(
+    built = found.select("txn_id", "kind", "status", "order_id", "name", merged.alias("_m"), name.alias("new_name"))
+    return built.select(
         "txn_id", "kind", "status", "order_id",
-        merged["notes"].alias("new_notes"), merged["changed"].alias("note_changed"),
-        name.alias("new_name"), (~F.col("name").eqNullSafe(name)).alias("name_changed"),
+        F.col("_m.notes").alias("new_notes"), F.col("_m.changed").alias("note_changed"),
+        "new_name", (~F.col("name").eqNullSafe(F.col("new_name"))).alias("name_changed"),
     )
 
 

@@ -32,7 +32,7 @@ def best_cluster(clusters: DataFrame) -> DataFrame:
 
 def score(demand: Column, paid: Column, fixable: Column, installs: Column, rating: Column, recency: Column,
           decline: Column, just_bad: Column, backend: Column) -> Column:
-    """The rubric, one term per signal, never below zero."""
+    """The rubric, one term per signal, never below zero, not yet rounded."""
     fixability = F.when(fixable == "yes", 1.0).when(fixable == "maybe", 0.5).otherwise(0.0)
     raw = (
         S.WEIGHT_DEMAND * F.least(F.lit(1.0), demand / F.lit(float(S.DEMAND_FULL))) * recency
@@ -44,7 +44,7 @@ def score(demand: Column, paid: Column, fixable: Column, installs: Column, ratin
         - F.when(F.coalesce(just_bad, F.lit(False)), S.PENALTY_JUST_BAD).otherwise(0.0)
         - F.when(F.coalesce(backend, F.lit(False)), S.PENALTY_BACKEND).otherwise(0.0)
     )
-    return round_half_even(F.greatest(F.lit(0.0), raw), 1)
+    return F.greatest(F.lit(0.0), raw)
 
 
 def score_opportunities(
@@ -74,7 +74,7 @@ def score_opportunities(
         "recent_rating", "baseline_rating",
         F.coalesce("complaint_trend", F.lit(0.0)).alias("complaint_trend"),
         F.lit(model).alias("model"),
-    )
+    ).withColumn("score", round_half_even(F.col("score"), 1))
 
 
 def rank_all(

@@ -51,6 +51,18 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small scan over all cores, for work that is heavy per row.
+
+    Large inputs come in more partitions than there are cores and are left as they are, without a shuffle.
+    """
+    execution = df._jdf.queryExecution()
+    if df.isStreaming or "Exchange" in execution.executedPlan().toString():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if execution.toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the frame to the checkpoint folder so a lost executor never replays the loop."""
     use_checkpoints(df.sparkSession)

@@ -381,8 +381,9 @@ def parse_money(d: Data):
         F.when(turn == 0, F.concat(F.lit(" $"), plain, F.lit(" "))).when(turn == 1, F.concat(F.lit("-$"), plain))
         .when(turn == 2, F.concat(F.lit("+"), plain)).when(turn == 3, plain).otherwise(F.concat(plain, F.lit("7 USD")))
     )
-    parsed = parse_cents(text)
-    return d.table("orders").select("o_orderkey", parsed.alias("cents"), format_cents(parsed).alias("shown"))
+    texts = d.table("orders").select("o_orderkey", text.alias("text"))
+    parsed = texts.select("o_orderkey", parse_cents("text").alias("cents"))
+    return parsed.withColumn("shown", format_cents("cents"))
 
 
 @case(

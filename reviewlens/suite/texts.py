@@ -75,9 +75,10 @@ def parse_dates(d: Data):
         F.when(other == 0, F.concat(F.lit(" "), day.cast("string"), F.lit("T08:30:00Z")))
         .when(other == 1, F.date_format(day, "M/d/yyyy")).otherwise("not a date")
     )
-    return d.reviews.select(
-        "review_uid", P.parse_date(text, d.as_of).cast("string").alias("parsed"),
-        P.normalize_date(export).cast("string").alias("normalized"),
+    texts = d.reviews.select("review_uid", text.alias("text"), export.alias("export"))
+    return texts.select(
+        "review_uid", P.parse_date("text", d.as_of).cast("string").alias("parsed"),
+        P.normalize_date("export").cast("string").alias("normalized"),
     )
 
 
