@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from reviewlens.session import cut_lineage
+from reviewlens.session import settled, shared_folder
 
 
 def reachable(
@@ -13,30 +14,33 @@ def reachable(
 ) -> DataFrame:
     """(id, depth): every node reached from the seeds once, at its smallest depth.
 
-    Each level is one join of the distinct frontier with the edges. Levels are checkpointed, so the plan stays
-    short and a lost executor replays one level at most. `max_total` keeps the first nodes by (depth, id).
+    Each level is one join of the distinct frontier with the edges, written as a table in the shared folder. So plans
+    stay short, sizes are known to the next join, and a lost executor replays one level at most. `max_total` keeps
+    the first nodes by (depth, id).
     """
-    links = edges.select(F.col("src"), F.col("dst")).distinct()
-    frontier = cut_lineage(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
-    visited, depth, seen = frontier, 0, frontier.count()
-    while (max_depth is None or depth < max_depth) and (max_total is None or seen < max_total):
-        depth += 1
-        nxt = (
-            frontier.join(links, frontier["id"] == links["src"])
+    spark = edges.sparkSession
+    folder = shared_folder(spark, "reach")
+    links = settled(edges.select("src", "dst"))
+    level = seeds.select("id").distinct()
+    nodes = T.StructType([level.schema["id"], T.StructField("depth", T.IntegerType())])
+    depth, seen = 0, 0
+    while True:
+        level.write.parquet(f"{folder}/depth={depth}")
+        frontier = spark.read.schema(level.schema).parquet(f"{folder}/depth={depth}")
+        grown = frontier.count()
+        seen += grown
+        if grown == 0 or depth == max_depth or (max_total is not None and seen >= max_total):
+            break
+        visited = spark.read.schema(nodes).parquet(folder)
+        level = (
+            links.join(frontier, links["src"] == frontier["id"], "left_semi")
             .select(F.col("dst").alias("id"))
             .distinct()
             .join(visited.select("id"), "id", "left_anti")
-            .withColumn("depth", F.lit(depth))
         )
-        frontier = cut_lineage(nxt)
-        grown = frontier.count()
-        if grown == 0:
-            break
-        seen += grown
-        visited = visited.unionByName(frontier)
-    if max_total is not None:
-        visited = visited.orderBy("depth", "id").limit(max_total)
-    return visited
+        depth += 1
+    reached = spark.read.schema(nodes).parquet(folder)
+    return reached if max_total is None else reached.orderBy("depth", "id").limit(max_total)
 
 
 def extend_taxonomy(canonical: DataFrame, seen: DataFrame) -> DataFrame:

@@ -6,28 +6,35 @@ ordered on its own, and the pieces are stitched with counts or edge rows that we
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    """The row with the smallest `order` per key, by an aggregate that combines before the shuffle."""
-    return _edge_per_key(df, keys, order, F.min_by)
+def first_per_key(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], also: Mapping[str, Column] | None = None
+) -> DataFrame:
+    """The row with the smallest `order` per key, by an aggregate that combines before the shuffle.
+
+    `also` holds further aggregates over the key's rows; a name that is a column already replaces it.
+    """
+    return _edge_per_key(df, keys, order, F.min_by, also or {})
 
 
-def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
+def last_per_key(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], also: Mapping[str, Column] | None = None
+) -> DataFrame:
     """The row with the largest `order` per key."""
-    return _edge_per_key(df, keys, order, F.max_by)
+    return _edge_per_key(df, keys, order, F.max_by, also or {})
 
 
-def _edge_per_key(df, keys, order, pick):
-    rest = [c for c in df.columns if c not in keys]
+def _edge_per_key(df, keys, order, pick, also):
+    rest = [c for c in df.columns if c not in keys and c not in also]
     row = F.struct(*[F.col(c) for c in rest])
-    best = df.groupBy(*keys).agg(pick(row, F.struct(*order)).alias("_row"))
-    picked = best.select(*keys, *[F.col(f"_row.`{c}`").alias(c) for c in rest])
-    return picked.select(*df.columns)
+    best = df.groupBy(*keys).agg(pick(row, F.struct(*order)).alias("_row"), *[a.alias(n) for n, a in also.items()])
+    picked = best.select(*keys, *[F.col(f"_row.`{c}`").alias(c) for c in rest], *also)
+    return picked.select(*df.columns, *[n for n in also if n not in df.columns])
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
@@ -93,15 +100,3 @@ def previous_per_key(
     )
     joined = _rejoin(local, edges, keys, names).withColumn("_prev", F.coalesce("_near", "_far"))
     return joined.select(*df.columns, *[F.col(f"_prev.`{c}`").alias(prefix + c) for c in carry])
-
-
-def bounded(df: DataFrame, max_bytes: int | None = None) -> bool:
-    """Whether the optimizer's own size estimate puts the frame below the broadcast limit."""
-    limit = max_bytes
-    if limit is None:
-        text = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760").lower()
-        digits = text.rstrip("bkmg")
-        factor = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(text[len(digits):].rstrip("b"), 1)
-        limit = int(digits) * factor
-    stats = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(stats)) <= limit

@@ -53,9 +53,8 @@ def orders_from_items(items: DataFrame, keys: Sequence[str] = ("order_id",)) ->
 
 def _merge(rows: DataFrame, keys: Sequence[str], order: Sequence[str], pick) -> DataFrame:
     """One row per key by `pick`, with the return hint OR-ed over all of them."""
-    hints = rows.groupBy(*keys).agg(F.bool_or(F.coalesce(F.col("return_hint"), F.lit(False))).alias("_hint"))
-    chosen = pick(rows, keys, order)
-    return chosen.join(hints, list(keys)).withColumn("return_hint", F.col("_hint")).drop("_hint")
+    hint = F.bool_or(F.coalesce(F.col("return_hint"), F.lit(False)))
+    return pick(rows, keys, order, {"return_hint": hint})
 
 
 def union_orders(store: DataFrame, order: Sequence[str] = ("account",)) -> DataFrame:

@@ -149,13 +149,8 @@ def rank_for_weighting(reviews: DataFrame, tie: str = "review_uid") -> DataFrame
 def merge_reviews(passes: DataFrame) -> DataFrame:
     """One row per (item, uid): the first pass and position wins, the helpful flag is OR-ed."""
     keys = ["item_id", "review_uid"]
-    flagged = passes.groupBy(*keys).agg(
-        F.bool_or(F.coalesce(F.col("helpful_ranked"), F.lit(False))).alias("_flag")
-    )
-    first = first_per_key(passes, keys, ["pass_no", "position"])
-    return (
-        first.join(flagged, keys).withColumn("helpful_ranked", F.col("_flag")).select(*passes.columns)
-    )
+    flag = F.bool_or(F.coalesce(F.col("helpful_ranked"), F.lit(False)))
+    return first_per_key(passes, keys, ["pass_no", "position"], {"helpful_ranked": flag})
 
 
 def review_stats(reviews: DataFrame) -> DataFrame:

@@ -8,12 +8,7 @@ from pyspark.sql import functions as F
 from reviewlens import schemas as S
 from reviewlens.functions.labels import money_status
 from reviewlens.functions.parsing import _c
-from reviewlens.operators.ordered import bounded, last_per_key, previous_per_key, rank_per_key
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """A broadcast hint only when the optimizer's size estimate allows it."""
-    return F.broadcast(df) if bounded(df) else df
+from reviewlens.operators.ordered import last_per_key, previous_per_key, rank_per_key
 
 
 # --- predicates ---------------------------------------------------------------------------
@@ -104,7 +99,7 @@ def with_saved_count(items: DataFrame, reviews: DataFrame) -> DataFrame:
 def enrich(child: DataFrame, items: DataFrame, columns: list[str]) -> DataFrame:
     """Child rows with columns of their item; rows without one are dropped."""
     parent = items.select(F.col("id").alias("item_id"), *columns)
-    return child.join(_small(parent), "item_id")
+    return child.join(parent, "item_id")
 
 
 def select_for_analysis(candidates: DataFrame, done: DataFrame, force: bool = False) -> DataFrame:

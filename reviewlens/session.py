@@ -63,7 +63,9 @@ def spread(df: DataFrame) -> DataFrame:
     return df if execution.toRdd().getNumPartitions() >= cores else df.repartition(cores)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the frame to the checkpoint folder so a lost executor never replays the loop."""
+def settled(df: DataFrame) -> DataFrame:
+    """A frame that a loop reads again and again: written once if computing it takes a shuffle."""
+    if "Exchange" not in df._jdf.queryExecution().executedPlan().toString():
+        return df
     use_checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -46,9 +46,8 @@ def current_reviews(stored: DataFrame, keys=("item_id", "review_uid"), order=("s
     """The stored reviews as an upsert leaves them: the last scrape wins, a helpful flag once set stays."""
     keys = list(keys)
     columns = [c for c in stored.columns if c != BATCH]
-    flags = stored.groupBy(*keys).agg(F.bool_or(F.coalesce(F.col("helpful_ranked"), F.lit(False))).alias("_flag"))
-    last = last_per_key(stored.select(*columns), keys, list(order))
-    return last.join(flags, keys).withColumn("helpful_ranked", F.col("_flag")).select(*columns)
+    flag = F.bool_or(F.coalesce(F.col("helpful_ranked"), F.lit(False)))
+    return last_per_key(stored.select(*columns), keys, list(order), {"helpful_ranked": flag})
 
 
 def compact(spark: SparkSession, store: str, target: str, **fold) -> None:
@@ -126,7 +125,6 @@ def stream_match(charges: DataFrame, orders: DataFrame, store: str, checkpoint:
 
 def matched_charges(met: DataFrame) -> DataFrame:
     """Candidate count, closest order and status of every charge that met an order day."""
-    counts = met.groupBy("txn_id").agg(F.sum("n").alias("candidate_count"))
-    closest = first_per_key(met.drop("n"), ["txn_id"], [F.abs("day_diff"), "order_id"])
+    closest = first_per_key(met, ["txn_id"], [F.abs("day_diff"), "order_id"], {"candidate_count": F.sum("n")})
     status: Column = F.when(F.col("candidate_count") == 1, "auto").otherwise("review")
-    return closest.join(counts, "txn_id").withColumn("status", status)
+    return closest.drop("n").withColumn("status", status)
