@@ -14,6 +14,7 @@ from reviewlens import schemas as S
 from reviewlens.functions.labels import is_store_merchant
 from reviewlens.functions.notes import merchant_name, merge_notes, note_line
 from reviewlens.operators.tables import ensure_columns
+from reviewlens.session import settled
 
 KEY = ["cents", "day"]
 STATUS_ORDER = ("auto", "review", "unmatched", "refund")
@@ -40,7 +41,7 @@ def within_lookback(orders: DataFrame, as_of: Column, months: int) -> DataFrame:
     return orders.filter(F.col("order_date") >= F.add_months(as_of, -months))
 
 
-def _order_days(orders: DataFrame) -> DataFrame:
+def order_days(orders: DataFrame) -> DataFrame:
     """(cents, day): order counts and the lowest order id, with and without a return hint."""
     full = ensure_columns(orders, S.ORDERS).filter(F.col("order_date").isNotNull() & F.col("total_cents").isNotNull())
     hint = F.coalesce(F.col("return_hint"), F.lit(False))
@@ -88,13 +89,14 @@ def match_charges(
     orders: DataFrame,
     window: int = S.CHARGE_AFTER_DAYS,
     back: int = S.CHARGE_BACK_DAYS,
+    days: DataFrame | None = None,
 ) -> DataFrame:
     """Money-out rows with the closest order of the same amount: one candidate auto, more review, none unmatched."""
     charges = transactions.filter(F.col("amount_cents") <= 0).withColumns(
         {"cents": -F.col("amount_cents"), "day": F.unix_date("txn_date")}
     )
     probes = charges.filter((F.col("cents") > 0) & F.col("day").isNotNull())
-    answers = _charge_answers(probes, _order_days(orders), window, back)
+    answers = _charge_answers(probes, order_days(orders) if days is None else days, window, back)
     joined = charges.join(answers, KEY, "left").withColumns(
         {
             "candidate_count": F.coalesce("candidate_count", F.lit(0)),
@@ -162,13 +164,18 @@ def _partial_answers(probes: DataFrame, days: DataFrame, window: int) -> DataFra
     )
 
 
-def match_refunds(transactions: DataFrame, orders: DataFrame, window: int = S.REFUND_DAYS) -> DataFrame:
-    """Money-in rows with the order they refund, in full or in part."""
+def match_refunds(
+    transactions: DataFrame, orders: DataFrame, window: int = S.REFUND_DAYS, days: DataFrame | None = None
+) -> DataFrame:
+    """Money-in rows with the order they refund, in full or in part.
+
+    The day rows and the full-refund answers are read more than once, so they are written once.
+    """
     credits = transactions.filter(F.col("amount_cents") > 0).withColumns(
         {"cents": F.col("amount_cents"), "day": F.unix_date("txn_date")}
     )
-    days = _order_days(orders)
-    full = _full_answers(credits.filter(F.col("day").isNotNull()), days, window)
+    days = settled(order_days(orders)) if days is None else days
+    full = settled(_full_answers(credits.filter(F.col("day").isNotNull()), days, window))
     partial = _partial_answers(full.filter("full_count = 0"), days, window)
     answers = full.join(partial, KEY, "left")
     joined = credits.join(answers, KEY, "left")
@@ -196,8 +203,10 @@ def reconcile(
     back: int = S.CHARGE_BACK_DAYS,
     refund_window: int = S.REFUND_DAYS,
 ) -> DataFrame:
-    return match_charges(transactions, orders, window, back).unionByName(
-        match_refunds(transactions, orders, refund_window)
+    """Charges and refunds against one table of order days."""
+    days = settled(order_days(orders))
+    return match_charges(transactions, orders, window, back, days).unionByName(
+        match_refunds(transactions, orders, refund_window, days)
     )
 
 
