@@ -234,9 +234,9 @@ def merge_exports(d: Data):
 
 STORE = """select order_id, order_date, total_cents, account, return_hint, title1 from {v_orders}
 union all
-select case when o_orderkey % 4 = 1 then '' else order_id end, order_date, total_cents, '0-HOUSE', false, concat('House ', title1) from {v_orders} where title2 is not null
+select case when title1 like 'USB%' then '' else order_id end, order_date, total_cents, '0-HOUSE', false, concat('House ', title1) from {v_orders} where title2 is not null
 union all
-select '', order_date, total_cents, '6-GUEST', return_hint, concat('House ', title1) from {v_orders} where o_orderkey % 4 = 1 and title2 is not null"""
+select '', order_date, total_cents, '6-GUEST', return_hint, concat('House ', title1) from {v_orders} where title1 like 'USB%' and title2 is not null"""
 shared("c_store", STORE)
 KEY = "case when order_id <> '' then order_id else concat_ws('|', cast(order_date as varchar), cast(total_cents as varchar), title1) end"
 
@@ -308,12 +308,12 @@ def deepest_sync(d: Data):
 @case(
     "effective_lookback",
     """
-select account, lookback_months, case when lookback_months > 3 and c_custkey % 4 > 0 and months >= lookback_months then 3 else lookback_months end as months
+select account, lookback_months, case when lookback_months > 3 and segment <> 'BUILDING' and months >= lookback_months then 3 else lookback_months end as months
 from {v_accounts}""",
 )
 def effective_lookback(d: Data):
     records = d.table("v_accounts")
-    return O.effective_lookback(records, records.filter("c_custkey % 4 > 0").select("account", "months"))
+    return O.effective_lookback(records, records.filter("segment <> 'BUILDING'").select("account", "months"))
 
 
 @case(
@@ -351,7 +351,7 @@ def page_flags(d: Data):
 
 SCAN = """select cast(floor(o_orderkey / 10) as bigint) as page_no, o_orderkey as position, order_id, order_date, total_cents, return_hint, title1 from {v_orders}
 union all
-select cast(floor(o_orderkey / 10) as bigint) + 1, o_orderkey, order_id, order_date, total_cents, true, title1 from {v_orders} where o_orderkey % 10 > 6"""
+select cast(floor(o_orderkey / 10) as bigint) + 1, o_orderkey, order_id, order_date, total_cents, true, title1 from {v_orders} where total_cents > 30000000"""
 shared("c_scan", SCAN)
 
 

@@ -327,7 +327,7 @@ def json_shape(d: Data):
 
 
 def _reports(d: Data):
-    turn, key, lang, src = F.col("doc_id") % 4, F.col("doc_id").cast("string"), F.col("lang"), F.col("source")
+    key, lang, src = F.col("doc_id").cast("string"), F.col("lang"), F.col("source")
     data = F.concat(
         F.lit('{"summary":" About '), src, F.lit(' ","recommendation":"BUILD","target_strengths":"fast","target_weaknesses":["slow",null," old '), lang,
         F.lit(' "],"competitors":[{"name":" Rival '), src, F.lit(' ","url":"https://r.example/'), key, F.lit('","pricing":5},"Plain '), lang,
@@ -336,9 +336,9 @@ def _reports(d: Data):
     )
     start, end = F.lit(U.DATA_START), F.lit(U.DATA_END)
     text = (
-        F.when(turn == 0, F.concat("text", F.lit("\n"), start, F.lit("\n```json\n"), data, F.lit("\n```\n"), end, F.lit(" bye")))
-        .when(turn == 1, F.concat("text", F.lit("\r\n"), start, F.lit("Here it is: "), data, F.lit(" thanks")))
-        .when(turn == 2, F.concat("text", start, F.lit('{"broken'), end)).otherwise(F.col("text"))
+        F.when(lang == "en", F.concat("text", F.lit("\n"), start, F.lit("\n```json\n"), data, F.lit("\n```\n"), end, F.lit(" bye")))
+        .when(lang == "fr", F.concat("text", F.lit("\r\n"), start, F.lit("Here it is: "), data, F.lit(" thanks")))
+        .when(lang == "de", F.concat("text", start, F.lit('{"broken'), end)).otherwise(F.col("text"))
     )
     return U.parse_study_reports(d.table("documents").select("doc_id", text.alias("text")))
 
@@ -354,8 +354,8 @@ select doc_id, {PLAIN} as report_md, case when good then concat('About ', source
   case when good then concat('Rival ', source, '~https://r.example/', doc_id, '~5|Plain ', lang, '~~') else '' end as competitors,
   case when good then concat('~d ', lang, '|idea~') else '' end as opportunities, case when good then '{{"usd":12}}' else '{{}}' end as financials,
   case when good then source else '' end as sources,
-  case doc_id % 4 when 2 then '{U.BAD_BLOCK}' when 3 then '{U.NO_BLOCK}' end as parse_warning
-from (select *, doc_id % 4 < 2 as good from {{documents}})""",
+  case lang when 'de' then '{U.BAD_BLOCK}' when 'es' then '{U.NO_BLOCK}' end as parse_warning
+from (select *, lang in ('en', 'fr') as good from {{documents}})""",
 )
 def parse_study_reports(d: Data):
     def joined(array: str, *fields: str):
@@ -371,8 +371,8 @@ def parse_study_reports(d: Data):
 @case(
     "study_rows",
     """
-with r as (select doc_id as item_id, case when doc_id % 4 < 2 then concat('About ', source) end as summary,
-  case when doc_id % 4 < 2 then 'build' end as recommendation from {documents})
+with r as (select doc_id as item_id, case when lang in ('en', 'fr') then concat('About ', source) end as summary,
+  case when lang in ('en', 'fr') then 'build' end as recommendation from {documents})
 select coalesce(r.item_id, s.item_id) as item_id, coalesce(s.layer, 2) as layer, case when r.item_id is not null then 'done' else s.status end as status,
   r.summary, r.recommendation from (select * from {v_studies} where layer = 2) s full outer join r on s.item_id = r.item_id
 union all select item_id, layer, status, null, null from {v_studies} where layer = 3""",
@@ -386,8 +386,8 @@ def study_rows(d: Data):
 @case(
     "competitor_edges",
     """
-select doc_id as item_id, 0 as position, concat('Rival ', source) as name, '5' as pricing from {documents} where doc_id % 4 < 2
-union all select doc_id, 1, concat('Plain ', lang), '' from {documents} where doc_id % 4 < 2""",
+select doc_id as item_id, 0 as position, concat('Rival ', source) as name, '5' as pricing from {documents} where lang in ('en', 'fr')
+union all select doc_id, 1, concat('Plain ', lang), '' from {documents} where lang in ('en', 'fr')""",
 )
 def competitor_edges(d: Data):
     dives = _reports(d).withColumnRenamed("doc_id", "item_id")
