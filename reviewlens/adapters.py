@@ -154,6 +154,8 @@ class Data:
     """Driver tables and views of one folder, built when first asked for."""
 
     def __init__(self, spark: SparkSession, folder: str):
+        # Day windows and casts between dates and timestamps are meant in UTC.
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark, self.folder = spark, folder
         self._made: dict[str, DataFrame] = {}
 

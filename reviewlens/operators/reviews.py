@@ -11,6 +11,9 @@ from reviewlens.functions.rounding import round_half_even
 from reviewlens.operators.ordered import first_per_key, rank_per_key, top_per_key
 
 
+GROUP_LIMIT = 1000  # up to this many rows Spark cuts a group before the shuffle
+
+
 def _zero_if_null(c: Column) -> Column:
     return F.coalesce(c, F.lit(0.0))
 
@@ -125,8 +128,11 @@ def legitimacy(analyses: DataFrame, causes: DataFrame) -> DataFrame:
 
 def latest_per_item(reviews: DataFrame, n: int, min_reviews: int = 0, tie: str = "review_uid") -> DataFrame:
     """The newest `n` reviews per item, for items that have at least `min_reviews` of them."""
-    order = [F.desc_nulls_last("reviewed_at"), F.asc(tie)]
-    kept = top_per_key(reviews, ["item_id"], order, n)
+    if n <= GROUP_LIMIT:
+        kept = top_per_key(reviews, ["item_id"], [F.desc_nulls_last("reviewed_at"), F.asc(tie)], n)
+    else:
+        ranked = rank_per_key(reviews, ["item_id"], [(F.col("reviewed_at"), True)], [F.asc(tie)])
+        kept = ranked.filter(F.col("rank") <= n)
     if min_reviews <= 0:
         return kept
     have = F.count("*").over(Window.partitionBy("item_id"))  # at most n rows per item here

@@ -115,11 +115,13 @@ def with_legitimacy(items: DataFrame, analyses: DataFrame) -> DataFrame:
 
 def work_queue(dives: DataFrame, items: DataFrame, limit: int = 25) -> DataFrame:
     """Queued entries, oldest first, with their item."""
-    queued = enrich(
-        dives.filter(F.col("status") == "queued").select("item_id", "requested_at"),
-        items, ["ext_id", "name", "store_category", "rating", "rating_count", "install_count", "website"],
+    order = [F.asc_nulls_last("requested_at"), F.asc("item_id")]
+    queued = dives.filter(F.col("status") == "queued").select("item_id", "requested_at").orderBy(*order).limit(limit)
+    parent = items.select(
+        F.col("id").alias("item_id"), "ext_id", "name", "store_category", "rating", "rating_count", "install_count",
+        "website",
     )
-    return queued.orderBy(F.asc_nulls_last("requested_at"), "item_id").limit(limit)
+    return parent.join(F.broadcast(queued), "item_id").orderBy(*order)  # at most `limit` rows are broadcast
 
 
 # --- boards: every one ends its sort with a unique column ----------------------------------------
