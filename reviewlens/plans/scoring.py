@@ -77,6 +77,12 @@ def score_opportunities(
     ).withColumn("score", round_half_even(F.col("score"), 1))
 
 
+def _ids(items: DataFrame, limit: int | None) -> DataFrame:
+    """Ids of the items of a run; a limited run has at most `limit` of them, which is what may be broadcast."""
+    ids = items.select(F.col("id").alias("item_id"))
+    return ids if limit is None else F.broadcast(ids)
+
+
 def rank_all(
     items: DataFrame,
     analyses: DataFrame,
@@ -93,7 +99,7 @@ def rank_all(
     """The opportunities table after a run over the most installed items, new ones only unless forced."""
     candidates = items if limit is None else top_by_installs(items, limit)
     todo = select_for_analysis(candidates, opportunities, force)
-    mine = reviews.join(todo.select(F.col("id").alias("item_id")), "item_id", "left_semi")
+    mine = reviews.join(_ids(todo, limit), "item_id", "left_semi")
     recent = latest_per_item(mine, max_reviews, min_reviews)
     enough = recent.select(F.col("item_id").alias("id")).distinct()
     rows = score_opportunities(
@@ -116,9 +122,12 @@ def review_analysis_rows(
 ) -> DataFrame:
     """The review-analysis table after screening zone items; a failed report becomes an error row."""
     todo = select_for_analysis(zone_candidates(items, limit), stored, force)
-    counts = reviews.groupBy("item_id").agg(F.least(F.count("*"), F.lit(max_reviews)).alias("reviews_analyzed"))
+    ids = _ids(todo, limit)
+    # Counting combines before the shuffle; only a short list of items is worth a filter ahead of it.
+    mine = reviews if limit is None else reviews.join(ids, "item_id", "left_semi")
+    counts = mine.groupBy("item_id").agg(F.least(F.count("*"), F.lit(max_reviews)).alias("reviews_analyzed"))
     screened = (
-        reports.join(todo.select(F.col("id").alias("item_id")), "item_id", "left_semi")
+        reports.join(ids, "item_id", "left_semi")
         .join(counts.filter(F.col("reviews_analyzed") >= min_reviews), "item_id")
     )
     good = screened.filter(F.col("error").isNull())

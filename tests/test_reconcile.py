@@ -4,8 +4,6 @@ import datetime as dt
 import random
 
 import pytest
-from pyspark.sql import functions as F
-
 from reviewlens.operators import reconcile as R
 
 START = dt.date(2024, 1, 1)

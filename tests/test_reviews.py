@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from reviewlens import schemas as S
 from reviewlens.operators import reviews as R
-from reviewlens.operators.ordered import previous_per_key, rank_per_key
+from reviewlens.operators.ordered import previous_per_key
 from reviewlens.plans import annotate, scoring
 
 TODAY = dt.date(2026, 6, 17)
@@ -174,3 +174,24 @@ def test_annotator_failures_become_rows(spark):
     got = {r["item_id"]: r for r in annotate.annotate_items(items, df, picky).collect()}
     assert got[1]["status"] == "error" and len(got[1]["error"]) == 2000
     assert got[0]["status"] == "done" and got[0]["n_lines"] == 120
+
+
+def test_review_analysis_rows(spark):
+    items = spark.createDataFrame(
+        [(i, f"e{i}", 3.0 if i < 5 else 4.5, 100 - i) for i in range(1, 7)], "id long, ext_id string, rating double, install_count long"
+    )
+    revs = reviews(spark, [(i, 1, n) for i in (1, 2, 4, 6) for n in range(6)] + [(3, 1, 1)])
+    reports = spark.createDataFrame(
+        [(1, "mixed", None, "v", None), (2, None, None, None, "x" * 2500), (3, "mixed", None, "v", None), (4, "mixed", 0.9, "v", None), (6, "mixed", None, "v", None)],
+        "item_id long, primary_cause string, override double, verdict string, error string",
+    )
+    causes = spark.createDataFrame([(1, "off_topic", 1.0)], "item_id long, cause string, share double")
+    stored = spark.createDataFrame([(4, "done", "before")], "item_id long, status string, model string")
+
+    def run(**options):
+        rows = scoring.review_analysis_rows(items, revs, reports, causes, stored, **options).collect()
+        return {r["item_id"]: (r["status"], r["legitimacy"], r["reviews_analyzed"], len(r["error"] or "")) for r in rows}
+
+    assert run(limit=25) == run(limit=None) == {1: ("done", 0.15, 6, 0), 2: ("error", None, None, 2000), 4: ("done", None, None, 0)}
+    assert run(limit=1) == {1: ("done", 0.15, 6, 0), 4: ("done", None, None, 0)}
+    assert run(limit=None, force=True, max_reviews=5)[4] == ("done", 0.9, 5, 0)
