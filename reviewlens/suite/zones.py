@@ -243,12 +243,12 @@ def successor_writeback(d: Data):
 with recursive walk(id, depth) as (
   select p_partkey, 0 from {part} where p_size = 1
   union
-  select e.dst, w.depth + 1 from walk w join {v_edges} e on e.src = w.id where w.depth < 12)
+  select e.dst, w.depth + 1 from walk w join {v_edges} e on e.src = w.id where w.depth < 40)
 select id, cast(min(depth) as int) as depth from walk group by id""",
 )
 def related_reach(d: Data):
     seeds = d.table("part").filter("p_size = 1").select(F.col("p_partkey").alias("id"))
-    return graph.reachable(seeds, d.table("v_edges"), max_depth=12)
+    return graph.reachable(seeds, d.table("v_edges"))
 
 
 @case(
