@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 
 def first_per_key(
@@ -43,20 +44,22 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
 
 
-def _pieces(df: DataFrame, split: Sequence[Column], descending: Sequence[bool]):
-    names = [f"_split{i}" for i in range(len(split))]
-    cut = df.select("*", *[c.alias(n) for c, n in zip(split, names)])
-    order = [F.desc_nulls_last(n) if d else F.asc_nulls_last(n) for n, d in zip(names, descending)]
-    return cut, names, order
+def _pieces(df: DataFrame, keys: Sequence[str], split: Sequence[Column]) -> DataFrame:
+    """The frame with its piece: key and split columns in one struct, which equals itself even where fields are null.
+
+    Windows, counts and the stitching join all go by this one column, so the rows are shuffled once.
+    """
+    fields = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)] + [c.alias(f"s{i}") for i, c in enumerate(split)]
+    return df.withColumn("_piece", F.struct(*fields))
 
 
-def _rejoin(pieces: DataFrame, edges: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
-    edges = edges.select(*[F.col(c).alias(f"_e_{c}") if c in (*keys, *names) else F.col(c) for c in edges.columns])
-    same = [pieces[c].eqNullSafe(edges[f"_e_{c}"]) for c in (*keys, *names)]
-    condition = same[0]
-    for part in same[1:]:
-        condition = condition & part
-    return pieces.join(edges, condition, "left").drop(*names, *[f"_e_{c}" for c in (*keys, *names)])
+def _across(keys: Sequence[str], descending: Sequence[bool]) -> WindowSpec:
+    """A window over the pieces of a key, in order."""
+    order = [
+        F.desc_nulls_last(f"_piece.s{i}") if down else F.asc_nulls_last(f"_piece.s{i}")
+        for i, down in enumerate(descending)
+    ]
+    return Window.partitionBy(*[F.col(f"_piece.k{i}") for i in range(len(keys))]).orderBy(*order)
 
 
 def rank_per_key(
@@ -67,17 +70,14 @@ def rank_per_key(
     rank: str = "rank",
 ) -> DataFrame:
     """Exact row number per key for rows sorted by `split` (column, descending) and then by `order`."""
-    pieces, names, piece_order = _pieces(df, [c for c, _ in split], [d for _, d in split])
-    local = pieces.withColumn("_local", F.row_number().over(Window.partitionBy(*keys, *names).orderBy(*order)))
-    before = Window.partitionBy(*keys).orderBy(*piece_order).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        pieces.groupBy(*keys, *names)
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
+    pieces = _pieces(df, keys, [c for c, _ in split])
+    local = pieces.withColumn("_local", F.row_number().over(Window.partitionBy("_piece").orderBy(*order)))
+    before = _across(keys, [down for _, down in split]).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = pieces.groupBy("_piece").agg(F.count("*").alias("_n")).select(
+        "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
     )
-    joined = _rejoin(local, offsets, keys, names)
-    return joined.withColumn(rank, (F.col("_before") + F.col("_local")).cast("int")).drop("_before", "_local")
+    joined = local.join(offsets, "_piece", "left")
+    return joined.select(*df.columns, (F.col("_before") + F.col("_local")).cast("int").alias(rank))
 
 
 def previous_per_key(
@@ -89,14 +89,11 @@ def previous_per_key(
     prefix: str = "prev_",
 ) -> DataFrame:
     """Previous row's `carry` columns per key; `split` must never decrease along `order`."""
-    pieces, names, piece_order = _pieces(df, [split], [False])
+    pieces = _pieces(df, keys, [split])
     row = F.struct(*carry)
-    local = pieces.withColumn("_near", F.lag(row).over(Window.partitionBy(*keys, *names).orderBy(*order)))
-    edges = (
-        pieces.groupBy(*keys, *names)
-        .agg(F.max_by(row, F.struct(*order)).alias("_last"))
-        .withColumn("_far", F.lag("_last").over(Window.partitionBy(*keys).orderBy(*piece_order)))
-        .drop("_last")
+    local = pieces.withColumn("_near", F.lag(row).over(Window.partitionBy("_piece").orderBy(*order)))
+    edges = pieces.groupBy("_piece").agg(F.max_by(row, F.struct(*order)).alias("_last")).select(
+        "_piece", F.lag("_last").over(_across(keys, [False])).alias("_far")
     )
-    joined = _rejoin(local, edges, keys, names).withColumn("_prev", F.coalesce("_near", "_far"))
+    joined = local.join(edges, "_piece", "left").withColumn("_prev", F.coalesce("_near", "_far"))
     return joined.select(*df.columns, *[F.col(f"_prev.`{c}`").alias(prefix + c) for c in carry])

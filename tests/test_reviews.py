@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from reviewlens import schemas as S
 from reviewlens.operators import reviews as R
-from reviewlens.operators.ordered import previous_per_key
+from reviewlens.operators.ordered import previous_per_key, rank_per_key
 from reviewlens.plans import annotate, scoring
 
 TODAY = dt.date(2026, 6, 17)
@@ -195,3 +195,11 @@ def test_review_analysis_rows(spark):
     assert run(limit=25) == run(limit=None) == {1: ("done", 0.15, 6, 0), 2: ("error", None, None, 2000), 4: ("done", None, None, 0)}
     assert run(limit=1) == {1: ("done", 0.15, 6, 0), 4: ("done", None, None, 0)}
     assert run(limit=None, force=True, max_reviews=5)[4] == ("done", 0.9, 5, 0)
+
+
+def test_rank_with_null_keys_and_splits(spark):
+    df = spark.createDataFrame([(None, None, "a"), (None, 2, "b"), (None, 1, "c"), (1, None, "d"), (1, None, "e")], "k long, s int, u string")
+    got = {r["u"]: r["rank"] for r in rank_per_key(df, ["k"], [(F.col("s"), True)], [F.asc("u")]).collect()}
+    assert got == {"b": 1, "c": 2, "a": 3, "d": 1, "e": 2}
+    up = {r["u"]: r["rank"] for r in rank_per_key(df, ["k"], [(F.col("s"), False)], [F.asc("u")]).collect()}
+    assert up == {"c": 1, "b": 2, "a": 3, "d": 1, "e": 2}
