@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from reviewlens.llm import checks
 from reviewlens.llm.common import table
 from reviewlens.llm.decontaminate import decontaminate
+from reviewlens.llm.katz import katz_scores
 from reviewlens.llm.main_text import main_text
 from reviewlens.llm.mixture import mix
 from reviewlens.llm.near_dup import near_duplicates
@@ -98,6 +99,12 @@ def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
+    return katz_scores(docs, fold == 1)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "text", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")
@@ -117,7 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     fn.__name__: fn
     for fn in (
         op1_url_filter, op2_pii, op3_decontaminate, op4_secret_scan, op5_near_dedup, op6_quality_rules, op7_mixture,
-        op9_sharding, op10_main_text,
+        op8_katz_lm, op9_sharding, op10_main_text,
     )
 }
 CHECKS: dict[str, str] = dict(checks.CHECKS)
