@@ -127,4 +127,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_katz_lm, op9_sharding, op10_main_text,
     )
 }
-CHECKS: dict[str, str] = dict(checks.CHECKS)
+CHECKS: dict[str, str] = checks.CHECKS | {"op1_url_filter": checks.url_filter_sql(URL_RULES, REJECTED_WORDS)}

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewlens.llm.common import stored
+from reviewlens.llm.common import md5_part, stored
 
 ORDER = 5
 ALPHABET = 256
@@ -163,14 +163,15 @@ def filter_urls(
     )
     accepted = F.when(F.col("bad") | (F.col("decided") == "block"), False).when(F.col("decided") == "allow", True)
     labels = keys.select("key", accepted.alias("accepted")).filter("accepted is not null")
-    train = labels.filter(F.pmod(F.xxhash64("key"), F.lit(HELD_OUT)) != 0)
+    fold = md5_part(F.col("key"), 1, 8) % HELD_OUT
+    train = labels.filter(fold != 0)
     seen = train.agg(F.count_if("accepted").alias("a"), F.count_if(~F.col("accepted")).alias("r")).first()
     if not (seen["a"] and seen["r"]):
         scored = keys.select("key", F.lit(0).cast("long").alias("score"))
         limit = 0
     else:
         scored = stored(score_urls(keys.select("key"), train, order=order), "url-scores")
-        held = labels.filter("accepted").filter(F.pmod(F.xxhash64("key"), F.lit(HELD_OUT)) == 0)
+        held = labels.filter("accepted").filter(fold == 0)
         limit = calibrated_limit(scored.join(held, "key"), false_rejects)
     open_rows = ruled.join(scored.withColumnRenamed("key", "__key"), "__key", "left")
     return open_rows.select(
