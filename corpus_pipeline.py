@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from reviewlens.llm.common import stored, table
 from reviewlens.llm.decontaminate import decontaminate
-from reviewlens.llm.mixture import mix
+from reviewlens.llm.mixture import mix, word_count
 from reviewlens.llm.near_dup import near_duplicates
 from reviewlens.llm.quality import quality_rules
 from reviewlens.llm.queries import label_weights
@@ -42,10 +42,10 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it. Documents without id are taken by their source's whole epochs."""
-    weighted = docs.select("doc_id", "text", "source").join(
-        label_weights(table(spark, sf_dir, "labels")), "doc_id", "left"
-    )
-    mixed = mix(weighted, quality=F.col("weight")).filter("copies > 0")
+    # Sizes come first, so that the join with the labels doesn't move texts.
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    weighted = sized.join(label_weights(table(spark, sf_dir, "labels")), "doc_id", "left")
+    mixed = mix(weighted, size=F.col("size"), quality=F.col("weight")).filter("copies > 0")
     copies = mixed.groupBy("doc_id").agg(F.max("copies").alias("__copies"))
     joined = docs.withColumn("__id", F.col("doc_id")).join(
         copies.withColumnRenamed("doc_id", "__taken"), F.col("__id").eqNullSafe(F.col("__taken"))

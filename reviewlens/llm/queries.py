@@ -12,7 +12,7 @@ from reviewlens.llm.common import table
 from reviewlens.llm.decontaminate import decontaminate
 from reviewlens.llm.katz import katz_scores
 from reviewlens.llm.main_text import main_text
-from reviewlens.llm.mixture import mix
+from reviewlens.llm.mixture import mix, word_count
 from reviewlens.llm.near_dup import near_duplicates
 from reviewlens.llm.pii import KINDS as PII_KINDS
 from reviewlens.llm.pii import find_pii
@@ -91,9 +91,10 @@ def label_weights(labels: DataFrame) -> DataFrame:
 
 
 def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    weighted = docs.join(label_weights(table(spark, sf_dir, "labels")), "doc_id", "left")
-    mixed = mix(weighted, quality=F.col("weight"))
+    # Sizes come first, so that the join with the labels doesn't move texts.
+    sized = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    weighted = sized.join(label_weights(table(spark, sf_dir, "labels")), "doc_id", "left")
+    mixed = mix(weighted, size=F.col("size"), quality=F.col("weight"))
     return mixed.select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
     )
