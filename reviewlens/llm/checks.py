@@ -57,7 +57,7 @@ keys as (select key, max(decided) as decided, bool_or({bad}) as bad from judged
 labels as (
   select key, not (bad or coalesce(decided = 'block', false)) as accepted,
     ('0x' || substr(md5(key), 1, 8))::bigint % {url_filter.HELD_OUT} as fold
-  from keys where bad or decided is not null),
+  from keys),
 cut as (
   select key, substr({pad} || key || chr(3), i, {order + 1}) as gram6
   from (select key, unnest(range(1, length(key) + 2)) as i from keys)),
@@ -83,7 +83,7 @@ bins as (
 ranked as (select bin, sum(n) over (order by bin) as below, sum(n) over () as total from bins),
 lim as (
   select case when (select ok from both_classes)
-    then coalesce((select min(bin) from ranked where below > {url_filter.FALSE_REJECTS} * total) * 1000, 0) end as v)
+    then least(0, coalesce((select min(bin) from ranked where below > {url_filter.FALSE_REJECTS} * total) * 1000, 0)) end as v)
 select j.page_id, j.host, j.path, j.rule,
   coalesce(j.decided, case when s.score < (select v from lim) then 'block' else 'allow' end) as verdict
 from judged j left join scores s on s.key = j.key

@@ -106,7 +106,7 @@ def mix(
         .join(planned.withColumnRenamed("source", "source_"), F.col("source").eqNullSafe(F.col("source_")))
         .select(
             F.struct("source", "piece").alias("part"), "source_size", "target", "epochs", "rest", "before",
-            (F.col("before") + F.col("piece_size") <= F.col("rest")).alias("taken"),
+            ((F.col("before") + F.col("piece_size") <= F.col("rest")) & (F.col("before") < F.col("rest"))).alias("taken"),
             (F.col("before") < F.col("rest")).alias("reached"),
         )
     )

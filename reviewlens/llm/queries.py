@@ -39,7 +39,7 @@ def _of_kind(spans: str, kind: str) -> Column:
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    judged = filter_urls(pages, URL_RULES, rejected_words=REJECTED_WORDS)
+    judged = filter_urls(pages, URL_RULES, rejected_words=REJECTED_WORDS, background=True)
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 

@@ -3,7 +3,7 @@
 Two variable-order Markov models, one of accepted and one of rejected URLs, give every character a probability from
 the longest context that was seen, smoothed by Witten-Bell with the shorter ones down to uniform. A URL's score is the
 difference of its log-likelihoods per character; the limit is calibrated on held-out accepted URLs, so that at most a
-given share of them would be rejected.
+given share of them would be rejected, and never above zero.
 
 A character's probability depends on it and its last few predecessors alone. So the models are evaluated once per
 distinct character window of the URLs, and the windows' scores, whole micro-units, are joined to the URLs: sums don't
@@ -115,9 +115,9 @@ def score_urls(keys: DataFrame, labelled: DataFrame, *, order: int = ORDER, salt
 
 
 def calibrated_limit(scores: DataFrame, share: float = FALSE_REJECTS, step: int = 1000) -> int:
-    """The largest limit (a multiple of `step`) below which at most `share` of these scores lie.
+    """The largest limit (a multiple of `step`) below which at most `share` of these scores lie, but zero at most.
 
-    Scores are counted in steps of a thousandth; the number of steps is bounded by the range of log-likelihoods.
+    Above zero a URL is likelier under the accepted model, however far the held-out ones lie. Scores are counted in steps of a thousandth; the number of steps is bounded by the range of log-likelihoods.
     """
     bins = scores.groupBy(F.floor(F.col("score") / step).cast("long").alias("bin")).agg(F.count("*").alias("n")).collect()
     allowed, below, limit = share * sum(r["n"] for r in bins), 0, 0
@@ -126,7 +126,7 @@ def calibrated_limit(scores: DataFrame, share: float = FALSE_REJECTS, step: int
         below += r["n"]
         if below > allowed:
             break
-    return limit
+    return min(0, limit)
 
 
 def filter_urls(
@@ -135,14 +135,16 @@ def filter_urls(
     *,
     url_col: str = "url",
     rejected_words: tuple[str, ...] = (),
+    background: bool = False,
     order: int = ORDER,
     false_rejects: float = FALSE_REJECTS,
 ) -> DataFrame:
     """Each row with host, path, rule, score (null where a rule decides) and verdict ("allow" or "block").
 
     URLs that a rule decides train the models: blocked ones, and any whose host holds one of `rejected_words`, as
-    rejected; allowed ones as accepted. A fifth of them, by hash, is held out to calibrate the limit. Columns of the
-    added names are replaced. Null URLs and ones without `://` have empty host and path and are scored as the empty
+    rejected; allowed ones as accepted. With `background`, those that nothing decides are accepted examples too: where
+    rules cover only some hosts or languages, the models would else tell covered from uncovered ones. A fifth of the
+    examples, by hash, is held out to calibrate the limit. Columns of the added names are replaced. Null URLs and ones without `://` have empty host and path and are scored as the empty
     text. Repeated URLs are scored once. Where either class has no example, all that no rule decides is allowed.
     """
     kept = [c for c in urls.columns if c not in ("host", "path", "rule", "score", "verdict")]
@@ -161,7 +163,9 @@ def filter_urls(
         .agg(F.max("decided").alias("decided"), F.max(bad).alias("bad")),
         "url-keys",
     )
-    accepted = F.when(F.col("bad") | (F.col("decided") == "block"), False).when(F.col("decided") == "allow", True)
+    accepted = F.when(F.col("bad") | (F.col("decided") == "block"), False).when(
+        (F.col("decided") == "allow") | F.lit(background), True
+    )
     labels = keys.select("key", accepted.alias("accepted")).filter("accepted is not null")
     fold = md5_part(F.col("key"), 1, 8) % HELD_OUT
     train = labels.filter(fold != 0)
