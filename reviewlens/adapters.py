@@ -60,7 +60,7 @@ from {part} where p_size > 2""",
 select l_partkey as item_id, case l_linenumber % 6 when 0 then 'product_issues' when 1 then 'review_bombing'
     when 2 then 'competitor_attack' when 3 then 'off_topic' when 4 then 'praise' else 'mixed' end as cause,
   cast(count(*) as double) / 64 as share
-from {lineitem} where l_quantity > 20 group by 1, 2""",
+from {lineitem} group by 1, 2""",
     "v_reports": """
 select p_partkey as item_id,
   case p_partkey % 7 when 0 then 'product_issues' when 1 then 'review_bombing' when 2 then 'competitor_attack'

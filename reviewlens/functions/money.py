@@ -5,33 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from reviewlens.functions.parsing import _c, let
+from reviewlens.functions.parsing import _c
 
 
 def parse_cents(text: Column | str) -> Column:
     """`$1,234.56` to cents; null for anything that is not an amount with at most two decimals."""
 
-    def read(c: Column) -> Column:
-        sign = F.when(c.startswith("-"), -1).otherwise(1)
-        whole = F.regexp_extract(c, r"^[+-]?(\d+)", 1).try_cast("long")
-        cents = F.rpad(F.split_part(c, F.lit("."), F.lit(2)), 2, "0").try_cast("long")
-        return F.when(c.rlike(r"^[+-]?\d+(\.\d{1,2})?$"), sign * (whole * 100 + F.coalesce(cents, F.lit(0))))
-
-    return let(F.regexp_replace(_c(text), r"[$,\s]", ""), read)
+    c = F.regexp_replace(_c(text), r"[$,\s]", "")
+    sign = F.when(c.startswith("-"), -1).otherwise(1)
+    whole = F.regexp_extract(c, r"^[+-]?(\d+)", 1).try_cast("long")
+    cents = F.rpad(F.split_part(c, F.lit("."), F.lit(2)), 2, "0").try_cast("long")
+    # An amount beyond the range of a long is none.
+    size = F.try_add(F.try_multiply(whole, F.lit(100)), F.coalesce(cents, F.lit(0)))
+    return F.when(c.rlike(r"^[+-]?\d+(\.\d{1,2})?$"), sign * size)
 
 
 def format_cents(cents: Column | str) -> Column:
     """Cents to `-$1,234.56`."""
 
-    def show(c: Column) -> Column:
-        size = F.abs(c)
-        whole = F.format_number(F.floor(size / 100).cast("long"), 0)
-        return F.concat(
-            F.when(c < 0, "-").otherwise(""), F.lit("$"), whole, F.lit("."),
-            F.lpad((size % 100).cast("string"), 2, "0"),
-        )
-
-    return let(_c(cents).cast("long"), show)
+    c = _c(cents).cast("long")
+    size = F.abs(c)
+    whole = F.format_number(F.floor(size / 100).cast("long"), 0)
+    return F.concat(
+        F.when(c < 0, "-").otherwise(""), F.lit("$"), whole, F.lit("."), F.lpad((size % 100).cast("string"), 2, "0")
+    )
 
 
 def _one_decimal(value: Column, unit: float, suffix: str) -> Column:

@@ -18,6 +18,7 @@ RELATIVE_DATE = r"(?i)(\d+)\s+(second|minute|hour|day|week|month|year)s?\s+ago"
 DATE_PREFIX = r"(?i)^\s*(updated|added)\s*"
 UPDATED_PHRASE = r"(?i)Updated[:\s]+([A-Za-z0-9,\s]+?\d{4}|\d+\s+\w+\s+ago)"
 SUFFIX_FACTOR = {"": 1, "k": 1_000, "m": 1_000_000, "b": 1_000_000_000}
+MOST_DAYS = 700_000  # further back there is no calendar
 UNIT_DAYS = {"second": 0, "minute": 0, "hour": 0, "day": 1, "week": 7, "month": 30, "year": 365}
 MONTHS = (
     "january", "february", "march", "april", "may", "june",
@@ -107,10 +108,12 @@ def parse_date(text: Column | str, as_of: Column) -> Column:
     """Relative dates against `as_of`; else ISO, `Month D, YYYY` or `D Month YYYY`."""
 
     def read(c: Column) -> Column:
-        count = F.regexp_extract(c, RELATIVE_DATE, 1).try_cast("int")
-        days = lookup(F.lower(F.regexp_extract(c, RELATIVE_DATE, 2)), UNIT_DAYS)
+        count = F.regexp_extract(c, RELATIVE_DATE, 1).try_cast("long")
+        unit = lookup(F.lower(F.regexp_extract(c, RELATIVE_DATE, 2)), UNIT_DAYS).cast("long")
+        days = F.try_multiply(count, unit)
+        ago = F.when(days <= MOST_DAYS, F.date_sub(as_of, F.least(days, F.lit(MOST_DAYS)).cast("int")))
         return F.coalesce(
-            F.when(c.rlike("(?i)ago"), F.date_sub(as_of, count * days)),
+            F.when(c.rlike("(?i)ago"), ago),
             F.regexp_extract(c, r"(\d{4}-\d{2}-\d{2})", 1).try_cast("date"),
             _named_month(c, _month_first(r"(?:st|nd|rd|th)?,?\s+"), "$1-$2-$3"),
             _named_month(c, DAY_FIRST, "$2-$1-$3"),
@@ -120,14 +123,17 @@ def parse_date(text: Column | str, as_of: Column) -> Column:
 
 
 def normalize_date(text: Column | str) -> Column:
-    """Export dates: an ISO prefix, else `M/D/YYYY` or a month name."""
+    """Export dates: an ISO prefix, else `M/D/YYYY`, `YYYY/M/D` or a month name before or after the day."""
 
     def read(c: Column) -> Column:
         slashes = r"^(\d{1,2})/(\d{1,2})/(\d{4}).*$"
+        year_first = r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2}).*$"
         return F.coalesce(
             F.regexp_extract(c, r"^(\d{4}-\d{2}-\d{2})", 1).try_cast("date"),
             F.when(c.rlike(slashes), F.regexp_replace(c, slashes, "$3-$1-$2").try_cast("date")),
-            parse_order_date(c),
+            F.when(c.rlike(year_first), F.regexp_replace(c, year_first, "$1-$2-$3").try_cast("date")),
+            _named_month(c, _month_first(r"(?:st|nd|rd|th)?,?\s+"), "$1-$2-$3"),
+            _named_month(c, DAY_FIRST, "$2-$1-$3"),
         )
 
     return let(F.trim(_c(text)), read)

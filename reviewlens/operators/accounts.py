@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 GRACE_DAYS = 5  # fixed value
 
 
-def _days_up(until: Column, now: Column) -> Column:
-    seconds = F.unix_timestamp(until) - F.unix_timestamp(now)
-    return F.greatest(F.lit(0), F.ceil(seconds / 86400.0)).cast("int")
-
-
 def entitlement(licenses: DataFrame, now: Column, grace_days: int = GRACE_DAYS) -> DataFrame:
     """Paid license first, with grace after the last check, then the trial."""
     active = F.coalesce(F.col("active"), F.lit(False))
@@ -26,9 +21,11 @@ def entitlement(licenses: DataFrame, now: Column, grace_days: int = GRACE_DAYS)
         F.when(open_ended | current, "active").when(in_grace, "grace").when(active, "expired")
         .when(on_trial, "trial").when(trial.isNotNull(), "trial-expired").otherwise("none")
     )
+    # The first number of whole days from now that reaches the end.
+    left = {c: F.ceil((F.unix_seconds(F.col(c)) - F.unix_seconds(now)) / 86400.0).cast("int") for c in ("expires_at", "trial_ends_at")}
     days = (
-        F.when(open_ended, F.lit(None).cast("int")).when(current, _days_up(expires, now)).when(in_grace, 0)
-        .when(active, F.lit(None).cast("int")).when(on_trial, _days_up(trial, now)).when(trial.isNotNull(), 0)
+        F.when(open_ended, F.lit(None).cast("int")).when(current, left["expires_at"]).when(in_grace, 0)
+        .when(active, F.lit(None).cast("int")).when(on_trial, left["trial_ends_at"]).when(trial.isNotNull(), 0)
     )
     out = licenses.withColumns({"entitlement": state, "days_left": days})
     return out.withColumn("allowed", F.col("entitlement").isin("active", "grace", "trial"))

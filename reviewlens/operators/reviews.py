@@ -11,7 +11,6 @@ from reviewlens.functions.rounding import round_half_even
 from reviewlens.operators.ordered import first_per_key, rank_per_key, top_per_key
 
 
-GROUP_LIMIT = 1000  # up to this many rows Spark cuts a group before the shuffle
 
 
 def _zero_if_null(c: Column) -> Column:
@@ -126,17 +125,17 @@ def legitimacy(analyses: DataFrame, causes: DataFrame) -> DataFrame:
     return analyses.join(sums, "item_id", "left").select("item_id", "primary_cause", value.alias("legitimacy"))
 
 
-def latest_per_item(reviews: DataFrame, n: int, min_reviews: int = 0, tie: str = "review_uid") -> DataFrame:
-    """The newest `n` reviews per item, for items that have at least `min_reviews` of them."""
-    if n <= GROUP_LIMIT:
-        kept = top_per_key(reviews, ["item_id"], [F.desc_nulls_last("reviewed_at"), F.asc(tie)], n)
-    else:
-        ranked = rank_per_key(reviews, ["item_id"], [(F.col("reviewed_at"), True)], [F.asc(tie)])
-        kept = ranked.filter(F.col("rank") <= n)
-    if min_reviews <= 0:
-        return kept
-    have = F.count("*").over(Window.partitionBy("item_id"))  # at most n rows per item here
-    return kept.withColumn("_have", have).filter(F.col("_have") >= min_reviews).drop("_have")
+def latest_per_item(
+    reviews: DataFrame, n: int | None = None, min_reviews: int = 0, tie: str = "review_uid"
+) -> DataFrame:
+    """The newest `n` reviews per item (all of them without `n`), for items of which at least `min_reviews` are kept."""
+    if min_reviews > 0:
+        have = F.count("*") if n is None else F.least(F.count("*"), F.lit(n))
+        enough = reviews.groupBy("item_id").agg(have.alias("_have")).filter(F.col("_have") >= min_reviews)
+        reviews = reviews.join(enough, "item_id", "left_semi")
+    if n is None:
+        return rank_per_key(reviews, ["item_id"], [(F.col("reviewed_at"), True)], [F.asc(tie)])
+    return top_per_key(reviews, ["item_id"], [F.desc_nulls_last("reviewed_at"), F.asc(tie)], n)
 
 
 def _weighting_keys() -> list[tuple[Column, bool]]:
@@ -200,9 +199,12 @@ def digest_line(stars: Column | str, reviewed_at: Column | str, helpful: Column,
     )
 
 
-def review_digest(items: DataFrame, reviews: DataFrame, max_reviews: int = 120) -> DataFrame:
-    """Header and one line per review, newest `max_reviews` of an item in weighting order."""
-    recent = latest_per_item(reviews, max_reviews).drop("rank")
+def review_digest(items: DataFrame, reviews: DataFrame, max_reviews: int | None = None) -> DataFrame:
+    """Header and one line per review in weighting order; with `max_reviews` only an item's newest ones.
+
+    A digest is one text, so an item's lines meet in one row.
+    """
+    recent = reviews if max_reviews is None else latest_per_item(reviews, max_reviews).drop("rank")
     mark = (
         F.when(F.coalesce(F.col("helpful_ranked"), F.lit(False)), "👍")
         .when(F.coalesce(F.col("helpful_count"), F.lit(0)) != 0, F.col("helpful_count").cast("string"))
@@ -210,7 +212,7 @@ def review_digest(items: DataFrame, reviews: DataFrame, max_reviews: int = 120)
     )
     order = [F.desc(k) for k, _ in _weighting_keys()[:2]] + [F.desc_nulls_last("reviewed_at"), F.asc("review_uid")]
     placed = recent.withColumn("_at", F.row_number().over(Window.partitionBy("item_id").orderBy(*order)))
-    lines = placed.groupBy("item_id").agg(  # at most max_reviews rows per item
+    lines = placed.groupBy("item_id").agg(
         F.count("*").alias("n_reviews"),
         F.sort_array(
             F.collect_list(F.struct("_at", digest_line("stars", "reviewed_at", mark, "body").alias("line")))

@@ -80,12 +80,13 @@ def transition(
     error: Column | str | None = None,
     key: str = "item_id",
     insert_missing: bool = True,
+    error_length: int | None = None,
 ) -> DataFrame:
-    """New status for the listed keys; results stay. Messages are stored to 2000 characters."""
+    """New status for the listed keys; results stay. With `error_length`, messages are stored to so many characters."""
     message = F.lit(None).cast("string") if error is None else error if isinstance(error, Column) else F.lit(error)
-    delta = keys_df.select(
-        key, F.lit(status).alias("status"), F.substring(message, 1, S.ERROR_LENGTH).alias("error")
-    ).dropDuplicates([key])
+    if error_length is not None:
+        message = F.substring(message, 1, error_length)
+    delta = keys_df.select(key, F.lit(status).alias("status"), message.alias("error")).dropDuplicates([key])
     if not insert_missing:
         delta = delta.join(base.select(key), key, "left_semi")
     return upsert(base, delta, [key])

@@ -113,15 +113,17 @@ def with_legitimacy(items: DataFrame, analyses: DataFrame) -> DataFrame:
     return joined.withColumn("multiplier", F.coalesce("legitimacy", F.lit(1.0)))
 
 
-def work_queue(dives: DataFrame, items: DataFrame, limit: int = 25) -> DataFrame:
-    """Queued entries, oldest first, with their item."""
+def work_queue(dives: DataFrame, items: DataFrame, limit: int | None = None) -> DataFrame:
+    """Queued entries, oldest first, with their item; with `limit`, the first ones."""
     order = [F.asc_nulls_last("requested_at"), F.asc("item_id")]
-    queued = dives.filter(F.col("status") == "queued").select("item_id", "requested_at").orderBy(*order).limit(limit)
+    queued = dives.filter(F.col("status") == "queued").select("item_id", "requested_at")
+    if limit is not None:
+        queued = queued.orderBy(*order).limit(limit)
     parent = items.select(
         F.col("id").alias("item_id"), "ext_id", "name", "store_category", "rating", "rating_count", "install_count",
         "website",
     )
-    return parent.join(F.broadcast(queued), "item_id").orderBy(*order)  # at most `limit` rows are broadcast
+    return parent.join(queued, "item_id").orderBy(*order)
 
 
 # --- boards: every one ends its sort with a unique column ----------------------------------------
@@ -145,8 +147,10 @@ def highest_rated(items: DataFrame, k: int = 10) -> DataFrame:
     return items.filter(F.col("rating").isNotNull()).orderBy(F.desc("rating"), "id").limit(k)
 
 
-def chart_points(items: DataFrame, k: int = 1500) -> DataFrame:
-    return top_by_installs(items.filter(F.col("rating").isNotNull()), k)
+def chart_points(items: DataFrame, k: int | None = None) -> DataFrame:
+    """Rated items; with `k`, the most installed ones."""
+    rated = items.filter(F.col("rating").isNotNull())
+    return rated if k is None else top_by_installs(rated, k)
 
 
 def top_opportunities(opportunities: DataFrame, k: int = 200) -> DataFrame:
@@ -159,7 +163,7 @@ def helpful_reviews(reviews: DataFrame, items: DataFrame, k: int = 20) -> DataFr
     order = [F.asc_nulls_last("stars"), F.desc_nulls_last("reviewed_at"), F.asc("review_uid")]
     top = flagged.orderBy(*order).limit(k)
     parent = items.select(F.col("id").alias("item_id"), "ext_id", "name", "store_category")
-    return parent.join(F.broadcast(top), "item_id").orderBy(*order)  # at most k rows are broadcast
+    return parent.join(top, "item_id").orderBy(*order)
 
 
 def curated_zone(
@@ -172,7 +176,7 @@ def curated_zone(
     """The most installed zone items, less the dismissed, re-ranked by installs times legitimacy."""
     candidates = zone_candidates(items, fetch)
     kept = candidates.join(dismissed.select(F.col("item_id").alias("id")), "id", "left_anti")
-    scored = with_legitimacy(kept, analyses).withColumn(
+    scored = with_legitimacy(kept, analyses.join(kept.select(F.col("id").alias("item_id")), "item_id", "left_semi")).withColumn(
         "weighted_installs", F.coalesce(F.col("install_count"), F.lit(0)) * F.col("multiplier")
     )
     order = [F.desc("weighted_installs"), F.desc_nulls_last("install_count"), F.asc("id")]
@@ -184,10 +188,11 @@ def dismissed_list(dismissed: DataFrame, items: DataFrame) -> DataFrame:
     return listed.orderBy(F.desc_nulls_last("dismissed_at"), "item_id")
 
 
-def top_revenue(prices: DataFrame, k: int = 2000, order: list[str] | None = None) -> DataFrame:
-    """Price profiles by estimated revenue; with `order`, only an item's last profile counts."""
+def top_revenue(prices: DataFrame, k: int | None = None, order: list[str] | None = None) -> DataFrame:
+    """Price profiles by estimated revenue, the first `k` if given; with `order`, only an item's last profile counts."""
     latest = prices if order is None else last_per_key(prices, ["item_id"], order)
-    return latest.orderBy(F.desc_nulls_last("estimated_monthly_revenue_usd"), "item_id").limit(k)
+    ranked = latest.orderBy(F.desc_nulls_last("estimated_monthly_revenue_usd"), "item_id")
+    return ranked if k is None else ranked.limit(k)
 
 
 def snapshot_deltas(snapshots: DataFrame) -> DataFrame:
@@ -213,6 +218,19 @@ def sort_nulls_last(df: DataFrame, column: str, direction: str = "asc", tie: str
     return df.orderBy(order, F.asc(tie))
 
 
+def place_nulls_last(
+    df: DataFrame, column: str, direction: str = "asc", tie: str = "id", block: int = 4096, place: str = "place"
+) -> DataFrame:
+    """Position of each row in that order, for a whole-number tie; equal values are split into blocks of ties.
+
+    The pieces grow in number with the rows, and no task sorts more than a block of one value.
+    """
+    ties = F.floor(F.col(tie) / block)
+    keyed = df.withColumn("_all", F.lit(1))
+    split = [(F.col(column), direction == "desc"), (ties, False)]
+    return rank_per_key(keyed, ["_all"], split, [F.asc(tie)], place).drop("_all")
+
+
 def sort_opportunities(board: DataFrame, mode: str = "score-desc") -> DataFrame:
     column, direction = mode.rsplit("-", 1)
     key = F.coalesce(F.col("decline_score" if column == "decline" else "score"), F.lit(-1.0))
@@ -286,7 +304,7 @@ def scatter_clusters(
     order = [F.desc("total_ratings"), F.asc("cell_x"), F.asc("cell_y")]
     top = clusters.orderBy(*order).limit(labels).select("cell_x", "cell_y", F.lit(True).alias("_top"))
     return (
-        clusters.join(F.broadcast(top), ["cell_x", "cell_y"], "left")  # at most `labels` rows
+        clusters.join(top, ["cell_x", "cell_y"], "left")
         .select(
             "cell_x", "cell_y", "n", "center_x", "center_y", "total_ratings",
             F.col("rep.id").alias("rep_id"),

@@ -29,11 +29,10 @@ def annotate_items(
     reviews: DataFrame,
     annotator: Callable[[str], dict] = phrase_notes,
     record: T.StructType = NOTES,
-    max_reviews: int = 120,
+    max_reviews: int | None = None,
 ) -> DataFrame:
     """(item_id, status, error, *record): one call per item digest; a failed call is an error row."""
     fields = [f.name for f in record]
-    limit = S.ERROR_LENGTH
     schema = S.columns("item_id long, status string, error string")
     for f in record:
         schema = schema.add(f.name, f.dataType)
@@ -46,7 +45,7 @@ def annotate_items(
                     notes = annotator(digest)
                     out.append((item_id, "done", None, *[notes.get(f) for f in fields]))
                 except Exception as exc:  # one bad item must not end the run
-                    out.append((item_id, "error", str(exc)[:limit], *[None] * len(fields)))
+                    out.append((item_id, "error", str(exc), *[None] * len(fields)))
             yield pd.DataFrame(out, columns=["item_id", "status", "error", *fields], dtype=object)
 
     digests = review_digest(items, reviews, max_reviews).select("item_id", "digest")

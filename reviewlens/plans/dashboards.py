@@ -20,7 +20,7 @@ def opportunity_board(opportunities: DataFrame, items: DataFrame, k: int = 200)
     """Top opportunities with their item."""
     top = zone.top_opportunities(opportunities, k)
     parent = items.select(F.col("id").alias("item_id"), *BOARD_COLUMNS)
-    return parent.join(F.broadcast(top), "item_id")  # at most k rows are broadcast
+    return parent.join(top, "item_id")
 
 
 def _tables(tables: Mapping[str, DataFrame | None], spark) -> dict[str, DataFrame]:
@@ -32,22 +32,23 @@ def _tables(tables: Mapping[str, DataFrame | None], spark) -> dict[str, DataFram
     return {name: ensure_columns(tables.get(name), schema, spark) for name, schema in known.items()}
 
 
-def dashboard(tables: Mapping[str, DataFrame | None], spark) -> dict[str, DataFrame]:
-    """The thirteen datasets of the home page."""
+def dashboard(
+    tables: Mapping[str, DataFrame | None], spark, points: int | None = None, prices: int | None = None
+) -> dict[str, DataFrame]:
+    """The thirteen datasets of the home page; `points` and `prices` limit what those two lists show."""
     t = _tables(tables, spark)
     items, reviews = t["items"], t["reviews"]
-    points = zone.chart_points(items)
     return {
         "zone": zone.curated_zone(items, t["dismissed"], t["analyses"]),
         "lowest": zone.lowest_rated(items),
         "highest": zone.highest_rated(items),
         "opportunities": opportunity_board(t["opportunities"], items),
         "helpful": zone.helpful_reviews(reviews, items),
-        "prices": zone.enrich(zone.top_revenue(t["prices"]), items, ["ext_id"]),
+        "prices": zone.enrich(zone.top_revenue(t["prices"], prices), items, ["ext_id"]),
         "dives": zone.enrich(t["dives"].select("item_id", "status"), items, ["ext_id"]),
-        "points": points,
-        "histogram": zone.rating_histogram(points),
-        "scatter": zone.scatter_clusters(points),
+        "points": zone.chart_points(items, points),
+        "histogram": zone.rating_histogram(items),
+        "scatter": zone.scatter_clusters(items),
         "dismissed": zone.dismissed_list(t["dismissed"], items),
         "categories": zone.category_list(items),
         "health": table_health(
@@ -56,8 +57,10 @@ def dashboard(tables: Mapping[str, DataFrame | None], spark) -> dict[str, DataFr
     }
 
 
-def item_detail(tables: Mapping[str, DataFrame | None], ext_id: str, spark) -> dict[str, DataFrame]:
-    """Everything about one item: filters reach each scan."""
+def item_detail(
+    tables: Mapping[str, DataFrame | None], ext_id: str, spark, reviews: int | None = None
+) -> dict[str, DataFrame]:
+    """Everything about one item: filters reach each scan. `reviews` limits the listed reviews to the newest ones."""
     t = _tables(tables, spark)
     item = t["items"].filter(F.col("ext_id") == ext_id)
     own = item.select(F.col("id").alias("item_id"))
@@ -67,7 +70,7 @@ def item_detail(tables: Mapping[str, DataFrame | None], ext_id: str, spark) -> d
 
     return {
         "item": item,
-        "reviews": latest_per_item(mine(t["reviews"]), 1000),
+        "reviews": latest_per_item(mine(t["reviews"]), reviews),
         "opportunity": mine(t["opportunities"]),
         "price": mine(t["prices"]),
         "dive": mine(t["dives"]),

@@ -77,12 +77,6 @@ def score_opportunities(
     ).withColumn("score", round_half_even(F.col("score"), 1))
 
 
-def _ids(items: DataFrame, limit: int | None) -> DataFrame:
-    """Ids of the items of a run; a limited run has at most `limit` of them, which is what may be broadcast."""
-    ids = items.select(F.col("id").alias("item_id"))
-    return ids if limit is None else F.broadcast(ids)
-
-
 def rank_all(
     items: DataFrame,
     analyses: DataFrame,
@@ -90,16 +84,16 @@ def rank_all(
     reviews: DataFrame,
     opportunities: DataFrame,
     as_of: Column,
-    limit: int | None = 25,
+    limit: int | None = None,
     min_reviews: int = 5,
-    max_reviews: int = 120,
+    max_reviews: int | None = None,
     force: bool = False,
     model: str = "rules",
 ) -> DataFrame:
     """The opportunities table after a run over the most installed items, new ones only unless forced."""
     candidates = items if limit is None else top_by_installs(items, limit)
     todo = select_for_analysis(candidates, opportunities, force)
-    mine = reviews.join(_ids(todo, limit), "item_id", "left_semi")
+    mine = reviews.join(todo.select(F.col("id").alias("item_id")), "item_id", "left_semi")
     recent = latest_per_item(mine, max_reviews, min_reviews)
     enough = recent.select(F.col("item_id").alias("id")).distinct()
     rows = score_opportunities(
@@ -114,18 +108,19 @@ def review_analysis_rows(
     reports: DataFrame,
     causes: DataFrame,
     stored: DataFrame,
-    limit: int | None = 25,
+    limit: int | None = None,
     min_reviews: int = 5,
-    max_reviews: int = 120,
+    max_reviews: int | None = None,
     force: bool = False,
     model: str = "rules",
 ) -> DataFrame:
     """The review-analysis table after screening zone items; a failed report becomes an error row."""
     todo = select_for_analysis(zone_candidates(items, limit), stored, force)
-    ids = _ids(todo, limit)
+    ids = todo.select(F.col("id").alias("item_id"))
     # Counting combines before the shuffle; only a short list of items is worth a filter ahead of it.
     mine = reviews if limit is None else reviews.join(ids, "item_id", "left_semi")
-    counts = mine.groupBy("item_id").agg(F.least(F.count("*"), F.lit(max_reviews)).alias("reviews_analyzed"))
+    analyzed = F.count("*") if max_reviews is None else F.least(F.count("*"), F.lit(max_reviews))
+    counts = mine.groupBy("item_id").agg(analyzed.alias("reviews_analyzed"))
     screened = (
         reports.join(ids, "item_id", "left_semi")
         .join(counts.filter(F.col("reviews_analyzed") >= min_reviews), "item_id")
@@ -139,8 +134,6 @@ def review_analysis_rows(
             "primary_cause", "verdict", F.lit(None).cast("string").alias("error"),
         )
     )
-    failed = screened.filter(F.col("error").isNotNull()).select(
-        "item_id", F.lit("error").alias("status"), F.substring("error", 1, S.ERROR_LENGTH).alias("error")
-    )
+    failed = screened.filter(F.col("error").isNotNull()).select("item_id", F.lit("error").alias("status"), "error")
     table = upsert(ensure_columns(stored, S.REVIEW_ANALYSIS), done, ["item_id"])
     return upsert(table, failed, ["item_id"])

@@ -72,8 +72,14 @@ def parse_study_reports(
     braces = F.regexp_extract(unfenced, r"(?s)(\{.*\})", 1)
     wide = wide.withColumn("_data", F.coalesce(F.try_parse_json(_strip(unfenced)), F.try_parse_json(braces)))
     narrative = F.when(has, _strip(F.substring_index("_raw", start, 1))).otherwise(_strip(F.col("_raw")))
-    usable = F.col("_data").isNotNull() & ~F.is_variant_null("_data")
     data = F.col("_data")
+    # Null, false, zero and the empty text are no data.
+    bare = F.coalesce(F.to_json(data), F.lit(""))
+    usable = (bare != "") & ~bare.isin("null", "false", '""') & ~bare.rlike(r"^-?0(\.0*)?([eE][+-]?\d+)?$")
+    kind = F.schema_of_variant(data)
+    details = F.when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), bare)
+    money = F.try_variant_get(data, "$.financials", "variant")
+    money_kind = F.schema_of_variant(money)
     return wide.select(
         *keep,
         F.when(narrative != "", narrative).otherwise(_strip(F.col("_raw"))).alias("report_md"),
@@ -84,9 +90,10 @@ def parse_study_reports(
         _records(data, "competitors", COMPETITOR_FIELDS, ("name",)).alias("competitors"),
         _records(data, "opportunities", OPPORTUNITY_FIELDS, ("title", "detail")).alias("opportunities"),
         F.coalesce(
-            F.to_json(F.try_variant_get(data, "$.financials", "variant")), F.lit("{}")
+            F.when(money_kind.startswith("OBJECT") | money_kind.startswith("ARRAY"), F.to_json(money)), F.lit("{}")
         ).alias("financials"),
         _strings(data, "sources").alias("sources"),
+        F.coalesce(details, F.lit("{}")).alias("details"),
         F.when(~has, NO_BLOCK).when(~usable, BAD_BLOCK).alias("parse_warning"),
     )
 
@@ -98,7 +105,7 @@ def study_rows(parsed: DataFrame, stored: DataFrame, as_of: Column, model: str =
         "report_md",
         F.when(F.col("summary") != "", F.col("summary")).alias("summary"),
         F.when(F.col("recommendation") != "", F.col("recommendation")).alias("recommendation"),
-        "target_strengths", "target_weaknesses", "competitors", "opportunities", "financials", "sources",
+        "target_strengths", "target_weaknesses", "competitors", "opportunities", "financials", "sources", "details",
         "parse_warning", F.lit(None).cast("string").alias("error"),
     )
     return upsert(stored, delta.select(*[c for c in delta.columns if c in stored.columns]), ["item_id", "layer"])
@@ -113,22 +120,20 @@ def competitors(dives: DataFrame) -> DataFrame:
 
 def facts_block(items: DataFrame) -> DataFrame:
     """The facts of an item as text lines; missing facts are left out."""
-
-    def line(label: str, value: Column) -> Column:
-        return F.when(value.isNotNull() & (value != ""), F.concat(F.lit(f"- {label}: "), value))
-
     rating = F.format_number(F.col("rating").cast("double"), 1)
     ratings = F.coalesce(F.format_number("rating_count", 0), F.lit("?"))
     store = F.coalesce(
         F.when(F.col("listing_url") != "", F.col("listing_url")) if "listing_url" in items.columns else F.lit(None),
         F.concat(F.lit("https://chromewebstore.google.com/detail/"), F.col("ext_id")),
     )
-    lines = [
-        line("Name", F.col("name")),
-        line("Developer", F.col("developer")),
-        line("Category", F.col("store_category")),
-        line("Store rating", F.concat(rating, F.lit("★ ("), ratings, F.lit(" ratings)"))),
-        line("Installs", F.format_number("install_count", 0)),
-        line("Chrome Web Store listing", store),
-    ]
+    facts = {
+        "Name": F.col("name"),
+        "Developer": F.col("developer"),
+        "Category": F.col("store_category"),
+        "Store rating": F.concat(rating, F.lit("★ ("), ratings, F.lit(" ratings)")),
+        "Installs": F.format_number("install_count", 0),
+        "Chrome Web Store listing": store,
+    }
+    # Concatenation with null is null, and concat_ws passes nulls over.
+    lines = [F.concat(F.lit(f"- {label}: "), F.nullif(value, F.lit(""))) for label, value in facts.items()]
     return items.select(F.col("id").alias("item_id"), F.concat_ws("\n", *lines).alias("facts"))

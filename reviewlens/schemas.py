@@ -97,7 +97,7 @@ REVIEW_ANALYSIS = columns(
     "primary_cause string, verdict string, error string"
 )
 DIVES = columns("item_id long, status string, requested_at date, error string")
-STUDIES = columns("item_id long, layer int, status string")
+STUDIES = columns("item_id long, layer int, status string, details string")
 DISMISSED = columns("item_id long, reason string, dismissed_at date")
 PRICES = columns(
     "item_id long, pricing_model string, makes_money boolean, has_paid_tier boolean, price_min_usd double, "

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
@@ -27,19 +25,12 @@ def local_session(cores: int | str = "*", app: str = "reviewlens", **conf: str)
 
 
 def use_checkpoints(spark: SparkSession) -> None:
-    """Point the context at the shared checkpoint folder the cluster names.
-
-    A folder on this machine is only a fallback for sessions that name none and run in local mode.
-    """
+    """Point the context at the shared checkpoint folder the cluster names; without one, below the shared warehouse."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get(CHECKPOINT_CONF, None)
-    if named is None:
-        if not context.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_CONF} to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="reviewlens-checkpoint-")
-    context.setCheckpointDir(named)
+    context.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

@@ -96,7 +96,7 @@ def candidate_days(
     charges: DataFrame, orders: DataFrame, window: int = S.CHARGE_AFTER_DAYS, back: int = S.CHARGE_BACK_DAYS,
     delay_days: int = 7,
 ) -> DataFrame:
-    """Per charge and order day in its window: orders of that amount on that day and the lowest order id.
+    """Per charge and day of its window: orders of that amount on that day and the lowest order id.
 
     Orders are counted per (amount, day) and charges ask for each day of their window, so both sides meet on
     (amount, day): a common amount is spread over its days and no charge-order pairs are formed.
@@ -114,8 +114,9 @@ def candidate_days(
         .withColumn("asked", F.window("asked_ts", "1 day"))
         .select("txn_id", (-F.col("amount_cents")).alias("cents"), "offset", "asked")
     )
-    met = asked.join(days, (F.col("cents") == F.col("order_cents")) & (F.col("asked") == F.col("w")))
-    return met.select("txn_id", F.col("offset").alias("day_diff"), "n", "order_id")
+    # Days without an order come out too, once the watermark has passed them, so that unmatched charges are known.
+    met = asked.join(days, (F.col("cents") == F.col("order_cents")) & (F.col("asked") == F.col("w")), "left")
+    return met.select("txn_id", F.col("offset").alias("day_diff"), F.coalesce("n", F.lit(0)).alias("n"), "order_id")
 
 
 def stream_match(charges: DataFrame, orders: DataFrame, store: str, checkpoint: str, **options) -> None:
@@ -124,7 +125,9 @@ def stream_match(charges: DataFrame, orders: DataFrame, store: str, checkpoint:
 
 
 def matched_charges(met: DataFrame) -> DataFrame:
-    """Candidate count, closest order and status of every charge that met an order day."""
-    closest = first_per_key(met, ["txn_id"], [F.abs("day_diff"), "order_id"], {"candidate_count": F.sum("n")})
-    status: Column = F.when(F.col("candidate_count") == 1, "auto").otherwise("review")
-    return closest.drop("n").withColumn("status", status)
+    """Candidate count, closest order and status of every charge; without a candidate it is unmatched."""
+    order = [F.col("order_id").isNull(), F.abs("day_diff"), F.col("order_id")]
+    closest = first_per_key(met, ["txn_id"], order, {"candidate_count": F.sum("n")})
+    found = F.col("candidate_count") > 0
+    status: Column = F.when(~found, "unmatched").when(F.col("candidate_count") == 1, "auto").otherwise("review")
+    return closest.drop("n").withColumns({"status": status, "day_diff": F.when(found, F.col("day_diff"))})

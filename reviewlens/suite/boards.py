@@ -49,7 +49,7 @@ shared("c_points", POINTS)
 
 @case("chart_points", "select * from {c_points}")
 def chart_points(d: Data):
-    return Z.chart_points(d.items).select("id", "ext_id", "rating", "rating_count", "install_count")
+    return Z.chart_points(d.items, 1500).select("id", "ext_id", "rating", "rating_count", "install_count")
 
 
 @case(
@@ -93,7 +93,7 @@ select item_id, pricing_model, estimated_monthly_revenue_usd from {v_prices}
 order by estimated_monthly_revenue_usd desc nulls last, item_id limit 2000""",
 )
 def top_revenue(d: Data):
-    return Z.top_revenue(d.table("v_prices")).select("item_id", "pricing_model", "estimated_monthly_revenue_usd")
+    return Z.top_revenue(d.table("v_prices"), 2000).select("item_id", "pricing_model", "estimated_monthly_revenue_usd")
 
 
 @case(
@@ -103,7 +103,7 @@ select item_id, cast(requested_at as varchar) as requested_at, ext_id, rating fr
 where status = 'queued' order by v.requested_at, item_id limit 25""",
 )
 def work_queue(d: Data):
-    rows = Z.work_queue(d.table("v_dives"), d.items)
+    rows = Z.work_queue(d.table("v_dives"), d.items, 25)
     return rows.select("item_id", F.col("requested_at").cast("string").alias("requested_at"), "ext_id", "rating")
 
 
@@ -124,11 +124,27 @@ shared(
 select *, cast(floor(x / 8e0 + 5e-1) as int) as cell_x, cast(floor(y / 8e0 + 5e-1) as int) as cell_y from (
   select p.*, 46e0 + (greatest(1e0, least(5e0, rating)) - 1e0) / 4e0 * 420e0 as x,
     16e0 + 194e0 - (log10(install_count) - lo) / case when hi = lo then 1e0 else hi - lo end * 194e0 as y
-  from {c_points} p cross join (select log10(min(install_count)) as lo, log10(max(install_count)) as hi from {c_points} where install_count > 0)
-  where install_count > 0)""",
+  from {v_items} p cross join (select log10(min(install_count)) as lo, log10(max(install_count)) as hi from {v_items}
+    where install_count > 0 and rating is not null)
+  where install_count > 0 and rating is not null)""",
 )
 
 
+@case("scatter_members", "select cell_x, cell_y, id, ext_id, rating_count from {c_placed}")
+def scatter_members(d: Data):
+    return Z.scatter_members(d.items)
+
+
+@case(
+    "scatter_ticks",
+    """
+select cast(t as int) as tick, case t when 0 then lo when 1 then (lo + hi) / 2 else hi end as log_installs
+from (select log10(min(install_count)) as lo, log10(max(install_count)) as hi from {v_items} where install_count > 0 and rating is not null), range(3) r(t)""",
+)
+def scatter_ticks(d: Data):
+    return Z.scatter_ticks(d.items)
+
+
 @case(
     "scatter_clusters",
     """
@@ -143,5 +159,5 @@ select cell_x, cell_y, n, round(cx, 6) as center_x, round(cy, 6) as center_y, to
 from c""",
 )
 def scatter_clusters(d: Data):
-    rows = Z.scatter_clusters(Z.chart_points(d.items))
+    rows = Z.scatter_clusters(d.items)
     return rows.withColumns({c: F.round(c, 6) for c in ("center_x", "center_y", "radius")})

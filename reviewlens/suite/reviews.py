@@ -11,7 +11,7 @@ from reviewlens.functions.labels import low_legitimacy, recency_label, trend_lab
 from reviewlens.operators import reviews as R
 from reviewlens.operators import zone as Z
 from reviewlens.plans import annotate, dashboards, scoring
-from reviewlens.suite.registry import case, shared
+from reviewlens.suite.registry import SHARED, case, shared
 
 AS_OF = "date '2000-06-30'"
 AGE = f"date_diff('day', reviewed_at, {AS_OF})"
@@ -97,6 +97,21 @@ left join {{c_recency}} r on i.id = r.item_id left join {{c_trend}} t on i.id =
 shared("c_scored", SCORED)
 
 
+#: The same signals and scores over the newest 20 reviews of each item.
+shared(
+    "c_newest",
+    """
+select * exclude (rn) from (
+  select *, row_number() over (partition by item_id order by reviewed_at desc nulls last, review_uid) as rn from {v_reviews})
+where rn <= 20""",
+)
+for _name in ("signals", "recency", "trend", "scored"):
+    _text = SHARED[f"c_{_name}"].replace("{v_reviews}", "{c_newest}")
+    for _part in ("signals", "recency", "trend"):
+        _text = _text.replace(f"{{c_{_part}}}", f"{{c_{_part}_newest}}")
+    shared(f"c_{_name}_newest", _text)
+
+
 def _flat(df):
     return df.withColumn("wtp_evidence", F.array_join("wtp_evidence", "|"))
 
@@ -127,10 +142,10 @@ def legitimacy(d: Data):
 select item_id, review_uid, rank from (
   select *, count(*) over (partition by item_id) as have from (
     select item_id, review_uid, cast(row_number() over (partition by item_id order by reviewed_at desc nulls last, review_uid) as int) as rank
-    from {v_reviews}) where rank <= 120) where have >= 30""",
+    from {v_reviews}) where rank <= 20) where have >= 15""",
 )
 def latest_reviews(d: Data):
-    return R.latest_per_item(d.reviews, 120, 30).select("item_id", "review_uid", "rank")
+    return R.latest_per_item(d.reviews, 20, 15).select("item_id", "review_uid", "rank")
 
 
 @case(
@@ -226,19 +241,16 @@ def score_opportunities(d: Data):
 @case(
     "rank_all",
     f"""
-with recent as (
-  select * from (select *, row_number() over (partition by item_id order by reviewed_at desc nulls last, review_uid) as rn
-    from {{v_reviews}}) where rn <= 120),
-enough as (select item_id from recent group by item_id having count(*) >= 5),
+with enough as (select item_id from {{c_newest}} group by item_id having count(*) >= 5),
 stored as (select item_id, cast(1 as double) as score from {{v_dives}} where status = 'done'),
-fresh as (select s.* from {{c_scored}} s join enough e on s.item_id = e.item_id where s.item_id not in (select item_id from stored))
+fresh as (select s.* from {{c_scored_newest}} s join enough e on s.item_id = e.item_id where s.item_id not in (select item_id from stored))
 select item_id, score, top_complaint, demand_intensity, recency_weight, decline_score from fresh
 union all select item_id, score, null, null, null, null from stored""",
 )
 def rank_all(d: Data):
     stored = d.table("v_dives").filter("status = 'done'").select("item_id", F.lit(1.0).alias("score"))
     rows = scoring.rank_all(
-        d.items, d.table("v_analyses"), d.clusters, d.reviews, stored, d.as_of, limit=None
+        d.items, d.table("v_analyses"), d.clusters, d.reviews, stored, d.as_of, max_reviews=20
     )
     return rows.select("item_id", "score", "top_complaint", "demand_intensity", "recency_weight", "decline_score")
 
@@ -255,12 +267,12 @@ def incremental_select(d: Data):
 @case(
     "review_analysis_rows",
     """
-with counts as (select item_id, least(count(*), 120) as n from {v_reviews} group by item_id having count(*) >= 5),
+with counts as (select item_id, least(count(*), 20) as n from {v_reviews} group by item_id having count(*) >= 5),
 zone as (select id from {v_items} where rating between 25e-1 and 35e-1)
 select r.item_id, case when r.error is null then 'done' else 'error' end as status,
   case when r.error is null then 'rules' end as model, case when r.error is null then c.n end as reviews_analyzed,
   case when r.error is null then l.legitimacy end as legitimacy, case when r.error is null then r.primary_cause end as primary_cause,
-  case when r.error is null then r.verdict end as verdict, left(r.error, 2000) as error
+  case when r.error is null then r.verdict end as verdict, r.error
 from {v_reports} r join zone z on r.item_id = z.id join counts c on r.item_id = c.item_id
 join {c_legitimacy} l on r.item_id = l.item_id
 where r.item_id not in (select item_id from {v_dismissed})
@@ -269,7 +281,7 @@ union all select item_id, 'done', 'before', null, null, null, null, null from {v
 def review_analysis_rows(d: Data):
     stored = d.table("v_dismissed").select("item_id", F.lit("done").alias("status"), F.lit("before").alias("model"))
     return scoring.review_analysis_rows(
-        d.items, d.reviews, d.table("v_reports"), d.table("v_causes"), stored, limit=None
+        d.items, d.reviews, d.table("v_reports"), d.table("v_causes"), stored, max_reviews=20
     )
 
 
@@ -293,7 +305,7 @@ def signal_labels(d: Data):
     """
 with recent as (
   select *, row_number() over (partition by item_id order by helpful_ranked desc, helpful_count desc, reviewed_at desc nulls last, review_uid) as place
-  from (select *, row_number() over (partition by item_id order by reviewed_at desc nulls last, review_uid) as rn from {v_reviews}) where rn <= 120),
+  from (select *, row_number() over (partition by item_id order by reviewed_at desc nulls last, review_uid) as rn from {v_reviews}) where rn <= 20),
 lines as (
   select item_id, count(*) as n_reviews, string_agg(concat('- ', stars, '★ | ', coalesce(cast(reviewed_at as varchar), '?'), ' | ',
     case when helpful_ranked then '👍' when helpful_count <> 0 then cast(helpful_count as varchar) else '' end, ' | ',
@@ -304,7 +316,7 @@ select item_id, n_reviews, concat('Item: ', name, chr(10), 'Category: ', store_c
 from {v_items} join lines on id = item_id""",
 )
 def review_digest(d: Data):
-    return R.review_digest(d.items, d.reviews)
+    return R.review_digest(d.items, d.reviews, 20)
 
 
 @case(
@@ -313,13 +325,13 @@ def review_digest(d: Data):
 with recent as (
   select *, row_number() over (partition by item_id order by helpful_ranked desc, helpful_count desc, reviewed_at desc nulls last, review_uid) as place,
     (body like 'If sync%' or body like 'I wish it%' or body like 'Almost%') as wants
-  from (select *, row_number() over (partition by item_id order by reviewed_at desc nulls last, review_uid) as rn from {v_reviews}) where rn <= 120)
+  from (select *, row_number() over (partition by item_id order by reviewed_at desc nulls last, review_uid) as rn from {v_reviews}) where rn <= 20)
 select item_id, 'done' as status, cast(null as varchar) as error, cast(count(*) as int) as n_lines, cast(count(*) filter (where wants) as int) as n_demand,
   arg_min(trim(regexp_replace(body, '\\s+', ' ', 'g')), place) filter (where wants) as first_quote
 from recent group by item_id""",
 )
 def annotate_items(d: Data):
-    return annotate.annotate_items(d.items, d.reviews)
+    return annotate.annotate_items(d.items, d.reviews, max_reviews=20)
 
 
 @case(
@@ -362,6 +374,34 @@ def item_detail(d: Data):
     return out.withColumn("rating", F.col("rating").cast("double"))
 
 
+@case(
+    "single_item_detail",
+    """
+select 'item' as part, cast(id as varchar) as key from {v_items} where ext_id = 'item42'
+union all select 'review', review_uid from (select * from {v_reviews} where item_id = 42 order by reviewed_at desc nulls last, review_uid limit 5)
+union all select 'opportunity', top_complaint from {c_scored} where item_id = 42
+union all select 'dive', status from {v_dives} where item_id = 42
+union all select 'price', pricing_model from {v_prices} where item_id = 42""",
+)
+def single_item_detail(d: Data):
+    tables = {
+        "items": d.items.withColumn("rating", F.col("rating").cast("decimal(2,1)")), "reviews": d.reviews,
+        "opportunities": d.scored(), "prices": d.table("v_prices"), "dives": d.table("v_dives"),
+        "analyses": d.analyses(), "studies": d.table("v_studies"),
+    }
+    parts = dashboards.item_detail(tables, "item42", d.spark, reviews=5)
+    shown = {
+        "item": ("item", F.col("id").cast("string")), "review": ("reviews", F.col("review_uid")),
+        "opportunity": ("opportunity", F.col("top_complaint")), "dive": ("dive", F.col("status")),
+        "price": ("price", F.col("pricing_model")),
+    }
+    out = None
+    for name, (part, key) in shown.items():
+        rows = parts[part].select(F.lit(name).alias("part"), key.alias("key"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @case(
     "snapshot_deltas",
     """

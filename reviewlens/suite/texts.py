@@ -19,7 +19,7 @@ from reviewlens.suite.registry import case, shared
 select id, case turn when 0 then install_count when 1 then 1000000 + (id % 10) * 100000 when 2 then null else (id % 90 + 1) * 1000 end as installs,
   case when turn < 3 then rating else null end as rating,
   cast(case turn when 0 then rating_count when 1 then 1200 else null end as bigint) as ratings,
-  cast(case turn when 0 then case id % 5 when 0 then 0 else id % 5 end when 1 then 2 when 2 then 4 else null end as int) as raw_stars,
+  cast(case turn when 0 then nullif(id % 5, 0) when 1 then 2 when 2 then 4 else null end as int) as raw_stars,
   case when turn < 2 then concat('1.', id, '.0-b') else null end as version
 from (select *, id % 4 as turn from {v_items})""",
 )
@@ -40,12 +40,10 @@ def parse_counts(d: Data):
         F.when(turn == 0, F.concat(F.lit("Version 1."), key, F.lit(".0-b "))).when(turn == 1, F.concat(F.lit("version: 1."), key, F.lit(".0-b")))
         .otherwise("Versions differ").alias("f"),
     )
-    # A label of no stars is not a rating, so it is null rather than zero.
     return rows.select(
         "id", P.parse_install_count("a").alias("installs"), P.parse_rating("b").alias("rating"),
         P.parse_rating_count("c").alias("ratings"),
-        F.when((turn == 0) & (F.col("id") % 5 == 0), F.coalesce(P.parse_star_label("e"), F.lit(0)))
-        .otherwise(P.parse_star_label("e")).alias("raw_stars"),
+        P.parse_star_label("e").alias("raw_stars"),
         P.parse_version("f").alias("version"),
     )
 
@@ -55,7 +53,7 @@ def parse_counts(d: Data):
     """
 select review_uid, cast(case helpful_count % 8 when 0 then reviewed_at when 1 then reviewed_at when 2 then reviewed_at when 3 then reviewed_at
     when 4 then date '2000-06-30' - stars * 7 when 5 then date '2000-06-30' - stars * 30 when 6 then date '2000-06-30' else null end as varchar) as parsed,
-  cast(case when helpful_count % 3 < 2 then reviewed_at else null end as varchar) as normalized
+  cast(case when stars = 5 then null else reviewed_at end as varchar) as normalized
 from {v_reviews}""",
 )
 def parse_dates(d: Data):
@@ -68,12 +66,14 @@ def parse_dates(d: Data):
         .when(turn == 4, F.concat(F.lit("Updated "), n, F.lit(" weeks ago")))
         .when(turn == 5, F.concat(n, F.lit(" Months ago")))
         .when(turn == 6, F.concat(n, F.lit(" hours ago")))
-        .otherwise("a while back")
+        .otherwise(F.concat(F.lit("99999999"), n, F.lit("999 years ago")))
     )
-    other = F.col("helpful_count") % 3
+    other = F.col("helpful_count") % 6
     export = (
-        F.when(other == 0, F.concat(F.lit(" "), day.cast("string"), F.lit("T08:30:00Z")))
-        .when(other == 1, F.date_format(day, "M/d/yyyy")).otherwise("not a date")
+        F.when(F.col("stars") == 5, "not a date").when(other == 0, F.concat(F.lit(" "), day.cast("string"), F.lit("T08:30:00Z")))
+        .when(other == 1, F.date_format(day, "M/d/yyyy")).when(other == 2, F.date_format(day, "d MMMM yyyy"))
+        .when(other == 3, F.date_format(day, "yyyy/MM/dd")).when(other == 4, F.date_format(day, "MMM d yyyy"))
+        .otherwise(F.date_format(day, "EEE, d MMM yyyy"))
     )
     texts = d.reviews.select("review_uid", text.alias("text"), export.alias("export"))
     return texts.select(
@@ -240,11 +240,25 @@ def extract_links(d: Data):
     )
     sub = F.when(F.col("page_id") % 3 == 0, "art").when(F.col("page_id") % 3 == 1, "news").otherwise("fun")
     nav = F.concat(F.lit('<a href="/category/extensions/lifestyle/'), sub, F.lit('/">c</a><a href="/category/extensions/lifestyle/'), sub, F.lit('">d</a>'))
-    rows = d.table("pages").select("page_id", ids.alias("ids"))
-    built = rows.select("page_id", F.get("ids", F.lit(0)).alias("ext_id"), F.concat(F.array_join(links, "\n"), nav).alias("html"))
+    rows = d.table("pages").select("page_id", ids.alias("ids"), "html")
+    built = rows.select(
+        "page_id", F.get("ids", F.lit(0)).alias("ext_id"), F.concat("html", F.array_join(links, "\n"), nav).alias("html")
+    )
     return G.extract_links(built)
 
 
+@case(
+    "first_named_ids",
+    """
+select id, page_id, cast(i - 1 as int) as position from (
+  select id, page_id, i, row_number() over (partition by id order by page_id, i) as rn from {c_links}) where rn = 1""",
+)
+def first_named_ids(d: Data):
+    words = F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1))
+    ids = F.transform(words, lambda w: F.translate(F.md5(w), "0123456789abcdef", "abcdefghijklmnop"))
+    return G.distinct_in_order(d.table("pages").select("page_id", ids.alias("ids")), "page_id", "ids").select("id", "page_id", "position")
+
+
 MARKED = """select page_id, case page_id % 5 when 0 then concat(url, '/ap/signin') else url end as url,
   concat(html, case page_id % 4 when 0 then '<div class="box order-card js-order-card">Order placed June 3, 1999 Total $1,234.56 114-1234567-1234567</div><div class="order-card">Order  placed</div>'
     when 1 then '<div class="a order-card">grand total $5.00</div><script type="application/json">{"orderTotal":1}</script>' when 2 then 'order placed 1999-06-03 noscript' else '' end) as html
@@ -328,17 +342,19 @@ def json_shape(d: Data):
 
 def _reports(d: Data):
     key, lang, src = F.col("doc_id").cast("string"), F.col("lang"), F.col("source")
+    turn = F.col("doc_id") % 4
     data = F.concat(
         F.lit('{"summary":" About '), src, F.lit(' ","recommendation":"BUILD","target_strengths":"fast","target_weaknesses":["slow",null," old '), lang,
         F.lit(' "],"competitors":[{"name":" Rival '), src, F.lit(' ","url":"https://r.example/'), key, F.lit('","pricing":5},"Plain '), lang,
-        F.lit('",{"url":"nameless"}],"opportunities":[{"title":"","detail":"d '), lang, F.lit('"},{"evidence":"only"},"idea"],"financials":{"usd":12},"sources":["'),
+        F.lit('",{"url":"nameless"}],"opportunities":[{"title":"","detail":"d '), lang, F.lit('"},{"evidence":"only"},"idea"],"financials":'), F.when(turn == 0, F.lit('{"usd":12}')).when(turn == 1, F.lit('[1,2]')).when(turn == 2, F.lit("null")).otherwise(F.lit("5")), F.lit(',"sources":["'),
         src, F.lit('","  "]}'),
     )
     start, end = F.lit(U.DATA_START), F.lit(U.DATA_END)
     text = (
         F.when(lang == "en", F.concat("text", F.lit("\n"), start, F.lit("\n```json\n"), data, F.lit("\n```\n"), end, F.lit(" bye")))
         .when(lang == "fr", F.concat("text", F.lit("\r\n"), start, F.lit("Here it is: "), data, F.lit(" thanks")))
-        .when(lang == "de", F.concat("text", start, F.lit('{"broken'), end)).otherwise(F.col("text"))
+        .when(lang == "de", F.concat("text", start, F.when(turn == 0, "0").when(turn == 1, "false").when(turn == 2, '""').otherwise('{"broken'), end))
+        .otherwise(F.col("text"))
     )
     return U.parse_study_reports(d.table("documents").select("doc_id", text.alias("text")))
 
@@ -352,7 +368,8 @@ PLAIN = "regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '^\\s+|\\s+$
 select doc_id, {PLAIN} as report_md, case when good then concat('About ', source) else '' end as summary, case when good then 'build' else '' end as recommendation,
   case when good then 'fast' else '' end as strengths, case when good then concat('slow|old ', lang) else '' end as weaknesses,
   case when good then concat('Rival ', source, '~https://r.example/', doc_id, '~5|Plain ', lang, '~~') else '' end as competitors,
-  case when good then concat('~d ', lang, '|idea~') else '' end as opportunities, case when good then '{{"usd":12}}' else '{{}}' end as financials,
+  case when good then concat('~d ', lang, '|idea~') else '' end as opportunities, case when good and doc_id % 4 = 0 then '{{"usd":12}}' when good and doc_id % 4 = 1 then '[1,2]' else '{{}}' end as financials,
+  case when good then concat('About ', source) else '' end as detail,
   case when good then source else '' end as sources,
   case lang when 'de' then '{U.BAD_BLOCK}' when 'es' then '{U.NO_BLOCK}' end as parse_warning
 from (select *, lang in ('en', 'fr') as good from {{documents}})""",
@@ -364,7 +381,8 @@ def parse_study_reports(d: Data):
     return _reports(d).select(
         "doc_id", "report_md", "summary", "recommendation", F.array_join("target_strengths", "|").alias("strengths"),
         F.array_join("target_weaknesses", "|").alias("weaknesses"), joined("competitors", "name", "url", "pricing").alias("competitors"),
-        joined("opportunities", "title", "detail").alias("opportunities"), "financials", F.array_join("sources", "|").alias("sources"), "parse_warning",
+        joined("opportunities", "title", "detail").alias("opportunities"), "financials",
+        F.coalesce(F.trim(F.get_json_object("details", "$.summary")), F.lit("")).alias("detail"), F.array_join("sources", "|").alias("sources"), "parse_warning",
     )
 
 

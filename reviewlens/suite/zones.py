@@ -13,12 +13,12 @@ from reviewlens.operators import zone as Z
 from reviewlens.suite.registry import case, shared
 
 ZONE = "coalesce(rating between 25e-1 and 35e-1, false)"
-shared("c_saved", "select item_id, count(*) as saved from {v_reviews} where stars <= 2 and reviewed_at > date '2001-06-01' group by item_id")
+shared("c_saved", "select item_id, count(*) as saved from {v_reviews} group by item_id")
 
 
 def _saved(d: Data):
-    """Items with their count of fresh complaints; some items have none."""
-    return Z.with_saved_count(d.items, d.reviews.filter("stars <= 2 and reviewed_at > date '2001-06-01'"))
+    """Items with their count of saved reviews."""
+    return Z.with_saved_count(d.items, d.reviews)
 
 
 @case("zone_candidates", f"select id, ext_id, rating, install_count from {{v_items}} where {ZONE}")
@@ -37,7 +37,7 @@ def fetch_gate(d: Data):
 @case(
     "freshness_skip",
     """
-select id, coalesce(saved >= 2 and rating_count <= prior, false) as fresh
+select id, coalesce(saved >= 30 and rating_count <= prior, false) as fresh
 from (select i.id, i.rating_count, coalesce(s.saved, 0) as saved,
     case when i.rating > 45e-1 then null else i.rating_count + i.id % 3 - 1 end as prior
   from {v_items} i left join {c_saved} s on i.id = s.item_id)""",
@@ -45,7 +45,7 @@ from (select i.id, i.rating_count, coalesce(s.saved, 0) as saved,
 def freshness_skip(d: Data):
     prior = F.when(F.col("rating") > 4.5, F.lit(None)).otherwise(F.col("rating_count") + F.col("id") % 3 - 1)
     # A null rating is not above 4.5, so its prior count is known.
-    return _saved(d).select("id", Z.reviews_are_fresh(F.col("rating_count"), prior, F.col("saved"), 2).alias("fresh"))
+    return _saved(d).select("id", Z.reviews_are_fresh(F.col("rating_count"), prior, F.col("saved"), 30).alias("fresh"))
 
 
 @case(
@@ -62,7 +62,7 @@ def plan_fetch(d: Data):
     return missing.unionByName(Z.plan_fetch(wanted, d.items, cutoff).withColumn("why", F.lit("stale")))
 
 
-WANTED = """select ext_id from {v_items} where store_category <> 'PROMO'
+WANTED = """select ext_id from {v_items}
 union all select concat('supplier', cast(s_suppkey as varchar(20))) from {supplier}"""
 shared("c_wanted", WANTED)
 
@@ -100,17 +100,10 @@ def zone_filter(d: Data):
 @case(
     "zone_sorted",
     f"""
-select id, rating, cast(row_number() over (order by rating desc nulls last, id) as int) as place from (
-  select * from {{v_items}} where install_count >= 1000)""",
+select id, rating, cast(row_number() over (order by rating desc nulls last, id) as int) as place from {{v_items}}""",
 )
 def zone_sorted(d: Data):
-    kept = Z.filter_zone(d.items, 1_000)
-    ordered = Z.sort_nulls_last(kept, "rating", "desc").select("id", "rating")
-    # The position in the sorted rows: ranked per rating value, so no task sees them all.
-    from reviewlens.operators.ordered import rank_per_key
-
-    keyed = ordered.withColumn("all", F.lit(1))
-    return rank_per_key(keyed, ["all"], [(F.col("rating"), True)], [F.asc("id")], "place").select("id", "rating", "place")
+    return Z.place_nulls_last(d.items.select("id", "rating"), "rating", "desc").select("id", "rating", "place")
 
 
 @case(
