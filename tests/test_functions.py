@@ -58,7 +58,7 @@ MERCHANTS = [
     ("Amazonian tours", False), ("", False), (None, False),
 ]
 LABELS = [
-    ("Hello, Derrick", "Derrick"), ("Hola  Ana  Maria", "Ana Maria"), ("Hello, sign in", None), ("Account & Lists", None), ("Hello,", None),
+    ("Hello, Quillon", "Quillon"), ("Hola  Ana  Maria", "Ana Maria"), ("Hello, sign in", None), ("Account & Lists", None), ("Hello,", None),
     ("Sam", "Sam"), (None, None),
 ]
 
@@ -173,3 +173,19 @@ def test_money_status(spark):
 def test_day_diff(one):
     assert one(P.day_diff, "2024-01-01", "2024-01-11") == 10
     assert one(P.day_diff, "x", "2024-01-11") is None
+
+
+def test_oversized_numbers_are_null(one):
+    as_of = F.lit("2024-10-01").cast("date")
+    assert one(lambda t: P.parse_date(t, as_of), "99999999 years ago") is None
+    assert one(lambda t: P.parse_date(t, as_of), "99999999999999999999 weeks ago") is None
+    assert str(one(lambda t: P.parse_date(t, as_of), "2 weeks ago")) == "2024-09-17"
+    assert one(M.parse_cents, "$999999999999999999.00") is None
+    assert one(M.parse_cents, "99999999999999999999") is None
+    assert one(M.parse_cents, "-$92,233,720,368,547,758.07") == -(2**63 - 1)
+
+
+def test_export_dates_of_many_shapes(one):
+    for text in ("2024-01-05T10:00", "1/5/2024", "2024/01/05", "5 January 2024", "Jan 5 2024", "January 5, 2024", "Fri, 5 Jan 2024"):
+        assert str(one(P.normalize_date, text)) == "2024-01-05", text
+    assert one(P.normalize_date, "not a date") is None

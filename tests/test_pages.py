@@ -75,6 +75,32 @@ def test_review_cards(spark):
     ]
 
 
+def test_review_cards_of_other_shapes(spark):
+    star = '<i aria-label="{} out of 5"></i>'
+    nested = (
+        '<section class="T7rvce" data-review-id="n1"><section><h5>x</h5></section>' + star.format(2)
+        + '<span class="LfYwpe">Eve</span><p class="fzDEpf">Slow</p></section><p class="fzDEpf">footer</p>'
+    )
+    both = "<article><h2>Reviews</h2><ul><li>" + star.format(3) + "<h3>Fay</h3><p>Ok</p></li></ul></article>"
+    own = '<div data-review-id="d1">' + star.format(1) + "<h4>Gus</h4><p>Bad</p></div><li>menu</li>"
+    named = "<ul><li>menu</li></ul><div jsname=\"q\"><h3>Hal</h3>" + star.format(5) + "<p>Top</p></div>"
+    parent = "<div><h3>Ida</h3>" + star.format(4) + "<p>Nice</p></div>"
+    two = "<li>" + star.format(4) + "<h3>Jo</h3><p>A</p></li><li>x</li><li>" + star.format(2) + "<h3>Kit</h3><p>B</p></li>"
+    again = "<li>" + star.format(4) + "<h3>Jo</h3><p>A</p></li>" + "<li>" + star.format(1) + "<h3>Jo</h3><p>A</p></li>"
+    bare = "<li>" + star.format(4) + "</li><li>" + star.format(4) + "</li>"
+    pages = [nested, both, own, named, parent, two, again, bare, None]
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
+    out = G.parse_review_pages(df, as_of())
+    got = sorted(((r["page_id"], r["given_uid"], r["author"], r["stars"], r["body"]) for r in out.collect()), key=repr)
+    assert got == [
+        (0, "n1", "Eve", 2, "Slow"), (1, None, "Fay", 3, "Ok"), (2, "d1", "Gus", 1, "Bad"), (3, None, "Hal", 5, "Top"),
+        (4, None, "Ida", 4, "Nice"), (5, None, "Jo", 4, "A"), (5, None, "Kit", 2, "B"), (6, None, "Jo", 4, "A"),
+        (7, None, None, 4, None), (7, None, None, 4, None),
+    ]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan
+
+
 def test_links(spark):
     html = f"/detail/{ID_C}' /detail/slug/{ID_A}\" /detail/x/{ID_B}/reviews /detail/slug/{ID_A} /category/extensions/Tools/Sub/ /category/extensions/tools"
     df = spark.createDataFrame([(1, ID_A, html)], "page_id long, ext_id string, html string")
