@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reviewlens import schemas as S
 from reviewlens.functions.parsing import _c
-from reviewlens.operators.ordered import first_per_key, last_per_key, top_per_key
-
-TITLES_KEPT = 10
+from reviewlens.operators.ordered import first_per_key, last_per_key
 
 
 def order_key(df_titles: str = "item_titles") -> Column:
@@ -25,10 +24,11 @@ def order_key(df_titles: str = "item_titles") -> Column:
     return F.when(F.coalesce(F.col("order_id"), F.lit("")) != "", F.col("order_id")).otherwise(fallback)
 
 
-def orders_from_items(items: DataFrame, keys: Sequence[str] = ("order_id",)) -> DataFrame:
+def orders_from_items(items: DataFrame, keys: Sequence[str] = ("order_id",), titles: int = S.TITLES_KEPT) -> DataFrame:
     """Item rows (order_id, order_date, cents, title, status, row_no) to one row per order.
 
-    Cancelled rows and rows without id or date go; the first ten distinct titles stay in row order.
+    Cancelled rows and rows without id or date go; the first `titles` distinct titles of an order are listed in row order.
+    Rows are combined per order and title first, so that what follows is shuffled once more and by order alone.
     """
     keys = list(keys)
     status = F.lower(F.coalesce(F.col("status"), F.lit("")))
@@ -37,18 +37,24 @@ def orders_from_items(items: DataFrame, keys: Sequence[str] = ("order_id",)) ->
         .filter((F.coalesce(F.col("order_id"), F.lit("")) != "") & F.col("order_date").isNotNull())
         .filter(~status.contains("cancel"))
     )
-    totals = kept.groupBy(*keys).agg(
+    lines = kept.groupBy(*keys, F.coalesce(F.trim("title"), F.lit("")).alias("title")).agg(
+        F.min("row_no").alias("row_no"),
+        F.min("order_date").alias("order_date"),
+        F.sum(F.coalesce("cents", F.lit(0))).alias("cents"),
+        F.bool_or(status.rlike("return|refund")).alias("hint"),
+    )
+    # A row number per order, blank titles last; all but the listed titles are dropped before they are collected.
+    order = Window.partitionBy(*keys).orderBy(F.col("title") == "", "row_no", "title")
+    placed = lines.withColumn("rank", F.row_number().over(order))
+    listed = F.when((F.col("rank") <= titles) & (F.col("title") != ""), F.struct("rank", "title"))
+    orders = placed.groupBy(*keys).agg(
         F.min("order_date").alias("order_date"),
-        F.sum(F.coalesce("cents", F.lit(0))).cast("long").alias("total_cents"),
-        F.bool_or(status.rlike("return|refund")).alias("return_hint"),
+        F.sum("cents").cast("long").alias("total_cents"),
+        F.bool_or("hint").alias("return_hint"),
+        F.sort_array(F.collect_list(listed)).alias("_t"),
     )
-    titled = kept.withColumn("title", F.trim("title")).filter(F.coalesce(F.col("title"), F.lit("")) != "")
-    distinct = titled.groupBy(*keys, "title").agg(F.min("row_no").alias("row_no"))
-    first = top_per_key(distinct, keys, [F.asc("row_no"), F.asc("title")], TITLES_KEPT)
-    lists = first.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rank", "title"))).alias("_t"))
-    joined = totals.filter("total_cents > 0").join(lists, keys, "left")
-    titles = F.coalesce(F.transform("_t", lambda x: x["title"]), F.array().cast("array<string>"))
-    return joined.select(*keys, "order_date", "total_cents", titles.alias("item_titles"), "return_hint")
+    names = F.transform("_t", lambda x: x["title"]).alias("item_titles")
+    return orders.filter("total_cents > 0").select(*keys, "order_date", "total_cents", names, "return_hint")
 
 
 def _merge(rows: DataFrame, keys: Sequence[str], order: Sequence[str], pick) -> DataFrame:
@@ -58,9 +64,15 @@ def _merge(rows: DataFrame, keys: Sequence[str], order: Sequence[str], pick) ->
 
 
 def union_orders(store: DataFrame, order: Sequence[str] = ("account",)) -> DataFrame:
-    """All accounts' orders by key: the later account's fields win, a return hint stays."""
+    """All accounts' orders by key: each field from the last account that has it, a return hint from any."""
     keyed = store.withColumn("order_key", order_key())
-    return _merge(keyed, ["order_key"], order, last_per_key)
+    last = F.struct(*order)
+    fields = [c for c in store.columns if c != "return_hint"]
+    merged = keyed.groupBy("order_key").agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), last)).alias(c) for c in fields],
+        F.bool_or(F.coalesce(F.col("return_hint"), F.lit(False))).alias("return_hint"),
+    )
+    return merged.select(*store.columns, "order_key")
 
 
 def merge_account_orders(store: DataFrame, account: str, fresh: DataFrame, as_of: Column) -> DataFrame:

@@ -45,6 +45,7 @@ CONFIDENCE = ("low", "medium", "high")
 RECOMMENDATIONS = ("build", "maybe", "avoid")
 STATUSES = ("queued", "done", "error")
 ERROR_LENGTH = 2000
+TITLES_KEPT = 10
 
 # --- fixed values: reconciliation windows, in days ---------------------------------
 CHARGE_AFTER_DAYS, CHARGE_BACK_DAYS, REFUND_DAYS = 10, 2, 120

@@ -6,11 +6,11 @@ import csv
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens.functions.money import parse_cents
@@ -27,6 +27,10 @@ HEADERS = {
 }
 MEMBER = r"Retail\.OrderHistory.*\.csv$"
 ROWS_PER_BATCH = 10_000
+WIDTH = 64
+NO_MEMBER = "no order history in the archive"
+NO_COLUMNS = "an order history without order id and date columns"
+BAD_ARCHIVE = "the archive can't be read"
 
 
 def plain(header: str) -> str:
@@ -50,26 +54,45 @@ def _to_items(raw: DataFrame) -> DataFrame:
     )
 
 
-def read_order_csv(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Item rows of export files; a file without order id and date gives none."""
-    frames = []
-    for n, path in enumerate(paths):
-        df = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False)
-        at = header_positions(df.columns)
-        if at["order_id"] is None or at["date_text"] is None:
-            continue
-        columns = [
-            (F.col(f"`{df.columns[i]}`") if i is not None else F.lit(None)).cast("string").alias(c)
-            for c, i in at.items()
-        ]
-        frames.append(
-            df.select(F.lit(n).alias("source"), F.monotonically_increasing_id().alias("row_no"), *columns)
+def _header_position(column: str) -> Column:
+    """Place (from 1) of the first header cell that carries one of the column's names; 0 when there is none."""
+    wanted = F.array(*[F.lit(n) for n in HEADERS[column]])
+    return F.array_position(F.transform("head", lambda h: F.array_contains(wanted, h)), F.lit(True))
+
+
+def read_order_csv(spark: SparkSession, paths: Sequence[str], width: int = WIDTH) -> DataFrame:
+    """Item rows of export files; a file without order id and date gives none.
+
+    All files are one scan of bare rows. A file's first row holds its headers: it is found by an aggregate per file and
+    joined back, so the plan doesn't grow with the number of files. `source` orders the files as `paths` does, files of
+    a folder by name. Files have at most `width` columns.
+    """
+    schema = ", ".join(f"_c{i} string" for i in range(width))
+    rows = (
+        spark.read.schema(schema)
+        .csv(list(paths), header=False, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False)
+        .select(
+            F.regexp_replace("_metadata.file_path", r"^\w+:/+", "/").alias("file"),
+            F.monotonically_increasing_id().alias("row_no"),
+            F.array(*[F.col(f"_c{i}") for i in range(width)]).alias("cells"),
         )
-    if not frames:
-        return spark.createDataFrame(
-            [], "source int, row_no long, order_id string, order_date date, cents long, title string, status string"
+    )
+    plain_cells = F.transform("cells", lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]", ""))
+    first = rows.groupBy("file").agg(F.min_by("cells", "row_no").alias("cells"), F.min("row_no").alias("head_no"))
+    heads = first.select("file", "head_no", plain_cells.alias("head")).select(
+        "file", "head_no", *[_header_position(c).alias(f"at_{c}") for c in HEADERS]
+    ).filter("at_order_id > 0 and at_date_text > 0")
+    given = spark.createDataFrame(
+        [(re.sub(r"^\w+:/+", "/", path), f"{n:09d}") for n, path in enumerate(paths)], "file string, part string"
+    )
+    named = rows.join(heads, "file").filter(F.col("row_no") > F.col("head_no")).join(given, "file", "left")
+    cell = {c: F.get("cells", (F.col(f"at_{c}") - 1).cast("int")) for c in HEADERS}
+    return _to_items(
+        named.select(
+            F.concat(F.coalesce("part", F.lit("~")), F.lit(" "), "file").alias("source"), "row_no",
+            *[value.alias(c) for c, value in cell.items()],
         )
-    return _to_items(reduce(DataFrame.unionByName, frames))
+    )
 
 
 def orders_from_csv(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -79,32 +102,56 @@ def orders_from_csv(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 
 def _member_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["source", "row_no", *HEADERS]
+    columns = ["path", "source", "row_no", *HEADERS, "error"]
+
+    def problem(path: str, text: str) -> pd.DataFrame:
+        return pd.DataFrame([(path, None, None, *[None] * len(HEADERS), text)], columns=columns, dtype=object)
+
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
-            with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                members = [m for m in archive.namelist() if re.search(MEMBER, m, re.IGNORECASE)]
-                for n, member in enumerate(members):
-                    with archive.open(member) as raw:
-                        reader = csv.reader(io.TextIOWrapper(raw, encoding="utf-8-sig", newline=""))
-                        at = header_positions(next(reader, []))
-                        if at["order_id"] is None or at["date_text"] is None:
-                            continue
-                        rows = []
-                        for row_no, row in enumerate(reader):
-                            cells = [row[i] if i is not None and i < len(row) else None for i in at.values()]
-                            rows.append((f"{path}#{n:06d}", row_no, *cells))
-                            if len(rows) == ROWS_PER_BATCH:
+            try:
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    members = [m for m in archive.namelist() if re.search(MEMBER, m, re.IGNORECASE)]
+                    if not members:
+                        yield problem(path, NO_MEMBER)
+                    for n, member in enumerate(members):
+                        with archive.open(member) as raw:
+                            reader = csv.reader(io.TextIOWrapper(raw, encoding="utf-8-sig", newline=""))
+                            at = header_positions(next(reader, []))
+                            if at["order_id"] is None or at["date_text"] is None:
+                                yield problem(path, NO_COLUMNS)
+                                continue
+                            rows = []
+                            for row_no, row in enumerate(reader):
+                                cells = [row[i] if i is not None and i < len(row) else None for i in at.values()]
+                                rows.append((path, f"{path}#{n:06d}", row_no, *cells, None))
+                                if len(rows) == ROWS_PER_BATCH:
+                                    yield pd.DataFrame(rows, columns=columns, dtype=object)
+                                    rows = []
+                            if rows:
                                 yield pd.DataFrame(rows, columns=columns, dtype=object)
-                                rows = []
-                        if rows:
-                            yield pd.DataFrame(rows, columns=columns, dtype=object)
+            except (zipfile.BadZipFile, zlib.error, EOFError, UnicodeDecodeError, csv.Error, RuntimeError) as broken:
+                yield problem(path, f"{BAD_ARCHIVE}: {broken}")
 
 
-def ingest_order_archives(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Orders in the order-history members of ZIP archives, one task per archive, first file wins per order."""
+def read_order_archives(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Raw rows of the order-history members of ZIP archives; what can't be read is a row with `error`."""
     archives = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
     text = ", ".join(f"{c} string" for c in HEADERS)
-    raw = archives.mapInPandas(_member_rows, f"source string, row_no long, {text}")
-    per_file = orders_from_items(_to_items(raw), ["order_id", "source"])
+    return archives.mapInPandas(_member_rows, f"path string, source string, row_no long, {text}, error string")
+
+
+def archive_errors(raw: DataFrame) -> DataFrame:
+    """(path, error) of archives and members that gave no rows."""
+    return raw.filter("error is not null").select("path", "error")
+
+
+def orders_of_archives(raw: DataFrame) -> DataFrame:
+    """Orders of the raw rows; the first file that has an order wins."""
+    per_file = orders_from_items(_to_items(raw.filter("error is null")), ["order_id", "source"])
     return merge_exports(per_file, ["source"]).drop("source")
+
+
+def ingest_order_archives(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Orders in the order-history members of ZIP archives, one task per archive; unreadable ones give none."""
+    return orders_of_archives(read_order_archives(spark, paths))

@@ -257,6 +257,25 @@ def union_orders(d: Data):
     return out.select("order_key", "account", F.col("item_titles")[0].alias("title"), "return_hint")
 
 
+@case(
+    "reconcile_union",
+    """
+with u as (
+  select order_id, order_date, total_cents from (
+    select *, row_number() over (partition by order_id order by account desc) as rn
+    from (select order_id, order_date, total_cents, account from {v_orders}
+      union all select order_id, order_date, total_cents, '9-SECOND' from {v_orders} where title2 is not null)) where rn = 1),
+met as (
+  select t.txn_id, count(*) as n from {v_txns} t join u o on o.total_cents = -t.amount_cents
+  where t.amount_cents < 0 and date_diff('day', o.order_date, t.txn_date) between -2 and 10 group by 1)
+select t.txn_id, coalesce(n, 0) as candidate_count from {v_txns} t left join met m on m.txn_id = t.txn_id where t.amount_cents < 0""",
+)
+def reconcile_union(d: Data):
+    both = d.orders.unionByName(d.orders.filter("size(item_titles) > 1").withColumn("account", F.lit("9-SECOND")))
+    orders = O.union_orders(both).drop("order_key")
+    return R.match_charges(d.txns.filter("amount_cents < 0"), orders).select("txn_id", "candidate_count")
+
+
 @case(
     "merge_account_orders",
     """

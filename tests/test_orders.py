@@ -61,6 +61,27 @@ def test_archives(spark, tmp_path):
                 archive.writestr(name, text.encode())
         (tmp_path / f"{n}.zip").write_bytes(buffer.getvalue())
     check(exports.ingest_order_archives(spark, [str(tmp_path)]).collect())
+    (tmp_path / "3.zip").write_bytes(b"PK no archive")
+    with zipfile.ZipFile(tmp_path / "4.zip", "w") as archive:
+        archive.writestr("other.txt", "x")
+    with zipfile.ZipFile(tmp_path / "5.zip", "w") as archive:
+        archive.writestr("Retail.OrderHistory.9.csv", "a,b\n1,2\n")
+    raw = exports.read_order_archives(spark, [str(tmp_path)])
+    check(exports.orders_of_archives(raw).collect())
+    found = {r["path"][-5:]: r["error"] for r in exports.archive_errors(raw).collect()}
+    assert found["4.zip"] == exports.NO_MEMBER and found["5.zip"] == exports.NO_COLUMNS
+    assert found["3.zip"].startswith(exports.BAD_ARCHIVE) and len(found) == 3
+
+
+def test_many_csv_files_are_one_scan(spark, tmp_path):
+    paths = []
+    for n in range(200):
+        (tmp_path / f"{n}.csv").write_text(f"Order ID,Order Date,Total Owed,Title\n{n % 150},2024-01-02,{n + 1}.00,t{n}\n")
+        paths.append(str(tmp_path / f"{n}.csv"))
+    rows = exports.read_order_csv(spark, paths)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Relation") <= 2
+    got = {r["order_id"]: r["total_cents"] for r in exports.orders_from_csv(spark, paths).collect()}
+    assert got == {str(n): (n + 1) * 100 for n in range(150)}, "the first file of an order wins"
 
 
 def store(spark, rows):
@@ -74,6 +95,9 @@ def test_union_orders(spark):
     df = store(spark, [("1", 1, 10, ["a"], True, "ann"), ("1", 1, 20, ["b"], False, "bob"), ("", 2, 5, ["c"], False, "ann"), ("", 2, 5, ["c"], True, "bob")])
     got = {r["order_key"]: (r["total_cents"], r["account"], r["return_hint"]) for r in O.union_orders(df).collect()}
     assert got == {"1": (20, "bob", True), "2024-01-02|5|c": (5, "bob", True)}
+    gaps = df.withColumn("total_cents", F.when((F.col("order_id") == "") | (F.col("account") == "ann"), F.col("total_cents")))
+    got = {r["order_key"]: (r["total_cents"], r["account"]) for r in O.union_orders(gaps).collect()}
+    assert got["1"] == (10, "bob"), "a field that the last account lacks is kept"
 
 
 def test_merge_and_forget_account(spark):
