@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,27 +10,44 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewlens import schemas as S
-from reviewlens.operators.reviews import DEMAND_PHRASES, review_digest
+from reviewlens.functions.parsing import squash
+from reviewlens.operators.reviews import demand_kind, latest_per_item, review_digest
 
 NOTES = S.columns("n_lines int, n_demand int, first_quote string")
 
 
-def phrase_notes(digest: str) -> dict:
-    """The default annotator: demand phrases among the digest's review lines."""
-    lines = [line for line in digest.split("\n") if line.startswith("- ")]
-    texts = [line.rsplit(" | ", 1)[-1] for line in lines]
-    quotes = [t for t in texts if any(re.search(p, t) for _, p in DEMAND_PHRASES)]
-    return {"n_lines": len(lines), "n_demand": len(quotes), "first_quote": quotes[0] if quotes else None}
+def phrase_notes(items: DataFrame, reviews: DataFrame, max_reviews: int | None = None) -> DataFrame:
+    """Per item the review lines, those with a demand phrase and the first such quote, all by column expressions."""
+    recent = reviews if max_reviews is None else latest_per_item(reviews, max_reviews)
+    wants = demand_kind("body").isNotNull()
+    # The order of the digest: helpful flag, helpful count and date descending, then the id.
+    order = F.struct(
+        ~F.coalesce(F.col("helpful_ranked"), F.lit(False)), -F.coalesce(F.col("helpful_count"), F.lit(0)),
+        F.col("reviewed_at").isNull(), -F.unix_date("reviewed_at"), F.col("review_uid"),
+    )
+    notes = recent.groupBy("item_id").agg(
+        F.count("*").cast("int").alias("n_lines"),
+        F.count_if(F.coalesce(wants, F.lit(False))).cast("int").alias("n_demand"),
+        F.min_by(squash("body"), F.when(wants, order)).alias("first_quote"),
+    )
+    return notes.join(items.select(F.col("id").alias("item_id")), "item_id", "left_semi")
 
 
 def annotate_items(
     items: DataFrame,
     reviews: DataFrame,
-    annotator: Callable[[str], dict] = phrase_notes,
+    annotator: Callable[[str], dict] | None = None,
     record: T.StructType = NOTES,
     max_reviews: int | None = None,
 ) -> DataFrame:
-    """(item_id, status, error, *record): one call per item digest; a failed call is an error row."""
+    """(item_id, status, error, *record): one call per item digest; a failed call is an error row.
+
+    Without an annotator the notes are demand phrases, which need no Python.
+    """
+    if annotator is None:
+        return phrase_notes(items, reviews, max_reviews).select(
+            "item_id", F.lit("done").alias("status"), F.lit(None).cast("string").alias("error"), *NOTES.fieldNames()
+        )
     fields = [f.name for f in record]
     schema = S.columns("item_id long, status string, error string")
     for f in record:

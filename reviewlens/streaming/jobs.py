@@ -51,8 +51,12 @@ def current_reviews(stored: DataFrame, keys=("item_id", "review_uid"), order=("s
 
 
 def compact(spark: SparkSession, store: str, target: str, **fold) -> None:
-    """Fold the appended batches into a new store of one batch."""
-    current_reviews(spark.read.parquet(store), **fold).write.mode("overwrite").parquet(f"{target}/{BATCH}=0")
+    """Fold the appended batches into a new store of one batch.
+
+    The target must not exist yet: readers keep the old store until they are pointed to the new one, which is complete
+    once its writer's commit marker is there.
+    """
+    current_reviews(spark.read.parquet(store), **fold).write.mode("error").parquet(f"{target}/{BATCH}=0")
 
 
 # --- snapshots ----------------------------------------------------------------------------------

@@ -75,5 +75,5 @@ def test_match_over_two_runs(spark, tmp_path):
         )
     got = jobs.matched_charges(spark.read.parquet(store)).filter(F.col("txn_id") != "")
     assert {r["txn_id"]: (r["candidate_count"], r["order_id"], r["day_diff"], r["status"]) for r in got.collect()} == {
-        "x": (2, "b", -1, "review"), "z": (2, "d", 1, "review"),
+        "x": (2, "b", -1, "review"), "y": (0, None, None, "unmatched"), "z": (2, "d", 1, "review"),
     }

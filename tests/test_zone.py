@@ -39,7 +39,7 @@ def test_curated_zone(spark):
 
 def test_layers(spark):
     dives = spark.createDataFrame([(1, "done"), (2, "queued")], "item_id long, status string")
-    studies = spark.createDataFrame([(1, 2, "done"), (2, 2, "queued")], S.STUDIES)
+    studies = spark.createDataFrame([(1, 2, "done", None), (2, 2, "queued", None)], S.STUDIES)
     assert {n: sorted(r[0] for r in Z.eligible_for_layer(dives, studies, n).collect()) for n in (1, 2, 3)} == {1: [1, 2], 2: [1], 3: [1]}
 
 
@@ -157,7 +157,7 @@ def test_transition(spark):
     keys = spark.createDataFrame([(1,), (2,)], "item_id long")
     queued = {r[0]: tuple(r)[1:] for r in T.transition(base, keys, "queued").collect()}
     assert queued == {1: ("queued", None, "kept"), 2: ("queued", None, None)}
-    failed = T.transition(base, keys, "error", "x" * 3000, insert_missing=False).collect()
+    failed = T.transition(base, keys, "error", "x" * 3000, insert_missing=False, error_length=2000).collect()
     assert len(failed) == 1 and len(failed[0]["error"]) == 2000
 
 
