@@ -30,8 +30,10 @@ ASSIGN_SIGNS = ("passw", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 
-#: Tokens that can be credentials: long runs with a digit in them.
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,}")
+#: Tokens that can be credentials: long runs with both letters and digits in them.
+TOKEN = re.compile(
+    r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}"
+)
 SENSITIVE = re.compile(
     r"(?:passw|pwd|secret|token|api.?key|access.?key|private.?key|credential|bearer|authorization|auth|signature|"
     r"client.?id|cookie|session|login|aws|ssh|-----begin)",
