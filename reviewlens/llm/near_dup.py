@@ -145,7 +145,12 @@ def connected(links: DataFrame) -> DataFrame:
 
 
 def _by_rare_shingles(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs of members (id, component, n) of different components that share one of their rarest shingles."""
+    """Pairs of members (id, component, n) of different components that share one of their rarest shingles.
+
+    Each member's shingles are ordered by how many members have them. The first one that two members share bounds their
+    intersection by what either has left from there on, so a pair is only kept where that can still be enough. Members
+    whose own changes are too many drop out here, against groups of copies of any size.
+    """
 
     @F.arrow_udf(returnType="array<long>")
     def hashed(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -164,14 +169,17 @@ def _by_rare_shingles(members: DataFrame, texts: DataFrame, k: int, percent: int
         .withColumn("place", F.row_number().over(order))
         .filter(F.col("place") <= F.col("n") - least + 1)
         .filter("df > 1")
-        .select("id", "component", "n", "token")
+        .select("id", "component", "n", (F.col("n") - F.col("place") + 1).alias("rest"), "token")
     )
     rare = stored(rare, "near-rare")
     split = rare.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
     rare = rare.join(split.select("token"), "token", "left_semi")
-    a = rare.select("token", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
-    b = rare.select("token", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-    fits = (F.col("ca") < F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    a, b = (
+        rare.select("token", *[F.col(c).alias(f"{c}_{end}") for c in ("id", "component", "n", "rest")]) for end in "ab"
+    )
+    a, b = a.withColumnRenamed("id_a", "a"), b.withColumnRenamed("id_b", "b")
+    enough = (100 + percent) * F.least("rest_a", "rest_b") >= percent * (F.col("n_a") + F.col("n_b"))
+    fits = (F.col("component_a") < F.col("component_b")) & enough
     return a.join(b, "token").filter(fits).select("a", "b").distinct()
 
 
