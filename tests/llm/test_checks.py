@@ -23,7 +23,7 @@ def rows_of(spark, folder, name):
 
 
 @pytest.mark.parametrize("name", sorted(CHECKS))
-@pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.001"])
 def test_same_as_sql(spark, name, folder):
     got, want = rows_of(spark, folder, name)
     assert len(got) == len(want) > 0
