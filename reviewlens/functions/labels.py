@@ -59,8 +59,8 @@ def card_sample(html: Column | str, before: int = 250, span: int = 2800) -> Colu
     return F.when(at > 0, redact_html(c.substr(start, F.lit(span)))).otherwise("")
 
 
-def scrub(text: Column | str, limit: int | None = 500) -> Column:
-    """Long key-shaped runs replaced by a marker; `limit` is the length a report line shows."""
+def scrub(text: Column | str, limit: int | None = None) -> Column:
+    """Long key-shaped runs replaced by a marker; with `limit`, cut to so many characters."""
     c = F.regexp_replace(_c(text), TOKEN_SHAPED, TOKEN_MARK)
     return c if limit is None else F.substring(c, 1, limit)
 

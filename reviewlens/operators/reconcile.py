@@ -214,12 +214,13 @@ def match_summary(matches: DataFrame) -> DataFrame:
     return matches.agg(*[F.count_if(F.col("status") == s).alias(s) for s in STATUS_ORDER])
 
 
-def review_queue(matches: DataFrame, k: int = 60) -> DataFrame:
-    """Exact matches, then reviews, charges without an order, refunds without one."""
+def review_queue(matches: DataFrame, k: int | None = None) -> DataFrame:
+    """Exact matches, then reviews, charges without an order, refunds without one; with `k`, the first ones."""
     place = F.lit(len(STATUS_ORDER))
     for i, status in reversed(list(enumerate(STATUS_ORDER))):
         place = F.when(F.col("status") == status, i).otherwise(place)
-    return matches.withColumn("place", place).orderBy("place", "txn_id").limit(k)
+    queue = matches.withColumn("place", place).orderBy("place", "txn_id")
+    return queue if k is None else queue.limit(k)
 
 
 def propose_updates(matches: DataFrame) -> DataFrame:

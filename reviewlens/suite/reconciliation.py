@@ -91,7 +91,7 @@ select txn_id, status, order_id from {c_matches}
 order by case status when 'auto' then 0 when 'review' then 1 when 'unmatched' then 2 when 'refund' then 3 else 4 end, txn_id limit 60""",
 )
 def match_review_queue(d: Data):
-    return R.review_queue(R.reconcile(d.txns, d.orders)).select("txn_id", "status", "order_id")
+    return R.review_queue(R.reconcile(d.txns, d.orders), 60).select("txn_id", "status", "order_id")
 
 
 @case(
