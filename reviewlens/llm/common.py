@@ -14,7 +14,8 @@ from reviewlens.session import shared_folder
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-CACHE_WORDS = 1 << 20
+CACHE_WORDS = 1 << 18
+SLICE = 256
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -24,9 +25,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def by_bytes(column: pa.Array) -> list[bytes]:
-    """Texts of an Arrow column as UTF-8 bytes, null as empty."""
-    return [x or b"" for x in column.cast(pa.binary() if column.type == pa.string() else pa.large_binary()).to_pylist()]
+def by_bytes(column: pa.Array) -> Iterator[bytes]:
+    """Texts of an Arrow column as UTF-8 bytes, null as empty; few of them are Python objects at a time."""
+    kind = pa.binary() if column.type == pa.string() else pa.large_binary()
+    for start in range(0, len(column), SLICE):
+        for text in column.slice(start, SLICE).cast(kind).to_pylist():
+            yield text or b""
 
 
 class WordHashes(dict):

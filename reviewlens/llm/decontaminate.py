@@ -148,7 +148,8 @@ def decontaminate(
             batch = next(emit([rows], arrow))
             yield pa.StructArray.from_arrays(batch.columns, fields=list(arrow))
 
-    out = out.withColumn("__shared", shared(F.col(text_col)))
+    # A filter on the findings is not to run the scan again below itself.
+    out = out.withColumn("__shared", shared.asNondeterministic()(F.col(text_col)))
     return out.select(
         *kept,
         *[F.col(f"__shared.{c}").alias(c) for c in ("n_words", "n_hit", "item_ids", "hits")],

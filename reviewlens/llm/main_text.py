@@ -313,7 +313,7 @@ def main_text(
     # Rows that are alike have the same key and are one page here. Pages with nothing to delete stay as neighbours.
     hashed = stored(hashed.dropDuplicates(["key"]), "page-hashes")
     near = neighbours(hashed).filter(F.size("own.hashes") > 0)
-    gone = near.select("key", deletions("own", "before", "after").alias("__gone")).filter(F.size("__gone") > 0)
+    gone = near.select("key", deletions.asNondeterministic()("own", "before", "after").alias("__gone")).filter(F.size("__gone") > 0)
     gone = stored(gone.withColumnRenamed("key", "__key"), "page-deletions")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)

@@ -131,7 +131,8 @@ def host_rules(judged: DataFrame, host_col: str, rate_micro: int = HOST_RATE_MIC
 def with_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents with the five counts; columns of such a name are replaced."""
     kept = [c for c in docs.columns if c not in FEATURES]
-    counted = docs.select(*kept, text_counts(F.col(text_col)).alias("__counts"))
+    # A filter on the counts is not to run the counting again below itself.
+    counted = docs.select(*kept, text_counts.asNondeterministic()(F.col(text_col)).alias("__counts"))
     return counted.select(*kept, *[F.col(f"__counts.{c}").alias(c) for c in FEATURES])
 
 
