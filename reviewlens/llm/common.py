@@ -14,7 +14,9 @@ from reviewlens.session import shared_folder
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 1 << 17
+BATCH_ROWS = 1000
+BATCH_BYTES = 8 << 20
 SLICE = 256
 
 
@@ -25,6 +27,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """The frame, in a session whose Arrow batches are small: texts can be long, and a batch is held several times."""
+    conf = df.sparkSession.conf
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = int(conf.get(name).rstrip("b"))
+        if not 0 < now <= most:
+            conf.set(name, most)
+    return df
+
+
 def by_bytes(column: pa.Array) -> Iterator[bytes]:
     """Texts of an Arrow column as UTF-8 bytes, null as empty; few of them are Python objects at a time."""
     kind = pa.binary() if column.type == pa.string() else pa.large_binary()

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlens.llm.common import by_bytes, emit
+from reviewlens.llm.common import bounded_batches, by_bytes, emit
 
 WINDOW = 10
 BLOCK_CHARS = 200_000
@@ -120,7 +120,7 @@ def decontaminate(
     """
     added = {"n_words", "n_hit", "item_ids", "hits", "contaminated"}
     kept = [c for c in docs.columns if c not in added]
-    out = docs.select(*kept)
+    out = bounded_batches(docs).select(*kept)
     blocks = list(_item_blocks(items, item_col, item_text_col, block_chars))
     arrow = pa.schema(
         [

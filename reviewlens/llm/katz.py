@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewlens.llm.common import WordHashes, by_bytes, mixed, stored
+from reviewlens.llm.common import WordHashes, bounded_batches, by_bytes, mixed, stored
 
 BLOCK_TOKENS = 2_000_000
 BUCKET_TOKENS = 2_000_000
@@ -548,7 +548,7 @@ def katz_scores(
     and are scored each. Without training text every token is the unknown one, with probability one. An empty table
     gives an empty result.
     """
-    texts = docs.select(
+    texts = bounded_batches(docs).select(
         F.col(id_col).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text_col).alias("text")
     )
     blocks = stored(blocks_of(texts, block_tokens), "katz-blocks")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reviewlens.llm.common import stored
+from reviewlens.llm.common import bounded_batches, stored
 from reviewlens.llm.url_filter import host_and_path
 
 PIECE = 6
@@ -307,7 +307,7 @@ def main_text(
     """
     host, path = host_and_path(F.col(url_col))
     key = F.xxhash64(F.col(id_col), F.col(url_col), F.col(html_col))
-    hashed = pages.select(
+    hashed = bounded_batches(pages).select(
         key.alias("key"), host.alias("host"), path.alias("path"), line_hashes(F.col(html_col)).alias("hashes")
     )
     # Rows that are alike have the same key and are one page here. Pages with nothing to delete stay as neighbours.

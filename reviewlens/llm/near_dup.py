@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewlens.llm.common import WordHashes, by_bytes, mixed, runs_of, stored
+from reviewlens.llm.common import WordHashes, bounded_batches, by_bytes, mixed, runs_of, stored
 
 WORDS = 5
 PERCENT = 80
@@ -84,7 +84,7 @@ def _features(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int, r
                 [pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], fields=fields
             )
 
-    out = docs.select(F.col(id_col).cast("long").alias("id"), measured(F.col(text_col)).alias("m"))
+    out = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), measured(F.col(text_col)).alias("m"))
     return out.select("id", "m.n", "m.digest", "m.bands")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reviewlens.llm.common import WordHashes, by_bytes, runs_of, stored
+from reviewlens.llm.common import WordHashes, bounded_batches, by_bytes, runs_of, stored
 
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
@@ -132,7 +132,7 @@ def with_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents with the five counts; columns of such a name are replaced."""
     kept = [c for c in docs.columns if c not in FEATURES]
     # A filter on the counts is not to run the counting again below itself.
-    counted = docs.select(*kept, text_counts.asNondeterministic()(F.col(text_col)).alias("__counts"))
+    counted = bounded_batches(docs).select(*kept, text_counts.asNondeterministic()(F.col(text_col)).alias("__counts"))
     return counted.select(*kept, *[F.col(f"__counts.{c}").alias(c) for c in FEATURES])
 
 

@@ -17,6 +17,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reviewlens.llm.common import bounded_batches
+
 KINDS = ("assign", "access", "hex", "novel")
 AROUND = 256
 CONTEXT = 60
@@ -140,4 +142,4 @@ def scan_secrets(
             yield pa.array(rows, type=pa.list_(_SPAN))
 
     kept = [c for c in docs.columns if c != "secrets"]
-    return docs.select(*kept, spans(F.col(text_col)).alias("secrets"))
+    return bounded_batches(docs).select(*kept, spans(F.col(text_col)).alias("secrets"))
