@@ -217,23 +217,23 @@ def near_duplicates(
     def ends(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
 
-    band = classes.select("rep", F.explode("bands").alias("band"))
+    band = classes.select("rep", "n", F.explode("bands").alias("band"))
     firsts = band.groupBy("band").agg(F.min("rep").alias("first"), F.count("*").alias("members")).filter("members > 1")
+    # Most bands have one member; only the others are looked at again.
+    shared = stored(band.join(firsts, "band"), "near-bands")
     pairs = stored(
-        band.join(firsts, "band").filter("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct(),
-        "near-pairs",
+        shared.filter("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct(), "near-pairs"
     )
     links = stored(_confirmed(pairs, texts_of(ends(pairs)), words, percent), "near-links")
     component = stored(connected(links), "near-components")
 
     # Bands of three and more whose members aren't all linked hold pairs that weren't compared.
-    placed = classes.join(component, F.col("rep") == F.col("node"), "left").select(
-        "rep", "n", "bands", F.coalesce("component", "rep").alias("component")
+    banded = shared.filter("members > 2").join(component, F.col("rep") == F.col("node"), "left").select(
+        "rep", "n", F.coalesce("component", "rep").alias("component"), "band"
     )
-    banded = placed.select("rep", "n", "component", F.explode("bands").alias("band"))
     open_bands = banded.groupBy("band").agg(
-        F.count("*").alias("members"), F.min("component").alias("x"), F.max("component").alias("y")
-    ).filter("members > 2 and x <> y")
+        F.min("component").alias("x"), F.max("component").alias("y")
+    ).filter("x <> y")
     members = stored(
         banded.join(open_bands.select("band"), "band", "left_semi")
         .select(F.col("rep").alias("id"), "component", "n")
