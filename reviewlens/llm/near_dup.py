@@ -29,6 +29,8 @@ PERCENT = 80
 BANDS = 54
 ROWS = 6
 SEED = 20240
+#: Ids that are broadcast at most, after counting them; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 _CHUNK = 2048
 
@@ -211,8 +213,11 @@ def near_duplicates(
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("text is not null")
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        """Texts of some representatives, one row each."""
-        return stored(texts.join(ids.distinct(), "id", "left_semi").dropDuplicates(["id"]), "near-texts")
+        """Texts of some representatives, one row each; few ids are sent to the texts instead of moving all texts."""
+        ids = stored(ids.distinct(), "near-ids")
+        if ids.count() <= BROADCAST_IDS:
+            ids = F.broadcast(ids)
+        return stored(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]), "near-texts")
 
     def ends(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
