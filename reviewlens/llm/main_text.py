@@ -2,20 +2,21 @@
 
 A page is cut into text lines, one per block. Lines in menus, page headers, footers, side bars, notices, adverts, forms,
 scripts, styles and reader comments are recognised by their elements and never become lines. What is left of a site's
-template is found by differencing: every page is paired with its nearest page by URL path on the same host, their
-lines are aligned by a longest common subsequence, and shared lines are deleted. A page with an <article> or <main>
-keeps the prose in it, shared or not, since articles quote each other; only lines that are nothing but links are deleted
-there, and what stands outside is not part of the article.
+template is found by differencing: every page is compared with its nearest pages by URL path on the same host, their
+lines are aligned by a longest common subsequence, and shared lines are deleted. Pages of a host with the same lines are
+folded to one before, so the nearest page is always a different one. In an <article> or <main>, lines that are nothing but
+links are deleted like that, and prose is kept, since one article may repeat another. What stands outside is not part of
+the article.
 
-Only hashes of the lines that can be deleted are shuffled. Neighbours come from a window over (host, part of path), whose
+Only hashes of lines are shuffled. Neighbours come from a window over (host, part of path), whose
 pieces are stitched by their first and last pages, so a host with a large share of all pages is no single task.
 """
 
 from __future__ import annotations
 
-import bisect
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,7 +29,12 @@ from reviewlens.llm.common import bounded_batches, stored
 from reviewlens.llm.url_filter import host_and_path
 
 PIECE = 6
+#: From this share of a page's lines on, a nearest page may be another version of it.
 COPY_SHARE = 0.9
+#: Pages looked at on each side.
+REACH = 3
+#: Bits of alignment rows held at a time; longer alignments are halved.
+ROW_BITS = 1 << 26
 #: Rows of deletions that are broadcast at most, after counting them.
 BROADCAST_ROWS = 5_000
 
@@ -63,6 +69,7 @@ MARKS = frozenset(
     "widget".split()
 )
 NAME_PARTS = re.compile(r"[a-z]+")
+FIXED, LOOSE, PROSE = range(3)
 
 
 def _is_marked(rest: str) -> bool:
@@ -89,11 +96,11 @@ class _Lines:
     """Collects the lines of one page."""
 
     def __init__(self) -> None:
-        self.lines: list[tuple[str, bool, bool]] = []
+        self.lines: list[tuple[str, bool, bool, bool]] = []
         self.parts: list[str] = []
         self.plain = False  # the block has text outside links
         self.open: list[tuple[str, bool]] = []  # element and whether it hides what it holds
-        self.hidden = self.articles = self.links = 0
+        self.hidden = self.articles = self.links = self.quotes = 0
 
     def text(self, data: str) -> None:
         if not self.hidden and data:
@@ -105,7 +112,7 @@ class _Lines:
         if self.parts:
             line = " ".join(entities.unescape("".join(self.parts)).split())
             if line:
-                self.lines.append((line, self.articles > 0, not self.plain))
+                self.lines.append((line, self.articles > 0, not self.plain, self.quotes > 0))
             self.parts, self.plain = [], False
 
     def start(self, name: str, rest: str) -> None:
@@ -128,12 +135,14 @@ class _Lines:
         self.open.append((name, hides and name not in ("body", "html")))
         self.hidden += self.open[-1][1]
         self.articles += name in ARTICLE
+        self.quotes += name == "blockquote"
 
     def _pop(self) -> None:
         name, hides = self.open.pop()
         self.hidden -= hides
         self.articles -= name in ARTICLE
         self.links -= name == "a"
+        self.quotes -= name == "blockquote"
 
     def end(self, name: str) -> None:
         if name not in INLINE:
@@ -148,8 +157,8 @@ class _Lines:
                 return
 
 
-def page_lines(html: str) -> list[tuple[str, bool, bool]]:
-    """The page's lines in order: text, whether in an article, whether nothing but links."""
+def parsed_lines(html: str) -> list[tuple[str, bool, bool, bool]]:
+    """The page's lines in order: text, whether in an article, whether nothing but links, whether in a block quotation."""
     page, at = _Lines(), 0
     while True:
         m = MARKUP.search(html, at)
@@ -176,59 +185,101 @@ def page_lines(html: str) -> list[tuple[str, bool, bool]]:
     return page.lines
 
 
-def removable(lines: list[tuple[str, bool, bool]]) -> list[int]:
-    """Indexes of the lines that differencing may delete."""
-    if any(inside for _, inside, _ in lines):
-        return [i for i, (_, inside, links) in enumerate(lines) if inside and links]
-    return list(range(len(lines)))
+def page_lines(html: str) -> list[tuple[str, bool, bool]]:
+    """The page's lines in order: text, whether in an article, whether nothing but links."""
+    return [line[:3] for line in parsed_lines(html)]
 
 
-def shared_lines(own: list[int], other: list[int]) -> list[int]:
-    """Indexes in `own` that a longest common subsequence of both keeps; a repeated line pairs by occurrence.
+def main_lines(html: str) -> tuple[list[str], list[int]]:
+    """The lines of the article, or all where there is none, and how each may go.
 
-    With the k-th occurrence of a line paired to the k-th, all elements are distinct, and the longest common
-    subsequence is the longest increasing run of positions, in n log n time.
+    LOOSE lines go when the nearest page shares them; PROSE and FIXED ones stay.
     """
+    lines = parsed_lines(html)
+    if not any(inside for _, inside, _, _ in lines):
+        return [text for text, _, _, _ in lines], [LOOSE] * len(lines)
+    held = [line for line in lines if line[1]]
+    return [x[0] for x in held], [FIXED if quoted else LOOSE if links else PROSE for _, _, links, quoted in held]
+
+
+def _rows(own: list[int], other: list[int]) -> Iterator[int]:
+    """After each line of `own`, a number whose zero bits are the places in `other` where the common length grows."""
+    places: dict[int, int] = {}
+    for j, line in enumerate(other):
+        places[line] = places.get(line, 0) | 1 << j
+    full = (1 << len(other)) - 1
+    row = full
+    for line in own:
+        both = row & places.get(line, 0)
+        row = ((row + both) | (row - both)) & full
+        yield row
+
+
+def _lengths(own: list[int], other: list[int]) -> list[int]:
+    """Length of the longest common subsequence of `own` and each beginning of `other`."""
+    row = (1 << len(other)) - 1
+    for row in _rows(own, other):
+        pass
+    out = [0]
+    for bit in reversed(f"{row:0{len(other)}b}" if other else ""):
+        out.append(out[-1] + (bit == "0"))
+    return out
 
-    def numbered(lines: list[int]) -> list[tuple[int, int]]:
-        seen: dict[int, int] = {}
-        out = []
-        for line in lines:
-            seen[line] = seen.get(line, 0) + 1
-            out.append((line, seen[line]))
-        return out
-
-    place = {line: j for j, line in enumerate(numbered(other))}
-    ends: list[int] = []
-    at: list[int] = []  # index in own of the end of each run length
-    back: dict[int, int] = {}
-    for i, line in enumerate(numbered(own)):
-        j = place.get(line)
-        if j is None:
-            continue
-        k = bisect.bisect_left(ends, j)
-        if k == len(ends):
-            ends.append(j)
-            at.append(i)
-        else:
-            ends[k], at[k] = j, i
-        back[i] = at[k - 1] if k else -1
-    out = []
-    i = at[-1] if at else -1
-    while i >= 0:
-        out.append(i)
-        i = back[i]
-    return out[::-1]
 
+def shared_lines(own: list[int], other: list[int]) -> list[int]:
+    """Indexes in `own` of a longest common subsequence of both, by bit-parallel rows.
 
-@F.arrow_udf(returnType=T.ArrayType(T.LongType()))
+    Time is the product of both lengths over the word size, whatever lines repeat. Rows of more than ROW_BITS are not
+    held: `own` is halved and `other` cut where both halves share most.
+    """
+    start, ends = 0, (len(own), len(other))
+    while start < min(ends) and own[start] == other[start]:
+        start += 1
+    i, j = ends
+    while min(i, j) > start and own[i - 1] == other[j - 1]:
+        i, j = i - 1, j - 1
+    outer = [*range(start), *range(i, len(own))]
+    known = set(other[start:j])
+    at = [k for k in range(start, i) if own[k] in known]
+    mine = [own[k] for k in at]
+    known = set(mine)
+    theirs = [x for x in other[start:j] if x in known]
+    if not mine:
+        return outer
+    found = []
+    if len(mine) > 1 and len(mine) * len(theirs) > ROW_BITS:
+        half = len(mine) // 2
+        before = _lengths(mine[:half], theirs)
+        after = _lengths(mine[half:][::-1], theirs[::-1])[::-1]
+        cut = max(range(len(before)), key=lambda k: before[k] + after[k])
+        found = shared_lines(mine[:half], theirs[:cut])
+        found += [half + k for k in shared_lines(mine[half:], theirs[cut:])]
+    else:
+        rows = list(_rows(mine, theirs))
+        i, j = len(mine), len(theirs)
+        while i and j:
+            if rows[i - 1] >> (j - 1) & 1:
+                j -= 1
+                continue
+            i -= 1
+            # The length grew here before this line already, or this line is shared.
+            if not i or rows[i - 1] >> (j - 1) & 1:
+                found.append(i)
+                j -= 1
+    return sorted(outer + [at[k] for k in found])
+
+
+@F.arrow_udf(returnType=T.StructType([T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("kinds", T.BinaryType())]))
 def line_hashes(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for part in parts:
-        rows = []
+        hashes, kinds = [], []
         for page in part.to_pylist():
-            lines = page_lines(page or "")
-            rows.append([xxhash.xxh3_64_intdigest(lines[i][0]) - (1 << 63) for i in removable(lines)])
-        yield pa.array(rows, type=pa.list_(pa.int64()))
+            lines, ways = main_lines(page or "")
+            hashes.append([xxhash.xxh3_64_intdigest(line) - (1 << 63) for line in lines])
+            kinds.append(bytes(ways))
+        yield pa.StructArray.from_arrays(
+            [pa.array(hashes, type=pa.list_(pa.int64())), pa.array(kinds, type=pa.binary())], names=["hashes", "kinds"]
+        )
 
 
 def _common(a: str, b: str) -> int:
@@ -240,21 +291,42 @@ def _common(a: str, b: str) -> int:
     return n
 
 
+def deleted_lines(own: dict, others: list[dict]) -> list[int]:
+    """Places of the page's lines that differencing deletes; `others` are its nearest pages, all different from it.
+
+    Loose lines go when the nearest page shares them. A page that shares COPY_SHARE of all lines may be another version
+    of this one, so a page that shares less decides in its stead; where there is none, the lines are template that
+    two pages share. Prose stays.
+    """
+    hashes, kinds = own["hashes"], own["kinds"]
+    known = set(hashes)
+    near = sorted(others, key=lambda x: -_common(x["path"], own["path"]))
+
+    def all_shared(x: dict) -> list[int]:
+        return [] if known.isdisjoint(x["hashes"]) else shared_lines(hashes, x["hashes"])
+
+    def of_kind(kind: int, x: dict, everything: list[int]) -> list[int]:
+        mine = [i for i, k in enumerate(kinds) if k == kind]
+        theirs = [h for h, k in zip(x["hashes"], x["kinds"]) if k == kind]
+        if not everything or len(mine) == len(hashes) and len(theirs) == len(x["hashes"]):
+            return everything
+        return [mine[k] for k in shared_lines([hashes[i] for i in mine], theirs)]
+
+    aligned = [(x, all_shared(x)) for x in near]
+    apart = [(x, shared) for x, shared in aligned if len(shared) < COPY_SHARE * len(hashes)]
+    gone: set[int] = set()
+    if LOOSE in kinds and apart:
+        gone.update(of_kind(LOOSE, *apart[0]))
+    elif LOOSE in kinds:
+        votes = Counter(i for x, shared in aligned for i in of_kind(LOOSE, x, shared))
+        gone.update(i for i, n in votes.items() if n > 1)
+    return sorted(gone)
+
+
 @F.arrow_udf(returnType=T.ArrayType(T.LongType()))
-def deletions(parts: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    """Places, among a page's removable lines, of those shared with its nearest page that isn't a copy of it."""
-    for mine, before, after in parts:
-        rows = []
-        for own, *others in zip(mine.to_pylist(), before.to_pylist(), after.to_pylist(), strict=True):
-            near = [x for x in others if x and x["hashes"]]
-            near.sort(key=lambda x: -_common(x["path"], own["path"]))
-            found: list[int] = []
-            for x in near:
-                shared = shared_lines(own["hashes"], x["hashes"])
-                if len(shared) < COPY_SHARE * len(own["hashes"]):
-                    found = shared
-                    break
-            rows.append(found)
+def deletions(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for mine, near in parts:
+        rows = [deleted_lines(own, others) for own, others in zip(mine.to_pylist(), near.to_pylist(), strict=True)]
         yield pa.array(rows, type=pa.list_(pa.int64()))
 
 
@@ -263,35 +335,42 @@ def kept_text(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for pages, dropped in parts:
         rows = []
         for page, places in zip(pages.to_pylist(), dropped.to_pylist(), strict=True):
-            lines = page_lines(page or "")
-            gone = {removable(lines)[k] for k in places} if places else set()
-            article = any(inside for _, inside, _ in lines)
-            rows.append("\n".join(t for i, (t, inside, _) in enumerate(lines) if i not in gone and inside >= article))
+            gone = set(places or ())
+            rows.append("\n".join(line for i, line in enumerate(main_lines(page or "")[0]) if i not in gone))
         yield pa.array(rows, type=pa.string())
 
 
 def neighbours(pages: DataFrame) -> DataFrame:
-    """Adds before and after: the pages next to each one by path within its host.
+    """The pages as `own`, with `near`: up to REACH pages before and REACH after each one by path within its host.
 
-    `pages` has host, path, key and hashes. Each piece of a host (paths with the same first characters) is ordered on
-    its own; first and last pages of the pieces are carried across.
+    `pages` has host, path, key, hashes and kinds. Each piece of a host (paths with the same first characters) is ordered
+    on its own; first and last pages of the pieces are carried across.
     """
-    row = F.struct("path", "key", "hashes")
+    row = F.struct("path", "key", "hashes", "kinds")
     piece = F.substring("path", 1, PIECE)
     cut = pages.withColumn("piece", F.struct(F.col("host"), piece.alias("head")))
     within = Window.partitionBy("piece").orderBy("path", "key")
     local = cut.select(
-        "*", row.alias("own"), F.lag(row).over(within).alias("before"), F.lead(row).over(within).alias("after")
+        "key", "piece", row.alias("own"),
+        F.array_compact(F.array(*[F.lag(row, n).over(within) for n in range(REACH, 0, -1)])).alias("before"),
+        F.array_compact(F.array(*[F.lead(row, n).over(within) for n in range(1, REACH + 1)])).alias("after"),
+    )
+    # The first pages of a piece have fewer than REACH before them, the last ones fewer than REACH after them.
+    ends = local.filter((F.size("before") < REACH) | (F.size("after") < REACH)).groupBy("piece").agg(
+        F.array_sort(F.collect_list(F.when(F.size("before") < REACH, F.col("own")))).alias("first"),
+        F.array_sort(F.collect_list(F.when(F.size("after") < REACH, F.col("own")))).alias("last"),
     )
-    order = F.struct("path", "key")
-    edges = cut.groupBy("piece").agg(F.min_by(row, order).alias("first"), F.max_by(row, order).alias("last"))
+    # Every piece has a page, so REACH pieces on each side are enough.
     across = Window.partitionBy("piece.host").orderBy("piece.head")
-    edges = edges.select(
-        "piece", F.lag("last").over(across).alias("far_before"), F.lead("first").over(across).alias("far_after")
+    ends = ends.select(
+        "piece",
+        F.flatten(F.collect_list("last").over(across.rowsBetween(-REACH, -1))).alias("far_before"),
+        F.flatten(F.collect_list("first").over(across.rowsBetween(1, REACH))).alias("far_after"),
     )
-    return local.join(edges, "piece").select(
-        "key", "own",
-        F.coalesce("before", "far_before").alias("before"), F.coalesce("after", "far_after").alias("after"),
+    before = F.concat("far_before", "before")
+    before = F.slice(before, F.greatest(F.size(before) - REACH + 1, F.lit(1)), F.lit(REACH))
+    return local.join(ends, "piece").select(
+        "key", "own", F.concat(before, F.slice(F.concat("after", "far_after"), 1, REACH)).alias("near")
     )
 
 
@@ -301,20 +380,32 @@ def main_text(
     """Each row with `out_col`, the main text of its page; a column of that name is replaced.
 
     Character references are decoded, white space in a block becomes one space, and blocks are joined by one line
-    feed. Null and empty pages, and pages without lines, give an empty text. Pages without URL form one host. Repeated
-    rows share their neighbours. A page whose neighbours are copies of it (nine tenths of the lines) loses nothing to
-    them. Pages are parsed whole, once for the hashes and once for the text.
+    feed. Null and empty pages, and pages without lines, give an empty text. Pages without URL form one host. Pages of a
+    host with the same lines are one page here and lose the same. A page with a single other version of it as its
+    only neighbour loses nothing; in a host of versions of one page without an <article>, their common lines are template.
+    Pages are parsed whole, once for the hashes
+    and once for the text.
     """
     host, path = host_and_path(F.col(url_col))
     key = F.xxhash64(F.col(id_col), F.col(url_col), F.col(html_col))
     hashed = bounded_batches(pages).select(
-        key.alias("key"), host.alias("host"), path.alias("path"), line_hashes(F.col(html_col)).alias("hashes")
+        key.alias("key"), host.alias("host"), path.alias("path"),
+        line_hashes.asNondeterministic()(F.col(html_col)).alias("lines"),
     )
-    # Rows that are alike have the same key and are one page here. Pages with nothing to delete stay as neighbours.
+    hashed = hashed.select("key", "host", "path", "lines.hashes", "lines.kinds").withColumn(
+        "same", F.xxhash64("host", "hashes", "kinds")
+    )
+    # Rows that are alike have the same key.
     hashed = stored(hashed.dropDuplicates(["key"]), "page-hashes")
-    near = neighbours(hashed).filter(F.size("own.hashes") > 0)
-    gone = near.select("key", deletions.asNondeterministic()("own", "before", "after").alias("__gone")).filter(F.size("__gone") > 0)
-    gone = stored(gone.withColumnRenamed("key", "__key"), "page-deletions")
+    first = F.min_by(F.struct("host", "path", "hashes", "kinds"), F.struct("path", "key")).alias("page")
+    folded = hashed.filter(F.size("hashes") > 0).groupBy("same").agg(first).select(F.col("same").alias("key"), "page.*")
+    gone = neighbours(folded).filter(F.size("near") > 0).select(
+        F.col("key").alias("same"), deletions.asNondeterministic()("own", "near").alias("__gone")
+    )
+    gone = stored(gone.filter(F.size("__gone") > 0), "page-deletions")
+    few = gone.count() <= BROADCAST_ROWS
+    gone = hashed.select("same", F.col("key").alias("__key")).join(F.broadcast(gone) if few else gone, "same")
+    gone = stored(gone.select("__key", "__gone"), "page-deletions-of-rows")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
     kept = [c for c in pages.columns if c != out_col]

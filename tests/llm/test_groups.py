@@ -324,6 +324,48 @@ def test_template_lines_go(spark):
     assert main_text.main_text(df.limit(0)).count() == 0
 
 
+def test_shared_lines_are_longest(monkeypatch):
+    r = random.Random(9)
+
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = [0] + [max(row[j + 1], row[j] + 1 if x == y else 0) for j, y in enumerate(b)]
+            for j in range(len(b)):
+                row[j + 1] = max(row[j + 1], row[j])
+        return row[-1]
+
+    for bits in (main_text.ROW_BITS, 4):
+        monkeypatch.setattr(main_text, "ROW_BITS", bits)
+        for _ in range(400):
+            a, b = ([r.randrange(5) for _ in range(r.randint(0, 14))] for _ in range(2))
+            kept = main_text.shared_lines(a, b)
+            rest = iter(b)
+            assert all(a[i] in rest for i in kept) and len(kept) == longest(a, b)
+    assert main_text.shared_lines([7, 1, 7], [1, 7]) == [1, 2], "occurrences pair by order, not by number"
+
+
+def page_texts(spark, rows):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in main_text.main_text(df).collect()}
+
+
+def test_copies_are_one_page(spark):
+    # Ten template lines and one of its own; an article whose links are all template; many copies side by side.
+    template = [f"<p>Part {k}</p>" for k in range(10)]
+    rows = [(i, f"http://short.com/{i:02}", "".join(template) + f"<p>Own {i}</p>") for i in range(8)]
+    rows += [(100 + i, f"http://links.com/{i:02}", f"<article><p>Own {i}</p><p><a>Home</a></p><p><a>Top</a></p></article>") for i in range(8)]
+    rows += [(200 + i, f"http://many.com/a{i:02}", "<p>Menu</p><p>Story</p>") for i in range(30)]
+    rows += [(300, "http://many.com/b", "<p>Menu</p><p>Other</p>")]
+    # Another version of a page is no template.
+    rows += [(400 + i, f"http://two.com/{i}", "".join(template) + f"<p>Views {i}</p>") for i in range(2)]
+    out = page_texts(spark, rows)
+    assert [out[i] for i in range(8)] == [f"Own {i}" for i in range(8)]
+    assert [out[100 + i] for i in range(8)] == [f"Own {i}" for i in range(8)]
+    assert {out[200 + i] for i in range(30)} == {"Story"} and out[300] == "Other"
+    assert out[400].count("Part") == 10
+
+
 def test_page_query(spark):
     pages = {r["page_id"]: r for r in spark.read.parquet(f"{FOLDER}/pages.parquet").collect()}
     got = {r["page_id"]: r for r in op10_main_text(spark, FOLDER).collect()}
