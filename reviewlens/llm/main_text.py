@@ -5,8 +5,8 @@ scripts, styles and reader comments are recognised by their elements and never b
 template is found by differencing: every page is compared with its nearest pages by URL path on the same host, their
 lines are aligned by a longest common subsequence, and shared lines are deleted. Pages of a host with the same lines are
 folded to one before, so the nearest page is always a different one. In an <article> or <main>, lines that are nothing but
-links are deleted like that, and prose is kept, since one article may repeat another. What stands outside is not part of
-the article.
+links are deleted like that. Prose there is deleted where VOTES of the nearest articles share it, since one article may
+repeat another; quotations are kept. What stands outside is not part of the article.
 
 Only hashes of lines are shuffled. Neighbours come from a window over (host, part of path), whose
 pieces are stitched by their first and last pages, so a host with a large share of all pages is no single task.
@@ -31,8 +31,10 @@ from reviewlens.llm.url_filter import host_and_path
 PIECE = 6
 #: From this share of a page's lines on, a nearest page may be another version of it.
 COPY_SHARE = 0.9
-#: Pages looked at on each side.
+#: Pages looked at on each side, how many of the nearest of them judge prose, and how many must share a line of it.
 REACH = 3
+JUDGES = 4
+VOTES = 3
 #: Bits of alignment rows held at a time; longer alignments are halved.
 ROW_BITS = 1 << 26
 #: Rows of deletions that are broadcast at most, after counting them.
@@ -193,7 +195,7 @@ def page_lines(html: str) -> list[tuple[str, bool, bool]]:
 def main_lines(html: str) -> tuple[list[str], list[int]]:
     """The lines of the article, or all where there is none, and how each may go.
 
-    LOOSE lines go when the nearest page shares them; PROSE and FIXED ones stay.
+    LOOSE lines go when the nearest page shares them, PROSE when several do, and FIXED ones stay.
     """
     lines = parsed_lines(html)
     if not any(inside for _, inside, _, _ in lines):
@@ -296,7 +298,7 @@ def deleted_lines(own: dict, others: list[dict]) -> list[int]:
 
     Loose lines go when the nearest page shares them. A page that shares COPY_SHARE of all lines may be another version
     of this one, so a page that shares less decides in its stead; where there is none, the lines are template that
-    two pages share. Prose stays.
+    two pages share. Prose goes when VOTES of the JUDGES nearest articles that share less than COPY_SHARE have it as prose.
     """
     hashes, kinds = own["hashes"], own["kinds"]
     known = set(hashes)
@@ -320,6 +322,9 @@ def deleted_lines(own: dict, others: list[dict]) -> list[int]:
     elif LOOSE in kinds:
         votes = Counter(i for x, shared in aligned for i in of_kind(LOOSE, x, shared))
         gone.update(i for i, n in votes.items() if n > 1)
+    judges = [(x, shared) for x, shared in apart if PROSE in x["kinds"]][:JUDGES] if PROSE in kinds else []
+    votes = Counter(i for x, shared in judges for i in of_kind(PROSE, x, shared))
+    gone.update(i for i, n in votes.items() if n >= VOTES)
     return sorted(gone)
 
 
@@ -383,7 +388,7 @@ def main_text(
     feed. Null and empty pages, and pages without lines, give an empty text. Pages without URL form one host. Pages of a
     host with the same lines are one page here and lose the same. A page with a single other version of it as its
     only neighbour loses nothing; in a host of versions of one page without an <article>, their common lines are template.
-    Pages are parsed whole, once for the hashes
+    Prose of an <article> stays on hosts with fewer than VOTES other pages. Pages are parsed whole, once for the hashes
     and once for the text.
     """
     host, path = host_and_path(F.col(url_col))

@@ -366,6 +366,25 @@ def test_copies_are_one_page(spark):
     assert out[400].count("Part") == 10
 
 
+def test_template_prose_in_articles(spark):
+    def page(i):
+        own = "".join(f"<p>Own {i} {k}</p>" for k in range(3))
+        quote = "<blockquote><p>Famous words</p></blockquote>"
+        return f"<article><p>Tell your friends</p>{own}{quote}{'<p>Said twice</p>' if i in (3, 4) else ''}<p>Licence: free</p></article>"
+
+    rows = [(i, f"http://h.com/{'abcdefgh'[i]}{i:08}", page(i)) for i in range(8)]
+    rows += [(100 + i, f"http://few.com/{i}", page(i)) for i in range(3)]
+    # Versions of one article keep it.
+    story = "".join(f"<p>Line {k}</p>" for k in range(20))
+    rows += [(200 + i, f"http://v.com/{i}", f"<article>{story}<p>Edition {i}</p></article>") for i in range(9)]
+    out = page_texts(spark, rows)
+    for i in range(8):
+        want = [f"Own {i} {k}" for k in range(3)] + ["Famous words"] + ["Said twice"] * (i in (3, 4))
+        assert out[i].split("\n") == want
+    assert all(out[100 + i].startswith("Tell your friends") for i in range(3))
+    assert all(out[200 + i].count("\n") == 20 for i in range(9))
+
+
 def test_page_query(spark):
     pages = {r["page_id"]: r for r in spark.read.parquet(f"{FOLDER}/pages.parquet").collect()}
     got = {r["page_id"]: r for r in op10_main_text(spark, FOLDER).collect()}
