@@ -45,10 +45,15 @@ def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     # Sizes come first, so that the join with the labels doesn't move texts.
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
     weighted = sized.join(label_weights(table(spark, sf_dir, "labels")), "doc_id", "left")
-    mixed = mix(weighted, size=F.col("size"), quality=F.col("weight")).filter("copies > 0")
-    copies = mixed.groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    joined = docs.withColumn("__id", F.col("doc_id")).join(
-        copies.withColumnRenamed("doc_id", "__taken"), F.col("__id").eqNullSafe(F.col("__taken"))
+    mixed = mix(weighted, size=F.col("size"), quality=F.col("weight"))
+    # Rows without id can't be told apart here.
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    copies = mixed.groupBy(F.col("doc_id").alias("__taken"), F.col("source").alias("__from")).agg(
+        F.max(F.when(F.col("doc_id").isNull(), epochs).otherwise(F.col("copies"))).alias("__copies")
+    )
+    joined = docs.join(
+        copies.filter("__copies > 0"),
+        F.col("doc_id").eqNullSafe(F.col("__taken")) & F.col("source").eqNullSafe(F.col("__from")),
     )
     repeated = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
     return repeated.select(*docs.columns)

@@ -106,6 +106,20 @@ def test_stages_keep_the_columns_and_odd_rows(spark):
         assert {r["doc_id"] for r in out} <= {1, None} and bool(out) == (frame is docs)
 
 
+def test_rows_without_id_take_the_epochs_of_their_source(spark):
+    rows = [(i, "w " * 40, "en", "a", 80) for i in range(100)] + [(None, "v " * 40 + str(i), "en", "a", 80) for i in range(5)]
+    rows += [(1000 + i, "x " * 40, "en", "b", 80) for i in range(3)] + [(None, "y " * 40 + str(i), "en", "b", 80) for i in range(2)]
+    rows += [(None, "z " * 40, "en", None, 80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    sizes = Counter()
+    for r in rows:
+        sizes[r[3]] += len(r[1].split())
+    epochs = {s: math.floor(t / sizes[s]) for s, t in plain_targets(sizes).items()}
+    assert len(set(epochs.values())) > 1
+    got = Counter((r["source"], r["text"]) for r in corpus_pipeline.mixture_stage(spark, docs, FOLDER).collect() if r["doc_id"] is None)
+    assert all(got[(r[3], r[1])] == epochs[r[3]] for r in rows if r[0] is None)
+
+
 def test_registered():
     assert driver.queries()["pipeline"] is corpus_pipeline.run
     numbers = [re.match(r"op(\d+)_", n)[1] for n in driver.queries() if re.match(r"op\d+_", n)]
