@@ -22,6 +22,20 @@ from pyspark.sql import functions as F
 CONTEXT = 40
 LIMIT = 0.6
 CHUNK = 256
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    country: int(n)
+    for n, countries in (
+        line.split(":")
+        for line in (
+            "15:NO", "16:BE", "18:DK FI FK FO GL NL SD", "19:MK SI", "20:AT BA EE KZ LT LU MN XK", "21:CH HR LI LV",
+            "22:BG BH CR DE GB GE IE ME RS VA", "23:AE GI IL IQ OM SO TL", "24:AD CZ ES MD PK RO SA SE SK TN VG",
+            "25:LY PT ST", "26:IS TR", "27:BI DJ FR GR IT MC MR SM", "28:AL AZ BY CY DO GT HN HU LB NI PL SV",
+            "29:BR EG PS QA UA", "30:JO KW MU YE", "31:MT SC", "32:LC", "33:RU",
+        )
+    )
+    for country in countries.split()
+}
 
 
 def _digits(text: Column) -> Column:
@@ -65,6 +79,21 @@ def iban_ok(match: Column) -> Column:
     return fits & F.coalesce(rest == 1, F.lit(False))
 
 
+def iban_of(found: Column) -> Column:
+    """The beginning of the match, up to one of its spaces or its end, that is an IBAN, else null.
+
+    Capitals and numbers may follow an IBAN, so a beginning counts where it has its country's length; for a country
+    without a known length the longest one with right check digits does.
+    """
+    parts = F.split(found, " ")
+    starts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), " "))
+    lengths = F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair])
+    length = F.element_at(lengths, F.substring(found, 1, 2))
+    of_length = F.filter(starts, lambda s: length.isNull() | (F.length(F.regexp_replace(s, " ", "")) == length))
+    fits = F.filter(of_length, iban_ok)
+    return F.when(F.size(fits) > 0, F.element_at(fits, -1))
+
+
 def ssn_ok(match: Column) -> Column:
     area, group, serial = (F.split_part(match, F.lit("-"), F.lit(i)) for i in (1, 2, 3))
     return ~area.isin("000", "666") & ~area.startswith("9") & (group != "00") & (serial != "0000")
@@ -74,6 +103,8 @@ def ssn_ok(match: Column) -> Column:
 class Kind:
     """A kind of personal data: a pattern, a cheap sign that a text may hold it, a check and its scores.
 
+    With `cut`, the pattern matches the beginning only and its group what may follow, so that no match takes another's
+    beginning; `cut` gives the part of both that is reported, or null.
     `base` kinds need no context. For the others, a confirmed match has `score`, and each side of it that holds one of
     `words` within CONTEXT characters adds `boost`.
     """
@@ -82,6 +113,7 @@ class Kind:
     pattern: str
     sign: Callable[[Column], Column]
     check: Callable[[Column], Column] | None = None
+    cut: Callable[[Column], Column] | None = None
     base: bool = True
     score: float = 1.0
     boost: float = 0.0
@@ -102,7 +134,7 @@ KINDS = (
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", lambda t: t.rlike("[0-9]"), luhn_ok),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda t: t.contains("+"), phone_ok),
     Kind(
-        "iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b", lambda t: t.rlike("[A-Z]{2}[0-9]{2}"), iban_ok,
+        "iban", r"\b[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30}\b))", lambda t: t.rlike("[A-Z]{2}[0-9]{2}"), cut=iban_of,
         base=False, score=0.8, boost=0.1, words="iban|bank|account|konto|compte|cuenta|bic|swift",
     ),
     Kind(
@@ -161,9 +193,14 @@ def _with_matches(frame: DataFrame, kind: Kind, text: str) -> DataFrame:
             some, F.zip_with(_sums_before(F.col("__steps")), "__steps", lambda before, step: before + step)
         ).otherwise(F.array().cast("array<int>")),
     )
+    found = F.col("__found")
+    if kind.cut is not None:
+        cut = kind.cut
+        tails = F.when(some, F.regexp_extract_all(F.col(text), pattern, F.lit(1))).otherwise(none)
+        found = F.zip_with(found, tails, lambda head, tail: cut(F.concat(head, tail)))
     spans = F.zip_with(
         "__starts",
-        "__found",
+        found,
         lambda start, found: F.struct(
             start.alias("start"), (start + F.length(found)).alias("end"), found.alias("found")
         ),
@@ -171,6 +208,10 @@ def _with_matches(frame: DataFrame, kind: Kind, text: str) -> DataFrame:
     if kind.check is not None:
         check = kind.check
         spans = F.filter(spans, lambda s: check(s["found"]))
+    if kind.cut is not None:
+        # A beginning inside a span that is reported is no span of its own.
+        held = F.filter(spans, lambda s: s["found"].isNotNull())
+        spans = F.filter(held, lambda s: ~F.exists(held, lambda t: (t["start"] < s["start"]) & (s["start"] < t["end"])))
     return frame.withColumn(f"__{kind.name}", spans).drop("__found", "__gaps", "__steps", "__starts")
 
 

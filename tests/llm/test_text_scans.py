@@ -87,6 +87,23 @@ def test_pii_more_kinds(spark):
     assert got[5] == [("local_phone", "(555) 123-4567")] and got[7] == [("local_phone", "555-123-4567")]
 
 
+def test_iban_before_capitals_and_numbers(spark):
+    de, no, gb = "DE89370400440532013000", "NO9386011117947", "GB82 WEST 1234 5698 7654 32"
+    want = {
+        f"{de} BIC COBADEFFXXX": [de], f"{de} 100 EUR": [de], f"PAY TO {gb} 12 AND MORE": [gb], f"{no} {no} {de} {gb}": [no, no, de, gb],
+        f"{de[:-1]}1 100 EUR": [], f"{de}X": [], "é DE89 3704 0044 0532 0130 00 A B C D E F": ["DE89 3704 0044 0532 0130 00"],
+        "ZZ34370400440532013000 BIC": ["ZZ34370400440532013000"] if plain_iban("ZZ34370400440532013000") else [],
+    }
+    df = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    for r in pii.find_pii(df).collect():
+        text = list(want)[r["doc_id"]]
+        assert [text[s["start"] : s["end"]] for s in r["pii"] if s["kind"] == "iban"] == want[text], text
+
+
+def plain_iban(text):
+    return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
+
+
 def test_pii_query(spark, documents):
     got = {r["doc_id"]: r for r in op2_pii(spark, FOLDER).collect()}
     assert len(got) == len(documents)
