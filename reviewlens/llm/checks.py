@@ -228,9 +228,54 @@ select doc_id, size, source_size, target,
 from ends
 """
 
+OP11 = rf"""
+with words as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as body, {WORDS} as w from documents),
+failing as (
+  select doc_id, part,
+    case when len(w) < 200 then 1 else 0 end
+    + case when 100 * len(list_distinct(w)) < 50 * len(w) then 2 else 0 end
+    + case when 100 * len(regexp_extract_all(body, '[A-Z]')) > 2 * length(body) then 4 else 0 end
+    + case when regexp_matches(body, '[#$%&*|]') then 8 else 0 end
+    + case when coalesce(doc_id > min(doc_id) over (partition by body), false) then 16 else 0 end as mask
+  from words),
+marks as (
+  select doc_id, bool_or(coalesce(quality = 1, false)) as good, bool_or(coalesce(toxic = 1, false)) as toxic
+  from labels where doc_id is not null group by doc_id),
+cells as (
+  select part, mask, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic
+  from failing left join marks using (doc_id) group by part, mask),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as letter, unnest([1, 2, 4, 8, 16]) as bit),
+orders as (
+  select a.letter || b.letter || c.letter || d.letter || e.letter as filter_order,
+    [a.bit, b.bit, c.bit, d.bit, e.bit] as bits
+  from letters a
+  join letters b on b.letter <> a.letter
+  join letters c on c.letter not in (a.letter, b.letter)
+  join letters d on d.letter not in (a.letter, b.letter, c.letter)
+  join letters e on e.letter not in (a.letter, b.letter, c.letter, d.letter)),
+steps as (
+  select filter_order, step, bits[step] as bit, list_sum(bits[1:step]) as after, coalesce(list_sum(bits[1:step - 1]), 0) as before
+  from orders, (select unnest([1, 2, 3, 4, 5]) as step)),
+figures as (
+  select part, filter_order, step, bit,
+    coalesce(sum(n) filter (mask & after::int = 0), 0) as kept,
+    coalesce(sum(n) filter (mask & before::int = 0 and mask & bit > 0), 0) as removed,
+    coalesce(sum(n) filter (mask & before::int > 0 and mask & bit > 0), 0) as redundant,
+    coalesce(sum(n) filter (mask = bit), 0) as unique_fails,
+    coalesce(sum(good) filter (mask & before::int = 0 and mask & bit > 0), 0) as good_lost,
+    coalesce(sum(toxic) filter (mask & before::int = 0 and mask & bit > 0), 0) as toxic_lost
+  from cells, steps group by part, filter_order, step, bit)
+select part, filter_order, step::int as step, kept::bigint as kept, removed::bigint as removed,
+  redundant::bigint as redundant, unique_fails::bigint as unique_fails, good_lost::bigint as good_lost,
+  toxic_lost::bigint as toxic_lost, (sum(removed) over (partition by part, bit))::bigint as shapley
+from figures
+"""
+
 CHECKS: dict[str, str] = {
     "op3_decontaminate": OP3,
     "op5_near_dedup": OP5,
     "op6_quality_rules": OP6,
     "op7_mixture": OP7,
+    "op11_filter_audit": OP11,
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from reviewlens.llm import checks
 from reviewlens.llm.common import table
 from reviewlens.llm.decontaminate import decontaminate
+from reviewlens.llm.filter_audit import filter_audit
 from reviewlens.llm.katz import katz_scores
 from reviewlens.llm.main_text import main_text
 from reviewlens.llm.mixture import mix, word_count
@@ -121,11 +122,16 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return filter_audit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     fn.__name__: fn
     for fn in (
         op1_url_filter, op2_pii, op3_decontaminate, op4_secret_scan, op5_near_dedup, op6_quality_rules, op7_mixture,
-        op8_katz_lm, op9_sharding, op10_main_text,
+        op8_katz_lm, op9_sharding, op10_main_text, op11_filter_audit,
     )
 }
 CHECKS: dict[str, str] = checks.CHECKS | {"op1_url_filter": checks.url_filter_sql(URL_RULES, REJECTED_WORDS)}
