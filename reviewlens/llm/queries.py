@@ -12,6 +12,7 @@ from reviewlens.llm.common import table
 from reviewlens.llm.decontaminate import decontaminate
 from reviewlens.llm.filter_audit import filter_audit
 from reviewlens.llm.katz import katz_scores
+from reviewlens.llm.language_id import identify
 from reviewlens.llm.main_text import main_text
 from reviewlens.llm.mixture import mix, word_count
 from reviewlens.llm.near_dup import near_duplicates
@@ -127,11 +128,17 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (fold == 1).alias("held_out"))
+    return identify(docs, ~F.col("held_out"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     fn.__name__: fn
     for fn in (
         op1_url_filter, op2_pii, op3_decontaminate, op4_secret_scan, op5_near_dedup, op6_quality_rules, op7_mixture,
-        op8_katz_lm, op9_sharding, op10_main_text, op11_filter_audit,
+        op8_katz_lm, op9_sharding, op10_main_text, op11_filter_audit, op12_language_id,
     )
 }
 CHECKS: dict[str, str] = checks.CHECKS | {"op1_url_filter": checks.url_filter_sql(URL_RULES, REJECTED_WORDS)}
