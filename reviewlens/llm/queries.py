@@ -23,6 +23,7 @@ from reviewlens.llm.secret_scan import KINDS as SECRET_KINDS
 from reviewlens.llm.secret_scan import scan_secrets
 from reviewlens.llm.shards import shard
 from reviewlens.llm.url_filter import filter_urls
+from reviewlens.llm.whitening import whiten
 
 #: Rules of the URL query (host, path).
 URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
@@ -134,11 +135,15 @@ def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, ~F.col("held_out"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     fn.__name__: fn
     for fn in (
         op1_url_filter, op2_pii, op3_decontaminate, op4_secret_scan, op5_near_dedup, op6_quality_rules, op7_mixture,
-        op8_katz_lm, op9_sharding, op10_main_text, op11_filter_audit, op12_language_id,
+        op8_katz_lm, op9_sharding, op10_main_text, op11_filter_audit, op12_language_id, op13_whitening,
     )
 }
 CHECKS: dict[str, str] = checks.CHECKS | {"op1_url_filter": checks.url_filter_sql(URL_RULES, REJECTED_WORDS)}
