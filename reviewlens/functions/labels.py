@@ -15,8 +15,8 @@ STORE_MERCHANT = (
 OTHER_MERCHANT = r"(?i)\b(whole\s*foods|amazon\s*fresh|amzn\s*fresh)\b"
 # --- fixed values: wording of a finished return ------------------------------------------
 RETURN_DONE = (
-    r"(?i)refund (issued|complete|completed|processed)|refunded|your refund|track (your )?refund"
-    r"|return (complete|completed|received|successful)|items? returned"
+    r"(?i)(?=[rtyi])(?:refund (issued|complete|completed|processed)|refunded|your refund|track (your )?refund"
+    r"|return (complete|completed|received|successful)|items? returned)"
 )
 # --- fixed values: greetings and placeholder names ---------------------------------------
 GREETING = r"(?i)^(?:hello|hi|hey|hola|bonjour|hallo|ciao|olá|ola)[,!\s]+"

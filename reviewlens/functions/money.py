@@ -11,13 +11,9 @@ from reviewlens.functions.parsing import _c
 def parse_cents(text: Column | str) -> Column:
     """`$1,234.56` to cents; null for anything that is not an amount with at most two decimals."""
 
-    c = F.regexp_replace(_c(text), r"[$,\s]", "")
-    sign = F.when(c.startswith("-"), -1).otherwise(1)
-    whole = F.regexp_extract(c, r"^[+-]?(\d+)", 1).try_cast("long")
-    cents = F.rpad(F.split_part(c, F.lit("."), F.lit(2)), 2, "0").try_cast("long")
+    amount = F.regexp_extract(F.regexp_replace(_c(text), r"[$,\s]", ""), r"^[+-]?\d+(\.\d{1,2})?$", 0)
     # An amount beyond the range of a long is none.
-    size = F.try_add(F.try_multiply(whole, F.lit(100)), F.coalesce(cents, F.lit(0)))
-    return F.when(c.rlike(r"^[+-]?\d+(\.\d{1,2})?$"), sign * size)
+    return (F.nullif(amount, F.lit("")).try_cast("decimal(21,2)") * 100).try_cast("long")
 
 
 def format_cents(cents: Column | str) -> Column:

@@ -15,7 +15,6 @@ RATING_COUNT = r"(?i)([\d.,]+)\s*([KkMmBb]?)\s*(?:ratings|reviews)"
 STARS = r"(?i)(\d)\s*stars?"
 VERSION = r"(?i)Version\s*:?\s*([0-9][0-9A-Za-z.\-_]*)"
 RELATIVE_DATE = r"(?i)(\d+)\s+(second|minute|hour|day|week|month|year)s?\s+ago"
-DATE_PREFIX = r"(?i)^\s*(updated|added)\s*"
 UPDATED_PHRASE = r"(?i)Updated[:\s]+([A-Za-z0-9,\s]+?\d{4}|\d+\s+\w+\s+ago)"
 SUFFIX_FACTOR = {"": 1, "k": 1_000, "m": 1_000_000, "b": 1_000_000_000}
 MOST_DAYS = 700_000  # further back there is no calendar
@@ -24,9 +23,47 @@ MONTHS = (
     "january", "february", "march", "april", "may", "june",
     "july", "august", "september", "october", "november", "december",
 )
-MONTH_NAMES = "|".join([*MONTHS, *[m[:3] for m in MONTHS], "sept"])
-MONTH_STARTS = "".join(m[:3] for m in MONTHS)
+UNIT_STARTS = {unit[:3]: days for unit, days in UNIT_DAYS.items()}
+# --- the shapes of a date: each names its year, month and day, and only one of them matches ---
+_MONTH = (
+    r"(?:j(?:an(?:uary)?|une?|uly?)|feb(?:ruary)?|ma(?:r(?:ch)?|y)|a(?:pr(?:il)?|ug(?:ust)?)|sep(?:t(?:ember)?)?|oct(?:ober)?"
+    r"|nov(?:ember)?|dec(?:ember)?)\b"
+)
+_GAP, _TH = r"[\s,-]+", r"(?:st|nd|rd|th)?"
+
+
+def _date_shapes() -> tuple[str, str]:
+    """A pattern that matches a whole text around its first date, and what rewrites it to `\\1year-month-day`."""
+
+    def year(i: int) -> str:
+        """Of four digits, or of two: up to 49 in the next century."""
+        return rf"(?:(?<y{i}>(?!0000)\d{{4}})|(?<a{i}>[0-4]\d)|(?<b{i}>[5-9]\d))(?![\d:])"
+
+    def month(i: int) -> str:
+        return rf"(?={_MONTH})(?<m{i}>[a-z]{{3}})[a-z]*\.?"
+
+    numbers = (
+        rf"(?<y1>(?!0000)\d{{4}})(?<s1>[-/.])(?<m1>\d{{1,2}})\k<s1>(?<d1>\d{{1,2}})(?!\d)",
+        rf"(?!\d+\.\d+\.\d\d(?!\d))(?<d2>1[3-9]|2\d|3[01])(?<s2>[-/.])(?<m2>\d{{1,2}})\k<s2>{year(2)}",
+        rf"(?!\d+\.\d+\.\d\d(?!\d))(?<m3>\d{{1,2}})(?<s3>[-/.])(?<d3>\d{{1,2}})\k<s3>{year(3)}",
+        rf"(?<d4>\d{{1,2}}){_TH}{_GAP}(?:of\s+)?{month(4)}{_GAP}{year(4)}",
+        rf"(?<y5>(?!0000)\d{{4}}){_GAP}{month(5)}{_GAP}(?<d5>\d{{1,2}}){_TH}(?!\d)",
+    )
+    named = rf"(?=[jfmasond])(?<![a-z]){month(6)}{_GAP}(?<d6>\d{{1,2}}){_TH}{_GAP}{year(6)}"
+    pattern = rf"(?is)^.*?(?:(?=\d)(?<![\d/.-])(?:{'|'.join(numbers)})|{named}).*$"
+
+    def any_of(kind: str, shapes: str) -> str:
+        return "".join(f"${{{kind}{i}}}" for i in shapes)
 
+    short = f"<{any_of('a', '2346')}^{any_of('b', '2346')}>"
+    return pattern, f"\1{any_of('y', '123456')}{short}-{any_of('m', '123456')}-{any_of('d', '123456')}"
+
+
+DATE_PATTERN, DATE_PARTS = _date_shapes()
+ORDER_DATE = r"(?s)^.*?([A-Za-z]{3,9})\s+(\d{1,2}),\s+(\d{4}).*$"
+ORDER_MONTHS = {f"-{name}-": f"-{i}-" for i, m in enumerate(MONTHS, 1) for name in (m, m[:3])} | {"-sept-": "-9-"}
+#: What turns the century marks and month names of DATE_PARTS into numbers.
+DATE_WORDS = {"<^>": "", "<^": "19", "<": "20", "^>": "", ">": ""} | {m[:3]: str(i) for i, m in enumerate(MONTHS, 1)}
 
 def _c(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
@@ -79,64 +116,47 @@ def parse_version(text: Column | str) -> Column:
     return group(_c(text), VERSION)
 
 
-def _named_month(text: Column, pattern: str, parts: str) -> Column:
-    """A date with a month name. The pattern turns it into `Mon-D-Y`; text it does not match gives null."""
-
-    def iso(x: Column) -> Column:
-        month = F.instr(F.lit(MONTH_STARTS), F.lower(F.substring(x, 1, 3)))
-        number = F.lpad(((month + 2) / 3).cast("int").cast("string"), 2, "0")
-        day = F.lpad(F.split_part(x, F.lit("-"), F.lit(2)), 2, "0")
-        return F.concat_ws("-", F.split_part(x, F.lit("-"), F.lit(3)), number, day).try_cast("date")
-
-    return F.when(text.rlike(pattern), let(F.regexp_replace(text, pattern, parts), iso))
+def _rewritten(text: Column, pattern: str, parts: str, words: dict[str, str]) -> Column:
+    """The parts of a text that a pattern rewrites to `\\1parts`, in lower case, with words replaced; null if it doesn't match.
 
+    A chain in which each step reads the one before once stays in generated code. A cast that fails is slow, so what is
+    no date is null before it is cast.
+    """
+    out = F.lower(F.get(F.split(F.regexp_replace(text, pattern, parts), "\1"), F.lit(1)))
+    for word, other in words.items():
+        out = F.replace(out, F.lit(word), F.lit(other))
+    return out
 
-def _month_first(tail: str) -> str:
-    return rf"(?is)^.*?\b(?=(?:{MONTH_NAMES})\b)([a-z]{{3}})[a-z]*\.?\s+(\d{{1,2}}){tail}(\d{{4}}).*$"
 
+def first_day(text: Column) -> Column:
+    """`Y-M-D` of the first date in a text; null when there is none.
 
-DAY_FIRST = rf"(?is)^.*?(\d{{1,2}})(?:st|nd|rd|th)?\s+(?=(?:{MONTH_NAMES})\b)([a-z]{{3}})[a-z]*\.?,?\s+(\d{{4}}).*$"
+    Years of four digits come first or last, with a month name the day is the other number; of two numbers the first one is
+    the month unless it is beyond 12. Only one shape of the pattern matches; the groups of the others are empty.
+    """
+    return _rewritten(text, DATE_PATTERN, DATE_PARTS, DATE_WORDS)
 
 
 def parse_order_date(text: Column | str) -> Column:
-    """The first `Month D, YYYY` of a text."""
-    first = F.regexp_extract(_c(text), r"([A-Za-z]{3,9})\s+(\d{1,2}),\s+(\d{4})", 0)
-    return let(first, lambda c: _named_month(c, _month_first(r",\s+"), "$1-$2-$3"))
+    """The first `Month D, YYYY` of a text; null if its word is no month."""
+    return _rewritten(_c(text), ORDER_DATE, "\1$3-$1-$2", ORDER_MONTHS).try_cast("date")
 
 
 def parse_date(text: Column | str, as_of: Column) -> Column:
-    """Relative dates against `as_of`; else ISO, `Month D, YYYY` or `D Month YYYY`."""
-
-    def read(c: Column) -> Column:
-        count = F.regexp_extract(c, RELATIVE_DATE, 1).try_cast("long")
-        unit = lookup(F.lower(F.regexp_extract(c, RELATIVE_DATE, 2)), UNIT_DAYS).cast("long")
-        days = F.try_multiply(count, unit)
-        ago = F.when(days <= MOST_DAYS, F.date_sub(as_of, F.least(days, F.lit(MOST_DAYS)).cast("int")))
-        return F.coalesce(
-            F.when(c.rlike("(?i)ago"), ago),
-            F.regexp_extract(c, r"(\d{4}-\d{2}-\d{2})", 1).try_cast("date"),
-            _named_month(c, _month_first(r"(?:st|nd|rd|th)?,?\s+"), "$1-$2-$3"),
-            _named_month(c, DAY_FIRST, "$2-$1-$3"),
-        )
-
-    return let(F.regexp_replace(F.trim(_c(text)), DATE_PREFIX, ""), read)
+    """A relative date against `as_of`, else the first date in the text, whatever words are around it."""
+    c = _c(text)
+    relative = group(c, RELATIVE_DATE, 0)
+    days = F.try_multiply(
+        F.regexp_extract(relative, r"\d+", 0).try_cast("long"),
+        lookup(F.lower(F.regexp_extract(relative, "[A-Za-z]{3}", 0)), UNIT_STARTS).cast("long"),
+    )
+    ago = F.when(days <= MOST_DAYS, F.date_sub(as_of, F.least(days, F.lit(MOST_DAYS)).cast("int")))
+    return F.when(relative.isNotNull(), ago).otherwise(first_day(c).try_cast("date"))
 
 
 def normalize_date(text: Column | str) -> Column:
-    """Export dates: an ISO prefix, else `M/D/YYYY`, `YYYY/M/D` or a month name before or after the day."""
-
-    def read(c: Column) -> Column:
-        slashes = r"^(\d{1,2})/(\d{1,2})/(\d{4}).*$"
-        year_first = r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2}).*$"
-        return F.coalesce(
-            F.regexp_extract(c, r"^(\d{4}-\d{2}-\d{2})", 1).try_cast("date"),
-            F.when(c.rlike(slashes), F.regexp_replace(c, slashes, "$3-$1-$2").try_cast("date")),
-            F.when(c.rlike(year_first), F.regexp_replace(c, year_first, "$1-$2-$3").try_cast("date")),
-            _named_month(c, _month_first(r"(?:st|nd|rd|th)?,?\s+"), "$1-$2-$3"),
-            _named_month(c, DAY_FIRST, "$2-$1-$3"),
-        )
-
-    return let(F.trim(_c(text)), read)
+    """Export dates: an ISO prefix, else the first date in the text."""
+    return first_day(_c(text)).try_cast("date")
 
 
 def iso_day(text: Column | str) -> Column:

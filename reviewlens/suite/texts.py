@@ -10,6 +10,7 @@ from reviewlens.functions import parsing as P
 from reviewlens.operators import tables as T
 from reviewlens.plans import pages as G
 from reviewlens.plans import studies as U
+from reviewlens.session import spread
 from reviewlens.suite.registry import case, shared
 
 
@@ -75,13 +76,37 @@ def parse_dates(d: Data):
         .when(other == 3, F.date_format(day, "yyyy/MM/dd")).when(other == 4, F.date_format(day, "MMM d yyyy"))
         .otherwise(F.date_format(day, "EEE, d MMM yyyy"))
     )
-    texts = d.reviews.select("review_uid", text.alias("text"), export.alias("export"))
+    texts = spread(d.reviews.select("review_uid", text.alias("text"), export.alias("export")))
     return texts.select(
         "review_uid", P.parse_date("text", d.as_of).cast("string").alias("parsed"),
         P.normalize_date("export").cast("string").alias("normalized"),
     )
 
 
+@case(
+    "parse_general_dates",
+    "select review_uid, cast(reviewed_at as varchar) as parsed, cast(reviewed_at as varchar) as normalized from {v_reviews}",
+)
+def parse_general_dates(d: Data):
+    turn, day = (F.col("stars") + F.col("helpful_count")) % 8, F.col("reviewed_at")
+
+    def shown(pattern: str):
+        return F.date_format(day, pattern)
+
+    text = (
+        F.when(turn == 0, F.concat(shown("M/d/yy"), F.lit(" 10:30")))
+        .when(turn == 1, F.when(F.dayofmonth(day) > 12, shown("d/MM/yyyy")).otherwise(shown("MM-d-yyyy")))
+        .when(turn == 2, F.concat(F.lit("seen on the "), shown("d'th of 'MMMM, yyyy"), F.lit(" in May")))
+        .when(turn == 3, shown("yyyy.M.d")).when(turn == 4, shown("EEEE, d-MMM-yyyy")).when(turn == 5, shown("'since 'yyyy MMM d"))
+        .when(turn == 6, F.concat(F.lit("v1.2.30, 1/2 off, "), shown("MMMM d'st', yy"))).otherwise(shown("'('yyyy/M/dd')'"))
+    )
+    texts = spread(d.reviews.select("review_uid", text.alias("text")))
+    return texts.select(
+        "review_uid", P.parse_date("text", d.as_of).cast("string").alias("parsed"),
+        P.normalize_date("text").cast("string").alias("normalized"),
+    )
+
+
 ORDER_NO = "concat('114-', lpad(cast(o_orderkey as varchar(20)), 7, '0'), '-', lpad(cast(o_orderkey * 7 % 10000000 as varchar(20)), 7, '0'))"
 CARDS = f"""select o_orderkey, cast(o_orderdate as date) as order_date, cast(round(o_totalprice * 100) as bigint) as cents,
   {ORDER_NO} as order_id, o_orderkey % 3 as turn, o_orderpriority from {{orders}}"""
@@ -108,7 +133,7 @@ def parse_order_fields(d: Data):
         F.when(turn == 2, "Order # 12-34").otherwise(F.concat(F.lit("Order # "), F.col("order_id"))),
         F.when(turn == 0, "Refund issued").otherwise("Return or replace items: eligible"),
     )
-    rows = _cards(d).withColumn("text", text)
+    rows = spread(_cards(d).select("o_orderkey", text.alias("text")))
     return rows.select(
         "o_orderkey", F.coalesce(G.order_id("text"), F.lit("")).alias("order_id"),
         P.parse_order_date("text").cast("string").alias("order_date"), G.order_total("text").alias("total"),
@@ -179,7 +204,7 @@ def parse_listings(d: Data):
         F.when(mid == 1, F.concat(F.lit("  Developer\n"), who, nl)).otherwise("Developer\nWebsite\n"),
     )
     out = G.parse_listings(d.items.select("ext_id", html.alias("html"), text.alias("text")), d.as_of)
-    return out.drop("install_count_raw").withColumn("last_updated", F.col("last_updated").cast("string"))
+    return out.drop("install_count_raw", "price", "permissions", "raw").withColumn("last_updated", F.col("last_updated").cast("string"))
 
 
 @case(
@@ -192,13 +217,16 @@ from (select *, helpful_count % 3 as turn from {v_reviews})""",
 def parse_review_pages(d: Data):
     day = F.coalesce(F.date_format("reviewed_at", "MMM d, yyyy"), F.lit(""))
     body = F.coalesce("body", F.lit(""))
+    # Every third page nests elements of the same name in the text.
+    nested = F.concat(F.lit('<div class="x fzDEpf">'), F.regexp_replace(body, r"(\S+)", "<div><div>$1</div></div>"), F.lit("<div></div></div>"))
+    shown = F.when(F.col("helpful_count") % 3 == 1, nested).otherwise(F.concat(F.lit('<p class="x fzDEpf">'), body, F.lit("</p>")))
     stars = F.concat(F.lit('<div aria-label="'), F.col("stars").cast("string"), F.lit(' out of 5 stars"></div>'))
 
     def card(uid):
         return F.concat(
             F.lit('<section class="a T7rvce" data-review-id="'), uid, F.lit('">'), stars, F.lit('<span class="LfYwpe">'), F.col("author"),
-            F.lit('</span><span class="ydlbEf">'), day, F.lit('</span><p class="x fzDEpf">'), body,
-            F.lit('</p><div class="fPNqW"><p class="Iu8e1b">Thanks, says the developer</p></div></section>'),
+            F.lit('</span><span class="ydlbEf">'), day, F.lit("</span>"), shown,
+            F.lit('<div class="fPNqW"><p class="Iu8e1b">Thanks, says the developer</p></div></section>'),
         )
 
     known = F.concat(

@@ -42,6 +42,14 @@ DATES = [
 ORDER_DATES = [
     ("Order placed March 3, 2024 Total", DAY(2024, 3, 3)), ("Sept 9, 2023", DAY(2023, 9, 9)), ("Foo 3, 2024", None), ("3/3/2024", None),
 ]
+#: Each date also as an export date, where words like `ago` mean nothing.
+GENERAL_DATES = [
+    ("05/01/24", DAY(2024, 5, 1)), ("13/02/2024", DAY(2024, 2, 13)), ("2024/1/5 10:00", DAY(2024, 1, 5)), ("2024.01.05", DAY(2024, 1, 5)),
+    ("1-5-99", DAY(1999, 1, 5)), ("12/31/49", DAY(2049, 12, 31)), ("5th of September, 2024", DAY(2024, 9, 5)), ("2024 Sep 5", DAY(2024, 9, 5)),
+    ("Reviewed in the US on September 5, 2024 again", DAY(2024, 9, 5)), ("v2.3.10 sept. 3 2021", DAY(2021, 9, 3)), ("Mon, 5-Sep-2024", DAY(2024, 9, 5)),
+    ("Sep 5 24", DAY(2024, 9, 5)), ("Sep 5 12:30", None), ("31/31/2024", None), ("2024-13-01", None), ("0000-01-01", None),
+    ("Marching 5 2024", None), ("March 2024", None), ("1.5.99", None), ("12345/01/02", None), ("", None), (None, None),
+]
 CENTS = [
     ("$1,234.56", 123456), ("-$12.00", -1200), ("1,234.5", 123450), ("+7", 700), ("$12.345", None), ("12 USD", None), ("", None),
     ("  $5 ", 500),
@@ -68,15 +76,24 @@ LABELS = [
     [
         (P.parse_install_count, COUNTS), (P.parse_rating, RATINGS), (P.parse_star_label, STARS),
         (lambda c: P.parse_date(c, F.lit("2024-01-31").cast("date")), DATES), (P.parse_order_date, ORDER_DATES),
+        (lambda c: P.parse_date(c, F.lit("2024-01-31").cast("date")), GENERAL_DATES), (P.normalize_date, GENERAL_DATES),
         (M.parse_cents, CENTS), (I.normalize_identity, IDENTITY), (I.category_display, CATEGORIES),
         (L.is_store_merchant, MERCHANTS), (L.account_label, LABELS),
     ],
-    ids=["installs", "rating", "stars", "dates", "order_dates", "cents", "identity", "categories", "merchants", "labels"],
+    ids=["installs", "rating", "stars", "dates", "order_dates", "general_dates", "export_dates", "cents", "identity", "categories", "merchants", "labels"],
 )
 def test_text(spark, build, cases):
     assert rows(spark, build, cases) == cases
 
 
+def test_dates_stay_in_generated_code(spark):
+    day = F.lit("2024-01-31").cast("date")
+    for read in (lambda c: P.parse_date(c, day), P.normalize_date, P.parse_order_date, M.parse_cents):
+        plan = spark.range(5).select(F.col("id").cast("string").alias("v")).select(read(F.col("v")).alias("x"))
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "lambda" not in text and all(line.lstrip("+- ").startswith("*(") for line in text.strip().splitlines())
+
+
 def test_rating_count_and_version(one):
     assert one(P.parse_rating_count, "1.2K ratings") == 1200
     assert one(P.parse_rating_count, "12 reviews") == 12

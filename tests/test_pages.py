@@ -101,6 +101,32 @@ def test_review_cards_of_other_shapes(spark):
     assert "hashpartitioning" not in plan
 
 
+def test_nested_review_text(spark):
+    card = (
+        '<section class="T7rvce" data-review-id="n1"><div aria-label="2 out of 5 stars"></div><h3><span class="LfYwpe"><span>Lee</span> M.</span>'
+        '<span class="ydlbEf"><span>on</span> 9/5/24</span></h3><div class="fzDEpf"><div>first</div> part <div>and <div>rest</div></div></div>'
+        '<div class="fPNqW"><div class="fzDEpfx">reply</div></div></section>'
+    )
+    generic = '<li><i aria-label="3 out of 5"></i><h3>Max</h3><div data-review-text><div>one</div> two</div><time><b>5</b> Sep 2024</time></li>'
+    open_ended = '<section class="T7rvce" data-review-id="n2"><i aria-label="5 out of 5"></i><p class="fzDEpf">no end<p>next'
+    df = spark.createDataFrame([(1, card), (2, generic), (3, open_ended)], "page_id long, html string")
+    got = sorted(tuple(r) for r in G.parse_review_pages(df, as_of()).drop("position").collect())
+    day = dt.date(2024, 9, 5)
+    assert got == [
+        (1, "n1", "Lee M.", 2, "first part and rest", day), (2, None, "Max", 3, "one two", day), (3, "n2", None, 5, "no end", None),
+    ]
+
+
+def test_listing_fits_the_item_schema(spark):
+    df = spark.createDataFrame([(ID_A, LISTING, TEXT)], "ext_id string, html string, text string")
+    out = G.parse_listings(df, as_of())
+    kinds = {f.name: f.dataType for f in S.ITEMS}
+    assert {f.name for f in out.schema} <= set(kinds)
+    assert all(out.schema[name].dataType == kinds[name] for name in ("price", "permissions", "raw", "last_updated", "icon_url"))
+    r = out.first()
+    assert (r["price"], r["permissions"], r["raw"]) == (None, [], None)
+
+
 def test_links(spark):
     html = f"/detail/{ID_C}' /detail/slug/{ID_A}\" /detail/x/{ID_B}/reviews /detail/slug/{ID_A} /category/extensions/Tools/Sub/ /category/extensions/tools"
     df = spark.createDataFrame([(1, ID_A, html)], "page_id long, ext_id string, html string")
