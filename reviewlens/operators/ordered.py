@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from reviewlens.session import shared_folder
+
 
 def first_per_key(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], also: Mapping[str, Column] | None = None
@@ -80,6 +82,67 @@ def rank_per_key(
     return joined.select(*df.columns, (F.col("_before") + F.col("_local")).cast("int").alias(rank))
 
 
+LOCAL_BITS = 33
+#: Ranges that one task adds up; beyond it, and for their blocks, there is a second level.
+RANGE_BLOCK = 1024
+MOST_RANGES = 1 << 17
+#: Keys whose first places are sent to all tasks; more of them are joined by a shuffle.
+BROADCAST_KEYS = 1 << 20
+
+
+def _placed(df: DataFrame, order: Sequence[Column], ranges: int | None) -> tuple[DataFrame, DataFrame]:
+    """The rows, sorted into ranges and stored with their range and place in it, and how many rows come before each range."""
+    spark = df.sparkSession
+    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not 0 < ranges <= MOST_RANGES:
+        raise ValueError(f"1 to {MOST_RANGES} ranges")
+    path = shared_folder(spark, "ranges")
+    sorted_rows = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    numbered = sorted_rows.withColumns(
+        {
+            "_range": F.spark_partition_id(),
+            "_local": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << LOCAL_BITS) - 1)),
+        }
+    )
+    numbered.write.parquet(path)
+    rows = spark.read.schema(numbered.schema).parquet(path)
+    counts = rows.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_block", F.floor(F.col("_range") / RANGE_BLOCK))
+    in_block = Window.partitionBy("_block").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = counts.groupBy("_block").agg(F.sum("_n").alias("_all"))
+    over_blocks = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("_block", F.coalesce(F.sum("_all").over(over_blocks), F.lit(0)).alias("_far"))
+    before = counts.withColumn("_near", F.coalesce(F.sum("_n").over(in_block), F.lit(0))).join(F.broadcast(blocks), "_block")
+    return rows, before.select("_range", (F.col("_near") + F.col("_far")).alias("_before"))
+
+
+def place_in_order(df: DataFrame, order: Sequence[Column], place: str = "place", ranges: int | None = None) -> DataFrame:
+    """Exact position of every row in a total order of any columns, from 1.
+
+    Spark samples the sort columns to cut them into ranges, so equal leading values are split by those after them, and each
+    range is one sorted task. The sorted rows are written once to the shared folder; places add up counts per range on two
+    levels. There are at most as many ranges as asked for (the shuffle partitions), which bounds what is broadcast.
+    """
+    rows, before = _placed(df, order, ranges)
+    joined = rows.join(F.broadcast(before), "_range")
+    return joined.select(*df.columns, (F.col("_before") + F.col("_local") + 1).alias(place))
+
+
+def rank_in_ranges(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], rank: str = "rank", ranges: int | None = None
+) -> DataFrame:
+    """Exact row number per key in a total order: the place among all rows less that of the key's first row.
+
+    Ranges go by key and order, so a key of any size is spread over them. First places are one row per key, combined before
+    the shuffle; where there are too many to send to every task, both sides are joined by key and AQE splits a frequent one.
+    """
+    placed = place_in_order(df, [*[F.asc_nulls_last(k) for k in keys], *order], "_place", ranges)
+    named = placed.withColumn("_key", F.struct(*keys))
+    first = named.groupBy("_key").agg(F.min("_place").alias("_first"))
+    few = first.select("_key").limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    joined = named.join(F.broadcast(first) if few else first, "_key")
+    return joined.select(*df.columns, (F.col("_place") - F.col("_first") + 1).cast("int").alias(rank))
+
+
 def previous_per_key(
     df: DataFrame,
     keys: Sequence[str],

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from reviewlens import schemas as S
 from reviewlens.functions.parsing import _c, squash
 from reviewlens.functions.rounding import round_half_even
-from reviewlens.operators.ordered import first_per_key, rank_per_key, top_per_key
+from reviewlens.operators.ordered import first_per_key, rank_in_ranges, rank_per_key, top_per_key
 
 
 
@@ -138,17 +138,17 @@ def latest_per_item(
     return top_per_key(reviews, ["item_id"], [F.desc_nulls_last("reviewed_at"), F.asc(tie)], n)
 
 
-def _weighting_keys() -> list[tuple[Column, bool]]:
+def _weighting_order(tie: str) -> list[Column]:
+    """Helpful flag, helpful count, date, all descending."""
     return [
-        (F.coalesce(F.col("helpful_ranked"), F.lit(False)), True),
-        (F.coalesce(F.col("helpful_count"), F.lit(0)), True),
-        (F.col("reviewed_at"), True),
+        F.desc(F.coalesce(F.col("helpful_ranked"), F.lit(False))), F.desc(F.coalesce(F.col("helpful_count"), F.lit(0))),
+        F.desc_nulls_last("reviewed_at"), F.asc_nulls_last(tie),
     ]
 
 
-def rank_for_weighting(reviews: DataFrame, tie: str = "review_uid") -> DataFrame:
-    """Position of every review of an item: helpful flag, helpful count, date, all descending."""
-    return rank_per_key(reviews, ["item_id"], _weighting_keys(), [F.asc(tie)])
+def rank_for_weighting(reviews: DataFrame, tie: str = "review_uid", ranges: int | None = None) -> DataFrame:
+    """Position of every review of an item in the order of weighting."""
+    return rank_in_ranges(reviews, ["item_id"], _weighting_order(tie), ranges=ranges)
 
 
 def merge_reviews(passes: DataFrame) -> DataFrame:
@@ -210,7 +210,7 @@ def review_digest(items: DataFrame, reviews: DataFrame, max_reviews: int | None
         .when(F.coalesce(F.col("helpful_count"), F.lit(0)) != 0, F.col("helpful_count").cast("string"))
         .otherwise("")
     )
-    order = [F.desc(k) for k, _ in _weighting_keys()[:2]] + [F.desc_nulls_last("reviewed_at"), F.asc("review_uid")]
+    order = _weighting_order("review_uid")
     placed = recent.withColumn("_at", F.row_number().over(Window.partitionBy("item_id").orderBy(*order)))
     lines = placed.groupBy("item_id").agg(
         F.count("*").alias("n_reviews"),

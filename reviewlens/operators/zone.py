@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from reviewlens import schemas as S
 from reviewlens.functions.labels import money_status
 from reviewlens.functions.parsing import _c
-from reviewlens.operators.ordered import last_per_key, previous_per_key, rank_per_key
+from reviewlens.operators.ordered import last_per_key, place_in_order, previous_per_key, rank_per_key
 
 
 # --- predicates ---------------------------------------------------------------------------
@@ -219,16 +219,11 @@ def sort_nulls_last(df: DataFrame, column: str, direction: str = "asc", tie: str
 
 
 def place_nulls_last(
-    df: DataFrame, column: str, direction: str = "asc", tie: str = "id", block: int = 4096, place: str = "place"
+    df: DataFrame, column: str, direction: str = "asc", tie: str = "id", place: str = "place", ranges: int | None = None
 ) -> DataFrame:
-    """Position of each row in that order, for a whole-number tie; equal values are split into blocks of ties.
-
-    The pieces grow in number with the rows, and no task sorts more than a block of one value.
-    """
-    ties = F.floor(F.col(tie) / block)
-    keyed = df.withColumn("_all", F.lit(1))
-    split = [(F.col(column), direction == "desc"), (ties, False)]
-    return rank_per_key(keyed, ["_all"], split, [F.asc(tie)], place).drop("_all")
+    """Position of each row in that order, for columns of any type; the tie tells all rows apart."""
+    order = F.asc_nulls_last(column) if direction == "asc" else F.desc_nulls_last(column)
+    return place_in_order(df, [order, F.asc_nulls_last(tie)], place, ranges)
 
 
 def sort_opportunities(board: DataFrame, mode: str = "score-desc") -> DataFrame:

@@ -25,11 +25,13 @@ def local_session(cores: int | str = "*", app: str = "reviewlens", **conf: str)
 
 
 def use_checkpoints(spark: SparkSession) -> None:
-    """Point the context at the shared checkpoint folder the cluster names; without one, below the shared warehouse."""
+    """Point the context at the shared checkpoint folder the cluster names; on one machine, without one, below the warehouse."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get(CHECKPOINT_CONF, None)
+    if named is None and not context.master.startswith("local"):
+        raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
     context.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
 
 

@@ -1,7 +1,7 @@
 """Incremental jobs: review ingest, snapshots, complaint share and charge matching.
 
-Every job takes streaming frames and folders. Sinks are append-only tables, so a replayed batch rewrites its own files
-and nothing else, and readers fold the appended rows with aggregates that combine before the shuffle.
+Every job takes streaming frames and folders. Reviews are merged into a keyed table batch by batch; the other sinks are
+append-only tables of Spark's own file sink. A replayed batch changes neither.
 """
 
 from __future__ import annotations
@@ -12,8 +12,7 @@ from pyspark.sql import types as T
 
 from reviewlens import schemas as S
 from reviewlens.operators.ordered import first_per_key, last_per_key
-
-BATCH = "ingest_batch"
+from reviewlens.operators.store import KeyedTable
 
 
 def read_files(spark: SparkSession, folder: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -23,40 +22,50 @@ def read_files(spark: SparkSession, folder: str, schema: T.StructType, files_per
     return reader.load(folder)
 
 
-def _finish(writer, checkpoint: str) -> None:
+def _finish(writer, checkpoint: str) -> int:
+    """Run until all input is read; how many rows came behind the watermark and were dropped.
+
+    Rows that were combined before they reached the state count as one.
+    """
     query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
 
 
 # --- reviews -----------------------------------------------------------------------------------
 
+REVIEW_KEYS = ("item_id", "review_uid")
 
-def ingest_reviews(stream: DataFrame, store: str, checkpoint: str, delay: str = "7 days") -> None:
-    """Append every batch of scraped reviews to the store; identical replays inside the delay are dropped."""
-    same = [c for c in stream.columns if c != "scraped_at"]
-    fresh = stream.withWatermark("scraped_at", delay).dropDuplicatesWithinWatermark(same)
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{store}/{BATCH}={number}")
+def current_reviews(rows: DataFrame, keys=REVIEW_KEYS, order=("scraped_at",)) -> DataFrame:
+    """One row per review: the last scrape wins, a helpful flag once set stays."""
+    flag = F.bool_or(F.coalesce(F.col("helpful_ranked"), F.lit(False)))
+    return last_per_key(rows, list(keys), list(order), {"helpful_ranked": flag})
 
-    _finish(fresh.writeStream.foreachBatch(write), checkpoint)
 
+def ingest_reviews(
+    stream: DataFrame, store: str, checkpoint: str, order=("scraped_at",), buckets: int = 64, bucket_by=("item_id",),
+) -> None:
+    """Upsert every batch of scraped reviews into the keyed table at `store`; `read_reviews` gives its rows.
 
-def current_reviews(stored: DataFrame, keys=("item_id", "review_uid"), order=("scraped_at",)) -> DataFrame:
-    """The stored reviews as an upsert leaves them: the last scrape wins, a helpful flag once set stays."""
-    keys = list(keys)
-    columns = [c for c in stored.columns if c != BATCH]
-    flag = F.bool_or(F.coalesce(F.col("helpful_ranked"), F.lit(False)))
-    return last_per_key(stored.select(*columns), keys, list(order), {"helpful_ranked": flag})
+    A late scrape loses against a newer one that is already there, so batches may come in any order, and no state is held.
+    A batch that is replayed after a crash changes nothing.
+    """
+    target = KeyedTable(stream.sparkSession, store)
+    if not target.exists():
+        target.create(stream.schema, REVIEW_KEYS, bucket_by, buckets)
 
+    def write(batch: DataFrame, number: int) -> None:
+        # Repeats inside the batch are folded first, with the combining aggregate, then those with stored rows.
+        target.merge(
+            current_reviews(batch, order=order), lambda old, new: current_reviews(old.unionByName(new), order=order), number, checkpoint
+        )
 
-def compact(spark: SparkSession, store: str, target: str, **fold) -> None:
-    """Fold the appended batches into a new store of one batch.
+    _finish(stream.writeStream.foreachBatch(write), checkpoint)
 
-    The target must not exist yet: readers keep the old store until they are pointed to the new one, which is complete
-    once its writer's commit marker is there.
-    """
-    current_reviews(spark.read.parquet(store), **fold).write.mode("error").parquet(f"{target}/{BATCH}=0")
+
+def read_reviews(spark: SparkSession, store: str) -> DataFrame:
+    return KeyedTable(spark, store).read()
 
 
 # --- snapshots ----------------------------------------------------------------------------------
@@ -88,9 +97,10 @@ def complaint_share(reviews: DataFrame, days: int = S.TREND_RECENT_DAYS) -> Data
     )
 
 
-def stream_complaint_share(stream: DataFrame, store: str, checkpoint: str, delay: str = "7 days") -> None:
+def stream_complaint_share(stream: DataFrame, store: str, checkpoint: str, delay: str = "7 days") -> int:
+    """Windows that the watermark has passed are appended to the store; returns the dropped late rows."""
     rows = complaint_share(stream.withWatermark("reviewed_ts", delay))
-    _finish(rows.writeStream.format("parquet").option("path", store).outputMode("append"), checkpoint)
+    return _finish(rows.writeStream.format("parquet").option("path", store).outputMode("append"), checkpoint)
 
 
 # --- charges and orders --------------------------------------------------------------------------------
@@ -123,9 +133,10 @@ def candidate_days(
     return met.select("txn_id", F.col("offset").alias("day_diff"), F.coalesce("n", F.lit(0)).alias("n"), "order_id")
 
 
-def stream_match(charges: DataFrame, orders: DataFrame, store: str, checkpoint: str, **options) -> None:
+def stream_match(charges: DataFrame, orders: DataFrame, store: str, checkpoint: str, **options) -> int:
+    """Candidate days that the watermarks have passed are appended to the store; returns the dropped late rows."""
     met = candidate_days(charges, orders, **options)
-    _finish(met.writeStream.format("parquet").option("path", store).outputMode("append"), checkpoint)
+    return _finish(met.writeStream.format("parquet").option("path", store).outputMode("append"), checkpoint)
 
 
 def matched_charges(met: DataFrame) -> DataFrame:

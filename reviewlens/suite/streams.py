@@ -13,8 +13,10 @@ from reviewlens.suite.registry import case
 LAST = "2100-01-01"  # one row at this time closes every window before it
 
 
-def _stage(df: DataFrame, folder: str, name: str, files: int | None = None, per_batch: int | None = None) -> DataFrame:
-    out = df if files is None else df.repartition(files)
+def _stage(
+    df: DataFrame, folder: str, name: str, files: int | None = None, per_batch: int | None = None, by: str | None = None
+) -> DataFrame:
+    out = df if files is None else df.repartitionByRange(files, by) if by else df.repartition(files)
     out.write.parquet(f"{folder}/{name}")
     spark = df.sparkSession
     return jobs.read_files(spark, f"{folder}/{name}", df.schema, per_batch)
@@ -35,14 +37,10 @@ def stream_review_ingest(d: Data):
         "item_id", F.col("pass_uid").alias("review_uid"), F.col("review_uid").alias("position"), "author", "stars",
         "helpful_ranked", scraped.alias("scraped_at"),
     )
-    # Scrapes arrive in order of time, a few years a file, so a delay of days bounds the state.
-    early, late = (F.col("scraped_at") < "1994-06-01"), (F.col("scraped_at") >= "1996-06-01")
-    for part in (early, ~early & ~late, late):
-        rows.filter(part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = jobs.read_files(d.spark, f"{folder}/in", rows.schema, 1)
-    jobs.ingest_reviews(stream, f"{folder}/store", f"{folder}/state", "7 days")
-    stored = d.spark.read.parquet(f"{folder}/store")
-    out = jobs.current_reviews(stored, order=("scraped_at", "position"))
+    # Three files by time, one a batch, written by a task each.
+    stream = _stage(rows, folder, "in", files=3, per_batch=1, by="scraped_at")
+    jobs.ingest_reviews(stream, f"{folder}/store", f"{folder}/state", order=("scraped_at", "position"), buckets=8)
+    out = jobs.read_reviews(d.spark, f"{folder}/store")
     return out.select("item_id", "review_uid", "stars", "author", "helpful_ranked")
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from reviewlens import schemas as S
 from reviewlens.adapters import Data
 from reviewlens.operators import tables as T
+from reviewlens.operators.store import KeyedTable
+from reviewlens.session import shared_folder
 from reviewlens.sources.scan import scan
 from reviewlens.suite.registry import case, shared
 
@@ -40,6 +42,24 @@ def upsert_items(d: Data):
     return out.withColumn("last_scraped", F.col("last_scraped").cast("string"))
 
 
+@case(
+    "store_upsert",
+    """
+select coalesce(d.ext_id, i.ext_id) as ext_id, i.name, case when d.ext_id is not null then d.rating else i.rating end as rating,
+  case when d.ext_id is not null then d.developer else i.developer end as developer
+from {v_items} i full outer join {c_delta} d on i.ext_id = d.ext_id""",
+)
+def store_upsert(d: Data):
+    rows = d.items.select("ext_id", "name", "rating", "developer")
+    table = KeyedTable(d.spark, shared_folder(d.spark, "items"))
+    table.create(rows.schema, ["ext_id"], buckets=8)
+    for number, delta in enumerate((rows, d.sql(DELTA), d.sql(DELTA))):
+        # The last batch is a replay of the one before and changes nothing.
+        table.merge(delta, lambda old, new: T.upsert(old, new, ["ext_id"]), min(number, 1), "scrape")
+    table.clean(keep=1)
+    return table.read()
+
+
 @case(
     "snapshot_append",
     """

@@ -103,7 +103,8 @@ def zone_filter(d: Data):
 select id, rating, cast(row_number() over (order by rating desc nulls last, id) as int) as place from {{v_items}}""",
 )
 def zone_sorted(d: Data):
-    return Z.place_nulls_last(d.items.select("id", "rating"), "rating", "desc").select("id", "rating", "place")
+    placed = Z.place_nulls_last(d.items.select("id", "rating"), "rating", "desc")
+    return placed.select("id", "rating", F.col("place").cast("int").alias("place"))
 
 
 @case(

@@ -2,8 +2,10 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
+from reviewlens.operators.store import KeyedTable
 from reviewlens.streaming import jobs
 
 DAY = dt.datetime
@@ -13,25 +15,46 @@ def feed(spark, folder, rows, schema):
     spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
 
 
+REVIEWS = "item_id long, review_uid string, stars int, helpful_ranked boolean, scraped_at timestamp"
+
+
 def test_ingest_over_two_runs(spark, tmp_path):
-    schema = "item_id long, review_uid string, stars int, helpful_ranked boolean, scraped_at timestamp"
     src, store, state = (str(tmp_path / n) for n in ("src", "store", "state"))
 
     def run():
-        stream = jobs.read_files(spark, src, spark.createDataFrame([], schema).schema)
-        jobs.ingest_reviews(stream, store, state, "30 days")
+        stream = jobs.read_files(spark, src, spark.createDataFrame([], REVIEWS).schema)
+        jobs.ingest_reviews(stream, store, state)
 
-    feed(spark, src, [(1, "a", 1, True, DAY(2024, 1, 1)), (1, "a", 1, True, DAY(2024, 1, 1)), (1, "b", 5, None, DAY(2024, 1, 1))], schema)
+    feed(spark, src, [(1, "a", 1, True, DAY(2024, 1, 1)), (1, "a", 1, True, DAY(2024, 1, 1)), (1, "b", 5, None, DAY(2024, 1, 1))], REVIEWS)
     run()
-    feed(spark, src, [(1, "a", 2, False, DAY(2024, 1, 5)), (2, "c", 3, False, DAY(2024, 1, 5)), (1, "b", 5, None, DAY(2024, 1, 6))], schema)
+    feed(spark, src, [(1, "a", 2, False, DAY(2024, 1, 5)), (2, "c", 3, False, DAY(2024, 1, 5)), (1, "b", 5, None, DAY(2024, 1, 6))], REVIEWS)
+    run()
+    # A scrape that comes late: its flag counts, its stars don't.
+    feed(spark, src, [(2, "c", 1, True, DAY(2023, 1, 1))], REVIEWS)
     run()
     run()  # nothing new
-    stored = spark.read.parquet(store)
-    assert stored.count() == 4
-    now = {(r["item_id"], r["review_uid"]): (r["stars"], r["helpful_ranked"]) for r in jobs.current_reviews(stored).collect()}
-    assert now == {(1, "a"): (2, True), (1, "b"): (5, False), (2, "c"): (3, False)}
-    jobs.compact(spark, store, str(tmp_path / "compact"))
-    assert spark.read.parquet(str(tmp_path / "compact")).count() == 3
+    now = {(r["item_id"], r["review_uid"]): (r["stars"], r["helpful_ranked"]) for r in jobs.read_reviews(spark, store).collect()}
+    assert now == {(1, "a"): (2, True), (1, "b"): (5, False), (2, "c"): (3, True)}
+    assert KeyedTable(spark, store).version().number == 3
+
+
+def test_crash_between_rows_and_manifest(spark, tmp_path, monkeypatch):
+    src, store, state = (str(tmp_path / n) for n in ("src", "store", "state"))
+
+    def run():
+        jobs.ingest_reviews(jobs.read_files(spark, src, spark.createDataFrame([], REVIEWS).schema), store, state)
+
+    feed(spark, src, [(1, "a", 1, True, DAY(2024, 1, 1))], REVIEWS)
+    run()
+    feed(spark, src, [(1, "a", 4, False, DAY(2024, 1, 2)), (1, "b", 5, False, DAY(2024, 1, 2))], REVIEWS)
+    with monkeypatch.context() as m:
+        m.setattr(KeyedTable, "_publish", lambda *_: 1 / 0)
+        with pytest.raises(Exception, match="division"):
+            run()
+    assert [r["stars"] for r in jobs.read_reviews(spark, store).collect()] == [1]
+    run()  # the batch is replayed from the checkpoint
+    rows = {(r["review_uid"], r["stars"], r["helpful_ranked"]) for r in jobs.read_reviews(spark, store).collect()}
+    assert rows == {("a", 4, True), ("b", 5, False)}
 
 
 def test_snapshots_once(spark, tmp_path):

@@ -3,10 +3,11 @@
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from reviewlens import schemas as S
-from reviewlens.operators import graph, identity
+from reviewlens.operators import graph, identity, ordered
 from reviewlens.operators import tables as T
 from reviewlens.operators import zone as Z
 from reviewlens.plans import dashboards
@@ -119,6 +120,71 @@ def test_lookup(spark):
 # --- graph ----------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("direction", ["asc", "desc"])
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_places_of_any_column(spark, direction, ranges, monkeypatch):
+    monkeypatch.setattr(ordered, "RANGE_BLOCK", 2)  # both levels of offsets
+    r = random.Random(ranges)
+    rows = [(i, r.choice([None, 1.5, 1.5, 1.5, float(r.randrange(9))]), r.choice([None, "a", "b", "é"])) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, x double, s string").repartition(5)
+    for at, column in ((1, "x"), (2, "s")):
+        got = {row["id"]: row["place"] for row in Z.place_nulls_last(df, column, direction, ranges=ranges).collect()}
+        known = sorted((x for x in rows if x[at] is not None), key=lambda x: x[at], reverse=direction == "desc")
+        want = [x[0] for x in known] + [x[0] for x in rows if x[at] is None]  # ids ascend among equals: sorts are stable
+        assert got == {i: n for n, i in enumerate(want, 1)}
+    assert Z.place_nulls_last(df.limit(0), "x").collect() == []
+
+
+@pytest.mark.parametrize("few", [1, 1 << 20])
+def test_ranks_of_a_hot_key(spark, monkeypatch, few):
+    monkeypatch.setattr(ordered, "BROADCAST_KEYS", few)
+    r = random.Random(few)
+    rows = [(r.choice([1, 1, 1, 1, 2, None, r.randrange(40)]), r.randrange(5), i) for i in range(600)]
+    df = spark.createDataFrame(rows, "k long, a int, id long").repartition(4)
+    out = ordered.rank_in_ranges(df, ["k"], [F.desc("a"), F.asc("id")], ranges=6)
+    want = {}
+    for k in {x[0] for x in rows}:
+        own = sorted((x for x in rows if x[0] == k), key=lambda x: (-x[1], x[2]))
+        want |= {x[2]: n for n, x in enumerate(own, 1)}
+    assert {x["id"]: x["rank"] for x in out.collect()} == want
+    # Windows see the counts of ranges only.
+    assert "row_number" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_level_moves_no_edges(spark, monkeypatch):
+    monkeypatch.setattr(graph.Reach, "finish", lambda self: self)  # tables stay for the plan
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = spark.range(500).select(F.col("id").alias("src"), (F.col("id") * 7 % 501).alias("dst"))
+        seeds = spark.range(3).select((F.col("id") + 1).alias("id"))
+        reach = graph.Reach.start(edges)
+        assert reach.add(seeds.distinct(), 0) == 3
+        assert reach.add(reach.next_level(0), 1) == 3
+        plan = reach.next_level(1)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # The one exchange is over targets, above both scans of the first join.
+    assert plan.count("Exchange") == 1 and plan.index("Exchange") < plan.index("FileScan")
+    assert plan.count("Bucketed: true") == 3
+    monkeypatch.undo()
+    tables = {reach.edges, reach.nodes}
+    assert sorted(r["id"] for r in reach.finish().collect()) == [1, 2, 3, 7, 14, 21]
+    assert not tables & {t.name for t in spark.catalog.listTables()}
+
+
+def test_reach_of_a_random_graph(spark):
+    r = random.Random(5)
+    pairs = [(r.randrange(300), r.randrange(300)) for _ in range(420)] + [(0, i) for i in range(1, 200, 3)]
+    depth, level = dict.fromkeys([0, 7], 0), {0, 7}
+    while level:
+        level = {b for a, b in pairs if a in level} - set(depth)
+        depth |= dict.fromkeys(level, 1 + max(depth.values()))
+    edges = spark.createDataFrame(pairs + [(None, 3), (5, 5)], "src long, dst long")
+    seeds = spark.createDataFrame([(0,), (7,), (7,)], "id long")
+    for buckets in (None, 3):
+        assert {x["id"]: x["depth"] for x in graph.reachable(seeds, edges, buckets=buckets).collect()} == depth
+
+
 def test_reachable(spark):
     edges = spark.createDataFrame([(1, 3), (3, 1), (3, 4), (4, 5)], "src long, dst long")
     seeds = spark.createDataFrame([(1,), (2,)], "id long")
