@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
@@ -132,14 +132,16 @@ def rank_in_ranges(
 ) -> DataFrame:
     """Exact row number per key in a total order: the place among all rows less that of the key's first row.
 
-    Ranges go by key and order, so a key of any size is spread over them. First places are one row per key, combined before
-    the shuffle; where there are too many to send to every task, both sides are joined by key and AQE splits a frequent one.
+    Ranges go by key and order, so a key of any size is spread over them. All columns are stored: take those you need. First
+    places are one row per key, combined before the shuffle and stored; where there are too many to send to every task, both sides are joined by key and AQE splits a frequent one.
     """
     placed = place_in_order(df, [*[F.asc_nulls_last(k) for k in keys], *order], "_place", ranges)
     named = placed.withColumn("_key", F.struct(*keys))
     first = named.groupBy("_key").agg(F.min("_place").alias("_first"))
-    few = first.select("_key").limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    joined = named.join(F.broadcast(first) if few else first, "_key")
+    size, path = Observation(), shared_folder(df.sparkSession, "first-places")
+    first.observe(size, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    first = df.sparkSession.read.schema(first.schema).parquet(path)
+    joined = named.join(F.broadcast(first) if size.get["n"] <= BROADCAST_KEYS else first, "_key")
     return joined.select(*df.columns, (F.col("_place") - F.col("_first") + 1).cast("int").alias(rank))
 
 

@@ -11,6 +11,7 @@ from reviewlens.functions.labels import low_legitimacy, recency_label, trend_lab
 from reviewlens.operators import reviews as R
 from reviewlens.operators import zone as Z
 from reviewlens.plans import annotate, dashboards, scoring
+from reviewlens.session import spread
 from reviewlens.suite.registry import SHARED, case, shared
 
 AS_OF = "date '2000-06-30'"
@@ -155,7 +156,9 @@ select item_id, review_uid, cast(row_number() over (partition by item_id order b
   reviewed_at desc nulls last, review_uid) as int) as rank from {v_reviews}""",
 )
 def review_weight_rank(d: Data):
-    return R.rank_for_weighting(d.reviews).select("item_id", "review_uid", "rank")
+    # Rows are sampled before they are dealt into ranges; spread ones are computed once.
+    rows = spread(d.reviews.select("item_id", "review_uid", "helpful_ranked", "helpful_count", "reviewed_at"))
+    return R.rank_for_weighting(rows).select("item_id", "review_uid", "rank")
 
 
 @case(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlens.adapters import Data
-from reviewlens.session import shared_folder
+from reviewlens.session import shared_folder, spread
 from reviewlens.streaming import jobs
 from reviewlens.suite.registry import case
 
@@ -16,7 +16,7 @@ LAST = "2100-01-01"  # one row at this time closes every window before it
 def _stage(
     df: DataFrame, folder: str, name: str, files: int | None = None, per_batch: int | None = None, by: str | None = None
 ) -> DataFrame:
-    out = df if files is None else df.repartitionByRange(files, by) if by else df.repartition(files)
+    out = df if files is None else spread(df).repartitionByRange(files, by) if by else df.repartition(files)
     out.write.parquet(f"{folder}/{name}")
     spark = df.sparkSession
     return jobs.read_files(spark, f"{folder}/{name}", df.schema, per_batch)
