@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from reviewlens import schemas as S
@@ -57,6 +57,21 @@ def dashboard(
     }
 
 
+def write_dashboard(
+    tables: Mapping[str, DataFrame | None], spark, folder: str, points: int | None = None, prices: int | None = None
+) -> DataFrame:
+    """The bundle as a table per dataset below a folder, and (dataset, n) of what was written.
+
+    Rows are counted by the writes themselves.
+    """
+    counts = []
+    for name, df in dashboard(tables, spark, points, prices).items():
+        seen = Observation(name)
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{folder}/{name}")
+        counts.append((name, seen.get["n"]))
+    return spark.createDataFrame(counts, "dataset string, n long")
+
+
 def item_detail(
     tables: Mapping[str, DataFrame | None], ext_id: str, spark, reviews: int | None = None
 ) -> dict[str, DataFrame]:

@@ -65,16 +65,18 @@ def read_order_csv(spark: SparkSession, paths: Sequence[str], width: int = WIDTH
 
     All files are one scan of bare rows. A file's first row holds its headers: it is found by an aggregate per file and
     joined back, so the plan doesn't grow with the number of files. `source` orders the files as `paths` does, files of
-    a folder by name. Files have at most `width` columns.
+    a folder by name. A file of more than `width` columns is an error: one more is read to see it.
     """
-    schema = ", ".join(f"_c{i} string" for i in range(width))
+    schema = ", ".join(f"_c{i} string" for i in range(width + 1))
+    cells = F.array(*[F.col(f"_c{i}") for i in range(width)])
+    wide = F.raise_error(F.concat(F.lit(f"more than {width} columns in "), F.col("_metadata.file_path"))).cast("array<string>")
     rows = (
         spark.read.schema(schema)
         .csv(list(paths), header=False, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False)
         .select(
             F.regexp_replace("_metadata.file_path", r"^\w+:/+", "/").alias("file"),
             F.monotonically_increasing_id().alias("row_no"),
-            F.array(*[F.col(f"_c{i}") for i in range(width)]).alias("cells"),
+            F.when(F.col(f"_c{width}").isNull(), cells).otherwise(wide).alias("cells"),
         )
     )
     plain_cells = F.transform("cells", lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]", ""))

@@ -10,7 +10,9 @@ from reviewlens.functions.money import format_cents, parse_cents
 from reviewlens.functions.notes import merchant_name, merge_notes, note_line, short_summary
 from reviewlens.operators import accounts, orders as O
 from reviewlens.operators import reconcile as R
-from reviewlens.suite.registry import case, shared
+from reviewlens.session import shared_folder
+from reviewlens.sources.exports import orders_from_csv
+from reviewlens.suite.registry import SHARED, case, shared
 
 shared(
     "c_charges",
@@ -276,6 +278,30 @@ def reconcile_union(d: Data):
     return R.match_charges(d.txns.filter("amount_cents < 0"), orders).select("txn_id", "candidate_count")
 
 
+shared(
+    "c_united",
+    """
+select * exclude (rn) from (
+  select order_id, order_date, total_cents, bool_or(return_hint) over (partition by order_id) as return_hint,
+    row_number() over (partition by order_id order by account desc) as rn
+  from (select order_id, order_date, total_cents, account, return_hint from {v_orders}
+    union all select order_id, order_date, total_cents, '9-SECOND', true from {v_orders} where title2 is not null)) where rn = 1""",
+)
+# The matches as above, over the united orders.
+_OVER_UNION = {"{v_orders}": "{c_united}", "{c_full}": "{u_full}", "{c_partial}": "{u_partial}"}
+for _name in ("charges", "full", "partial", "refunds"):
+    _sql = SHARED[f"c_{_name}"]
+    for _old, _new in _OVER_UNION.items():
+        _sql = _sql.replace(_old, _new)
+    shared(f"u_{_name}", _sql)
+
+
+@case("reconcile_all_accounts", "select * from {u_charges} union all select * from {u_refunds}")
+def reconcile_all_accounts(d: Data):
+    second = d.orders.filter("size(item_titles) > 1").withColumns({"account": F.lit("9-SECOND"), "return_hint": F.lit(True)})
+    return R.reconcile(d.txns, O.union_orders(d.orders.unionByName(second)).drop("order_key")).select(*COLUMNS)
+
+
 @case(
     "merge_account_orders",
     """
@@ -385,6 +411,44 @@ def scan_new_per_page(d: Data):
     return O.new_per_page(pages)
 
 
+@case(
+    "scan_merged",
+    """
+select order_key, page_no, position, total_cents, hint as return_hint, title1 as title from (
+  select *, order_id as order_key, bool_or(return_hint) over (partition by order_id) as hint,
+    row_number() over (partition by order_id order by page_no, position) as rn from {c_scan}) where rn = 1""",
+)
+def scan_merged(d: Data):
+    out = O.merge_scan_pages(d.sql(SCAN).withColumn("item_titles", F.array("title1")))
+    return out.select("order_key", "page_no", "position", "total_cents", "return_hint", F.col("item_titles")[0].alias("title"))
+
+
+@case(
+    "export_orders",
+    """
+select order_id, order_date, total_cents, return_hint, item_titles from (
+  select *, row_number() over (partition by order_id order by part_no) as rn from {c_parts}) where rn = 1""",
+)
+def export_orders(d: Data):
+    """Item lines written as export files, two parts with other headers, and read back as orders."""
+    folder = shared_folder(d.spark, "exports")
+    dollars = F.concat(
+        F.lit("$"), F.format_number(F.floor(F.col("cents") / 100).cast("long"), 0), F.lit("."), F.lpad((F.col("cents") % 100).cast("string"), 2, "0")
+    )
+    lines = d.table("v_order_items").repartition(8, "order_id").sortWithinPartitions("order_id", "row_no")
+    first = lines.filter("part_no = 1").select(
+        F.col("order_id").alias("Order ID"), F.date_format("order_date", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("Order Date"),
+        dollars.alias("Total Owed"), F.col("title").alias("Product Name"), F.col("status").alias("Order Status"),
+    )
+    other = lines.filter("part_no = 2").select(
+        F.concat(F.lit('a "quoted", long\nnote '), F.col("row_no")).alias("Note"), F.col("title").alias("TITLE"), F.col("status").alias("order-status"),
+        F.date_format("order_date", "M/d/yyyy").alias("order date"), dollars.alias("Item Total"), F.col("order_id").alias("ORDERID"),
+    )
+    for name, part in (("1", first), ("2", other)):
+        part.write.csv(f"{folder}/{name}", header=True, quote='"', escape='"')
+    return _flat(orders_from_csv(d.spark, [f"{folder}/1", f"{folder}/2"]))
+
+
 @case(
     "parse_money",
     """

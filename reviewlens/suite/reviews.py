@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reviewlens.adapters import Data
 from reviewlens.functions.identity import review_uid
@@ -337,6 +338,42 @@ def annotate_items(d: Data):
     return annotate.annotate_items(d.items, d.reviews, max_reviews=20)
 
 
+@case(
+    "annotate_reviews",
+    """
+with said as (
+  select r.*, i.rating, row_number() over (partition by item_id order by helpful_ranked desc, helpful_count desc, reviewed_at desc nulls last, review_uid) as place
+  from {v_reviews} r join {v_items} i on i.id = r.item_id),
+stars as (select item_id, string_agg(concat(stars, '=', n, '@', firsts), '|' order by stars) as clusters from (
+  select item_id, stars, count(*) as n, min(place) as firsts from said group by 1, 2) group by item_id),
+notes as (select item_id, count(*) as n, arg_min(review_uid, place) as top_uid, min(rating) as rating from said group by item_id)
+select i.id as item_id, case when i.rating is null or n is null then 'skipped' when i.id % 17 = 0 then 'error' else 'done' end as status,
+  case when i.rating is not null and n is not null and i.id % 17 = 0 then concat('ValueError: no notes for item', i.id) end as error,
+  case when i.rating is not null and i.id % 17 <> 0 then n end as n, case when i.rating is not null and i.id % 17 <> 0 then top_uid end as top_uid,
+  case when i.rating is not null and i.id % 17 <> 0 then clusters end as clusters
+from {v_items} i left join notes on notes.item_id = i.id left join stars on stars.item_id = i.id""",
+)
+def annotate_reviews(d: Data):
+    """Clusters of reviews by stars from an injected callable; it fails for some items, and unrated ones are gated."""
+
+    def annotator(item, reviews):
+        found, n, top = {}, 0, None
+        for n, r in enumerate(reviews, 1):
+            top = top or r["review_uid"]
+            entry = found.setdefault(r["stars"], {"stars": r["stars"], "n": 0, "first": n})
+            entry["n"] += 1
+        if item["id"] % 17 == 0:
+            raise ValueError(f"no notes for {item['ext_id']}")
+        return {"profile": {"n": n, "top_uid": top}, "clusters": [found[k] for k in sorted(found)]}
+
+    record = T.StructType.fromDDL("profile struct<n: long, top_uid: string>, clusters array<struct<stars: int, n: long, first: long>>")
+    items = d.items.select("id", "ext_id", "rating")
+    rows = d.reviews.select("item_id", "review_uid", "stars", "helpful_ranked", "helpful_count", "reviewed_at")
+    out = annotate.annotate_reviews(items, rows, annotator, record, gate=F.col("rating").isNotNull())
+    shown = F.transform("clusters", lambda c: F.format_string("%d=%d@%d", c["stars"], c["n"], c["first"]))
+    return out.select("item_id", "status", "error", "profile.n", "profile.top_uid", F.array_join(shown, "|").alias("clusters"))
+
+
 @case(
     "annotation_rows",
     """

@@ -76,6 +76,35 @@ def stream_complaint_share(d: Data):
     return out.withColumn("window_start", F.col("window_start").cast("string"))
 
 
+@case(
+    "stream_share_late_rows",
+    """
+select item_id, cast(date '1970-01-01' + cast(floor(date_diff('day', date '1970-01-01', reviewed_at) / 180) * 180 as int) as varchar) as window_start,
+  count(*) as reviews, count(*) filter (where stars <= 2) as negative, cast(count(*) filter (where stars <= 2) as double) / count(*) as share
+from {v_reviews} where reviewed_at is not null group by 1, 2""",
+)
+def stream_share_late_rows(d: Data):
+    """The first months come again, with one star, half a year behind the watermark of a run before: all of them are lost."""
+    folder = shared_folder(d.spark, "late-share")
+    rows = d.reviews.filter("reviewed_at is not null").select(
+        "item_id", "stars", F.col("reviewed_at").cast("timestamp").alias("reviewed_ts")
+    )
+    late = rows.filter("reviewed_ts < '1995-05-01'").withColumn("stars", F.lit(1))
+    closing = d.spark.range(1).select(
+        F.lit(-1).cast("long").alias("item_id"), F.lit(1).alias("stars"), F.lit(LAST).cast("timestamp").alias("reviewed_ts")
+    )
+    dropped = 0
+    for part in (rows.filter("reviewed_ts < '1996-01-01'"), rows.filter("reviewed_ts >= '1996-01-01'").unionByName(late), closing):
+        part.write.mode("append").parquet(f"{folder}/in")
+        # Each run begins at the checkpoint of the one before.
+        stream = jobs.read_files(d.spark, f"{folder}/in", rows.schema)
+        dropped += jobs.stream_complaint_share(stream, f"{folder}/store", f"{folder}/state", "0 days")
+    if not dropped:
+        raise AssertionError("no late row was dropped")
+    out = d.spark.read.parquet(f"{folder}/store").filter("item_id >= 0")
+    return out.withColumn("window_start", F.col("window_start").cast("string"))
+
+
 @case(
     "stream_match",
     "select txn_id, candidate_count, day_diff, order_id, status from {c_charges} where amount_cents < 0",
@@ -93,3 +122,36 @@ def stream_match(d: Data):
         delay_days=0,
     )
     return jobs.matched_charges(d.spark.read.parquet(f"{folder}/store")).filter("txn_id <> ''")
+
+
+@case(
+    "stream_match_late_rows",
+    "select txn_id, candidate_count, day_diff, order_id, status from {c_charges} where amount_cents < 0",
+)
+def stream_match_late_rows(d: Data):
+    """The first orders come again under lower ids, half a year behind the watermark of a run before: no charge meets them."""
+    folder = shared_folder(d.spark, "late-match")
+    charges = d.txns.select("txn_id", F.col("txn_date").cast("timestamp").alias("txn_ts"), "amount_cents")
+    orders = d.orders.select("order_id", F.col("order_date").cast("timestamp").alias("order_ts"), "total_cents")
+    late = orders.filter("order_ts < '1995-03-01'").withColumn("order_id", F.concat(F.lit("a-"), F.col("order_id")))
+    one, last = d.spark.range(1), F.lit(LAST).cast("timestamp")
+    runs = (
+        (charges.filter("txn_ts < '1996-01-01'"), orders.filter("order_ts < '1996-01-01'")),
+        (charges.filter("txn_ts >= '1996-01-01'"), orders.filter("order_ts >= '1996-01-01'").unionByName(late)),
+        (
+            one.select(F.lit("").alias("txn_id"), last.alias("txn_ts"), F.lit(-1).cast("long").alias("amount_cents")),
+            one.select(F.lit("").alias("order_id"), last.alias("order_ts"), F.lit(1).cast("long").alias("total_cents")),
+        ),
+    )
+    dropped = 0
+    for new_charges, new_orders in runs:
+        new_charges.write.mode("append").parquet(f"{folder}/charges")
+        new_orders.write.mode("append").parquet(f"{folder}/orders")
+        # Charges and orders of one day may come in two runs: orders wait for them a month.
+        dropped += jobs.stream_match(
+            jobs.read_files(d.spark, f"{folder}/charges", charges.schema), jobs.read_files(d.spark, f"{folder}/orders", orders.schema),
+            f"{folder}/store", f"{folder}/state", delay_days=30,
+        )
+    if not dropped:
+        raise AssertionError("no late row was dropped")
+    return jobs.matched_charges(d.spark.read.parquet(f"{folder}/store")).filter("txn_id <> ''")

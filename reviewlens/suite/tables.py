@@ -60,6 +60,18 @@ def store_upsert(d: Data):
     return table.read()
 
 
+@case(
+    "schema_tolerance",
+    """
+select id, ext_id, name, cast(null as varchar) as developer, cast(null as bigint) as install_count, cast(null as varchar) as price from {v_items}""",
+)
+def schema_tolerance(d: Data):
+    """Items without most of their columns, and a second table that isn't there at all."""
+    have = T.ensure_columns(d.items.select("name", "id", "ext_id", F.lit(1).alias("unknown")), S.ITEMS)
+    both = have.unionByName(T.ensure_columns(None, S.ITEMS, d.spark))
+    return both.select("id", "ext_id", "name", "developer", "install_count", "price")
+
+
 @case(
     "snapshot_append",
     """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reviewlens.adapters import Data
-from reviewlens.functions.identity import category_display, normalize_identity, single_known
+from reviewlens.functions.identity import category_display, is_same, normalize_identity, single_known
 from reviewlens.functions.labels import dive_rank, money_status
 from reviewlens.functions.money import fmt_compact, fmt_usd
 from reviewlens.operators import graph, identity
@@ -193,6 +193,21 @@ from {c_norm} a join {c_norm} b on a.ext_id <> b.ext_id"""
 shared("c_pairs", PAIRS)
 
 
+@case(
+    "same_items",
+    """
+select a.id as left_id, b.id as right_id, a.ext_id = b.ext_id or (a.name = b.name)::int + (a.developer = b.developer)::int
+  + coalesce((a.website = b.website and a.website <> '')::int, 0) >= 2 as same
+from {c_norm} a join {c_norm} b on b.id = a.id or b.id = a.id + 25""",
+)
+def same_items(d: Data):
+    """Each item beside itself and a later one: one id, or two agreeing fields."""
+    items = d.items.select("id", "ext_id", "name", "developer", "website")
+    left = items.select(F.explode(F.array("id", F.col("id") + 25)).alias("other"), *items.columns)
+    pairs = left.alias("l").join(items.alias("r"), F.col("l.other") == F.col("r.id"))
+    return pairs.select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), is_same("l", "r").alias("same"))
+
+
 @case(
     "successor_links",
     """

@@ -166,3 +166,10 @@ def test_entitlement(spark):
         "trial": ("trial", 1, True), "over": ("trial-expired", 0, False), "none": ("none", None, False),
     }
     assert S.ORDERS.fieldNames()[0] == "order_id"
+
+
+def test_wide_export_is_refused(spark, tmp_path):
+    (tmp_path / "wide.csv").write_text("Order ID,Order Date,Total,Title,More\n1,2024-01-01,5.00,Cup,x\n")
+    assert exports.orders_from_csv(spark, [str(tmp_path / "wide.csv")]).count() == 1
+    with pytest.raises(Exception, match="more than 4 columns"):
+        exports.read_order_csv(spark, [str(tmp_path / "wide.csv")], width=4).collect()

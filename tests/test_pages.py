@@ -220,3 +220,20 @@ def test_price_rows(spark):
     rec = spark.createDataFrame([(7, ("paid", 3.5))], "item_id long, rec struct<pricing_model: string, price_min_usd: double>")
     assert tuple(annotate.annotation_rows(rec, model="m").first()) == (7, "m", "paid", 3.5)
     assert S.PRICING_MODELS[2] == "paid"
+
+
+def test_marker_literals_lose_no_match(spark):
+    texts = [
+        '<div class="box ORDER-CARD js-order-card">Order Placed June 3, 1999 TOTAL $1,234.56 114-1234567-1234567</div>', "grand Total $ 5.00",
+        '<SCRIPT TYPE="application/JSON">{"Order_Date":1,"orderPlacedDate":2,"purchaseDate":3,"grandTotal":4,"total_amount":5}</script>',
+        '<a HREF="/GP/product/B1/"></a><a href="x/dp/B2/">', "DATA-A-STATE ordered On", "enable javascript NOSCRIPT captcha", "Order\n placed", "name='email' x type='email'",
+        "id=\"ap_email\" Amazon Sign-In auth-error-message-box AmazonSignIn", "orderKplaced İ total", "", None,
+    ]
+    df = spark.createDataFrame([(i, "u", t) for i, t in enumerate(texts)], "page_id long, url string, html string")
+    html = F.coalesce(F.col("html"), F.lit(""))
+    plain = df.select("page_id", *[F.regexp_count(html, F.lit(p)).alias(n) for n, p in G.PAGE_PATTERNS.items()])
+    got = G.pattern_counts(df).select(plain.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+    kinds = df.select("page_id", html.rlike(G.LOGIN_HTML).alias("login"), html.rlike(G.ORDERS_HTML).alias("orders"))
+    want = {r["page_id"]: "login" if r["login"] else "orders" if r["orders"] else "unknown" for r in kinds.collect()}
+    assert {r["page_id"]: r["kind"] for r in G.classify_pages(df).collect()} == want

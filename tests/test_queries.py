@@ -33,6 +33,7 @@ def test_plan(spark, name):
     plan = runner(name)(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert plan.count("Python") == (name in PAGES) and "Pandas" not in plan
+    assert plan.count("MapInArrow") == (name == "annotate_reviews")
 
 
 def test_scan_reads_only_what_it_needs(spark):

@@ -5,6 +5,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reviewlens import schemas as S
 from reviewlens.operators import reviews as R
@@ -205,3 +206,35 @@ def test_rank_with_null_keys_and_splits(spark):
     assert got == {"b": 1, "c": 2, "a": 3, "d": 1, "e": 2}
     up = {r["u"]: r["rank"] for r in rank_per_key(df, ["k"], [(F.col("s"), False)], [F.asc("u")]).collect()}
     assert up == {"c": 1, "b": 2, "a": 3, "d": 1, "e": 2}
+
+
+def test_annotator_over_a_stream_of_reviews(spark, monkeypatch):
+    monkeypatch.setattr(annotate, "SLICE_ROWS", 2)
+    monkeypatch.setattr(annotate, "FLUSH_ROWS", 2)
+    items = spark.createDataFrame([(i, f"x{i}") for i in range(1, 8)] + [(None, "none")], "id long, ext_id string")
+    rows = [(1, f"u{n:03d}", n % 5 + 1, n % 2 == 0, n) for n in range(300)] + [(i, "v", 3, None, None) for i in (2, 3, 4, 5, 99)]
+    reviews = spark.createDataFrame([(*r, None) for r in rows + [(None, "w", 1, True, 1)]], "item_id long, review_uid string, stars int, helpful_ranked boolean, helpful_count int, reviewed_at date")
+    record = T.StructType.fromDDL("n long, causes array<struct<cause: string, share: double>>, profile struct<top: string, price: struct<low: double>>")
+
+    def notes(item, said):
+        if item["id"] == 3:
+            raise ValueError("refused")
+        if item["id"] == 4:
+            return {"n": "not a number"}
+        if item["id"] == 5:
+            return {}
+        first = next(said)  # the others are not asked for: later items must not see them
+        n = sum(1 for _ in said) + 1 if item["id"] == 2 else -1
+        return {"n": n, "causes": [{"cause": "bug", "share": 0.5}], "profile": {"top": first["review_uid"], "price": {"low": 1.0}}}
+
+    out = annotate.annotate_reviews(items, reviews, notes, record, gate=F.col("id") != 7, partitions=2)
+    assert out.schema["causes"].dataType == record["causes"].dataType
+    got = {r["item_id"]: r.asDict(recursive=True) for r in out.collect()}
+    assert len(got) == 8
+    done = {"n": -1, "causes": [{"cause": "bug", "share": 0.5}], "profile": {"top": "u298", "price": {"low": 1.0}}}
+    assert got[1] == {"item_id": 1, "status": "done", "error": None, **done}
+    assert got[2]["n"] == 1 and got[2]["profile"]["top"] == "v"
+    assert (got[3]["status"], got[3]["error"], got[3]["n"]) == ("error", "ValueError: refused", None)
+    assert got[4]["status"] == "error" and got[4]["n"] is None
+    assert got[5]["status"] == "done" and got[5]["causes"] is None
+    assert {got[i]["status"] for i in (6, 7, None)} == {"skipped"}
