@@ -140,6 +140,12 @@ select s.doc_id, len(s.s)::bigint as n_shingles, c.component_id, s.doc_id = c.co
 from sets s join least_ids c on c.a = s.doc_id
 """
 
+def _cut(limits: tuple[float, float], rule: int | None = None) -> str:
+    """A rule's limit on a host of strictness t, the mild one without a rule."""
+    mild, clear = limits
+    return f"({clear!r}::double + {mild - clear!r}::double * {f't{rule}' if rule else '1e0'})"
+
+
 OP6 = rf"""
 with words as (
   select doc_id, source, coalesce(text, '') as text, {WORDS} as w from documents),
@@ -166,8 +172,8 @@ counted as (
   from words w left join lines l using (doc_id) left join repeats r using (doc_id)),
 marked as (
   select *, n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > {quality.REPEAT_PERCENT} * n_words as base_failed,
-    10 * n_symbols > n_words as r1, n_dup_lines >= 3 as r2,
-    word_chars < 2 * n_words or word_chars > 15 * n_words as r3
+    n_symbols > {_cut(quality.SYMBOL_LIMITS)} * n_words as r1, n_dup_lines >= {_cut(quality.LINE_LIMITS)} as r2,
+    word_chars < {_cut(quality.SHORT_LIMITS)} * n_words or word_chars > {_cut(quality.LONG_LIMITS)} * n_words as r3
   from counted),
 hosts as (
   select source, count(*) as n_docs, count(*) filter (r1) as n1, count(*) filter (r2) as n2, count(*) filter (r3) as n3
@@ -184,10 +190,11 @@ strengths as (
   select *, {', '.join(f"case when v{i} > 1e-12 then greatest(1.0, m{i} * (1 - m{i}) / v{i} - 1) else size end as k{i}" for i in (1, 2, 3))}
   from prior),
 verdicts as (
-  select source, {', '.join(f"(n{i} + m{i} * k{i}) / (n_docs + k{i}) > {quality.HOST_RATE_MICRO} / 1e6 as on{i}" for i in (1, 2, 3))}
+  select source, {', '.join(f"case when m{i} > 0 then least(1e0, (n{i} + m{i} * k{i}) / (n_docs + k{i}) / m{i}) else 0e0 end as t{i}" for i in (1, 2, 3))}
   from hosts, strengths)
 select m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not (base_failed or (r1 and on1) or (r2 and on2) or (r3 and on3)) as kept
+  not (base_failed or n_symbols > {_cut(quality.SYMBOL_LIMITS, 1)} * n_words or n_dup_lines >= {_cut(quality.LINE_LIMITS, 2)}
+    or word_chars < {_cut(quality.SHORT_LIMITS, 3)} * n_words or word_chars > {_cut(quality.LONG_LIMITS, 3)} * n_words) as kept
 from marked m join verdicts v on m.source is not distinct from v.source
 """
 

@@ -5,13 +5,13 @@ consecutive item words is a pattern; an item with fewer words is one pattern. Do
 single string of words with one space around each, so that matches end at word borders, and hits are mapped back
 to code point offsets of the original text.
 
-The items are a stated query set. They are read in blocks of bounded size; each block is one more automaton in the
-same pass over the documents, without a shuffle.
+The items are a stated query set of bounded size: the driver reads them and every task builds the automaton, which takes
+some 400 bytes a character. More characters than `most_chars` are an error; such a set is cut by item, each part run on its
+own, and the findings joined by document. Documents are not shuffled.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import ahocorasick
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from reviewlens.llm.common import bounded_batches, by_bytes, emit
 
 WINDOW = 10
-BLOCK_CHARS = 200_000
+#: Characters of all distinct items that one automaton may hold.
+MOST_CHARS = 1_000_000
 
 #: Digits, letters in lower case and all non-ASCII bytes stay; the other ASCII bytes part words.
 FOLD = bytes(
@@ -88,17 +89,16 @@ def offsets(text: bytes, ranges: list[tuple[int, int]]) -> list[dict]:
     return [{"start": int(points[starts[a]]), "end": int(points[ends[b - 1]])} for a, b in ranges]
 
 
-def _item_blocks(items: DataFrame, item_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[str, bytes]]]:
-    """The items in blocks of about `block_chars` characters, dealt by a hash of id and text."""
+def _items(items: DataFrame, item_col: str, text_col: str, most_chars: int) -> list[tuple[str, bytes]]:
+    """The distinct items, after a check of their size."""
     named = items.select(
         F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     ).distinct()
-    total = named.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
-    blocks = max(1, math.ceil(total / block_chars))
-    for b in range(blocks):
-        part = named.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b)
-        yield [(r["id"], r["text"].encode()) for r in part.toLocalIterator()]
+    total = named.agg(F.coalesce(F.sum(F.length("text") + F.length("id")), F.lit(0)).alias("n")).first()["n"]
+    if total > most_chars:
+        raise ValueError(f"the items hold {total} characters, more than {most_chars}")
+    return [(r["id"], r["text"].encode()) for r in named.collect()]
 
 
 def decontaminate(
@@ -109,7 +109,7 @@ def decontaminate(
     item_col: str = "item_id",
     item_text_col: str = "text",
     window: int = WINDOW,
-    block_chars: int = BLOCK_CHARS,
+    most_chars: int = MOST_CHARS,
 ) -> DataFrame:
     """Each document row with what it shares with the items.
 
@@ -121,7 +121,7 @@ def decontaminate(
     added = {"n_words", "n_hit", "item_ids", "hits", "contaminated"}
     kept = [c for c in docs.columns if c not in added]
     out = bounded_batches(docs).select(*kept)
-    blocks = list(_item_blocks(items, item_col, item_text_col, block_chars))
+    known = _items(items, item_col, item_text_col, most_chars)
     arrow = pa.schema(
         [
             ("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.string())),
@@ -131,15 +131,11 @@ def decontaminate(
 
     @F.arrow_udf(returnType="n_words long, n_hit long, item_ids array<string>, hits array<struct<start: long, end: long>>")
     def shared(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        automata = [_automaton(block, window) for block in blocks]
+        automaton = _automaton(known, window)
         for part in parts:
             rows: dict[str, list] = {f.name: [] for f in arrow}
             for text in by_bytes(part):
-                n, ranges, names = 0, [], set()
-                for automaton in automata:
-                    n, more, found = _scan(text, automaton)
-                    ranges += more
-                    names |= found
+                n, ranges, names = _scan(text, automaton)
                 ranges = merged(ranges)
                 rows["n_words"].append(n)
                 rows["n_hit"].append(sum(b - a for a, b in ranges))

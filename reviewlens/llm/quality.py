@@ -1,15 +1,18 @@
 """Quality rules judged per host: failures are counted by host, shrunk by an empirical beta prior, joined back.
 
 Two hard rules reject a document by itself: too few words, and too large a share of words in repeated windows. The
-soft rules (symbols, repeated lines, odd word lengths) are noisy on one document, so they only take effect on hosts
-where they fail often: per rule, the failure rate of each host is drawn towards the mean of all hosts by a beta prior
-fitted to the hosts by moments, and a rule is enforced on the hosts whose shrunk rate exceeds a limit. A document
-that passes all rules is never rejected, whatever its host is like.
+soft rules (symbols, repeated lines, odd word lengths) measure how bad a document is, and its host decides how bad it may
+be. Per rule, the rate of mild failures of each host is drawn towards the mean of all hosts by a beta prior fitted to the
+hosts by moments. The shrunk rate over that mean, 1 at most, is the host's strictness: the limit for its documents lies
+between the clear limit (strictness 0) and the mild one (strictness 1). So clear junk goes everywhere, a mild failure is
+forgiven on a host that seldom fails, and junk that is spread evenly over all hosts meets the mild limit on each of them.
+A document that passes the mild limits is never rejected by its host.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +26,10 @@ MIN_WORDS = 20
 REPEAT_PERCENT = 30
 REPEAT_WINDOW = 8
 SYMBOLS = "#*$%&|<>"
-HOST_RATE_MICRO = 200_000
+#: Limits of the soft rules, mild and clear: symbols per word, repeated lines, and word length from below and above.
+SYMBOL_LIMITS = (0.1, 1.0)
+LINE_LIMITS = (3.0, 10.0)
+SHORT_LIMITS, LONG_LIMITS = (2.0, 1.25), (15.0, 40.0)
 #: Hosts that are broadcast at most, after counting them; more are joined by a shuffle.
 BROADCAST_HOSTS = 10_000
 
@@ -76,18 +82,24 @@ def hard_failure() -> Column:
     return few | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
 
 
-def soft_failures() -> dict[str, Column]:
-    """Rules that only count on hosts where they fail often. All are integer comparisons."""
+def _limit(limits: tuple[float, float], strictness: Column) -> Column:
+    mild, clear = limits
+    return F.lit(clear) + F.lit(mild - clear) * strictness
+
+
+def soft_failures(strictness: dict[str, Column] | None = None) -> dict[str, Column]:
+    """Whether a document fails each soft rule on a host of some strictness, and without it at the mild limits."""
     n, chars = F.col("n_words"), F.col("word_chars")
+    strict = strictness or dict.fromkeys(("symbols", "lines", "lengths"), F.lit(1.0))
     return {
-        "symbols": 10 * F.col("n_symbols") > n,
-        "lines": F.col("n_dup_lines") >= 3,
-        "lengths": (chars < 2 * n) | (chars > 15 * n),
+        "symbols": F.col("n_symbols") > _limit(SYMBOL_LIMITS, strict["symbols"]) * n,
+        "lines": F.col("n_dup_lines") >= _limit(LINE_LIMITS, strict["lines"]),
+        "lengths": (chars < _limit(SHORT_LIMITS, strict["lengths"]) * n) | (chars > _limit(LONG_LIMITS, strict["lengths"]) * n),
     }
 
 
-def host_rules(judged: DataFrame, host_col: str, rate_micro: int = HOST_RATE_MICRO) -> DataFrame:
-    """One row per host: n_docs, and per soft rule its failures and whether the rule is enforced there.
+def host_rules(judged: DataFrame, host_col: str) -> DataFrame:
+    """One row per host: n_docs, and per soft rule its mild failures and the host's strictness.
 
     With m and v the mean and variance of the hosts' rates, the prior has strength m(1-m)/v - 1 (at least 1), so the
     shrunk rate is (failures + m * strength) / (n + strength). Where all hosts agree the prior is as strong as the
@@ -108,23 +120,19 @@ def host_rules(judged: DataFrame, host_col: str, rate_micro: int = HOST_RATE_MIC
         F.avg("n_docs").alias("__size"),
     )
     moments = prior.first()
-    mean, strength = {}, {}
+    strictness = {}
     for r in rules:
-        mean[r], strength[r] = 0.0, 0.0
-        if moments["__hosts"]:
-            mean[r] = moments[f"__s_{r}"] / moments["__hosts"] / 1e6
-            spread = float(moments[f"__q_{r}"]) / moments["__hosts"] / 1e12 - mean[r] * mean[r]
-            strength[r] = max(1.0, mean[r] * (1 - mean[r]) / spread - 1) if spread > 1e-12 else moments["__size"]
+        mean = moments[f"__s_{r}"] / moments["__hosts"] / 1e6 if moments["__hosts"] else 0.0
+        if mean:
+            spread = float(moments[f"__q_{r}"]) / moments["__hosts"] / 1e12 - mean * mean
+            strength = max(1.0, mean * (1 - mean) / spread - 1) if spread > 1e-12 else moments["__size"]
+            shrunk = (F.col(f"__n_{r}") + mean * strength) / (F.col("n_docs") + strength)
+            strictness[r] = F.least(F.lit(1.0), shrunk / mean)
+        else:
+            strictness[r] = F.lit(0.0)
     return hosts.select(
-        host_col,
-        "n_docs",
-        *[F.col(f"__n_{r}").alias(f"n_{r}") for r in rules],
-        *[
-            (
-                (F.col(f"__n_{r}") + mean[r] * strength[r]) / (F.col("n_docs") + strength[r]) > rate_micro / 1e6
-            ).alias(f"enforce_{r}")
-            for r in rules
-        ],
+        host_col, "n_docs", *[F.col(f"__n_{r}").alias(f"n_{r}") for r in rules],
+        *[strictness[r].alias(f"strict_{r}") for r in rules],
     )
 
 
@@ -137,18 +145,14 @@ def with_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def judge(counted: DataFrame, hosts: DataFrame, host_col: str) -> DataFrame:
-    """Adds base_failed and kept to counted rows, by the verdicts of their hosts."""
-    soft = soft_failures()
-    enforced = hosts.select(
-        F.col(host_col).alias("__host"), *[F.col(f"enforce_{r}").alias(f"__on_{r}") for r in soft]
-    ).filter(" or ".join(f"__on_{r}" for r in soft))
-    if enforced.count() <= BROADCAST_HOSTS:
-        enforced = F.broadcast(enforced)
-    rejected = F.lit(False)
-    for r, failed in soft.items():
-        rejected = rejected | (failed & F.coalesce(F.col(f"__on_{r}"), F.lit(False)))
+    """Adds base_failed and kept to counted rows, by the strictness of their hosts."""
+    strict = {r: f"__strict_{r}" for r in soft_failures()}
+    by_host = hosts.select(F.col(host_col).alias("__host"), *[F.col(f"strict_{r}").alias(c) for r, c in strict.items()])
+    if by_host.count() <= BROADCAST_HOSTS:
+        by_host = F.broadcast(by_host)
+    rejected = reduce(Column.__or__, soft_failures({r: F.coalesce(F.col(c), F.lit(0.0)) for r, c in strict.items()}).values())
     names = [c for c in counted.columns if c not in ("base_failed", "kept")]
-    joined = counted.join(enforced, counted[host_col].eqNullSafe(F.col("__host")), "left")
+    joined = counted.join(by_host, counted[host_col].eqNullSafe(F.col("__host")), "left")
     return joined.select(*names, hard_failure().alias("base_failed"), (~(hard_failure() | rejected)).alias("kept"))
 
 

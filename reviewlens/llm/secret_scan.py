@@ -23,7 +23,8 @@ KINDS = ("assign", "access", "hex", "novel")
 AROUND = 256
 CONTEXT = 60
 NOVELTY = 0.6
-LEAST = 16
+#: Long words of letters alone can be nearly as new as a random string, so these need more.
+LETTER_NOVELTY = 0.95
 
 ASSIGN = re.compile(
     r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII
@@ -32,10 +33,8 @@ ASSIGN_SIGNS = ("passw", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 
-#: Tokens that can be credentials: long runs with both letters and digits in them.
-TOKEN = re.compile(
-    r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}"
-)
+#: Tokens that can be credentials: long runs with a letter in them.
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}")
 SENSITIVE = re.compile(
     r"(?:passw|pwd|secret|token|api.?key|access.?key|private.?key|credential|bearer|authorization|auth|signature|"
     r"client.?id|cookie|session|login|aws|ssh|-----begin)",
@@ -98,7 +97,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
-def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, limit: float) -> list[tuple[int, int, int]]:
+def novel_spans(
+    text: str, base: list[tuple[int, int, int]], novelty: Novelty, limit: float = NOVELTY, letter_limit: float = LETTER_NOVELTY,
+    context: int = CONTEXT, around: int = AROUND,
+) -> list[tuple[int, int, int]]:
     """Incompressible tokens in a sensitive context that touch no base span."""
     out = []
     if SENSITIVE.search(text) is None:
@@ -110,9 +112,10 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, l
             taken += 1
         if any(a < end and start < b for a, _, b in base[max(0, taken - 2) : taken + 3]):
             continue
-        if SENSITIVE.search(text, max(0, start - CONTEXT), start) is None:
+        if SENSITIVE.search(text, max(0, start - context), start) is None:
             continue
-        if novelty.of(text[max(0, start - AROUND) : start], m[0], text[end : end + AROUND]) >= limit:
+        least = limit if any(c.isdigit() for c in m[0]) else letter_limit
+        if novelty.of(text[max(0, start - around) : start], m[0], text[end : end + around]) >= least:
             out.append((start, 3, end))
     return out
 
@@ -121,13 +124,15 @@ _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.strin
 
 
 def scan_secrets(
-    docs: DataFrame, *, text_col: str = "text", limit: float = NOVELTY, identifiers: bytes = IDENTIFIERS
+    docs: DataFrame, *, text_col: str = "text", limit: float = NOVELTY, letter_limit: float = LETTER_NOVELTY,
+    context: int = CONTEXT, around: int = AROUND, identifiers: bytes = IDENTIFIERS,
 ) -> DataFrame:
     """Each row with `secrets`: spans (start, end, kind) by start and then kind, in code points, end exclusive.
 
     An added column replaces one of its name. Null and empty texts have none. Repeated rows are scanned each; a text is
     scanned whole. Base kinds are always reported, overlapping or not; a novel span touches no base span.
-    `identifiers` is the dictionary that primes the compressor.
+    `identifiers` is the dictionary that primes the compressor; a sensitive word must stand at most `context` characters
+    before a token, which is measured among `around` characters on both sides.
     """
 
     @F.arrow_udf(returnType="array<struct<start: long, end: long, kind: string>>")
@@ -137,7 +142,7 @@ def scan_secrets(
             rows = []
             for text in part.to_pylist():
                 base = base_spans(text) if text else []
-                found = sorted(base + novel_spans(text, base, novelty, limit)) if text else []
+                found = sorted(base + novel_spans(text, base, novelty, limit, letter_limit, context, around)) if text else []
                 rows.append([{"start": a, "end": b, "kind": KINDS[k]} for a, k, b in found])
             yield pa.array(rows, type=pa.list_(_SPAN))
 

@@ -17,21 +17,22 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def plain_quality(docs):
     counts = {i: plain_counts(d["text"]) for i, d in enumerate(docs)}
     soft = {
-        "symbols": lambda n, chars, sym, lines: 10 * sym > n,
-        "lines": lambda n, chars, sym, lines: lines >= 3,
-        "lengths": lambda n, chars, sym, lines: chars < 2 * n or chars > 15 * n,
+        "symbols": lambda t, n, chars, sym, lines: sym > (1.0 - 0.9 * t) * n,
+        "lines": lambda t, n, chars, sym, lines: lines >= 10.0 - 7.0 * t,
+        "lengths": lambda t, n, chars, sym, lines: chars < (1.25 + 0.75 * t) * n or chars > (40.0 - 25.0 * t) * n,
     }
     hosts = Counter(d["source"] for d in docs)
     rejected = set()
     for rule in soft.values():
-        failed = {i for i, c in counts.items() if rule(*c[:4])}
+        failed = {i for i, c in counts.items() if rule(1.0, *c[:4])}
         of = Counter(docs[i]["source"] for i in failed)
         rates = [int(of[h] * 1_000_000 / n) for h, n in hosts.items()]
         mean = sum(rates) / len(rates) / 1e6
         spread = sum(r * r for r in rates) / len(rates) / 1e12 - mean * mean
         strength = max(1.0, mean * (1 - mean) / spread - 1) if spread > 1e-12 else sum(hosts.values()) / len(hosts)
-        strict = {h for h, n in hosts.items() if (of[h] + mean * strength) / (n + strength) > 0.2}
-        rejected |= {i for i in failed if docs[i]["source"] in strict}
+        if mean:
+            strict = {h: min(1.0, (of[h] + mean * strength) / (n + strength) / mean) for h, n in hosts.items()}
+            rejected |= {i for i in failed if rule(strict[docs[i]["source"]], *counts[i][:4])}
     return [d for i, d in enumerate(docs) if i not in rejected and counts[i][0] >= 20 and 100 * counts[i][4] <= 30 * counts[i][0]]
 
 
@@ -123,6 +124,6 @@ def test_rows_without_id_take_the_epochs_of_their_source(spark):
 def test_registered():
     assert driver.queries()["pipeline"] is corpus_pipeline.run
     numbers = [re.match(r"op(\d+)_", n)[1] for n in driver.queries() if re.match(r"op\d+_", n)]
-    assert sorted(map(int, numbers)) == list(range(1, 11))
+    assert sorted(map(int, numbers)) == list(range(1, 14))
     assert set(driver.oracle_sql()) <= set(driver.queries())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "decontaminate", "mixture", "sharding"]

@@ -1,6 +1,7 @@
 """Operators that judge one text at a time, against plain versions: benchmarks, personal data, secrets, quality counts."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -161,14 +162,18 @@ def test_benchmark_hits(spark):
     ]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id string, text string")
-    for size in (200_000, 5):
-        for r in decontaminate(docs, bench, block_chars=size).collect():
-            text = texts[r["doc_id"]]
-            want = plain_hits(text, [(n or "", t) for n, t in items])
-            assert (r["n_words"], r["n_hit"], r["item_ids"]) == want, (r, text)
-            assert r["contaminated"] == (want[1] > 0)
-            cut = [text[h["start"] : h["end"]] for h in r["hits"]]
-            assert sum(len(WORDS.findall(c.translate(LOWER))) for c in cut) == want[1]
+    for r in decontaminate(docs, bench).collect():
+        text = texts[r["doc_id"]]
+        want = plain_hits(text, [(n or "", t) for n, t in items])
+        assert (r["n_words"], r["n_hit"], r["item_ids"]) == want, (r, text)
+        assert r["contaminated"] == (want[1] > 0)
+        cut = [text[h["start"] : h["end"]] for h in r["hits"]]
+        assert sum(len(WORDS.findall(c.translate(LOWER))) for c in cut) == want[1]
+    # One automaton holds a checked number of characters.
+    size = sum(len(n or "") + len(t or "") for n, t in set(items))
+    assert decontaminate(docs, bench, most_chars=size).count() == len(texts)
+    with pytest.raises(ValueError, match=f"{size} characters, more than {size - 1}"):
+        decontaminate(docs, bench, most_chars=size - 1)
 
 
 def test_no_items(spark):
@@ -236,6 +241,45 @@ def test_novelty(spark):
     assert got[0] == [key] and got[1] == [] and got[2] == [] and got[4] == [] and got[5] == []
 
 
+def plain_novel(text, limit, letter_limit, context, around):
+    """Novel spans by looking at every token, without the search through base spans."""
+    novelty, base, out = secret_scan.Novelty(), plain_secrets(text), []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
+        start, end = m.span()
+        word = m[0]
+        if len(word) < 16 or not re.search("[A-Za-z]", word) or any(a < end and start < b for a, b, _ in base):
+            continue
+        if not secret_scan.SENSITIVE.search(text[max(0, start - context) : start]):
+            continue
+        least = limit if re.search("[0-9]", word) else letter_limit
+        if novelty.of(text[max(0, start - around) : start], word, text[end : end + around]) >= least:
+            out.append((start, end))
+    return out
+
+
+def test_novel_spans_same_as_plain(spark):
+    r = random.Random(12)
+    letters, mixed = "abcdefghijklmnopqrstuvwxyz", "abcXYZ0123456789+/_-="
+    texts = ["bearer qwkzxjvbpltmnrsdfghc", "bearer 1234567890123456 x"]
+    for _ in range(150):
+        words = [r.choice(["token", "session", "the", "bearer", "password=abcdef", "login", "plain"]) for _ in range(6)]
+        words += ["".join(r.choices(r.choice([letters, mixed]), k=r.choice([12, 16, 24, 40]))) for _ in range(3)]
+        words += [r.choice(["configuration", "authentication"]) * 2, "0" * 20]
+        r.shuffle(words)
+        texts.append(r.choice([" ", ": ", "\n"]).join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = 0
+    for options in ((0.6, 0.95, 60, 256), (0.8, 0.9, 12, 40)):
+        out = secret_scan.scan_secrets(df, **dict(zip(("limit", "letter_limit", "context", "around"), options)))
+        for row in out.collect():
+            got = [(s["start"], s["end"]) for s in row["secrets"] if s["kind"] == "novel"]
+            assert got == plain_novel(texts[row["doc_id"]], *options)
+            found += len(got)
+            if row["doc_id"] == 0:
+                assert got == [(7, 27)]
+    assert found > 50
+
+
 def test_secrets_query(spark, documents):
     got = {r["doc_id"]: r for r in op4_secret_scan(spark, FOLDER).collect()}
     for d in documents:
@@ -280,6 +324,25 @@ def test_quality_query(spark, documents):
         assert not (r["base_failed"] and r["kept"])
 
 
+def test_hosts_decide_given_documents(spark):
+    folder = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "source")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    clear = quality.soft_failures(dict.fromkeys(quality.soft_failures(), F.lit(0.0)))
+    mild = quality.soft_failures()
+    some = lambda rules: rules["symbols"] | rules["lines"] | rules["lengths"]
+    counts = quality.quality_rules(docs).filter("not base_failed").join(labels, "doc_id", "left").agg(
+        F.count_if(some(clear)).alias("clear"), F.count_if(some(clear) & F.col("kept")).alias("clear_kept"),
+        F.count_if(some(mild) & ~some(clear) & ~F.col("kept")).alias("host_rejects"),
+        F.count_if(some(mild) & ~some(clear) & F.col("kept")).alias("host_forgives"),
+        F.count_if(~some(mild) & ~F.col("kept")).alias("innocent"),
+        F.count_if(~F.col("kept") & (F.col("quality") == 1)).alias("good_rejected"), F.count_if(F.col("quality") == 1).alias("good"),
+    ).first()
+    assert counts["clear"] > 300 and counts["clear_kept"] == counts["innocent"] == 0
+    assert counts["host_rejects"] > 300 and counts["host_forgives"] > 0
+    assert counts["good_rejected"] < 0.01 * counts["good"]
+
+
 def test_quality_hosts(spark):
     good = " ".join(f"word{i}" for i in range(40))
     marks = good + " #### #### ####"
