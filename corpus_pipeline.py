@@ -30,8 +30,10 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Rows without id stay.
     """
     kept = near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    chosen = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return chosen.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    rows = docs.join(kept, "doc_id", "left_semi")
+    # Of several rows with one id the one with the least hash stays, in every run.
+    chosen = rows.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
+    return chosen.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]).unionByName(docs.filter("doc_id is null"))
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
