@@ -4,6 +4,8 @@ import math
 import re
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as driver
 import corpus_pipeline
 from reviewlens.llm import shards
@@ -107,6 +109,13 @@ def test_stages_keep_the_columns_and_odd_rows(spark):
         assert {r["doc_id"] for r in out} <= {1, None} and bool(out) == (frame is docs)
 
 
+def test_one_row_of_a_repeated_id_in_every_run(spark):
+    rows = [(1, " ".join(f"{w}{i}" for i in range(40)), lang, "a", 5) for w in "abc" for lang in ("en", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    runs = {tuple(map(tuple, corpus_pipeline.near_dup_stage(spark, d, FOLDER).collect())) for d in (docs, docs.orderBy(F.desc("text")), docs.repartition(5))}
+    assert len(runs) == 1 and len(runs.pop()) == 1
+
+
 def test_rows_without_id_take_the_epochs_of_their_source(spark):
     rows = [(i, "w " * 40, "en", "a", 80) for i in range(100)] + [(None, "v " * 40 + str(i), "en", "a", 80) for i in range(5)]
     rows += [(1000 + i, "x " * 40, "en", "b", 80) for i in range(3)] + [(None, "y " * 40 + str(i), "en", "b", 80) for i in range(2)]
