@@ -70,28 +70,42 @@ MARKS = frozenset(
     "respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar "
     "widget".split()
 )
+#: Ends of class names that say what an element holds things in, and beginnings that say something about another element.
+HOLDERS = frozenset(
+    "area bar block body box button buttons container content form header icons inner item items links list panel posts row "
+    "section slot title unit wrap wrapper zone".split()
+)
+ABOUT = frozenset("has is no not with without".split())
 NAME_PARTS = re.compile(r"[a-z]+")
 FIXED, LOOSE, PROSE = range(3)
 
 
-def _is_marked(rest: str) -> bool:
-    """Whether the attributes of a start tag mark an element that isn't part of the article."""
+def _attributes(rest: str) -> tuple[bool, bool]:
+    """Whether a start tag says that its element isn't shown, and whether its names mark it as no part of the article.
+
+    A name marks an element when its last word does (user-comments, site-footer) or says what holds the marked thing
+    (share-buttons), but not when it only tells about another element (has-sidebar) or is about a topic (search-engines).
+    """
+    gone = marked = False
     if "=" not in rest and "hidden" not in rest.lower():
-        return False
+        return gone, marked
     for m in ATTRIBUTE.finditer(rest):
         name = m["name"].lower()
         value = (m["a"] or m["b"] or m["c"] or "").lower()
-        if name == "hidden" and not value.startswith("until"):
-            return True
-        if name == "aria-hidden":
-            if value == "true":
-                return True
+        if name == "hidden":
+            gone = gone or not value.startswith("until")
+        elif name == "aria-hidden":
+            gone = gone or value == "true"
         elif name == "style":
-            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
-        elif not MARKS.isdisjoint(NAME_PARTS.findall(value)):
-            return True
-    return False
+            gone = gone or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
+        else:
+            for token in value.split():
+                parts = NAME_PARTS.findall(token)
+                if parts and parts[0] not in ABOUT and (
+                    parts[-1] in MARKS or parts[-1] in HOLDERS and not MARKS.isdisjoint(parts)
+                ):
+                    marked = True
+    return gone, marked
 
 
 class _Lines:
@@ -101,8 +115,9 @@ class _Lines:
         self.lines: list[tuple[str, bool, bool, bool]] = []
         self.parts: list[str] = []
         self.plain = False  # the block has text outside links
-        self.open: list[tuple[str, bool]] = []  # element and whether it hides what it holds
+        self.open: list[tuple[str, bool, bool]] = []  # element, whether it hides what it holds, and does so by its names only
         self.hidden = self.articles = self.links = self.quotes = 0
+        self.found = False  # an article has begun
 
     def text(self, data: str) -> None:
         if not self.hidden and data:
@@ -125,22 +140,32 @@ class _Lines:
             self.flush()
         if name in ARTICLE:
             # A menu is never around an article: it was left open.
-            while any(n == "nav" for n, _ in self.open):
+            while any(frame[0] == "nav" for frame in self.open):
                 self._pop()
+            if not self.found:
+                # Names don't hide what is around the article.
+                self.hidden -= sum(by_name for _, _, by_name in self.open)
+                self.open = [(n, hides and not by_name, False) for n, hides, by_name in self.open]
         if name in VOID or rest.endswith("/") and name in ("path", "use", "circle"):
             return
-        hides = name in HIDDEN or name == "header" and not self.articles or _is_marked(rest)
+        gone, marked = _attributes(rest)
+        # Names mark neither the article itself nor words inside its prose.
+        marked = marked and not (name in ARTICLE and not self.found) and not (name in INLINE and self.articles)
+        gone = gone or name in HIDDEN or name == "header" and not self.articles
+        whole = name in ("body", "html")
+        hides, by_name = (gone or marked) and not whole, marked and not gone and not whole
+        self.found = self.found or name in ARTICLE
         if name == "p" and self.open and self.open[-1][0] == "p":
             self._pop()
         if name == "a":
             self.links += 1
-        self.open.append((name, hides and name not in ("body", "html")))
-        self.hidden += self.open[-1][1]
+        self.open.append((name, hides, by_name))
+        self.hidden += hides
         self.articles += name in ARTICLE
         self.quotes += name == "blockquote"
 
     def _pop(self) -> None:
-        name, hides = self.open.pop()
+        name, hides, _ = self.open.pop()
         self.hidden -= hides
         self.articles -= name in ARTICLE
         self.links -= name == "a"

@@ -297,6 +297,17 @@ def test_lines_of_blocks():
     assert lines("a" * 100000 + "<" * 20000) != []
 
 
+def test_names_hide_no_wanted_text():
+    assert lines('<main class="site-main has-sidebar"><p>x</p></main>') == ["x"]
+    assert lines('<article class="post comment-open"><p>x</p></article>') == ["x"]
+    assert lines('<div class="layout no-sidebar"><article><p>x</p></article></div>') == ["x"]
+    assert lines('<div class="content sidebar"><p>menu</p><article><p>x</p></article><p>y</p></div>') == ["x", "y"]
+    assert lines('<article><section class="search-engines"><p>x</p></section><p>costs <span class="share-price promo">9 dollars</span></p></article>') == ["x", "costs 9 dollars"]
+    assert lines('<article><p>x</p><div class="share-buttons">s</div><div id="user-comments">c</div><p hidden>h</p></article>') == ["x"]
+    assert lines('<article><p>x</p></article><article class="comment"><p>c</p></article><div class="related"><article>r</article></div>') == ["x"]
+    assert lines('<div style="display: none"><article>x</article></div>') == []
+
+
 def test_shared_lines():
     r = random.Random(2)
     for _ in range(300):
