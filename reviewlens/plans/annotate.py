@@ -124,18 +124,21 @@ def annotate_reviews(
                 for start in range(0, batch.num_rows, slice_rows):
                     yield from batch.slice(start, slice_rows).to_pylist()
 
+        nothing = [None] * len(record.fields)
+
         def called(item: dict, own: Iterator[dict]) -> tuple[str, str | None, list]:
-            first_review = next(own, None)
+            said = (r["review"] for r in own if r["kind"])  # an item that is listed twice is called once
+            first_review = next(said, None)
             if first_review is None:
-                return "skipped", None, [None] * len(record.fields)
+                return "skipped", None, nothing
             try:
-                notes = annotator(item, (r["review"] for r in chain([first_review], own)))
+                notes = annotator(item, chain([first_review], said))
                 values = [notes.get(f.name) for f in record.fields]
                 for value, (_, kind) in zip(values, arrow_fields[n_head:]):
                     pa.array([value], kind)  # what the record can't hold fails here, for this item alone
                 return "done", None, values
             except Exception as exc:  # one bad item must not end the run
-                return "error", f"{type(exc).__name__}: {exc}", [None] * len(record.fields)
+                return "error", f"{type(exc).__name__}: {exc}", nothing
 
         out: list[list] = [[] for _ in schema]
 
@@ -148,7 +151,7 @@ def annotate_reviews(
         for item_id, group in groupby(rows(), key=lambda r: r["item_id"]):
             item = next(group)
             if item["kind"] == 0:  # reviews of unknown items are passed over
-                status, error, values = called(item["item"], group) if item["open"] else ("skipped", None, [None] * len(record.fields))
+                status, error, values = called(item["item"], group) if item["open"] else ("skipped", None, nothing)
                 for column, value in zip(out, (item_id, status, error, *values)):
                     column.append(value)
                 if len(out[0]) >= flush_rows:

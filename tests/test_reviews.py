@@ -211,7 +211,7 @@ def test_rank_with_null_keys_and_splits(spark):
 def test_annotator_over_a_stream_of_reviews(spark, monkeypatch):
     monkeypatch.setattr(annotate, "SLICE_ROWS", 2)
     monkeypatch.setattr(annotate, "FLUSH_ROWS", 2)
-    items = spark.createDataFrame([(i, f"x{i}") for i in range(1, 8)] + [(None, "none")], "id long, ext_id string")
+    items = spark.createDataFrame([(i, f"x{i}") for i in range(1, 8)] + [(None, "none"), (1, "x1")], "id long, ext_id string")
     rows = [(1, f"u{n:03d}", n % 5 + 1, n % 2 == 0, n) for n in range(300)] + [(i, "v", 3, None, None) for i in (2, 3, 4, 5, 99)]
     reviews = spark.createDataFrame([(*r, None) for r in rows + [(None, "w", 1, True, 1)]], "item_id long, review_uid string, stars int, helpful_ranked boolean, helpful_count int, reviewed_at date")
     record = T.StructType.fromDDL("n long, causes array<struct<cause: string, share: double>>, profile struct<top: string, price: struct<low: double>>")
