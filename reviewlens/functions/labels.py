@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from reviewlens import schemas as S
-from reviewlens.functions.parsing import _c, let
+from reviewlens.functions.parsing import _c
 
 # --- fixed values: bank-feed merchant names -------------------------------------------
 STORE_MERCHANT = (
@@ -37,11 +37,8 @@ def has_return_hint(text: Column | str) -> Column:
 
 def account_label(greeting: Column | str) -> Column:
     t = F.trim(F.regexp_replace(_c(greeting), r"\s+", " "))
-
-    def keep(name: Column) -> Column:
-        return F.when((name != "") & ~name.rlike(NO_NAME), F.substring(name, 1, LABEL_LENGTH))
-
-    return let(F.trim(F.regexp_replace(t, GREETING, "")), keep)
+    name = F.trim(F.regexp_replace(t, GREETING, ""))
+    return F.nullif(F.substring(F.regexp_replace(name, NO_NAME, ""), 1, LABEL_LENGTH), F.lit(""))
 
 
 def redact_html(html: Column | str) -> Column:

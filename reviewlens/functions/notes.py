@@ -29,9 +29,10 @@ def note_line(
     kind: Column | str | None = None,
     refund_match: Column | str | None = None,
     mark: str = NOTE_MARK,
+    shown: int = NOTE_TITLES,
 ) -> Column:
-    """`[Order] first titles · #id · link`; refunds say so."""
-    items = F.array_join(F.slice(F.coalesce(_c(titles), F.array().cast("array<string>")), 1, NOTE_TITLES), ", ")
+    """`[Order] first titles · #id · link`, with as many titles as shown; refunds say so."""
+    items = F.array_join(F.slice(F.coalesce(_c(titles), F.array().cast("array<string>")), 1, shown), ", ")
     items = F.when(items != "", items).otherwise(NO_TITLES)
     if kind is None:
         head = items
@@ -61,20 +62,21 @@ def merge_notes(current: Column | str, order_id: Column | str, line: Column | st
     return let(F.struct(F.coalesce(_c(current), F.lit("")).alias("cur"), _c(line).alias("new")), merge)
 
 
-def short_summary(titles: Column | str) -> Column:
+def short_summary(titles: Column | str, length: int = SUMMARY_LENGTH) -> Column:
+    """The first title without brackets, packs and sizes, cut at a word; how many more there are."""
     t = F.coalesce(_c(titles), F.array().cast("array<string>"))
     s = F.coalesce(F.get(t, F.lit(0)), F.lit(""))
     for pattern in (BRACKETED, PACK_OF, N_PACK, SIZE_TOKEN, r"[,|]+"):
         s = F.regexp_replace(s, pattern, " ")
 
     def cut(c: Column) -> Column:
-        short = F.trim(F.regexp_replace(F.substring(c, 1, SUMMARY_LENGTH), r"\s\S*$", ""))
-        return F.when(c == "", "order").when(F.length(c) <= SUMMARY_LENGTH, c).when(short == "", "order").otherwise(short)
+        short = F.trim(F.regexp_replace(F.substring(c, 1, length), r"\s\S*$", ""))
+        return F.when(c == "", "order").when(F.length(c) <= length, c).when(short == "", "order").otherwise(short)
 
     extra = F.when(F.size(t) > 1, F.concat(F.lit(" +"), (F.size(t) - 1).cast("string"))).otherwise("")
     return F.concat(let(F.trim(F.regexp_replace(s, r"\s+", " ")), cut), extra)
 
 
-def merchant_name(titles: Column | str, kind: Column | str | None = None) -> Column:
+def merchant_name(titles: Column | str, kind: Column | str | None = None, length: int = SUMMARY_LENGTH) -> Column:
     base = F.lit(CHARGE_NAME) if kind is None else F.when(_c(kind) == "refund", REFUND_NAME).otherwise(CHARGE_NAME)
-    return F.concat(base, F.lit(" — "), short_summary(titles))
+    return F.concat(base, F.lit(" — "), short_summary(titles, length))

@@ -202,7 +202,8 @@ def digest_line(stars: Column | str, reviewed_at: Column | str, helpful: Column,
 def review_digest(items: DataFrame, reviews: DataFrame, max_reviews: int | None = None) -> DataFrame:
     """Header and one line per review in weighting order; with `max_reviews` only an item's newest ones.
 
-    A digest is one text, so an item's lines meet in one row.
+    A digest is one text, so an item's lines meet in one row of one task: set `max_reviews` where an item may hold millions.
+    `annotate_reviews` streams items of any size instead.
     """
     recent = reviews if max_reviews is None else latest_per_item(reviews, max_reviews).drop("rank")
     mark = (
