@@ -122,31 +122,49 @@ def stream_complaint_share(stream: DataFrame, store: str, checkpoint: str, delay
 # --- charges and orders --------------------------------------------------------------------------------
 
 
+DAY_SECONDS = 24 * 60 * 60
+
+
+def _day(moment: str) -> Column:
+    """Days since 1970 in UTC, as stream windows have them."""
+    return F.floor(F.unix_seconds(moment) / DAY_SECONDS).cast("int")
+
+
 def candidate_days(
     charges: DataFrame, orders: DataFrame, window: int = S.CHARGE_AFTER_DAYS, back: int = S.CHARGE_BACK_DAYS,
     delay_days: int = 7,
 ) -> DataFrame:
-    """Per charge and day of its window: orders of that amount on that day and the lowest order id.
+    """Per charge and day of its window that has orders of its amount: how many and the lowest order id; without any, one row.
 
-    Orders are counted per (amount, day) and charges ask for each day of their window, so both sides meet on
-    (amount, day): a common amount is spread over its days and no charge-order pairs are formed.
+    Time is cut into blocks as long as a charge's window. Orders are counted per (amount, day) and filed under the blocks
+    whose charges may ask for that day: two at most. A charge is one state row, in its own block, and both sides meet on
+    (amount, block): a common amount is spread over its blocks, and a charge reads at most two blocks less a day of its
+    amount's days. No charge-order pairs are formed. An order that comes after one of its blocks was closed, but not the
+    other, counts for the charges of the other.
     """
-    ordered = orders.withWatermark("order_ts", f"{delay_days} days")
-    days = ordered.groupBy(F.window("order_ts", "1 day").alias("w"), F.col("total_cents").alias("order_cents")).agg(
+    span = window + back + 1
+    first, last = [F.floor((F.col("day") + offset) / span) for offset in (-back, window)]
+    both = F.array(F.lit(-back), F.lit(window))
+    filed = (
+        orders.withColumn("day", _day("order_ts"))
+        .withColumn("offset", F.explode(F.when(first == last, F.slice(both, 1, 1)).otherwise(both)))
+        .withColumn("filed_ts", F.col("order_ts") + F.make_dt_interval(F.col("offset")))
+        .withWatermark("filed_ts", f"{delay_days + window + back} days")
+    )
+    days = filed.groupBy(F.window("filed_ts", f"{span} days").alias("w"), "day", F.col("total_cents").alias("order_cents")).agg(
         F.count("*").alias("n"), F.min("order_id").alias("order_id")
     )
-    days = days.select("w", "order_cents", "n", "order_id")
     asked = (
         charges.filter(F.col("amount_cents") < 0)
-        .withColumn("offset", F.explode(F.sequence(F.lit(-back), F.lit(window))))
-        .withColumn("asked_ts", F.col("txn_ts") - F.make_dt_interval(F.col("offset")))
-        .withWatermark("asked_ts", f"{delay_days + window + back} days")
-        .withColumn("asked", F.window("asked_ts", "1 day"))
-        .select("txn_id", (-F.col("amount_cents")).alias("cents"), "offset", "asked")
+        .withWatermark("txn_ts", f"{delay_days} days")
+        .withColumn("asked", F.window("txn_ts", f"{span} days"))
+        .select("txn_id", (-F.col("amount_cents")).alias("cents"), _day("txn_ts").alias("asked_day"), "asked")
     )
-    # Days without an order come out too, once the watermark has passed them, so that unmatched charges are known.
-    met = asked.join(days, (F.col("cents") == F.col("order_cents")) & (F.col("asked") == F.col("w")), "left")
-    return met.select("txn_id", F.col("offset").alias("day_diff"), F.coalesce("n", F.lit(0)).alias("n"), "order_id")
+    gap = F.col("asked_day") - F.col("day")
+    same = (F.col("cents") == F.col("order_cents")) & (F.col("asked") == F.col("w"))
+    # Charges without an order come out too, once the watermark has passed their block, so that they are known.
+    met = asked.join(days, same & gap.between(-back, window), "left")
+    return met.select("txn_id", F.coalesce(gap, F.lit(0)).alias("day_diff"), F.coalesce("n", F.lit(0)).alias("n"), "order_id")
 
 
 def stream_match(charges: DataFrame, orders: DataFrame, store: str, checkpoint: str, **options) -> int:

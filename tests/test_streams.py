@@ -100,3 +100,43 @@ def test_match_over_two_runs(spark, tmp_path):
     assert {r["txn_id"]: (r["candidate_count"], r["order_id"], r["day_diff"], r["status"]) for r in got.collect()} == {
         "x": (2, "b", -1, "review"), "y": (0, None, None, "unmatched"), "z": (2, "d", 1, "review"),
     }
+
+
+def test_a_charge_is_one_state_row(spark, tmp_path):
+    c_schema, o_schema = "txn_id string, txn_ts timestamp, amount_cents long", "order_id string, order_ts timestamp, total_cents long"
+    src_c, src_o = str(tmp_path / "c"), str(tmp_path / "o")
+    start, n = DAY(2024, 1, 1), 60
+    charges = [(f"t{i}", start + dt.timedelta(days=i % 30), -100 - i) for i in range(n)]
+    orders = [(f"o{i}", start + dt.timedelta(days=i % 30), 100 + i) for i in range(n)]
+    feed(spark, src_c, charges, c_schema)
+    feed(spark, src_o, orders, o_schema)
+    met = jobs.candidate_days(
+        jobs.read_files(spark, src_c, spark.createDataFrame([], c_schema).schema),
+        jobs.read_files(spark, src_o, spark.createDataFrame([], o_schema).schema), delay_days=0,
+    )
+    query = met.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    joins = [op.numRowsTotal for p in query.recentProgress for op in p.stateOperators if op.operatorName == "symmetricHashJoin"]
+    # A charge once, an order's day under two blocks at most.
+    assert joins and n <= max(joins) <= 3 * n
+
+
+def test_window_edges_across_blocks(spark, tmp_path):
+    """One charge a day for 40 days, at odd hours; orders on the first and last day of a window, and one day beyond."""
+    c_schema, o_schema = "txn_id string, txn_ts timestamp, amount_cents long", "order_id string, order_ts timestamp, total_cents long"
+    src_c, src_o, store, state = (str(tmp_path / n) for n in ("c", "o", "store", "state"))
+    charges, orders = [("", DAY(2099, 1, 1), -1)], [("", DAY(2099, 1, 1), 1)]
+    for i in range(40):
+        day = DAY(2023, 12, 20, 1) + dt.timedelta(days=i)
+        charges.append((f"t{i:02}", day, -100 - i))
+        orders += [(f"{i:02}{gap:+}", day + dt.timedelta(days=-gap, hours=22), 100 + i) for gap in (-3, -2, 10, 11)]
+    feed(spark, src_c, charges, c_schema)
+    feed(spark, src_o, orders, o_schema)
+    jobs.stream_match(
+        jobs.read_files(spark, src_c, spark.createDataFrame([], c_schema).schema),
+        jobs.read_files(spark, src_o, spark.createDataFrame([], o_schema).schema), store, state, delay_days=0,
+    )
+    got = jobs.matched_charges(spark.read.parquet(store)).filter(F.col("txn_id") != "")
+    assert {r["txn_id"]: (r["candidate_count"], r["order_id"], r["day_diff"], r["status"]) for r in got.collect()} == {
+        f"t{i:02}": (2, f"{i:02}-2", -2, "review") for i in range(40)
+    }
