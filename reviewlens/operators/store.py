@@ -6,7 +6,8 @@ bucket. Readers take the last manifest, so they see whole versions and never fol
 written is named by no manifest. There is one writer at a time; a second one that publishes the same version fails.
 
 Choose `bucket_by` so that a batch falls into few buckets (the items it scraped, say) and `buckets` so that one holds some
-hundred megabytes. A bucket is written by up to `pieces` tasks, so one frequent key value is no single task.
+hundred megabytes. A bucket is dealt into `pieces`, and adaptive execution splits large ones, so one frequent key value is no single
+task.
 """
 
 from __future__ import annotations
@@ -130,8 +131,9 @@ class KeyedTable:
         touched = [str(r[0]) for r in delta.select("_bucket").distinct().collect()]
         merged = how(self._rows(now, touched), delta.drop("_bucket")).select(*now.schema.names)
         piece = F.pmod(F.xxhash64(*now.keys), F.lit(self.pieces))
-        placed = merged.withColumn("_bucket", self._bucket(now)).repartition("_bucket", piece)
-        placed.write.partitionBy("_bucket").parquet(f"{self.folder}/{rows}")
+        placed = merged.withColumns({"_bucket": self._bucket(now), "_piece": piece})
+        # Pieces that are large are split by their size, so a task's share doesn't grow with the table.
+        placed.hint("rebalance", "_bucket", "_piece").drop("_piece").write.partitionBy("_bucket").parquet(f"{self.folder}/{rows}")
         filled = {n.split("=")[1] for n in self._names(rows) if n.startswith("_bucket=")}
         folders = {b: f for b, f in now.folders.items() if b not in touched}
         folders |= {b: f"{rows}/_bucket={b}" for b in filled}

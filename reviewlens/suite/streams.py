@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,13 +15,17 @@ from reviewlens.suite.registry import case
 LAST = "2100-01-01"  # one row at this time closes every window before it
 
 
-def _stage(
-    df: DataFrame, folder: str, name: str, files: int | None = None, per_batch: int | None = None, by: str | None = None
-) -> DataFrame:
-    out = df if files is None else spread(df).repartitionByRange(files, by) if by else df.repartition(files)
-    out.write.parquet(f"{folder}/{name}")
-    spark = df.sparkSession
-    return jobs.read_files(spark, f"{folder}/{name}", df.schema, per_batch)
+def _stage(df: DataFrame, folder: str, name: str, files: int | None = None, per_batch: int | None = None) -> DataFrame:
+    (df if files is None else df.repartition(files)).write.parquet(f"{folder}/{name}")
+    return jobs.read_files(df.sparkSession, f"{folder}/{name}", df.schema, per_batch)
+
+
+def _stage_in_order(df: DataFrame, folder: str, name: str, batches: int, order: Sequence[str]) -> DataFrame:
+    """A stream of so many batches by order. A batch has as many files as its rows fill, each written and read by a task."""
+    df = spread(df)
+    per_batch = -(-df._jdf.queryExecution().toRdd().getNumPartitions() // batches)
+    df.repartitionByRange(batches * per_batch, *order).write.parquet(f"{folder}/{name}")
+    return jobs.read_files(df.sparkSession, f"{folder}/{name}", df.schema, per_batch)
 
 
 @case(
@@ -37,8 +43,8 @@ def stream_review_ingest(d: Data):
         "item_id", F.col("pass_uid").alias("review_uid"), F.col("review_uid").alias("position"), "author", "stars",
         "helpful_ranked", scraped.alias("scraped_at"),
     )
-    # Three files by time, one a batch, written by a task each.
-    stream = _stage(rows, folder, "in", files=3, per_batch=1, by="scraped_at")
+    # The uid parts the reviews of a day, however many there are.
+    stream = _stage_in_order(rows, folder, "in", 3, ["scraped_at", "position"])
     jobs.ingest_reviews(stream, f"{folder}/store", f"{folder}/state", order=("scraped_at", "position"), buckets=8)
     out = jobs.read_reviews(d.spark, f"{folder}/store")
     return out.select("item_id", "review_uid", "stars", "author", "helpful_ranked")

@@ -90,3 +90,17 @@ def test_one_writer_per_version(spark, tmp_path):
         table.create(spark.createDataFrame([], SCHEMA).schema, ["item", "uid"])
     with pytest.raises(ValueError):
         KeyedTable(spark, str(tmp_path / "u")).create(spark.createDataFrame([], SCHEMA).schema, ["item"], ["uid"])
+
+
+def test_a_large_bucket_is_written_by_more_tasks_than_pieces(spark, tmp_path):
+    rows = spark.range(200_000).select(F.col("id"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    table = KeyedTable(spark, str(tmp_path / "t"), pieces=1)
+    table.create(rows.schema, ["id"], buckets=1)
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(name, "256k")
+    try:
+        table.merge(rows.repartition(8), lambda old, new: new)
+    finally:
+        spark.conf.unset(name)
+    assert table.read().distinct().count() == 200_000
+    assert len(list((tmp_path / "t" / "rows").glob("*/_bucket=0/*.parquet"))) > 4

@@ -140,3 +140,12 @@ def test_window_edges_across_blocks(spark, tmp_path):
     assert {r["txn_id"]: (r["candidate_count"], r["order_id"], r["day_diff"], r["status"]) for r in got.collect()} == {
         f"t{i:02}": (2, f"{i:02}-2", -2, "review") for i in range(40)
     }
+
+
+def test_staged_batches_of_one_day_are_many_files(spark, tmp_path):
+    from reviewlens.suite.streams import _stage_in_order
+
+    rows = spark.range(0, 6000, 1, 9).select("id", F.lit(DAY(1995, 1, 1)).alias("at"))
+    stream = _stage_in_order(rows, str(tmp_path), "in", 3, ["at", "id"])
+    files = spark.read.parquet(str(tmp_path / "in")).groupBy(F.input_file_name()).count().collect()
+    assert len(files) == 9 and max(r["count"] for r in files) < 2000 and stream.isStreaming
