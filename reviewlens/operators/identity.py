@@ -55,7 +55,8 @@ def _best(items: DataFrame, pool: DataFrame, threshold: int, accept) -> DataFram
         on = F.lit(True)
         for f in fields:
             on = on & (F.col(f) == F.col(f"_k{i}_{f}"))
-        found = found.join(oldest, on, "left").drop(*[f"_k{i}_{f}" for f in fields])
+        # Both sides grow with the items: a hash table of one is no task's to hold.
+        found = found.join(oldest.hint("merge"), on, "left").drop(*[f"_k{i}_{f}" for f in fields])
         other = F.when(F.col(f"_a{i}.ext_id") != F.col("ext_id"), F.col(f"_a{i}.id")).otherwise(F.col(f"_b{i}.id"))
         picks.append(
             F.when(

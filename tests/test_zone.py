@@ -252,3 +252,10 @@ def test_all_sort_modes(spark):
     for direction, want in (("asc", [1, 3, 2]), ("desc", [3, 1, 2])):
         assert [r[0] for r in Z.sort_nulls_last(ids, "score", direction).collect()] == want
     assert list(itertools.islice(Z.category_list(ids.withColumn("store_category", F.lit("x"))).collect(), 2)) == [("x",)]
+
+
+def test_links_hold_no_side_in_memory(spark):
+    rows = items(spark, [(i, f"e{i}", f"name {i // 2}", "dev", f"https://s{i // 2}.com") for i in range(20)])
+    links = identity.link_successors(rows)
+    assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
+    assert {(r[0], r[1]) for r in links.collect()} == {(i, i - 1) for i in range(1, 20, 2)}
