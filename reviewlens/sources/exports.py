@@ -8,6 +8,7 @@ import re
 import zipfile
 import zlib
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +26,7 @@ HEADERS = {
     "title": ("productname", "title"),
     "status": ("orderstatus", "orderstatuscode"),
 }
+NEEDED = ("order_id", "date_text")
 MEMBER = r"Retail\.OrderHistory.*\.csv$"
 ROWS_PER_BATCH = 10_000
 WIDTH = 64
@@ -64,7 +66,7 @@ def read_order_csv(spark: SparkSession, paths: Sequence[str], width: int = WIDTH
     """Item rows of export files; a file without order id and date gives none.
 
     All files are one scan of bare rows. A file's first row holds its headers: it is found by an aggregate per file and
-    joined back, so the plan doesn't grow with the number of files. `source` orders the files as `paths` does, files of
+    sent to all tasks, a row per file, so the plan doesn't grow with the number of files. `source` orders the files as `paths` does, files of
     a folder by name. A file of more than `width` columns is an error: one more is read to see it.
     """
     schema = ", ".join(f"_c{i} string" for i in range(width + 1))
@@ -80,14 +82,19 @@ def read_order_csv(spark: SparkSession, paths: Sequence[str], width: int = WIDTH
         )
     )
     plain_cells = F.transform("cells", lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]", ""))
-    first = rows.groupBy("file").agg(F.min_by("cells", "row_no").alias("cells"), F.min("row_no").alias("head_no"))
-    heads = first.select("file", "head_no", plain_cells.alias("head")).select(
-        "file", "head_no", *[_header_position(c).alias(f"at_{c}") for c in HEADERS]
-    ).filter("at_order_id > 0 and at_date_text > 0")
+    # Few rows hold the names at all; only those are searched cell by cell. Places are numbers, so rows aren't sorted by file.
+    text = F.regexp_replace(F.lower(F.array_join("cells", "")), "[^a-z0-9]", "")
+    named = reduce(Column.__and__, [reduce(Column.__or__, [text.contains(n) for n in HEADERS[c]]) for c in NEEDED])
+    placed = rows.select("file", "row_no", F.when(named, plain_cells).alias("head")).select(
+        "file", "row_no", *[F.coalesce(_header_position(c), F.lit(0)).alias(f"at_{c}") for c in HEADERS]
+    )
+    heads = placed.groupBy("file").agg(
+        F.min("row_no").alias("head_no"), *[F.min_by(f"at_{c}", "row_no").alias(f"at_{c}") for c in HEADERS]
+    ).filter(reduce(Column.__and__, [F.col(f"at_{c}") > 0 for c in NEEDED]))
     given = spark.createDataFrame(
         [(re.sub(r"^\w+:/+", "/", path), f"{n:09d}") for n, path in enumerate(paths)], "file string, part string"
     )
-    named = rows.join(heads, "file").filter(F.col("row_no") > F.col("head_no")).join(given, "file", "left")
+    named = rows.join(F.broadcast(heads), "file").filter(F.col("row_no") > F.col("head_no")).join(F.broadcast(given), "file", "left")
     cell = {c: F.get("cells", (F.col(f"at_{c}") - 1).cast("int")) for c in HEADERS}
     return _to_items(
         named.select(

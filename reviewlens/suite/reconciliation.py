@@ -435,7 +435,9 @@ def export_orders(d: Data):
     dollars = F.concat(
         F.lit("$"), F.format_number(F.floor(F.col("cents") / 100).cast("long"), 0), F.lit("."), F.lpad((F.col("cents") % 100).cast("string"), 2, "0")
     )
-    lines = d.table("v_order_items").repartition(8, "order_id").sortWithinPartitions("order_id", "row_no")
+    # A file is read by one task: there are more of them the larger the input is.
+    files = max(8, d.table("lineitem")._jdf.queryExecution().toRdd().getNumPartitions())
+    lines = d.table("v_order_items").repartition(files, "order_id").sortWithinPartitions("order_id", "row_no")
     first = lines.filter("part_no = 1").select(
         F.col("order_id").alias("Order ID"), F.date_format("order_date", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("Order Date"),
         dollars.alias("Total Owed"), F.col("title").alias("Product Name"), F.col("status").alias("Order Status"),

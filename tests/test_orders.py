@@ -173,3 +173,11 @@ def test_wide_export_is_refused(spark, tmp_path):
     assert exports.orders_from_csv(spark, [str(tmp_path / "wide.csv")]).count() == 1
     with pytest.raises(Exception, match="more than 4 columns"):
         exports.read_order_csv(spark, [str(tmp_path / "wide.csv")], width=4).collect()
+
+
+def test_headers_are_found_without_sorting_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Title,Order ID,Order Date,Total\nOrder ID order date,1,2024-01-02,3.00\nCup,2,2024-01-03,4.00\n")
+    (tmp_path / "b.csv").write_text('no header\nOrder ID,Order Date,Total\n9,2024-01-02,1.00\n')
+    rows = exports.read_order_csv(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")])
+    assert sorted((r["order_id"], r["cents"], r["title"]) for r in rows.collect()) == [("1", 300, "Order ID order date"), ("2", 400, "Cup")]
+    assert "SortAggregate" not in rows._jdf.queryExecution().executedPlan().toString()
