@@ -2,7 +2,10 @@
 
 An amount may be so common that charge-order pairs would explode. Nothing here forms pairs: orders are first reduced
 to one row per (amount, day), and a range-framed window over those day rows counts candidates and finds the closest
-one. A window partition then holds at most two rows per calendar day, however many orders share the amount.
+one. A window partition then holds at most three rows per calendar day, however many orders share the amount.
+
+A refund's window is months long. There, a day's orders are a row that adds their counts and a row that takes them off when
+the window has passed: running sums count what is open, and the time does not depend on how many days have orders.
 """
 
 from __future__ import annotations
@@ -116,19 +119,31 @@ def _result(joined: DataFrame) -> DataFrame:
     return wide.select(*RESULT, *extra)
 
 
+def _with_expiry(days: DataFrame, window: int, counts: list[str]) -> DataFrame:
+    """Day rows, and for each a row after its window that takes its counts off again and names no order."""
+    kept = [c for c in days.columns if c in ("cents", "level", "block")]
+    gone = days.select(*kept, (F.col("day") + window + 1).alias("day"), *[(-F.col(c)).alias(c) for c in counts])
+    return days.unionByName(gone, allowMissingColumns=True)
+
+
+def _so_far(*keys: str):
+    """All days up to a row's own. The last order of them is in its window exactly when the window holds orders at all."""
+    return Window.partitionBy(*keys).orderBy("day").rangeBetween(Window.unboundedPreceding, 0)
+
+
 def _full_answers(probes: DataFrame, days: DataFrame, window: int) -> DataFrame:
     """Orders of exactly the refunded amount; a hinted one goes first, then the latest."""
-    span = Window.partitionBy("cents").orderBy("day").rangeBetween(-window, 0)
-    rows = _with_probes(days, probes, ["cents"]).withColumns(
+    span = _so_far("cents")
+    rows = _with_probes(_with_expiry(days, window, ["n", "n_hinted"]), probes, ["cents"]).withColumns(
         {
             "full_count": F.coalesce(F.sum("n").over(span), F.lit(0)),
             "full_hinted": F.coalesce(F.sum("n_hinted").over(span), F.lit(0)),
-            "_full": F.coalesce(
-                F.last("hinted", ignorenulls=True).over(span), F.last("any", ignorenulls=True).over(span)
-            ),
+            "_hinted": F.last("hinted", ignorenulls=True).over(span),
+            "_any": F.last("any", ignorenulls=True).over(span),
         }
     )
-    return rows.filter("_asked").select(*KEY, "full_count", "full_hinted", "_full")
+    order = F.when(F.col("full_hinted") > 0, F.col("_hinted")).when(F.col("full_count") > 0, F.col("_any"))
+    return rows.filter("_asked").select(*KEY, "full_count", "full_hinted", order.alias("_full"))
 
 
 def _partial_answers(probes: DataFrame, days: DataFrame, window: int) -> DataFrame:
@@ -136,9 +151,12 @@ def _partial_answers(probes: DataFrame, days: DataFrame, window: int) -> DataFra
 
     "Larger than" is cut into binary blocks. A total is larger than an amount exactly when, at the highest bit where
     they differ, the total has the one. So a total is filed under each of its one-bits (its prefix there), an amount
-    asks at each of its zero-bits (its prefix plus one), and every larger total is met exactly once.
+    asks at each of its zero-bits (its prefix plus one), and every larger total is met exactly once. Blocks carry an order's
+    id and total only; the order itself comes from the row of its total and day at the end.
     """
-    hinted = days.filter("n_hinted > 0").select("cents", "day", F.col("n_hinted").alias("n"), F.col("hinted").alias("any"))
+    full = days.filter("n_hinted > 0")
+    best = F.struct(F.col("hinted.order_id").alias("order_id"), F.col("cents").alias("cents"), F.col("day").alias("day"))
+    hinted = full.select("cents", "day", F.col("n_hinted").alias("n"), best.alias("any"))
     bits = hinted.agg(F.coalesce(F.length(F.bin(F.max("cents"))), F.lit(1)).alias("bits")).scalar()
 
     def blocks(df: DataFrame, bit: int) -> DataFrame:
@@ -151,17 +169,20 @@ def _partial_answers(probes: DataFrame, days: DataFrame, window: int) -> DataFra
         blocks(hinted, 1).groupBy("level", "block", "day").agg(F.sum("n").alias("n"), F.min("any").alias("any"))
     )
     asks = blocks(probes.select(*KEY).distinct(), 0)
-    span = Window.partitionBy("level", "block").orderBy("day").rangeBetween(-window, 0)
-    rows = _with_probes(filed, asks, ["level", "block"]).withColumns(
+    span = _so_far("level", "block")
+    rows = _with_probes(_with_expiry(filed, window, ["n"]), asks, ["level", "block"]).withColumns(
         {"_n": F.sum("n").over(span), "_last": F.last("any", ignorenulls=True).over(span)}
     )
     met = rows.filter(F.col("_asked") & (F.col("_n") > 0)).select("level", "block", "day", "_n", "_last")
-    latest_first = F.struct(-F.unix_date("_last.order_date"), F.col("_last.order_id"))
-    return (
+    latest_first = F.struct(-F.col("_last.day"), F.col("_last.order_id"), F.col("_last.cents"))
+    found = (
         asks.join(met, ["level", "block", "day"])
         .groupBy(*KEY)
-        .agg(F.sum("_n").alias("partial_count"), F.min_by("_last", latest_first).alias("_partial"))
+        .agg(F.sum("_n").alias("partial_count"), F.min_by("_last", latest_first).alias("_last"))
     )
+    orders = full.select(F.col("cents").alias("_cents"), F.col("day").alias("_day"), F.col("hinted").alias("_partial"))
+    here = (F.col("_last.cents") == F.col("_cents")) & (F.col("_last.day") == F.col("_day"))
+    return found.join(orders, here).select(*KEY, "partial_count", "_partial")
 
 
 def match_refunds(

@@ -81,6 +81,20 @@ def test_brute_force(spark, seed, common):
     assert got(R.reconcile(t.repartition(3), o.repartition(5))) == brute(txns, orders)
 
 
+def test_refund_windows_are_running_sums(spark):
+    """A frame that slides reads all days of the window again for each row."""
+    orders = [("a", day(0), 700, True), ("b", day(1), 700, False), ("c", day(1), 900, True), ("d", day(130), 900, False), ("a", day(1), 800, True)]
+    txns = [(f"{cents}-{n}", day(n), cents) for cents in (100, 700) for n in (-1, 0, 1, 119, 120, 121, 122, 250, 251)]
+    t, o = frames(spark, txns, orders)
+    rows = got(R.match_refunds(t, o))
+    assert rows == brute(txns, orders)
+    assert (rows["100-121"][2:4], rows["100-122"][2:4], rows["700-121"][2:4]) == ((2, "a"), (0, None), (1, "b"))
+    days, probes = R.order_days(o), t.select(t.amount_cents.alias("cents"), R.F.unix_date("txn_date").alias("day"))
+    for answers in (R._full_answers, R._partial_answers):
+        plan = answers(probes, days, 120)._jdf.queryExecution().executedPlan().toString()
+        assert "RangeFrame, unboundedpreceding" in plan and "RangeFrame, -120" not in plan
+
+
 def test_other_windows(spark):
     txns, orders = [("x", day(3), -10)], [("a", day(0), 10, False), ("b", day(4), 10, False)]
     t, o = frames(spark, txns, orders)
