@@ -8,6 +8,9 @@ given share of them would be rejected, and never above zero.
 A character's probability depends on it and its last few predecessors alone. So the models are evaluated once per
 distinct character window of the URLs, and the windows' scores, whole micro-units, are joined to the URLs: sums don't
 depend on row order. Windows that most URLs share are salted in that join. Everything is DataFrame expressions.
+
+Both sides of every join grow with the URLs, and their files and shuffles are packed far below their size in memory, so
+Spark would take some for small: merge joins keep them off the driver.
 """
 
 from __future__ import annotations
@@ -88,7 +91,7 @@ def window_scores(windows: DataFrame, counts: DataFrame, contexts: DataFrame, or
         "context", F.substr(F.col("gram"), F.lit(1), F.length("gram") - 1)
     )
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("a", "r", "n_a", "t_a", "n_r", "t_r")]
-    found = levels.join(counts, "gram", "left").join(contexts, "context", "left")
+    found = levels.join(counts.hint("merge"), "gram", "left").join(contexts.hint("merge"), "context", "left")
     by_window = found.groupBy("window").agg(
         F.array_sort(F.collect_list(F.struct(F.length("gram").alias("n"), *zero))).alias("levels")
     )
@@ -108,7 +111,7 @@ def score_urls(keys: DataFrame, labelled: DataFrame, *, order: int = ORDER, salt
     scores = window_scores(cut.select("window").distinct(), counts, contexts, order)
     salted = cut.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salt)))
     spread = scores.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
-    sums = salted.join(spread, ["window", "salt"]).groupBy("key").agg(
+    sums = salted.join(spread.hint("merge"), ["window", "salt"]).groupBy("key").agg(
         F.sum("micro").alias("total"), F.count("*").alias("n")
     )
     return sums.select("key", F.round(F.col("total") / F.col("n")).cast("long").alias("score"))
@@ -176,8 +179,8 @@ def filter_urls(
     else:
         scored = stored(score_urls(keys.select("key"), train, order=order), "url-scores")
         held = labels.filter("accepted").filter(fold == 0)
-        limit = calibrated_limit(scored.join(held, "key"), false_rejects)
-    open_rows = ruled.join(scored.withColumnRenamed("key", "__key"), "__key", "left")
+        limit = calibrated_limit(scored.join(held.hint("merge"), "key"), false_rejects)
+    open_rows = ruled.join(scored.withColumnRenamed("key", "__key").hint("merge"), "__key", "left")
     return open_rows.select(
         *kept, "host", "path", "rule",
         F.when(F.col("rule").isNull(), F.col("score")).alias("score"),

@@ -278,6 +278,29 @@ def test_url_filter_stays_native(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_url_models_stay_off_the_driver(spark, monkeypatch):
+    urls = [(i, f"http://h{i % 7}.{'net/casino' if i % 3 else 'org'}/{i}") for i in range(60)]
+    df = spark.createDataFrame(urls, "page_id long, url string")
+    seen = []
+
+    def noted(fn):
+        def call(*args, **kwargs):
+            out = fn(*args, **kwargs)
+            seen.append(out if hasattr(out, "collect") else args[0])
+            return out
+
+        return call
+
+    for name in ("score_urls", "calibrated_limit"):
+        monkeypatch.setattr(url_filter, name, noted(getattr(url_filter, name)))
+    frames = [url_filter.filter_urls(df, {"org/": "allow", "net/": "block"}), *seen]
+    assert len(frames) == 3
+    for frame in frames:
+        frame.collect()
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 # Page text ------------------------------------------------------------------------------------------------------------
 
 
