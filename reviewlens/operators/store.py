@@ -3,7 +3,8 @@
 Rows lie in buckets by the hash of some key columns. A merge reads and rewrites only the buckets that hold keys of the
 delta, into a folder of its own, and then publishes a manifest: one small file per version that names the folder of each
 bucket. Readers take the last manifest, so they see whole versions and never fold history; what a failed merge has
-written is named by no manifest. There is one writer at a time; a second one that publishes the same version fails.
+written is named by no manifest. `merge` takes any function of old rows and delta, `fold` an aggregate per key, which costs
+one shuffle of both. There is one writer at a time; a second one that publishes the same version fails.
 
 Choose `bucket_by` so that a batch falls into few buckets (the items it scraped, say) and `buckets` so that one holds some
 hundred megabytes. A bucket is dealt into `pieces`, and adaptive execution splits large ones, so one frequent key value is no single
@@ -21,8 +22,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reviewlens.session import brief_shuffles
+
 #: The manifest names each bucket, and the driver reads it.
 MOST_BUCKETS = 1 << 16
+#: Rows hold long keys; this packs them into two thirds of what Spark's default does.
+PACKED = {"compression": "zstd"}
+#: A fold goes in rounds of buckets, so that its shuffle is a share of the table: an eighth, or this many bytes of files.
+ROUND_BYTES = 1 << 30
+ROUNDS = 8
+#: Pieces that one task of a fold gets, on average: more of them even out their dealing by hash.
+PIECES_PER_TASK = 4
 
 
 @dataclass
@@ -111,6 +121,13 @@ class KeyedTable:
     def _bucket(version: Version) -> Column:
         return F.pmod(F.xxhash64(*version.bucket_by), F.lit(version.buckets)).cast("int")
 
+    @staticmethod
+    def _piece(version: Version, pieces: int) -> Column:
+        return F.pmod(F.xxhash64(*version.keys), F.lit(pieces))
+
+    def _size(self, path: str) -> int:
+        return self._fs.getContentSummary(self._path(path)).getLength()
+
     def merge(
         self, delta: DataFrame, how: Callable[[DataFrame, DataFrame], DataFrame], batch: int | None = None, source: str = "",
     ) -> bool:
@@ -120,20 +137,77 @@ class KeyedTable:
         A batch of a source that the table already holds is skipped, so replays change nothing; the result says whether
         the delta was merged.
         """
+
+        def placed(now: Version, old: DataFrame, delta: DataFrame, size: int) -> DataFrame:
+            merged = how(old, delta).select(*now.schema.names)
+            rows = merged.withColumns({"_bucket": self._bucket(now), "_piece": self._piece(now, self.pieces)})
+            # Pieces that are large are split by their size, so a task's share doesn't grow with the table.
+            return rows.hint("rebalance", "_bucket", "_piece").drop("_piece")
+
+        return self._change(delta, placed, lambda sizes: [list(sizes)], batch, source)
+
+    def fold(
+        self, delta: DataFrame, how: Callable[[DataFrame, list[str]], DataFrame], batch: int | None = None, source: str = "",
+    ) -> bool:
+        """As `merge`, by an aggregate of old rows and the delta's, which come in one frame: `how(rows, by)` gives a row per `by`.
+
+        `by` is the keys with what the rows are dealt by, so the aggregate and the write need no shuffle but that of both
+        together. `_new` tells rows of the delta (1) from old ones (0).
+        """
+
+        def placed(now: Version, old: DataFrame, delta: DataFrame, size: int) -> DataFrame:
+            both = old.withColumn("_new", F.lit(0)).unionByName(delta.withColumn("_new", F.lit(1)))
+            conf = self.spark.conf
+            most = self.spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+                conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+            )
+            # As many tasks as the rows fill, so a task's share doesn't grow with the table.
+            tasks = -(-size // most)
+            pieces = max(self.pieces, -(-tasks * PIECES_PER_TASK // now.buckets))
+            rows = both.withColumns({"_bucket": self._bucket(now), "_piece": self._piece(now, pieces)})
+            more = [tasks] if tasks > int(conf.get("spark.sql.shuffle.partitions")) else []
+            dealt = rows.repartition(*more, "_bucket", "_piece")
+            return how(dealt, ["_bucket", "_piece", *now.keys]).select(*now.schema.names, "_bucket")
+
+        def rounds(sizes: dict[str, int]) -> list[list[str]]:
+            most, out, size = max(ROUND_BYTES, sum(sizes.values()) // ROUNDS), [], 0
+            for bucket, own in sizes.items():
+                if not out or size + own > most:
+                    out.append([])
+                    size = 0
+                out[-1].append(bucket)
+                size += own
+            return out
+
+        with brief_shuffles(self.spark):
+            return self._change(delta, placed, rounds, batch, source)
+
+    def _change(
+        self, delta: DataFrame, placed: Callable[..., DataFrame], rounds: Callable[[dict[str, int]], list[list[str]]],
+        batch: int | None, source: str,
+    ) -> bool:
+        """Write the buckets of the delta's keys anew, some in each round, and name the version.
+
+        `placed` gives a round's rows with `_bucket`, `rounds` divides the buckets by the sizes of old files and delta.
+        """
         now = self.version()
         if batch is not None and batch <= now.batches.get(source, -1):
             return False
         name = f"{now.number + 1:010}-{uuid.uuid4().hex}"
         staged, rows = f"{self.folder}/staged/{name}", f"rows/{name}"
         # The delta is written once: a stream's batch isn't read twice, and lost tasks don't reach behind it.
-        delta.withColumn("_bucket", self._bucket(now)).write.parquet(staged)
+        delta.withColumn("_bucket", self._bucket(now)).write.options(**PACKED).parquet(staged)
         delta = self.spark.read.parquet(staged)
-        touched = [str(r[0]) for r in delta.select("_bucket").distinct().collect()]
-        merged = how(self._rows(now, touched), delta.drop("_bucket")).select(*now.schema.names)
-        piece = F.pmod(F.xxhash64(*now.keys), F.lit(self.pieces))
-        placed = merged.withColumns({"_bucket": self._bucket(now), "_piece": piece})
-        # Pieces that are large are split by their size, so a task's share doesn't grow with the table.
-        placed.hint("rebalance", "_bucket", "_piece").drop("_piece").write.partitionBy("_bucket").parquet(f"{self.folder}/{rows}")
+        touched = {str(r["_bucket"]): r["count"] for r in delta.groupBy("_bucket").count().collect()}
+        new, count = self._size(staged), sum(touched.values())
+        sizes = {
+            b: new * n // count + (self._size(f"{self.folder}/{now.folders[b]}") if b in now.folders else 0)
+            for b, n in touched.items()
+        }
+        for own in rounds(sizes):
+            fresh = delta if len(own) == len(sizes) else delta.filter(F.col("_bucket").isin([int(b) for b in own]))
+            after = placed(now, self._rows(now, own), fresh.drop("_bucket"), sum(sizes[b] for b in own))
+            after.write.options(**PACKED).mode("append").partitionBy("_bucket").parquet(f"{self.folder}/{rows}")
         filled = {n.split("=")[1] for n in self._names(rows) if n.startswith("_bucket=")}
         folders = {b: f for b, f in now.folders.items() if b not in touched}
         folders |= {b: f"{rows}/_bucket={b}" for b in filled}

@@ -6,8 +6,6 @@ append-only tables of Spark's own file sink. A replayed batch changes neither.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +13,7 @@ from pyspark.sql import types as T
 from reviewlens import schemas as S
 from reviewlens.operators.ordered import first_per_key, last_per_key
 from reviewlens.operators.store import KeyedTable
+from reviewlens.session import brief_shuffles
 
 
 def read_files(spark: SparkSession, folder: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -45,27 +44,14 @@ def current_reviews(rows: DataFrame, keys=REVIEW_KEYS, order=("scraped_at",)) ->
     return last_per_key(rows, list(keys), list(order), {"helpful_ranked": flag})
 
 
-def fold_reviews(old: DataFrame, new: DataFrame, keys=REVIEW_KEYS, order=("scraped_at",)) -> DataFrame:
-    """Stored reviews and a batch of them, each with a key once, as `current_reviews` of both: by a hash join, without sorts."""
-    columns = old.columns
-    left, right = old.select(F.struct(*columns).alias("o")), new.select(F.struct(*columns).alias("n"))
-    same = reduce(Column.__and__, [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys])
-    both = left.join(right.hint("shuffle_hash"), same, "full_outer")
-    newer = F.struct(*[F.col(f"n.{c}") for c in order]) >= F.struct(*[F.col(f"o.{c}") for c in order])
-    row = F.when(F.col("o").isNull() | (F.col("n").isNotNull() & newer), F.col("n")).otherwise(F.col("o"))
-    flag = F.coalesce(F.col("o.helpful_ranked"), F.lit(False)) | F.coalesce(F.col("n.helpful_ranked"), F.lit(False))
-    return both.select(row.alias("r"), flag.alias("f")).select(
-        *[F.col("f" if c == "helpful_ranked" else f"r.{c}").alias(c) for c in columns]
-    )
-
-
 def ingest_reviews(
-    stream: DataFrame, store: str, checkpoint: str, order=("scraped_at",), buckets: int = 64, bucket_by=("item_id",),
+    stream: DataFrame, store: str, checkpoint: str, order=("scraped_at",), buckets: int = 64, bucket_by=("item_id",), keep: int = 2,
 ) -> None:
     """Upsert every batch of scraped reviews into the keyed table at `store`; `read_reviews` gives its rows.
 
     A late scrape loses against a newer one that is already there, so batches may come in any order, and no state is held.
-    A batch that is replayed after a crash changes nothing.
+    A batch that is replayed after a crash changes nothing. After each batch the last `keep` versions stay: the one before
+    the last is for readers that have begun.
     """
     target = KeyedTable(stream.sparkSession, store)
     if not target.exists():
@@ -73,11 +59,14 @@ def ingest_reviews(
 
     def write(batch: DataFrame, number: int) -> None:
         # Repeats inside the batch are folded first, with the combining aggregate, then those with stored rows.
-        target.merge(
-            current_reviews(batch, order=order), lambda old, new: fold_reviews(old, new, order=order), number, checkpoint
+        # The later of equals counts.
+        target.fold(
+            current_reviews(batch, order=order), lambda rows, by: current_reviews(rows, by, (*order, "_new")), number, checkpoint
         )
+        target.clean(keep)
 
-    _finish(stream.writeStream.foreachBatch(write), checkpoint)
+    with brief_shuffles(stream.sparkSession):
+        _finish(stream.writeStream.foreachBatch(write), checkpoint)
 
 
 def read_reviews(spark: SparkSession, store: str) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlens.adapters import Data
-from reviewlens.session import shared_folder, spread
+from reviewlens.operators.store import PACKED
+from reviewlens.session import brief_shuffles, shared_folder, spread
 from reviewlens.streaming import jobs
 from reviewlens.suite.registry import case
 
@@ -24,7 +25,8 @@ def _stage_in_order(df: DataFrame, folder: str, name: str, batches: int, order:
     """A stream of so many batches by order. A batch has as many files as its rows fill, each written and read by a task."""
     df = spread(df)
     per_batch = -(-df._jdf.queryExecution().toRdd().getNumPartitions() // batches)
-    df.repartitionByRange(batches * per_batch, *order).write.parquet(f"{folder}/{name}")
+    with brief_shuffles(df.sparkSession):
+        df.repartitionByRange(batches * per_batch, *order).write.options(**PACKED).parquet(f"{folder}/{name}")
     return jobs.read_files(df.sparkSession, f"{folder}/{name}", df.schema, per_batch)
 
 
@@ -45,7 +47,7 @@ def stream_review_ingest(d: Data):
     )
     # The uid parts the reviews of a day, however many there are.
     stream = _stage_in_order(rows, folder, "in", 3, ["scraped_at", "position"])
-    jobs.ingest_reviews(stream, f"{folder}/store", f"{folder}/state", order=("scraped_at", "position"), buckets=8)
+    jobs.ingest_reviews(stream, f"{folder}/store", f"{folder}/state", order=("scraped_at", "position"), buckets=8, keep=1)
     out = jobs.read_reviews(d.spark, f"{folder}/store")
     return out.select("item_id", "review_uid", "stars", "author", "helpful_ranked")
 

@@ -6,8 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from reviewlens.operators import store
 from reviewlens.operators.store import KeyedTable
 from reviewlens.operators.tables import upsert
+from reviewlens.session import SHUFFLE_CLEANUP_CONF
 
 SCHEMA = "item long, uid string, v int"
 
@@ -40,6 +42,41 @@ def test_random_merges(spark, tmp_path):
     assert table.merge(frame, put, 0, "another source") and table.version().batches == {"s": 3, "another source": 0}
 
 
+def last(rows, by):
+    return rows.groupBy(*by).agg(F.max_by("v", "_new").alias("v"))
+
+
+def test_random_folds_in_rounds(spark, tmp_path, monkeypatch):
+    r = random.Random(7)
+    table, want = make(spark, tmp_path, buckets=5), {}
+    monkeypatch.setattr(store, "ROUND_BYTES", 1)
+    monkeypatch.setattr(store, "ROUNDS", 1000)
+    for batch in range(3):
+        delta = {(r.choice([None, 1, 1, 2, 3, r.randrange(50)]), r.choice([None, "a", "b", "é"])): r.randrange(99) for _ in range(30)}
+        seen = []
+        frame = spark.createDataFrame([(*k, v) for k, v in delta.items()], SCHEMA)
+        assert table.fold(frame, lambda rows, by: seen.append(by) or last(rows, by), batch, "s")
+        want |= delta
+        assert len(seen) == 5 and rows(table) == sorted(((*k, v) for k, v in want.items()), key=repr)
+    assert not table.fold(frame.withColumn("v", F.lit(-1)), last, 2, "s")
+    assert table.fold(frame.limit(0), last, 3, "s") and len(rows(table)) == len(want)
+    assert spark.conf.get(SHUFFLE_CLEANUP_CONF, None) in (None, "false")
+
+
+def test_a_fold_shuffles_once(spark, tmp_path, monkeypatch):
+    table, plans = make(spark, tmp_path, buckets=2), []
+    table.fold(spark.createDataFrame([(i, "a", i) for i in range(20)], SCHEMA), last)
+
+    def noted(rows, by):
+        out = last(rows, by)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    table.fold(spark.createDataFrame([(3, "a", -3)], SCHEMA), noted)
+    assert (3, "a", -3) in rows(table) and len(rows(table)) == 20
+    assert [p.count("Exchange") for p in plans] == [1]
+
+
 def test_untouched_buckets_keep_their_files(spark, tmp_path):
     table = make(spark, tmp_path, bucket_by=["item"], buckets=16)
     table.merge(spark.createDataFrame([(i, "a", i) for i in range(200)], SCHEMA), put)

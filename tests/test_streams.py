@@ -38,6 +38,16 @@ def test_ingest_over_two_runs(spark, tmp_path):
     assert KeyedTable(spark, store).version().number == 3
 
 
+def test_ingest_keeps_two_versions_and_no_shuffles(spark, tmp_path):
+    src, store, state = (str(tmp_path / n) for n in ("src", "store", "state"))
+    for day in (1, 2, 3, 4):
+        feed(spark, src, [(i, "a", day, False, DAY(2024, 1, day)) for i in range(20)], REVIEWS)
+        jobs.ingest_reviews(jobs.read_files(spark, src, spark.createDataFrame([], REVIEWS).schema), store, state)
+    table = KeyedTable(spark, store)
+    assert table._numbers() == [3, 4] and len(table._names("rows")) == 2 and not table._names("staged")
+    assert {r["stars"] for r in table.read().collect()} == {4} and {r["stars"] for r in table.read(3).collect()} == {3}
+
+
 def test_crash_between_rows_and_manifest(spark, tmp_path, monkeypatch):
     src, store, state = (str(tmp_path / n) for n in ("src", "store", "state"))
 
