@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
 import io
 import re
 import zipfile
 import zlib
 from collections.abc import Iterator, Sequence
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens.functions.money import parse_cents
@@ -28,6 +29,9 @@ HEADERS = {
 }
 NEEDED = ("order_id", "date_text")
 MEMBER = r"Retail\.OrderHistory.*\.csv$"
+HEAD_BYTES = 1 << 14
+_CELL = rb'(?:"(?:[^"]|"")*+"[^,\r\n]*+|(?!")[^,\r\n]*+)'
+RECORD = re.compile(rb"[\r\n]*+(" + _CELL + rb"(?:," + _CELL + rb")*+)[\r\n]")
 ROWS_PER_BATCH = 10_000
 WIDTH = 64
 NO_MEMBER = "no order history in the archive"
@@ -56,50 +60,80 @@ def _to_items(raw: DataFrame) -> DataFrame:
     )
 
 
-def _header_position(column: str) -> Column:
-    """Place (from 1) of the first header cell that carries one of the column's names; 0 when there is none."""
-    wanted = F.array(*[F.lit(n) for n in HEADERS[column]])
-    return F.array_position(F.transform("head", lambda h: F.array_contains(wanted, h)), F.lit(True))
+def _first_record(spark: SparkSession, file: str) -> str:
+    """The first record of a file, read from as many bytes as it takes."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(file))
+    conf = spark._jsc.hadoopConfiguration()
+    codec = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+    stream = path.getFileSystem(conf).open(path)
+    try:
+        stream = codec.createInputStream(stream) if codec else stream
+        found, more, record = b"", HEAD_BYTES, None
+        while record is None:
+            chunk = bytes(stream.readNBytes(more))
+            found = (found + chunk).removeprefix(codecs.BOM_UTF8)
+            record, more = RECORD.match(found), len(found)
+            if not chunk:
+                return found.strip(b"\r\n").decode(errors="replace")
+    finally:
+        stream.close()
+    return record[1].decode(errors="replace")
+
+
+def _heads(spark: SparkSession, files: Sequence[str], width: int) -> list[tuple]:
+    """Path and places (from 0) of the wanted columns of each file whose first record names the needed ones; none where it doesn't."""
+    with ThreadPoolExecutor(16) as pool:
+        texts = list(pool.map(lambda file: _first_record(spark, file), files))
+    schema = ", ".join(f"_c{i} string" for i in range(width + 1))
+    given = spark.createDataFrame([(f, t) for f, t in zip(files, texts)], "file string, text string")
+    record = F.from_csv("text", schema, {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false"})
+    out = []
+    for file, cells in given.select("file", record).collect():
+        cells = list(cells) if cells else []
+        if cells and cells[width] is not None:
+            raise ValueError(f"more than {width} columns in {file}")
+        at = header_positions(cells[:width])
+        out.append((_local(file), *(at.values() if all(at[c] is not None for c in NEEDED) else [None] * len(at))))
+    return out
+
+
+def _local(path: str) -> str:
+    return re.sub(r"^\w+:/+", "/", path)
 
 
 def read_order_csv(spark: SparkSession, paths: Sequence[str], width: int = WIDTH) -> DataFrame:
     """Item rows of export files; a file without order id and date gives none.
 
-    All files are one scan of bare rows. A file's first row holds its headers: it is found by an aggregate per file and
-    sent to all tasks, a row per file, so the plan doesn't grow with the number of files. `source` orders the files as `paths` does, files of
-    a folder by name. A file of more than `width` columns is an error: one more is read to see it.
+    A file's first record holds its headers. The driver reads them from the first bytes of each file, and one scan reads the columns
+    that any file wants: a cell that a row lacks costs the reader an error of its own, so the others are left alone. Places of the
+    wanted columns are sent to all tasks, a row per file, so the plan doesn't grow with the number of files. `source` orders
+    the files as `paths` does, files of a folder by name. A file of more than `width` columns is an error: one more is read to see it.
     """
     schema = ", ".join(f"_c{i} string" for i in range(width + 1))
-    cells = F.array(*[F.col(f"_c{i}") for i in range(width)])
-    wide = F.raise_error(F.concat(F.lit(f"more than {width} columns in "), F.col("_metadata.file_path"))).cast("array<string>")
-    rows = (
-        spark.read.schema(schema)
-        .csv(list(paths), header=False, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False)
-        .select(
-            F.regexp_replace("_metadata.file_path", r"^\w+:/+", "/").alias("file"),
-            F.monotonically_increasing_id().alias("row_no"),
-            F.when(F.col(f"_c{width}").isNull(), cells).otherwise(wide).alias("cells"),
-        )
+    scan = spark.read.schema(schema).csv(
+        list(paths), header=True, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False
     )
-    plain_cells = F.transform("cells", lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]", ""))
-    # Few rows hold the names at all; only those are searched cell by cell. Places are numbers, so rows aren't sorted by file.
-    text = F.regexp_replace(F.lower(F.array_join("cells", "")), "[^a-z0-9]", "")
-    named = reduce(Column.__and__, [reduce(Column.__or__, [text.contains(n) for n in HEADERS[c]]) for c in NEEDED])
-    placed = rows.select("file", "row_no", F.when(named, plain_cells).alias("head")).select(
-        "file", "row_no", *[F.coalesce(_header_position(c), F.lit(0)).alias(f"at_{c}") for c in HEADERS]
+    heads = _heads(spark, sorted(scan.inputFiles()), width)
+    used = sorted({i for _, *at in heads for i in at if i is not None})
+    wide = F.raise_error(F.concat(F.lit(f"more than {width} columns in "), F.col("_metadata.file_path"))).cast("string")
+    rows = scan.select(
+        F.when(F.col(f"_c{width}").isNull(), F.regexp_replace("_metadata.file_path", r"^\w+:/+", "/")).otherwise(wide).alias("file"),
+        F.monotonically_increasing_id().alias("row_no"),
+        F.array(*[F.col(f"_c{i}") for i in used]).cast("array<string>").alias("cells"),
     )
-    heads = placed.groupBy("file").agg(
-        F.min("row_no").alias("head_no"), *[F.min_by(f"at_{c}", "row_no").alias(f"at_{c}") for c in HEADERS]
-    ).filter(reduce(Column.__and__, [F.col(f"at_{c}") > 0 for c in NEEDED]))
-    given = spark.createDataFrame(
-        [(re.sub(r"^\w+:/+", "/", path), f"{n:09d}") for n, path in enumerate(paths)], "file string, part string"
+    placed = [(file, *(None if i is None else used.index(i) for i in at)) for file, *at in heads]
+    named = spark.createDataFrame(placed, "known string, " + ", ".join(f"at_{c} int" for c in HEADERS))
+    given = spark.createDataFrame([(_local(path), f"{n:09d}") for n, path in enumerate(paths)], "file string, part string")
+    unread = F.raise_error(F.concat(F.lit("no headers were read of "), F.col("file"))).cast("boolean")
+    found = (
+        rows.join(F.broadcast(named), F.col("file") == F.col("known"), "left")
+        .filter(F.when(F.col("known").isNull(), unread).otherwise(F.col(f"at_{NEEDED[0]}").isNotNull()))
+        .join(F.broadcast(given), "file", "left")
     )
-    named = rows.join(F.broadcast(heads), "file").filter(F.col("row_no") > F.col("head_no")).join(F.broadcast(given), "file", "left")
-    cell = {c: F.get("cells", (F.col(f"at_{c}") - 1).cast("int")) for c in HEADERS}
     return _to_items(
-        named.select(
+        found.select(
             F.concat(F.coalesce("part", F.lit("~")), F.lit(" "), "file").alias("source"), "row_no",
-            *[value.alias(c) for c, value in cell.items()],
+            *[F.get("cells", F.col(f"at_{c}")).alias(c) for c in HEADERS],
         )
     )
 

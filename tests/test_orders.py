@@ -1,6 +1,7 @@
 """Orders from item rows, exports, accounts and scans."""
 
 import datetime as dt
+import gzip
 import io
 import zipfile
 
@@ -181,3 +182,31 @@ def test_headers_are_found_without_sorting_rows(spark, tmp_path):
     rows = exports.read_order_csv(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")])
     assert sorted((r["order_id"], r["cents"], r["title"]) for r in rows.collect()) == [("1", 300, "Order ID order date"), ("2", 400, "Cup")]
     assert "SortAggregate" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_wanted_columns_are_read(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Note,Order ID,More,Order Date,Total,Title\nn,1,x,2024-01-02,3.00,Cup\ns\n")
+    (tmp_path / "b.csv").write_text("x,y\n1,2\n")
+    rows = exports.read_order_csv(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")])
+    assert [(r["order_id"], r["cents"], r["title"]) for r in rows.orderBy("row_no").collect()] == [("1", 300, "Cup"), (None, None, None)]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan csv") == 1
+    (columns,) = {line.split("ReadSchema: ")[1] for line in plan.splitlines() if "ReadSchema" in line}
+    assert columns == "struct<_c1:string,_c3:string,_c4:string,_c5:string,_c64:string>"
+
+
+def test_odd_first_records(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exports, "HEAD_BYTES", 8)
+    texts = {
+        "bom.csv": b"\xef\xbb\xbf" + 'Order ID,Order Date,Total,Title\r\n1,2024-01-02,3.00,"a ""b"",\nc"\r\n'.encode(),
+        "blank lines.csv": b'\n\n"Order\nID","Order ""Date""",Total,Title\n2,2024-01-02,3.00,b',
+        "quote%.csv": b'Order ID,5" wide,Order Date,Total,Title\n3,x,2024-01-02,3.00,c\n',
+        "empty.csv": b"", "head.csv": b"Order ID,Order Date,Total",
+        "cr.csv": b"Order ID,Order Date,Total,Title\r4,2024-01-02,3.00,d\r",
+        "packed.csv.gz": gzip.compress(b"Order ID,Order Date,Total,Title\n5,2024-01-02,3.00,e\n"),
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text)
+    got = {r["order_id"]: r["title"] for r in exports.read_order_csv(spark, [str(tmp_path)]).collect()}
+    assert got == {"1": 'a "b",\nc', "2": "b", "3": "c", "4": "d", "5": "e"}
+    assert exports.read_order_csv(spark, [str(tmp_path / "empty.csv")]).count() == 0
